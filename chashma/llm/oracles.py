@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+#: Lists of words as TESTDATA.md defines a word; then one row for each ten words in a row.
+_WORDS = "regexp_extract_all(regexp_replace(lower({0}), '[''`´‘’ʻʼ]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = """(SELECT id, array_to_string(w[i : i + 9], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {id} AS id, {words} AS w FROM {table}) WHERE len(w) >= 10))"""
+_PAIRS = f"""SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM {_GRAMS.format(id="doc_id", words=_WORDS.format("text"), table="documents")} d
+    JOIN {_GRAMS.format(id="item_id", words=_WORDS.format("text"), table="eval_items")} e ON d.gram = e.gram"""
+
 SQL = {
+    "p9_found": _PAIRS,
     "p8_round_trip": "SELECT count(*) AS compared, 0::BIGINT AS differing FROM documents",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import tokens
+from chashma.llm import leaks, tokens
 from chashma.llm.tables import table
 
 
@@ -21,4 +21,22 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("compared"), F.count_if(F.coalesce("text", F.lit("")) != F.col("back")).alias("differing"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip)}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where(F.col("longest_run") >= 10).select("doc_id", "item_id")
+
+
+def p9_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Also passages with substituted words: overlaps of at least ten words, three quarters of them equal."""
+    return _leaks(spark, folder).where(F.col("overlap_words") >= 10)
+
+
+def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    found = _leaks(spark, folder).where(F.col("longest_run") >= 10).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest_run").alias("longest_run"))
+    return table(spark, folder, "eval_items").select("item_id", "split", "task").join(found, "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
