@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import leaks, tokens
+from chashma.llm import leaks, lookalikes, tokens
 from chashma.llm.tables import table
 
 
@@ -39,4 +39,22 @@ def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_items").select("item_id", "split", "task").join(found, "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+def _looks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = None
+    for name, key, text in (("routing_signal_audit", "sample_id", "sentence_text"), ("validation_documents", "document_sample_id", "normalized_text"), ("seen_texts", "text_id", "text_value")):
+        part = table(spark, folder, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+        rows = part if rows is None else rows.unionAll(part)
+    return rows
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.alike_pairs(_looks(spark, folder))
+
+
+def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Each sentence in its one form, and the hash of that form."""
+    rows = lookalikes.with_forms(table(spark, folder, "routing_signal_audit"), F.col("sample_id"), F.col("sentence_text"))
+    return rows.select(F.col("key").alias("sample_id"), "form", F.sha2("skeleton", 256).alias("look_sha256"), (F.col("form") != F.col("text")).alias("changed"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
