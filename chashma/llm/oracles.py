@@ -8,7 +8,29 @@ _GRAMS = """(SELECT id, array_to_string(w[i : i + 9], ' ') AS gram FROM (SELECT
 _PAIRS = f"""SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM {_GRAMS.format(id="doc_id", words=_WORDS.format("text"), table="documents")} d
     JOIN {_GRAMS.format(id="item_id", words=_WORDS.format("text"), table="eval_items")} e ON d.gram = e.gram"""
 
+_ELIGIBLE = """SELECT source_record_id AS id, min(part_number) AS part FROM validation_documents
+    WHERE source_record_id IS NOT NULL AND part_number IS NOT NULL AND part_allocated_documents >= 1 AND sampling_weight > 0 AND isfinite(sampling_weight) GROUP BY 1"""
+_SHORT = f"""WITH e AS ({_ELIGIBLE}), n AS (SELECT floor(count(*) / 3)::BIGINT AS n FROM e), c AS (SELECT part, count(*) AS available FROM e GROUP BY 1)
+    SELECT t.part_number, t.target_permille, t.min_documents, n.n, coalesce(c.available, 0) AS available,
+        greatest(t.min_documents, (t.target_permille * n.n + 999) // 1000) AS wanted, (t.target_permille * n.n) // 1000 AS base, (t.target_permille * n.n) % 1000 AS rest
+    FROM sampling_targets t CROSS JOIN n LEFT JOIN c ON c.part = t.part_number"""
+_QUOTAS = f"""WITH s AS ({_SHORT}),
+    i AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, part_number) <= n - sum(base) OVER () THEN 1 ELSE 0 END AS ideal FROM s),
+    f AS (SELECT *, least(available, greatest(ideal, min_documents)) AS q FROM i),
+    g AS (SELECT *, n - sum(q) OVER () AS gap FROM f),
+    r AS (SELECT *, CASE WHEN gap >= 0 THEN available - q ELSE greatest(0, q - least(min_documents, available)) END AS room FROM g),
+    a AS (SELECT *, sum(room) OVER () AS all_room FROM r),
+    m AS (SELECT *, CASE WHEN all_room > 0 THEN (room * least(abs(gap), all_room)) // all_room ELSE 0 END AS moved, CASE WHEN all_room > 0 THEN (room * least(abs(gap), all_room)) % all_room ELSE 0 END AS spare FROM a),
+    x AS (SELECT *, moved + CASE WHEN row_number() OVER (ORDER BY spare DESC, part_number) <= least(abs(gap), all_room) - sum(moved) OVER () AND room > moved THEN 1 ELSE 0 END AS given FROM m)
+    SELECT part_number, target_permille::BIGINT AS permille, min_documents::BIGINT AS floor, n, available, ideal::BIGINT AS ideal, wanted::BIGINT AS wanted,
+        (q + sign(gap) * given)::BIGINT AS quota, greatest(0, wanted - available)::BIGINT AS shortfall FROM x"""
+_KEYED = f"""SELECT id, part, ('0x' || substr(md5('42|' || id), 1, 15))::BIGINT AS sample_key FROM ({_ELIGIBLE})"""
+
 SQL = {
+    "p1_found": f"SELECT part_number FROM ({_SHORT}) WHERE available < wanted",
+    "p1_quotas": _QUOTAS,
+    "p1_sample": f"""SELECT id AS source_record_id, part AS part_number, sample_key
+        FROM (SELECT k.*, row_number() OVER (PARTITION BY part ORDER BY sample_key, id) AS place, q.quota FROM ({_KEYED}) k JOIN ({_QUOTAS}) q ON k.part = q.part_number) WHERE place <= quota""",
     "p9_found": _PAIRS,
     "p8_round_trip": "SELECT count(*) AS compared, 0::BIGINT AS differing FROM documents",
 }

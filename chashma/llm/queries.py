@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import leaks, lookalikes, tokens
+from chashma.llm import leaks, lookalikes, proportions, tokens
 from chashma.llm.tables import table
 
 
@@ -57,4 +57,21 @@ def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("key").alias("sample_id"), "form", F.sha2("skeleton", 256).alias("look_sha256"), (F.col("form") != F.col("text")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+def _plan(spark: SparkSession, folder: str) -> DataFrame:
+    return proportions.quotas(proportions.eligible(table(spark, folder, "validation_documents")), table(spark, folder, "sampling_targets"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _plan(spark, folder).where("shortfall > 0").select(F.col("category").alias("part_number"))
+
+
+def p1_quotas(spark: SparkSession, folder: str) -> DataFrame:
+    return _plan(spark, folder).withColumnRenamed("category", "part_number")
+
+
+def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn, _ = proportions.sample(table(spark, folder, "validation_documents"), table(spark, folder, "sampling_targets"))
+    return drawn.select(F.col("document_id").alias("source_record_id"), F.col("category").alias("part_number"), "sample_key")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
