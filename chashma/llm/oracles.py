@@ -26,7 +26,19 @@ _QUOTAS = f"""WITH s AS ({_SHORT}),
         (q + sign(gap) * given)::BIGINT AS quota, greatest(0, wanted - available)::BIGINT AS shortfall FROM x"""
 _KEYED = f"""SELECT id, part, ('0x' || substr(md5('42|' || id), 1, 15))::BIGINT AS sample_key FROM ({_ELIGIBLE})"""
 
+_REDUCED = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_CLASSES = f"""WITH r AS (SELECT 'seen_texts' AS table_name, text_id AS key, text_value AS text, max(occurrence_count) AS o FROM seen_texts WHERE text_value IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'duplicate_index', first_source_record_id, digest, max(occurrence_count) FROM duplicate_index WHERE digest IS NOT NULL GROUP BY ALL),
+    p AS (SELECT *, {_REDUCED.format("text")} AS w, [x for x in string_split_regex(text, '[;|\\n\\r\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}]') if regexp_matches(x, '[^\\s\\pZ]')] AS parts FROM r),
+    c AS (SELECT table_name, key, o, w, CASE WHEN len(parts) > 1 AND len([x for x in parts if regexp_matches(x, '(?s)^[\\s\\pZ]*[^:\\s\\pZ][^:]*:.*[^\\s\\pZ]')]) = len(parts)
+        THEN list_sort([{_REDUCED.format("x[1 : instr(x, ':')]")} || ':' || {_REDUCED.format("x[instr(x, ':') + 1 :]")} for x in parts]) END AS t FROM p),
+    a AS (SELECT *, min(key) OVER (PARTITION BY table_name, w) AS k1 FROM c),
+    b AS (SELECT *, CASE WHEN t IS NULL THEN k1 ELSE min(k1) OVER (PARTITION BY table_name, t) END AS k2 FROM a),
+    z AS (SELECT *, min(k2) OVER (PARTITION BY table_name, w) AS k3 FROM b)"""
+
 SQL = {
+    "p2_found": f"{_CLASSES} SELECT table_name, k3 AS key_a, key AS key_b FROM z WHERE k3 != key",
+    "p2_records": f"{_CLASSES} SELECT table_name, k3 AS key, count(*) AS records, sum(coalesce(o, 0))::BIGINT AS occurrence_count FROM z GROUP BY 1, 2",
     "p1_found": f"SELECT part_number FROM ({_SHORT}) WHERE available < wanted",
     "p1_quotas": _QUOTAS,
     "p1_sample": f"""SELECT id AS source_record_id, part AS part_number, sample_key

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import leaks, lookalikes, proportions, tokens
+from chashma.llm import copies, leaks, lookalikes, proportions, tokens
 from chashma.llm.tables import table
 
 
@@ -74,4 +74,19 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select(F.col("document_id").alias("source_record_id"), F.col("category").alias("part_number"), "sample_key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+def _records(spark: SparkSession, folder: str, index_text: str) -> DataFrame:
+    """Rows of both tables; of duplicate_index the column `index_text`."""
+    seen = table(spark, folder, "seen_texts").select(F.lit("seen_texts").alias("table_name"), F.col("text_id").alias("key"), F.col("text_value").alias("text"), F.col("occurrence_count").alias("occurrences"))
+    index = table(spark, folder, "duplicate_index").select(F.lit("duplicate_index").alias("table_name"), F.col("first_source_record_id").alias("key"), F.col(index_text).alias("text"), F.col("occurrence_count").alias("occurrences"))
+    return seen.unionAll(index)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.copies(_records(spark, folder, "digest"))
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.collapse(_records(spark, folder, "digest"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
