@@ -36,7 +36,16 @@ _CLASSES = f"""WITH r AS (SELECT 'seen_texts' AS table_name, text_id AS key, tex
     b AS (SELECT *, CASE WHEN t IS NULL THEN k1 ELSE min(k1) OVER (PARTITION BY table_name, t) END AS k2 FROM a),
     z AS (SELECT *, min(k2) OVER (PARTITION BY table_name, w) AS k3 FROM b)"""
 
+#: All pairs that share a word, so it is slow on large tables; it shows what the blocks must not lose.
+_SIMILAR = f"""WITH r AS (SELECT DISTINCT 'seen_texts' AS table_name, text_id AS key, text_value AS text FROM seen_texts UNION SELECT DISTINCT 'duplicate_index', first_source_record_id, text_preview FROM duplicate_index),
+    w AS (SELECT table_name, key, list_distinct({_WORDS.format("text")}) AS words FROM r WHERE text IS NOT NULL),
+    l AS (SELECT * FROM w WHERE len(words) >= 15),
+    u AS (SELECT table_name, key, len(words) AS n, unnest(words) AS word FROM l),
+    p AS (SELECT a.table_name, a.key AS key_a, b.key AS key_b, count(*) AS shared, any_value(a.n + b.n) AS n FROM u a JOIN u b ON a.table_name = b.table_name AND a.word = b.word AND a.key < b.key GROUP BY 1, 2, 3)
+    SELECT table_name, key_a, key_b FROM p WHERE shared * 4 >= 3 * (n - shared)"""
+
 SQL = {
+    "p3_found": _SIMILAR,
     "p2_found": f"{_CLASSES} SELECT table_name, k3 AS key_a, key AS key_b FROM z WHERE k3 != key",
     "p2_records": f"{_CLASSES} SELECT table_name, k3 AS key, count(*) AS records, sum(coalesce(o, 0))::BIGINT AS occurrence_count FROM z GROUP BY 1, 2",
     "p1_found": f"SELECT part_number FROM ({_SHORT}) WHERE available < wanted",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import copies, leaks, lookalikes, proportions, tokens
+from chashma.llm import copies, leaks, lookalikes, near, proportions, tokens
 from chashma.llm.tables import table
 
 
@@ -89,4 +89,12 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapse(_records(spark, folder, "digest"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near.similar_pairs(_records(spark, folder, "text_preview"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near.groups(_records(spark, folder, "text_preview"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
