@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import copies, leaks, lookalikes, near, proportions, tokens
+from chashma.llm import copies, garbled, leaks, lookalikes, near, proportions, tokens
 from chashma.llm.tables import table
 
 
@@ -97,4 +97,12 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near.groups(_records(spark, folder, "text_preview"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
