@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, FAN, SAMPLE_TEXTS = 1 << 20, 32, 4000
@@ -306,10 +306,17 @@ def _merge_group(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows([(rows[0]["key"], rows[0]["chunk"] // FAN, -(-rows[0]["of"] // FAN), state)])])
 
 
-def learn(df: DataFrame, text_col: str, common: list[str], sample_texts: int = SAMPLE_TEXTS) -> Letters:
-    """Letters from at most `sample_texts` rows, those with the smallest hashes of their text."""
-    rows = df.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).distinct().orderBy("h").limit(sample_texts).collect()
-    return Letters.learn([r["text"] for r in rows], common)
+def sample(df: DataFrame, columns: list[Column], key: Column, rows: int) -> list:
+    """The rows whose key's hash is among the smallest `rows` hashes; only hashes are sorted."""
+    h = F.xxhash64(key)
+    edge = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(edge)).select(*columns).limit(2 * rows).collect() if edge is not None else []
+
+
+def learn(df: DataFrame, key_col: str, text_col: str, common: list[str], sample_texts: int = SAMPLE_TEXTS) -> Letters:
+    """Letters from a bounded sample of rows."""
+    rows = sample(df.where(F.length(text_col) > 0), [F.col(text_col)], F.col(key_col), sample_texts)
+    return Letters.learn([r[0] for r in rows], common)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import copies, garbled, leaks, lookalikes, near, proportions, tokens
+from chashma.llm import copies, garbled, languages, leaks, lookalikes, near, proportions, quality, tokens
 from chashma.llm.tables import table
 
 
@@ -105,4 +105,34 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+def _statistics(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "routing_signal_audit")
+    common = [r["word"] for r in table(spark, folder, "common_words").collect()]  # a fixed list
+    return quality.statistics(rows, "sample_id", "sentence_text", quality.learn(rows, "sample_id", "sentence_text", common))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _statistics(spark, folder).where("kind != 'prose'").select(F.col("key").alias("sample_id"))
+
+
+def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.ratios(_statistics(spark, folder)).withColumnRenamed("key", "sample_id")
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.segments(table(spark, folder, "routing_signal_audit"), table(spark, folder, "common_words"), "sample_id", "sentence_text", "lang")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.relabelled(_segments(spark, folder)).select(F.col("key").alias("sample_id"), "lang")
+
+
+def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.languages(_segments(spark, folder)).withColumnRenamed("key", "sample_id")
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return _segments(spark, folder).select(F.col("key").alias("sample_id"), "segment", "start_char", "end_char", "lang", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_statistics, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
