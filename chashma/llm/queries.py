@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chashma.llm import copies, garbled, languages, leaks, lookalikes, near, proportions, quality, tokens
+from chashma.llm import copies, garbled, languages, leaks, lookalikes, near, proportions, quality, sentences, tokens
 from chashma.llm.tables import table
 
 
@@ -135,4 +135,16 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).select(F.col("key").alias("sample_id"), "segment", "start_char", "end_char", "lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_statistics, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+def _sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "routing_signal_audit"), "sample_id", "sentence_text")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _sentences(spark, folder).where("sentence > 0").select(F.col("key").alias("sample_id"), "start_char")
+
+
+def p6_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return _sentences(spark, folder).withColumnRenamed("key", "sample_id")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_sentences, p4_found, p4_statistics, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
