@@ -1,6 +1,837 @@
-"""The queries of the core operators and the same results in SQL."""
+"""The queries of the core operators over the whole tables of a folder, and the same results in SQL.
+
+Each `@query(sql)` registers its function under its own name.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chashma.functions import composed as C
+from chashma.functions import text as T
+from chashma.operators import aggregate as A
+from chashma.operators import boundaries as B
+from chashma.operators import models as M
+from chashma.operators import normalize as N
+from chashma.operators import relate as R
+from chashma.operators import rules as L
+from chashma.operators import sampling as W
+from chashma.operators import segment as G
+from chashma.operators import typos as Y
+from chashma.plans.lineage import shared_folder
+from chashma.sources import files as S
+from chashma.streaming import audit
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+HEALTHY, MINOR = "HEALTHY", "MINOR_DAMAGE_BUT_USABLE"
+USABLE = [HEALTHY, MINOR]
+HARMFUL = ["FORMAT_OR_LIST", "FRAGMENT", "HEAVY_CORRUPTION", "MIXED_OR_FOREIGN_TEXT"]
+LABELS = [*USABLE, *HARMFUL, "UNCERTAIN"]
+
+
+def _plain_counts(sql: str) -> str:
+    """`count_if(x)`, which is a 128-bit number in DuckDB, as a filtered count, which has 64 bits."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}(count(*) FILTER (WHERE {sql[at + 9 : end - 1]})){sql[end:]}"
+    return sql
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = _plain_counts(sql)
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _joined(array: Column) -> Column:
+    return F.array_join(array, "|")
+
+
+# ---- SQL pieces. RE2 has no look-around; the blanks are those Java and Python know.
+_B = r"[\t-\r\x{85}\p{Z}]"
+_LAT = "A-Za-zÀ-ɏḀ-ỿ"
+_CYR = "Ѐ-ԯⷠ-ⷿꙀ-ꚟ"
+
+
+def _gap_sql(name: str, text: str) -> str:
+    word, alone = (T.HIGH_GAPS | T.AMBIGUOUS_GAPS)[name]
+    ahead = f"([{_LAT}]|{alone})" if alone else f"[{_LAT}]"
+    return rf"len(regexp_extract_all({text}, '(?i)(^|[^{_LAT}]){r'[ \t]+'.join(word.split())}{ahead}'))"
+
+
+def _gaps_sql(names, text: str) -> str:
+    return "(" + " + ".join(_gap_sql(n, text) for n in names) + ")"
+
+
+_TRIMMABLE = rf"regexp_matches(text, '(?s)[^\t-\r\x{{85}}\p{{Z}}] \z')"
+_NORM = f"CASE WHEN {_TRIMMABLE} THEN left(text, length(text) - 1) ELSE text END"
+def _stripped(text: str) -> str:
+    return rf"regexp_replace({text}, '^{_B}+|{_B}+$', '', 'g')"
+
+
+_NFLAGS = rf"""list_sort(list_filter([CASE WHEN length({_stripped("text")}) = 0 THEN 'EMPTY_OR_WHITESPACE_TEXT' END, CASE WHEN regexp_matches(text, '^{_B}') THEN 'LEADING_WHITESPACE' END,
+    CASE WHEN suffix(text, '  ') THEN 'MULTIPLE_TRAILING_ASCII_SPACES' WHEN suffix(text, chr(9)) THEN 'TRAILING_TAB' WHEN suffix(text, chr(10)) OR suffix(text, chr(13)) THEN 'TRAILING_NEWLINE'
+         WHEN regexp_matches(text, '{_B} \z') THEN 'WHITESPACE_BEFORE_TRAILING_ASCII_SPACE' WHEN regexp_matches(text, '{_B}\z') AND NOT suffix(text, ' ') THEN 'OTHER_TRAILING_WHITESPACE' END,
+    CASE WHEN {_gaps_sql(T.HIGH_GAPS, "n")} > 0 THEN 'HIGH_CONFIDENCE_APOSTROPHE_GAP' END, CASE WHEN {_gaps_sql(T.AMBIGUOUS_GAPS, "n")} > 0 THEN 'AMBIGUOUS_APOSTROPHE_GAP' END], lambda x: x IS NOT NULL))"""
+_NORMAL = f"""(SELECT doc_id, text, n, CASE WHEN text IS NOT NULL THEN {_NFLAGS} END AS flags, n != text AS changed FROM (SELECT doc_id, text, {_NORM} AS n FROM documents))"""
+_STATUS = "CASE WHEN text IS NULL THEN 'INVALID_INPUT_REVIEW_REQUIRED' WHEN changed AND len(flags) > 0 THEN 'CHANGED_SAFE_REVIEW_REQUIRED' WHEN changed THEN 'CHANGED_SAFE' WHEN len(flags) > 0 THEN 'UNCHANGED_REVIEW_REQUIRED' ELSE 'UNCHANGED' END"
+
+
+# ---- normalisation
+def _normalized(spark: SparkSession, folder: str) -> DataFrame:
+    return N.normalize(_t(spark, folder, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT {_STATUS} AS normalization_status, count(*) AS records FROM {_NORMAL} GROUP BY 1")
+def normalize_status_counts(spark, folder):
+    return _normalized(spark, folder).groupBy("normalization_status").agg(F.count("*").alias("records"))
+
+
+@query(f"""SELECT doc_id AS source_record_id, sha256(text) AS raw_text_sha256, sha256(n) AS normalized_text_sha256, (length(n) - length(text))::INT AS character_delta, {_STATUS} AS normalization_status,
+    array_to_string(flags, '|') AS review_flags, {_gaps_sql(T.HIGH_GAPS, "n")}::INT AS high_confidence_gap_count FROM {_NORMAL}""")
+def normalize_rows(spark, folder):
+    return _normalized(spark, folder).select("source_record_id", "raw_text_sha256", "normalized_text_sha256", "character_delta", "normalization_status", _joined(F.col("review_flags")).alias("review_flags"), "high_confidence_gap_count")
+
+
+@query(f"""WITH r AS (SELECT *, {_STATUS} AS st FROM {_NORMAL}), k AS (SELECT 'status' AS kind, st AS name FROM r UNION ALL SELECT 'flag', unnest(flags) FROM r UNION ALL SELECT 'operation', 'TRIM_ONE_TRAILING_ASCII_SPACE' FROM r WHERE changed)
+    SELECT kind, name, count(*) AS records FROM k GROUP BY 1, 2""")
+def normalize_counters(spark, folder):
+    return N.counters(_normalized(spark, folder))
+
+
+@query(f"""WITH r AS (SELECT * FROM {_NORMAL}), a AS (SELECT count(*) AS rows, count_if(changed) AS ch, count_if(text IS NULL OR len(flags) > 0) AS rv, count(DISTINCT doc_id) AS ids FROM r)
+    SELECT unnest(['valid_and_invalid_make_all', 'changed_rows_have_changed_status', 'review_rows_have_review_status', 'one_operation_for_each_change', 'delta_is_minus_changes', 'ids_are_unique']) AS name, 'PASS' AS status,
+        unnest([rows, ch, rv, ch, -ch, ids]) AS observed, unnest([rows, ch, rv, ch, -ch, rows]) AS expected FROM a""")
+def normalize_checks(spark, folder):
+    return N.run_checks(_normalized(spark, folder))
+
+
+_PROBLEMS = "missing_row extra_row raw_hash_mismatch normalized_hash_mismatch raw_count_mismatch delta_mismatch schema_version_mismatch input_validity_mismatch unapproved_operation unexplained_text_change operation_without_text_change invalid_trim_transformation unexpected_operation_sequence invalid_unchanged_delta idempotence_failure status_mismatch review_boolean_mismatch".split()
+
+
+@query("SELECT unnest([" + ", ".join(f"'{p}'" for p in _PROBLEMS) + "]) AS problem, 0::BIGINT AS failing")
+def normalize_verify(spark, folder):
+    return N.validate(_t(spark, folder, "documents"), _normalized(spark, folder), "doc_id", "text")
+
+
+# ---- shape of texts
+_BOUNDARY = {
+    "leading_blank": rf"regexp_matches(text, '^{_B}')", "trailing_blank": rf"regexp_matches(text, '{_B}\z')", "starts_with_space": "prefix(text, ' ')", "starts_with_tab": "prefix(text, chr(9))", "starts_with_newline": "prefix(text, chr(10))", "ends_with_space": "suffix(text, ' ')",
+    "ends_with_tab": "suffix(text, chr(9))", "ends_with_newline": "suffix(text, chr(10))", "one_trailing_space": _TRIMMABLE, "several_trailing_spaces": "suffix(text, '  ')", "repeated_blanks": r"regexp_matches(text, '[ \t]{2,}')",
+}
+
+
+@query("SELECT source, " + ", ".join(f"count_if({c}) AS {n}" for n, c in _BOUNDARY.items()) + " FROM documents GROUP BY 1")
+def boundary_whitespace_flags(spark, folder):
+    docs = _t(spark, folder, "documents")
+    return docs.select("source", *T.boundary_flags(F.col("text"))).groupBy("source").agg(*(F.count_if(n).alias(n) for n in _BOUNDARY))
+
+
+_QUALITY = {
+    "EMPTY": f"length({_stripped('text')}) = 0", "LEADING_OR_TRAILING_BLANK": rf"regexp_matches(text, '^{_B}|{_B}\z')", "REPEATED_BLANKS": r"regexp_matches(text, '[ \t]{2,}')", "TAB": "contains(text, chr(9))", "NEWLINE": "contains(text, chr(10))",
+    "CONTROL": r"regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]')", "INVISIBLE": r"regexp_matches(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]')", "REPLACEMENT": "contains(text, chr(65533))", "NO_BREAK_SPACE": "contains(text, chr(160))",
+    "MIXED_SCRIPT": f"regexp_matches(text, '[{_LAT}]') AND regexp_matches(text, '[{_CYR}]')",
+}
+
+
+@query("WITH f AS (SELECT list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _QUALITY.items()) + "], lambda x: x IS NOT NULL) AS l FROM documents) SELECT unnest(CASE WHEN len(l) = 0 THEN ['NONE'] ELSE l END) AS item, count(*) AS rows FROM f GROUP BY 1")
+def quality_flag_counts(spark, folder):
+    return A.item_counts(_t(spark, folder, "documents").select(T.quality_flags(F.col("text")).alias("flags")), "flags", "NONE")
+
+
+_SCRIPT = f"""CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(text, '[{_LAT}]') AND regexp_matches(text, '[{_CYR}]') THEN 'MIXED_LATIN_CYRILLIC' WHEN regexp_matches(text, '[{_LAT}]') THEN 'LATIN' WHEN regexp_matches(text, '[{_CYR}]') THEN 'CYRILLIC'
+    WHEN regexp_matches(text, '\\pL') THEN 'OTHER_ALPHABETIC' ELSE 'NO_ALPHABETIC_CHARACTERS' END"""
+
+
+@query(f"WITH c AS (SELECT {_SCRIPT} AS script, count(*) AS rows FROM documents GROUP BY 1) SELECT script, rows, round(rows * 100.0 / sum(rows) OVER (), 6) AS percent FROM c")
+def script_distribution(spark, folder):
+    return A.label_counts(_t(spark, folder, "documents").select(T.script_label(F.col("text")).alias("script")), "script")
+
+
+_N = lambda p, t="text": rf"len(regexp_extract_all({t}, '{p}'))"
+
+
+@query(rf"""WITH c AS (SELECT {_N(r'\p{Latin}')} AS la, {_N(r'\p{Cyrillic}')} AS cy, {_N(r'\pL')} AS l, text FROM documents WHERE text IS NOT NULL)
+    SELECT CASE WHEN l = 0 THEN 'NO_LETTERS' WHEN l = la THEN 'LATIN' WHEN l = cy THEN 'CYRILLIC' WHEN l = la + cy THEN 'LATIN_CYRILLIC_MIXED' WHEN la + cy = 0 THEN 'OTHER_SCRIPT' ELSE 'MULTISCRIPT_OTHER' END AS label, count(*) AS rows, sum(la)::BIGINT AS latin FROM c GROUP BY 1""")
+def letter_script_distribution(spark, folder):
+    rows = _t(spark, folder, "documents").where("text IS NOT NULL").select(T.letter_scripts(F.col("text")).alias("s"))
+    return rows.groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("rows"), F.sum("s.latin").alias("latin"))
+
+
+@query("SELECT lang, " + ", ".join(f"""sum(length(text) - length(replace(text, '{c if c != "'" else "''"}', '')))::BIGINT AS "{n}\"""" for n, c in T.APOSTROPHES.items()) + " FROM documents GROUP BY 1")
+def apostrophe_variant_counts(spark, folder):
+    return _t(spark, folder, "documents").select("lang", *T.apostrophe_counts(F.col("text"))).groupBy("lang").agg(*(F.sum(f"`{n}`").alias(n) for n in T.APOSTROPHES))
+
+
+@query("SELECT " + ", ".join(f"""sum(length(text) - length(replace(text, chr({ord(c)}), '')))::BIGINT AS "{n}\"""" for n, c in T.SUSPICIOUS.items()) + rf", sum({_N(r'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]')})::BIGINT AS CONTROL_CHARACTERS FROM documents")
+def suspicious_unicode(spark, folder):
+    return _t(spark, folder, "documents").select(*T.suspicious_counts(F.col("text"))).agg(*(F.sum(f"`{n}`").alias(n) for n in [*T.SUSPICIOUS, "CONTROL_CHARACTERS"]))
+
+
+@query(f"SELECT doc_id, length(text) AS chars, {_N('[^' + _B[1:-1] + ']+')} AS words, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents")
+def text_metrics(spark, folder):
+    t = F.col("text")
+    return _t(spark, folder, "documents").select("doc_id", T.char_count(t).cast("bigint").alias("chars"), T.word_count(t).cast("bigint").alias("words"), T.line_count(t).cast("bigint").alias("lines"))
+
+
+_RULES = [*T.HIGH_GAPS, *T.AMBIGUOUS_GAPS]
+
+
+@query("SELECT unnest([" + ", ".join(f"'{n}'" for n in _RULES) + "]) AS rule, unnest([" + ", ".join(f"sum({_gap_sql(n, 'text')})" for n in _RULES) + "])::BIGINT AS matches, unnest([" + ", ".join(f"count_if({_gap_sql(n, 'text')} > 0)" for n in _RULES) + "])::BIGINT AS records FROM documents")
+def gap_rule_counts(spark, folder):
+    t = F.col("text")
+    one = _t(spark, folder, "documents").agg(F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(F.sum(T.gap_count(t, n)), F.lit(0)).cast("bigint").alias("matches"), F.count_if(T.gap_count(t, n) > 0).alias("records")) for n in _RULES)).alias("r"))
+    return one.select(F.inline("r"))
+
+
+@query(f"SELECT doc_id // 1000 AS block, count(*) AS records, sum({_gaps_sql(_RULES, 'text')})::BIGINT AS matches, count_if({_gaps_sql(_RULES, 'text')} > 0) AS gap_records FROM documents GROUP BY 1")
+def gap_block_distribution(spark, folder):
+    n = T.gap_counts(F.col("text"), _RULES)
+    return A.blocks(_t(spark, folder, "documents"), "doc_id", 1000, F.sum(n).cast("bigint").alias("matches"), F.count_if(n > 0).alias("gap_records"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN h > 0 AND a > 0 THEN 'MIXED_CONFIDENCE_REVIEW_REQUIRED' WHEN h > 0 THEN 'HIGH_CONFIDENCE_REVIEW_REQUIRED' ELSE 'AMBIGUOUS_REVIEW_REQUIRED' END AS review_status, round((h + a) * 1000.0 / length(text), 6) AS per_thousand
+    FROM (SELECT doc_id, text, {_gaps_sql(T.HIGH_GAPS, 'text')} AS h, {_gaps_sql(T.AMBIGUOUS_GAPS, 'text')} AS a FROM documents) WHERE h + a > 0""")
+def gap_review_status(spark, folder):
+    rows = _t(spark, folder, "documents").select("doc_id", "text", T.gap_counts(F.col("text"), T.HIGH_GAPS).alias("h"), T.gap_counts(F.col("text"), T.AMBIGUOUS_GAPS).alias("a")).where("h + a > 0")
+    return rows.select("doc_id", T.gap_status(F.col("h"), F.col("a")).alias("review_status"), T.per_thousand(F.col("h") + F.col("a"), F.length("text")).alias("per_thousand"))
+
+
+@query()
+def gap_spans(spark, folder):
+    rows = _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(T.gap_spans(F.col("text"), _RULES)).alias("s"))
+    return rows.select("doc_id", "s.*", T.context(F.col("text"), F.col("s.start"), F.col("s.stop"), 20).alias("context"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(left(text, 80), '\\', '\\\\'), chr(13), '\\r'), chr(10), '\\n'), chr(9), '\\t') || CASE WHEN length(text) > 80 THEN '…' ELSE '' END AS preview FROM documents")
+def previews(spark, folder):
+    return _t(spark, folder, "documents").select("doc_id", T.preview(F.col("text"), 80).alias("preview"))
+
+
+@query(f"""WITH d AS (SELECT lang, length(text) AS v FROM documents WHERE text IS NOT NULL) SELECT lang, count(*) AS rows, min(v)::BIGINT AS minimum, max(v)::BIGINT AS maximum, round(avg(v), 6) AS mean,
+    {", ".join(f"round(quantile_cont(v, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99))} FROM d GROUP BY 1""")
+def length_summary(spark, folder):
+    rows = _t(spark, folder, "documents").where("text IS NOT NULL").select(F.coalesce("lang", F.lit("\0")).alias("lang"), F.length("text").cast("bigint").alias("v"))
+    return A.exact_quantiles(rows, ["lang"], "v").withColumn("lang", F.nullif("lang", F.lit("\0")))
+
+
+@query("""WITH d AS (SELECT source, length(text) AS v, row_number() OVER (PARTITION BY source ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT source, max(n) AS rows, max(v) FILTER (i = round_even((n - 1) * 0.5, 0))::BIGINT AS p50, max(v) FILTER (i = round_even((n - 1) * 0.9, 0))::BIGINT AS p90 FROM d GROUP BY 1""")
+def length_nearest_rank(spark, folder):
+    return A.nearest_rank(_t(spark, folder, "documents").where("text IS NOT NULL").select("source", F.length("text").cast("bigint").alias("v")), ["source"], "v")
+
+
+@query("""(SELECT doc_id AS id, length(text)::INT AS length, 'SHORTEST' AS side FROM documents WHERE text IS NOT NULL ORDER BY 2, 1 LIMIT 30) UNION ALL (SELECT doc_id, length(text)::INT, 'LONGEST' FROM documents WHERE text IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 30)""")
+def length_extremes(spark, folder):
+    return W.extremes(_t(spark, folder, "documents"), F.length("text"), "doc_id", 30)
+
+
+@query("""SELECT category, id, score, place FROM (SELECT source AS category, doc_id AS id, sha256('42|' || source || '|' || doc_id) AS score, row_number() OVER (PARTITION BY source ORDER BY sha256('42|' || source || '|' || doc_id), doc_id)::INT AS place FROM documents) WHERE place <= 20""")
+def category_sample(spark, folder):
+    return W.lowest_per_category(_t(spark, folder, "documents"), F.col("source"), "doc_id", 20)
+
+
+@query("SELECT category, id, place FROM (SELECT source AS category, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS place FROM documents) WHERE place <= 5")
+def first_examples(spark, folder):
+    return W.first_per_category(_t(spark, folder, "documents"), F.col("source"), "doc_id", 5)
+
+
+@query("SELECT doc_id, sha256('42|' || doc_id) AS score FROM documents ORDER BY 2, 1 LIMIT 50")
+def simple_sample(spark, folder):
+    return W.simple_sample(_t(spark, folder, "documents").select("doc_id"), "doc_id", 50)
+
+
+_MARK = {n: p.replace("'", "''").replace(r"\s", _B) for n, p in T.CREDIT_MARKERS.items()}
+
+
+@query("SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text_value, '(?i){p}') THEN '{n}' END" for n, p in _MARK.items()) + "], lambda x: x IS NOT NULL)) AS marker, count(*) AS rows FROM seen_texts GROUP BY 1")
+def credit_markers(spark, folder):
+    rows = _t(spark, folder, "seen_texts").select(F.explode(T.credit_markers(F.col("text_value"))).alias("marker"))
+    return rows.groupBy("marker").agg(F.count("*").alias("rows"))
+
+
+@query()
+def short_roles(spark, folder):
+    rows = _t(spark, folder, "documents").select(T.short_role(F.col("text")).alias("role"), T.standalone_credit(F.col("text")).alias("credit"), T.name_like(F.col("text")).alias("name_like"))
+    return rows.groupBy("role", "credit", "name_like").agg(F.count("*").alias("rows"))
+
+
+@query()
+def boilerplate_reasons(spark, folder):
+    return A.item_counts(_t(spark, folder, "documents").select(T.boilerplate_reasons(F.col("text")).alias("r")), "r", "NONE")
+
+
+_ONE = "regexp_replace(text, '[`´ʻʼ‘’]', '''', 'g')"
+
+
+@query(f"SELECT doc_id, {_ONE} AS text FROM documents")
+def one_apostrophe(spark, folder):
+    return _t(spark, folder, "documents").select("doc_id", T.one_apostrophe(F.col("text")).alias("text"))
+
+
+@query("SELECT " + ", ".join(f"""sum({_N(p.replace("'", "''") if n != 'blank_separated' else '[^' + _B[1:-1] + ']+')})::BIGINT AS {n}""" for n, p in T.WORD_CLASSES.items()) + " FROM documents")
+def word_classes(spark, folder):
+    one = lambda n: F.size(T.tokens(F.col("text"), n)) if n != "blank_separated" else T.word_count(F.col("text"))
+    return _t(spark, folder, "documents").agg(*(F.sum(F.when(F.col("text").isNotNull(), one(n))).cast("bigint").alias(n) for n in T.WORD_CLASSES))
+
+
+_SOLID = "[^" + _B[1:-1] + "]"
+
+
+@query(rf"""SELECT doc_id, round(CASE WHEN s > 0 THEN {_N(r'\pL')} / s ELSE 0 END, 6) AS letter_ratio, round(CASE WHEN s > 0 THEN {_N(r'\p{Nd}')} / s ELSE 0 END, 6) AS digit_ratio,
+    round(CASE WHEN s > 0 THEN {_N(r'[^\pL\p{Nd}' + _B[1:-1] + ']')} / s ELSE 0 END, 6) AS sign_ratio FROM (SELECT doc_id, text, {_N(_SOLID)}::DOUBLE AS s FROM documents WHERE text IS NOT NULL)""")
+def character_ratios(spark, folder):
+    return _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", *T.ratios(F.col("text")))
+
+
+@query()
+def token_shapes(spark, folder):
+    t = F.col("text")
+    rows = _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", _joined(T.token_shape_flags(t)).alias("shapes"), T.repeated_ngram(t, 2).alias("repeated_pair"), T.doubled_token(t).alias("doubled_token"), T.case_merge(t).alias("case_merge"), T.spaced_letters(t).alias("spaced_letters"),
+        T.acronym_count(t).alias("acronyms"), _joined(T.apostrophe_defects(t)).alias("apostrophe_defects"), T.repeated_vowel(t).alias("repeated_vowel"), F.exists(T.tokens(t, "plain"), T.ocr_like).alias("ocr_like"), F.exists(T.tokens(t, "plain"), T.foreign_like).alias("foreign_like"), T.starts_lowercase(t).alias("starts_lowercase"),
+        T.mostly_numbers(t, ["bir", "ikki", "uch", "ming", "yuz"]).alias("mostly_numbers"), T.anchors(t, ["tuman", "shahar", "viloyat", "rais"]).alias("anchors"))
+    return rows
+
+
+@query("""SELECT sample_id, array_to_string(list_sort(list_distinct([x for x in [regexp_replace(y, '^\\s+|\\s+$', '', 'g') for y in string_split_regex(regexp_replace(boundary_flags, '[\\[\\]()''"{}]', '', 'g'), '[|,;]')] if x != '' AND upper(x) != 'NONE'])), '|') AS flags
+    FROM (SELECT DISTINCT sample_id, boundary_flags FROM routing_signal_audit) WHERE boundary_flags IS NOT NULL""")
+def parsed_flags(spark, folder):
+    rows = _t(spark, folder, "routing_signal_audit").select("sample_id", "boundary_flags").where("boundary_flags IS NOT NULL").distinct()
+    return rows.select("sample_id", _joined(T.parse_list(F.col("boundary_flags"))).alias("flags"))
+
+
+@query("""SELECT sample_id, CASE WHEN lower(trim(v)) IN ('true', '1', 'yes', 'y', 't') THEN true WHEN lower(trim(v)) IN ('false', '0', 'no', 'n', 'f') THEN false END AS as_bool, try_cast(v AS DOUBLE) AS as_double
+    FROM (SELECT DISTINCT sample_id, CAST(signal_no_terminal_punctuation AS VARCHAR) AS v, CAST(digit_ratio AS VARCHAR) AS d FROM routing_signal_audit)""".replace("try_cast(v AS DOUBLE)", "CASE WHEN v = 'true' THEN 1.0 WHEN v = 'false' THEN 0.0 END::DOUBLE"))
+def tolerant_values(spark, folder):
+    rows = _t(spark, folder, "routing_signal_audit").select("sample_id", F.col("signal_no_terminal_punctuation").cast("string").alias("v"), F.col("digit_ratio").cast("string").alias("d")).distinct()
+    return rows.select("sample_id", T.parse_bool(F.col("v")).alias("as_bool"), T.parse_float(F.col("v")).alias("as_double"))
+
+
+_FORM = _stripped(
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\x{A0}\x{2009}\x{202F}]', ' ', 'g'), '[`´ʻʼ‘’′]', '''', 'g'), '[“”„«»]', chr(34), 'g'), '[\x{AD}\x{200B}\x{2060}\x{FEFF}]', '', 'g'), ' {2,}', ' ', 'g')"
+)
+
+
+@query(f"SELECT doc_id, sha256({_FORM}) AS form_sha256 FROM documents")
+def normal_forms(spark, folder):
+    return _t(spark, folder, "documents").select("doc_id", F.sha2(C.normal_form(F.col("text")), 256).alias("form_sha256"))
+
+
+@query()
+def normal_form_flags(spark, folder):
+    return A.item_counts(_t(spark, folder, "documents").select(C.normal_form_flags(F.col("text")).alias("f")), "f", "NONE")
+
+
+# ---- duplicates and parts
+_DUP = "SELECT sha256(text) AS text_sha256, length(text)::INT AS character_count, min(doc_id) AS first_id, count(*) AS occurrences, 0::INT AS collisions FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"
+
+
+@query(_DUP)
+def exact_duplicates(spark, folder):
+    return A.exact_duplicates(_t(spark, folder, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT g.first_id, d.doc_id AS id FROM documents d JOIN ({_DUP}) g ON sha256(d.text) = g.text_sha256 WHERE d.doc_id != g.first_id")
+def duplicate_members(spark, folder):
+    return A.duplicate_members(_t(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("SELECT sha256(sentence_text) AS text_sha256, count(*) AS rows, count(DISTINCT source_record_id) AS distinct_source_record_id, count(DISTINCT part_number) AS distinct_part_number FROM routing_signal_audit WHERE sentence_text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def sentence_duplicates(spark, folder):
+    return A.text_groups(_t(spark, folder, "routing_signal_audit"), "sentence_text", "source_record_id", "part_number")
+
+
+@query("SELECT source_record_id // 10000000 AS part, count(*) AS rows, count_if(source_record_id IS NULL) AS null_ids, min(source_record_id) AS first_id, max(source_record_id) AS last_id, 0::BIGINT AS misplaced FROM validation_documents GROUP BY 1")
+def part_census(spark, folder):
+    return S.part_census(_t(spark, folder, "validation_documents"), "source_record_id", F.floor(F.col("source_record_id") / 10_000_000), 10_000_000)
+
+
+@query("SELECT p.part_number, coalesce(rows, 0) AS rows, coalesce(records, 0) AS records FROM (SELECT range AS part_number FROM range(160)) p LEFT JOIN (SELECT part_number::BIGINT AS k, count(*) AS rows, count(DISTINCT source_record_id) AS records FROM validation_documents GROUP BY 1) a ON a.k = p.part_number")
+def part_rollup_zero_filled(spark, folder):
+    return A.parts_with_zeros(_t(spark, folder, "validation_documents"), "part_number", 160, F.count("*").alias("rows"), F.count_distinct("source_record_id").alias("records"))
+
+
+# ---- sentences
+def _sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return G.segment(_t(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def segment_sentences(spark, folder):
+    return _sentences(spark, folder)
+
+
+@query()
+def segment_inventory(spark, folder):
+    return G.inventory(_sentences(spark, folder))
+
+
+@query("SELECT unnest(['index_sequence', 'offset_range', 'overlap', 'reconstruction', 'character_count', 'parent_hash', 'duplicate_id', 'uncovered_text']) AS problem, 0::BIGINT AS failing")
+def segment_verify(spark, folder):
+    return G.verify(_sentences(spark, folder), _t(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def inventory_diff(spark, folder):
+    """Of the texts and of their one-apostrophe form."""
+    docs = _t(spark, folder, "documents")
+    return G.inventory_diff(_sentences(spark, folder), G.segment(docs.withColumn("text", T.one_apostrophe(F.col("text"))), "doc_id", "text"))
+
+
+@query()
+def sentence_context(spark, folder):
+    rows = R.neighbours(_sentences(spark, folder).select("source_record_id", "sentence_index_in_record", "sentence_id", "sentence_text"), "source_record_id", "sentence_index_in_record", "sentence_text")
+    return rows.select("sentence_id", T.compact(F.col("previous_text"), 120).alias("previous"), T.compact(F.col("sentence_text"), 240).alias("sentence"), T.compact(F.col("next_text"), 120).alias("next"))
+
+
+@query("SELECT d.doc_id, d.source, d.n_chars, a.n_chars AS previous_text, b.n_chars AS next_text FROM documents d LEFT JOIN documents a ON a.source = d.source AND a.doc_id = d.doc_id - 1 LEFT JOIN documents b ON b.source = d.source AND b.doc_id = d.doc_id + 1")
+def neighbour_context(spark, folder):
+    return R.neighbours(_t(spark, folder, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
+
+
+@query()
+def boundary_events(spark, folder):
+    return B.events(_sentences(spark, folder), _t(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def lowercase_families(spark, folder):
+    return B.family_counts(B.lowercase_families(_sentences(spark, folder)))
+
+
+@query()
+def lowercase_token_pairs(spark, folder):
+    return B.token_pairs(B.lowercase_families(_sentences(spark, folder)))
+
+
+@query()
+def roman_events(spark, folder):
+    return B.roman_events(_t(spark, folder, "documents"), "doc_id", "text")
+
+
+# ---- samples
+_ALLOC = """WITH s AS (SELECT coalesce(part_number, -1) AS part, count(*) AS size FROM validation_documents GROUP BY 1), b AS (SELECT *, sum(size) OVER () AS a, (size * 400) // sum(size) OVER () AS base, (size * 400) % sum(size) OVER () AS rest FROM s)"""
+
+
+@query(f"{_ALLOC} SELECT part, size, (base + CASE WHEN row_number() OVER (ORDER BY rest DESC, part) <= 400 - sum(base) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota, round(size * 400 / a, 6) AS exact FROM b")
+def largest_remainder_allocation(spark, folder):
+    return W.allocate(_parts(spark, folder), "part", "size", 400)
+
+
+def _parts(spark, folder):
+    return _t(spark, folder, "validation_documents").groupBy(F.coalesce("part_number", F.lit(-1)).alias("part")).agg(F.count("*").alias("size"))
+
+
+_FLOORED = f"""{_ALLOC}, q AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, part) <= 400 - sum(base) OVER () THEN 1 ELSE 0 END AS q0 FROM b), f AS (SELECT *, greatest(1, q0) AS fl FROM q),
+    o AS (SELECT *, sum(fl) OVER () - 400 AS over FROM f)
+    SELECT part, size, (fl - CASE WHEN row_number() OVER (ORDER BY (fl > 1)::INT DESC, rest, part) <= over AND fl > 1 THEN 1 ELSE 0 END)::BIGINT AS quota, round(size * 400 / a, 6) AS exact FROM o"""
+
+
+@query(_FLOORED)
+def allocation_with_floor(spark, folder):
+    return W.allocate(_parts(spark, folder), "part", "size", 400, least=1)
+
+
+@query(f"""WITH al AS ({_FLOORED}), r AS (SELECT v.document_sample_id, coalesce(v.part_number, -1) AS part, row_number() OVER (PARTITION BY coalesce(v.part_number, -1) ORDER BY sha256('42|' || coalesce(v.part_number, -1) || '|' || document_sample_id), document_sample_id)::INT AS n FROM (SELECT DISTINCT ON (document_sample_id) * FROM validation_documents ORDER BY document_sample_id, part_number) v)
+    SELECT document_sample_id, r.part, n AS part_sample_number, round(quota / size, 8) AS inclusion_probability, round(size / quota, 6) AS sampling_weight FROM r JOIN al ON al.part = r.part WHERE n <= quota""")
+def stratified_sample_weights(spark, folder):
+    rows = R.keep_first(_t(spark, folder, "validation_documents").select("document_sample_id", "part_number").withColumn("nulls", F.col("part_number").isNull()), ["document_sample_id"], ["nulls", "part_number"]).withColumn("part", F.coalesce("part_number", F.lit(-1)))
+    drawn = W.draw(rows, "document_sample_id", "part", W.allocate(_parts(spark, folder), "part", "size", 400, least=1), "size")
+    return drawn.select("document_sample_id", "part", "part_sample_number", "inclusion_probability", "sampling_weight")
+
+
+@query("""WITH r AS (SELECT doc_id, source, sha256('42|' || doc_id) AS s, row_number() OVER (PARTITION BY source ORDER BY sha256('42|' || doc_id), doc_id) AS t FROM documents) SELECT doc_id, source FROM r ORDER BY (t > 2)::INT, s, doc_id LIMIT 200""")
+def balanced_sample(spark, folder):
+    return W.balanced(_t(spark, folder, "documents").select("doc_id", "source"), "doc_id", "source", 2, 200)
+
+
+@query("""WITH m AS (SELECT source_record_id, min({'s': sha256('42|' || sample_id), 'i': sample_id}) AS m FROM routing_signal_audit GROUP BY 1) SELECT source_record_id, m.i AS sample_id FROM m ORDER BY m.s, m.i LIMIT 200""")
+def one_per_document(spark, folder):
+    return W.one_per_document(_t(spark, folder, "routing_signal_audit"), "sample_id", "source_record_id", 200)
+
+
+@query()
+def two_phase_sample(spark, folder):
+    rows = R.keep_first(_t(spark, folder, "routing_signal_audit").select("sample_id", "part_number", "human_health_label", "digit_ratio"), ["sample_id"], ["part_number"])
+    return W.two_phase(rows, "sample_id", "part_number", 7, {"FORMAT": (F.col("human_health_label") == "FORMAT_OR_LIST", 1), "DIGITS": (F.col("digit_ratio") > 0.2, 1)}, 10)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS row_number, (row_number() OVER (ORDER BY source, doc_id) - 1) // 100 + 1 AS batch, printf('seedbank-v1-%05d', row_number() OVER (ORDER BY source, doc_id)) AS review_id FROM documents")
+def review_batches(spark, folder):
+    rows = W.batches(W.number_rows(_t(spark, folder, "documents").select("doc_id", "source"), ["source", "doc_id"]), 100, "seedbank-v1")
+    return rows.select("doc_id", "row_number", "batch", "review_id")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS a, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS b FROM documents WHERE n_chars IS NOT NULL)
+    SELECT doc_id, lang, n_chars, CASE WHEN b <= 10 THEN 'HIGH' ELSE 'LOW' END AS tail FROM r WHERE a <= 10 OR b <= 10""")
+def score_tails(spark, folder):
+    return W.score_tails(_t(spark, folder, "documents").where("n_chars IS NOT NULL"), "n_chars", "lang", "doc_id", 10)
+
+
+@query("SELECT document_sample_id, round(sampling_weight * (part_record_count / 1e7), 4) AS weight FROM (SELECT DISTINCT document_sample_id, sampling_weight, part_record_count FROM validation_documents) WHERE isfinite(sampling_weight)")
+def two_stage_weights(spark, folder):
+    rows = _t(spark, folder, "validation_documents").select("document_sample_id", "sampling_weight", "part_record_count").distinct().where("NOT isnan(sampling_weight) AND abs(sampling_weight) < double('Infinity')")
+    return rows.select("document_sample_id", W.two_stage_weight(F.col("sampling_weight"), F.col("part_record_count") / 1e7).alias("weight"))
+
+
+# ---- labels, signals, estimates. Rows delivered twice are one row.
+_R = "(SELECT DISTINCT ON (sample_id) * FROM routing_signal_audit ORDER BY sample_id, reviewed_at)"
+
+
+def _audit(spark, folder, *columns: str) -> DataFrame:
+    rows = _t(spark, folder, "routing_signal_audit").select("sample_id", "reviewed_at", *columns)
+    return R.keep_first(rows, ["sample_id"], ["reviewed_at"])
+
+
+@query(f"SELECT human_health_label, rows, round(rows * 100.0 / sum(rows) OVER (), 6) AS percent FROM (SELECT human_health_label, count(*) AS rows FROM {_R} GROUP BY 1)")
+def label_distribution(spark, folder):
+    return A.label_counts(_audit(spark, folder, "human_health_label"), "human_health_label")
+
+
+@query("SELECT lang, " + ", ".join(f"count_if(human_health_label = '{x}') AS {x}" for x in LABELS) + ", count_if(human_health_label IN (" + ", ".join(f"'{x}'" for x in LABELS) + f")) AS labelled, round(CASE WHEN count_if(human_health_label IN (" + ", ".join(f"'{x}'" for x in LABELS) + f")) > 0 THEN count_if(human_health_label IN ('{HEALTHY}', '{MINOR}')) * 100.0 / count_if(human_health_label IN (" + ", ".join(f"'{x}'" for x in LABELS) + f")) ELSE 0 END, 6) AS usable_percent FROM {_R} GROUP BY 1")
+def label_crosstab(spark, folder):
+    return A.crosstab(_audit(spark, folder, "human_health_label", "lang"), "lang", "human_health_label", LABELS, USABLE)
+
+
+_WILSON = """round(greatest(0, (p + 3.8416 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)), 6) AS low, round(least(1, (p + 3.8416 / (2 * n) + 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)), 6) AS high"""
+
+
+@query(f"SELECT lang, n AS rows, h AS hits, round(p, 6) AS share, {_WILSON} FROM (SELECT lang, n, h, h / n AS p FROM (SELECT lang, count(*) AS n, count_if(coalesce(human_health_label, '') IN ('{HEALTHY}', '{MINOR}')) AS h FROM {_R} GROUP BY 1))")
+def wilson_by_lang(spark, folder):
+    return A.proportions(_audit(spark, folder, "human_health_label", "lang"), "lang", F.coalesce("human_health_label", F.lit("")).isin(USABLE))
+
+
+_STRATA = f"""(SELECT part_number, count(*) * 10 AS pop, count(*) AS s, count_if(coalesce(human_health_label, '') IN ('{HEALTHY}', '{MINOR}')) AS h FROM {_R} WHERE part_number IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH s AS (SELECT *, pop / sum(pop) OVER () AS w, h / s AS p FROM {_STRATA}), o AS (SELECT sum(w * p) AS share, sqrt(greatest(0, sum(w * w * (1 - s / pop) * CASE WHEN s > 1 THEN s / (s - 1) * p * (1 - p) ELSE 0 END / s))) AS e, sum(pop)::BIGINT AS population, sum(s)::BIGINT AS sampled FROM s)
+    SELECT population, sampled, round(share, 6) AS share, round(e, 6) AS standard_error, round(greatest(0, share - 1.96 * e), 6) AS low, round(least(1, share + 1.96 * e), 6) AS high, round(share * population, 0)::BIGINT AS projected FROM o""")
+def stratified_estimate(spark, folder):
+    rows = _audit(spark, folder, "part_number", "human_health_label").where("part_number IS NOT NULL")
+    strata = rows.groupBy("part_number").agg((F.count("*") * 10).alias("pop"), F.count("*").alias("s"), F.count_if(F.coalesce("human_health_label", F.lit("")).isin(USABLE)).alias("h"))
+    return A.stratified_estimate(strata, "pop", "s", "h")
+
+
+@query()
+def signal_features(spark, folder):
+    return _audit(spark, folder, "sentence_text").where("sentence_text IS NOT NULL").select("sample_id", *L.signals(F.col("sentence_text")))
+
+
+@query()
+def signal_summary(spark, folder):
+    rows = _audit(spark, folder, "sentence_text", "human_health_label").select("human_health_label", *L.signals(F.col("sentence_text")))
+    return A.signal_summary(rows, L.SIGNALS, "human_health_label", USABLE, HARMFUL)
+
+
+@query(f"""WITH r AS (SELECT human_health_label AS label, unnest(['digit_ratio', 'uppercase_ratio', 'latin_ratio']) AS "column", unnest([digit_ratio, uppercase_ratio, latin_ratio]) AS v FROM {_R})
+    SELECT label, "column", count(v) FILTER (NOT isnan(v)) AS present, round(min(v) FILTER (NOT isnan(v)), 6) AS minimum, round(avg(v) FILTER (NOT isnan(v)), 6) AS mean, round(max(v) FILTER (NOT isnan(v)), 6) AS maximum FROM r GROUP BY 1, 2""")
+def numeric_by_label(spark, folder):
+    return A.numeric_summary(_audit(spark, folder, "human_health_label", "digit_ratio", "uppercase_ratio", "latin_ratio"), ["digit_ratio", "uppercase_ratio", "latin_ratio"], "human_health_label")
+
+
+def _routes(spark, folder):
+    label = F.coalesce("human_health_label", F.lit(""))
+    return _audit(spark, folder, "human_health_label", "digit_ratio", "latin_ratio", "cyrillic_ratio").select(
+        "sample_id", F.when(label.isin(USABLE), "USABLE").when(label.isin(HARMFUL), "HARMFUL").otherwise("UNKNOWN").alias("truth"),
+        F.when(F.coalesce("digit_ratio", F.lit(0.0)) > 0.2, "HARMFUL").when((F.coalesce("latin_ratio", F.lit(0.0)) > 0.1) & (F.coalesce("cyrillic_ratio", F.lit(0.0)) > 0.1), "HARMFUL").otherwise("USABLE").alias("predicted"),
+    )
+
+
+_ROUTES = f"""(SELECT CASE WHEN coalesce(human_health_label, '') IN ('{HEALTHY}', '{MINOR}') THEN 'USABLE' WHEN coalesce(human_health_label, '') IN ({", ".join(f"'{x}'" for x in HARMFUL)}) THEN 'HARMFUL' ELSE 'UNKNOWN' END AS truth,
+    CASE WHEN coalesce(digit_ratio, 0) > 0.2 THEN 'HARMFUL' WHEN coalesce(latin_ratio, 0) > 0.1 AND coalesce(cyrillic_ratio, 0) > 0.1 THEN 'HARMFUL' ELSE 'USABLE' END AS predicted FROM {_R})"""
+
+
+@query(f"SELECT truth, predicted, count(*) AS rows FROM {_ROUTES} GROUP BY 1, 2")
+def route_confusion(spark, folder):
+    return A.confusion(_routes(spark, folder), "truth", "predicted")
+
+
+@query(f"""WITH r AS (SELECT * FROM {_ROUTES}), l AS (SELECT truth AS label FROM r UNION SELECT predicted FROM r), s AS (SELECT label, (SELECT count(*) FROM r WHERE truth = label AND predicted = label) AS tp, (SELECT count(*) FROM r WHERE predicted = label) AS predicted, (SELECT count(*) FROM r WHERE truth = label) AS actual FROM l),
+    m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p, CASE WHEN actual > 0 THEN tp / actual ELSE 0 END AS r FROM s) SELECT label, tp, predicted, actual, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m""")
+def class_scores(spark, folder):
+    return A.class_scores(_routes(spark, folder), "truth", "predicted")
+
+
+_SWEEP = [0.05, 0.1, 0.2, 0.3, 0.5]
+
+
+@query(f"""WITH r AS (SELECT unnest({_SWEEP}) AS threshold, coalesce(digit_ratio, 0) AS s, coalesce(human_health_label, '') = 'FORMAT_OR_LIST' AS t FROM {_R} WHERE digit_ratio IS NULL OR NOT isnan(digit_ratio)), c AS (SELECT threshold::DOUBLE AS threshold, count_if(s >= threshold AND t) AS tp, count_if(s >= threshold AND NOT t) AS fp, count_if(s < threshold AND t) AS fn, count_if(s < threshold AND NOT t) AS tn FROM r GROUP BY 1)
+    SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(CASE WHEN tp + fp > 0 THEN fp / (tp + fp) ELSE 0 END, 6) AS leakage, round((tp + fp) / (tp + fp + fn + tn), 6) AS coverage FROM c""")
+def threshold_sweep(spark, folder):
+    rows = _audit(spark, folder, "digit_ratio", "human_health_label").where("digit_ratio IS NULL OR NOT isnan(digit_ratio)")
+    return A.threshold_sweep(rows.select(F.coalesce("digit_ratio", F.lit(0.0)).alias("s"), (F.coalesce("human_health_label", F.lit("")) == "FORMAT_OR_LIST").alias("t")), "s", "t", _SWEEP)
+
+
+# ---- rules and lexicon
+@query()
+def strict_reasons(spark, folder):
+    rows = L.select(_audit(spark, folder, "sentence_text"), "sentence_text", (L.STRICT, L.WIDE, L.SHORT))
+
+    def told(profile: str) -> Column:
+        reasons = F.col(f"reasons_{profile}")
+        return F.transform(F.when(F.size(reasons) == 0, F.array(F.lit("SELECTED"))).otherwise(reasons), lambda x: F.struct(F.lit(profile).alias("profile"), x.alias("reason")))
+
+    kinds = F.concat(*map(told, ("strict", "wide", "short")))
+    return rows.select(F.explode(kinds).alias("k")).groupBy("k.profile", "k.reason").agg(F.count("*").alias("rows"))
+
+
+@query()
+def document_rollup(spark, folder):
+    rows = _sentences(spark, folder).select("source_record_id", *L.signals(F.col("sentence_text")), (F.size(L.reasons(F.col("sentence_text"), L.STRICT)) == 0).alias("candidate"))
+    return A.roll_up(rows, "source_record_id", ["signal_starts_lowercase", "signal_no_terminal_punctuation", "signal_case_merge"], "candidate").withColumn("reject_reasons", _joined(F.col("reject_reasons")))
+
+
+_TOK = r"regexp_extract_all(lower(regexp_replace(text, '[`´ʻʼ‘’]', '''', 'g')), '[A-Za-z'']+')"
+
+
+def _tokens(column: str = "text") -> Column:
+    return T.tokens(F.lower(T.one_apostrophe(F.col(column))), "plain")
+
+
+@query(f"SELECT token, occurrences, occurrences >= 2 OR token IN ('va') OR length(token) <= 3 AS confident FROM (SELECT token, count(*) AS occurrences FROM (SELECT unnest({_TOK}) AS token FROM documents) GROUP BY 1)")
+def lexicon_tokens(spark, folder):
+    return A.lexicon(_t(spark, folder, "documents"), _tokens(), ["va"])
+
+
+def _lexicon(spark, folder):
+    return A.lexicon(_t(spark, folder, "documents"), _tokens(), [])
+
+
+_LEX = f"(SELECT token, count(*) AS n FROM (SELECT unnest({_TOK}) AS token FROM documents) GROUP BY 1)"
+
+
+@query(f"SELECT a.token, b.token AS known FROM {_LEX} a JOIN {_LEX} b ON b.n >= 200 AND a.n = 1 AND abs(length(a.token) - length(b.token)) <= 1 AND a.token != b.token AND levenshtein(a.token, b.token) <= 1")
+def near_miss_tokens(spark, folder):
+    lexicon = _lexicon(spark, folder)
+    return L.near_misses(lexicon.where("occurrences = 1"), lexicon.where("occurrences >= 200"))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT unnest([substr('^' || token || '$', i, 3) for i in range(1, length(token) + 1)]) AS g FROM {_LEX} WHERE n >= 50), t AS (SELECT token, unnest([substr('^' || token || '$', i, 3) for i in range(1, length(token) + 1)]) AS g FROM {_LEX} WHERE n = 1)
+    SELECT token, round(count(k.g) / count(*), 6) AS coverage FROM t LEFT JOIN k ON t.g = k.g GROUP BY 1""")
+def trigram_coverage(spark, folder):
+    lexicon = _lexicon(spark, folder)
+    return L.trigram_coverage(lexicon.where("occurrences = 1"), lexicon.where("occurrences >= 50"))
+
+
+@query()
+def stripped_roots(spark, folder):
+    lexicon = _lexicon(spark, folder)
+    return L.stripped_roots(lexicon.where("occurrences < 20"), lexicon.where("occurrences >= 20"), ["larning", "larni", "ning", "lar", "dan", "ni", "ga", "da"])
+
+
+_RTOK = _TOK.replace("(text,", "(sentence_text,")
+
+
+@query(f"""WITH p AS (SELECT unnest(list_distinct({_RTOK})) AS token, coalesce(human_health_label IN ({", ".join(f"'{x}'" for x in HARMFUL)}), false) AS hit FROM {_R}) SELECT token, count(*) AS rows, count_if(hit) AS hits, round(count_if(hit) * 100.0 / count(*), 6) AS hit_percent FROM p WHERE length(token) >= 2 GROUP BY 1 HAVING count(*) >= 2""")
+def token_label_frequency(spark, folder):
+    return A.token_labels(_audit(spark, folder, "sentence_text", "human_health_label"), _tokens("sentence_text"), "human_health_label", HARMFUL)
+
+
+@query()
+def token_contrast(spark, folder):
+    rows = _audit(spark, folder, "sentence_text", "human_health_label")
+    label = F.coalesce("human_health_label", F.lit(""))
+    return A.token_contrast(rows, _tokens("sentence_text"), label.isin(HARMFUL), label.isin(USABLE))
+
+
+# ---- typing errors and detector views, over the sentences of the audit
+def _clean(spark, folder):
+    rows = _audit(spark, folder, "sentence_text", "human_health_label")
+    return rows.where(F.col("human_health_label") == HEALTHY).where(F.size(L.reasons(F.col("sentence_text"), L.STRICT)) == 0).select(F.col("sample_id").alias("sentence_id"), F.col("sentence_text").alias("target"))
+
+
+def _typos(spark, folder):
+    return Y.typo_rows(_clean(spark, folder), "sentence_id", "target")
+
+
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{_SOLID}+')) AS tokens, coalesce(list_sum([length(x) for x in regexp_extract_all(text, '{_SOLID}+')]), 0)::BIGINT AS token_chars, true AS offsets_fit FROM documents WHERE text IS NOT NULL""")
+def token_spans(spark, folder):
+    rows = _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text", Y.token_spans(F.col("text")).alias("s"))
+    fits = F.forall("s", lambda x: F.substring(F.col("text"), x["start"] + 1, x["stop"] - x["start"]) == x["surface"])
+    return rows.select("doc_id", F.size("s").cast("bigint").alias("tokens"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"]).alias("token_chars"), fits.alias("offsets_fit"))
+
+
+@query()
+def typo_rows(spark, folder):
+    return _typos(spark, folder)
+
+
+@query()
+def typo_core(spark, folder):
+    return Y.core_rows(_typos(spark, folder)).groupBy("typo_family", "typo_rule").agg(F.count("*").alias("rows"))
+
+
+@query()
+def typo_lost_places(spark, folder):
+    return Y.lost_places(_typos(spark, folder))
+
+
+@query()
+def typo_coverage(spark, folder):
+    return Y.coverage(_clean(spark, folder), _typos(spark, folder), "sentence_id", "target")
+
+
+@query("""WITH r AS (SELECT g, row_number() OVER (ORDER BY sha256('42|' || g), g) AS n, count(*) OVER () AS a FROM (SELECT DISTINCT source_record_id::VARCHAR AS g FROM routing_signal_audit WHERE source_record_id IS NOT NULL))
+    SELECT g AS group_id, CASE WHEN n <= floor(a * 0.8) THEN 'train' WHEN n <= floor(a * 0.8) + floor(a * 0.1) THEN 'dev' ELSE 'test' END AS split FROM r""")
+def detector_split(spark, folder):
+    return Y.split_groups(_t(spark, folder, "routing_signal_audit").select(F.col("source_record_id").cast("string").alias("g")), "g")
+
+
+@query()
+def detector_view(spark, folder):
+    clean = _clean(spark, folder)
+    return Y.detector_view(_typos(spark, folder), clean, Y.split_groups(clean, "sentence_id"))
+
+
+@query()
+def detector_tokens(spark, folder):
+    return Y.token_view(detector_view(spark, folder)).groupBy("split", "label").agg(F.count("*").alias("tokens"))
+
+
+# ---- joins and sets
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM eval_items e WHERE e.text = d.text)")
+def anti_join_reviewed(spark, folder):
+    return R.anti(_t(spark, folder, "documents").select("doc_id", "source", "text"), _t(spark, folder, "eval_items"), ["text"]).select("doc_id", "source")
+
+
+@query("SELECT DISTINCT sample_id, source_record_id FROM routing_signal_audit r WHERE EXISTS (SELECT 1 FROM validation_documents v WHERE v.source_record_id = r.source_record_id)")
+def semi_join_sampled(spark, folder):
+    return S.rows_at(_t(spark, folder, "routing_signal_audit").select("sample_id", "source_record_id").distinct(), _t(spark, folder, "validation_documents"), "source_record_id")
+
+
+@query("SELECT coalesce(d.doc_id, s.text_id) AS position, d.n_chars AS left_value, s.character_count AS right_value FROM documents d FULL JOIN (SELECT text_id, max(character_count) AS character_count FROM seen_texts GROUP BY 1) s ON d.doc_id = s.text_id")
+def positional_full_outer(spark, folder):
+    left = _t(spark, folder, "documents").select(F.col("doc_id").alias("position"), F.col("n_chars").alias("left_value"))
+    right = _t(spark, folder, "seen_texts").groupBy(F.col("text_id").alias("position")).agg(F.max("character_count").alias("right_value"))
+    return R.by_position(left, right, "position")
+
+
+@query("SELECT s.text_id, coalesce(n, 0) AS copies FROM (SELECT DISTINCT text_id FROM seen_texts) s LEFT JOIN (SELECT text_id, count(*) AS n FROM (SELECT DISTINCT * FROM duplicate_occurrences) GROUP BY 1) d ON s.text_id = d.text_id")
+def counted_join(spark, folder):
+    return R.with_counts(_t(spark, folder, "seen_texts").select("text_id").distinct(), _t(spark, folder, "duplicate_occurrences").distinct(), ["text_id"], "copies")
+
+
+@query(f"SELECT v.document_sample_id, coalesce(l.label, '') AS human_health_label FROM (SELECT DISTINCT document_sample_id, source_record_id FROM validation_documents) v LEFT JOIN (SELECT source_record_id, max(human_health_label) AS label FROM {_R} GROUP BY 1) l ON l.source_record_id = v.source_record_id")
+def label_attach(spark, folder):
+    labels = _audit(spark, folder, "source_record_id", "human_health_label").groupBy("source_record_id").agg(F.max("human_health_label").alias("human_health_label"))
+    rows = _t(spark, folder, "validation_documents").select("document_sample_id", "source_record_id").distinct()
+    return R.attach_labels(rows, labels, ["source_record_id"], "human_health_label").select("document_sample_id", "human_health_label")
+
+
+@query("SELECT coalesce(a.k, b.k) AS source_record_id, CASE WHEN a.k IS NULL THEN 'RIGHT' WHEN b.k IS NULL THEN 'LEFT' ELSE 'BOTH' END AS side FROM (SELECT DISTINCT source_record_id AS k FROM routing_signal_audit) a FULL JOIN (SELECT DISTINCT source_record_id AS k FROM validation_documents) b ON a.k = b.k")
+def set_compare(spark, folder):
+    return R.set_compare(_t(spark, folder, "routing_signal_audit"), _t(spark, folder, "validation_documents"), "source_record_id")
+
+
+@query("SELECT sample_id, count(*) AS rows FROM routing_signal_audit GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark, folder):
+    return R.repeated_keys(_t(spark, folder, "routing_signal_audit"), "sample_id")
+
+
+@query("SELECT text_id, max(occurrence_count) AS occurrence_count FROM seen_texts WHERE occurrence_count IS NOT NULL GROUP BY 1")
+def keep_last(spark, folder):
+    return R.keep_last(_t(spark, folder, "seen_texts").where("occurrence_count IS NOT NULL").select("text_id", "occurrence_count"), ["text_id"], ["occurrence_count"])
+
+
+@query("SELECT doc_id AS id, n_chars, NULL::INT AS character_count FROM documents UNION ALL SELECT text_id, NULL, character_count FROM seen_texts")
+def union_unequal(spark, folder):
+    return R.union_all(_t(spark, folder, "documents").select(F.col("doc_id").alias("id"), "n_chars"), _t(spark, folder, "seen_texts").select(F.col("text_id").alias("id"), "character_count"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AS has_text, n_chars FROM documents")
+def one_to_one_join(spark, folder):
+    docs = _t(spark, folder, "documents")
+    return R.one_to_one(docs.select("doc_id", F.col("text").isNotNull().alias("has_text")), docs.select("doc_id", "n_chars"), "doc_id")
+
+
+@query()
+def span_containment(spark, folder):
+    """Gap matches with the sentence of their document that holds them."""
+    gaps = _t(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("source_record_id"), F.explode(T.gap_spans(F.col("text"), _RULES)).alias("s")).select("source_record_id", F.col("s.start").alias("at"), "s.rule")
+    return R.containing(gaps, _sentences(spark, folder).select("source_record_id", "sentence_id", "sentence_start_char", "sentence_end_char"), "source_record_id", "at", "sentence_start_char", "sentence_end_char").select("sentence_id", "at", "rule")
+
+
+# ---- sources, sinks, models, streams
+def _own_folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/chashma/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id // 1000 AS part_number, count(*) AS rows, count(text) AS texts FROM documents GROUP BY 1")
+def shard_round_trip(spark, folder):
+    path = _own_folder(spark, "shards")
+    S.write_shards(_t(spark, folder, "documents").select("doc_id", "text"), path, "doc_id", 1000)
+    return S.read_shards(spark, path, "doc_id bigint, text string, part_number int").groupBy(F.col("part_number").cast("bigint").alias("part_number")).agg(F.count("*").alias("rows"), F.count("text").alias("texts"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT item_id) AS ids, sum(length(text))::BIGINT AS chars FROM eval_items")
+def csv_round_trip(spark, folder):
+    path = _own_folder(spark, "csv")
+    S.write_csv(_t(spark, folder, "eval_items"), path, ["item_id", "split", "task", "text", "note"])
+    return S.read_csv(spark, path).agg(F.count("*").alias("rows"), F.count_distinct("item_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT CASE WHEN text IS NULL THEN 'NON_STRING_TEXT' ELSE 'TEXT' END AS record_type, count(*) AS rows, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM eval_items GROUP BY 1")
+def json_array_round_trip(spark, folder):
+    """The evaluation items as one JSON array and back."""
+    path = _own_folder(spark, "array")
+    items = _t(spark, folder, "eval_items").select(F.to_json(F.struct("item_id", "text")).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))  # a fixed table of a few hundred rows
+    items.write.text(path)
+    return S.classify_items(S.read_json_array(spark, path)).groupBy("record_type").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
+@query()
+def file_fingerprints(spark, folder):
+    return S.fingerprints(spark, f"{folder}/common_words.parquet").drop("path", "modified_at")
+
+
+@query()
+def quality_model_folds(spark, folder):
+    """Out-of-fold measures of a logistic model of usable labels on the delivered statistics."""
+    numeric = ["digit_ratio", "uppercase_ratio", "latin_ratio", "cyrillic_ratio"]
+    rows = _audit(spark, folder, "human_health_label", *numeric).where(F.col("human_health_label").isin([*USABLE, *HARMFUL])).withColumn("y", F.col("human_health_label").isin(USABLE).cast("double"))
+    scored = M.out_of_fold(rows, "sample_id", "y", M.numeric_pipeline("logistic", numeric, "y"), 3)
+    return A.threshold_sweep(scored.withColumn("truth", F.col("y") == 1.0), "probability", "truth", [0.3, 0.5, 0.7])
+
+
+@query(f"SELECT {_STATUS} AS normalization_status, count(*) AS records FROM {_NORMAL} GROUP BY 1")
+def streamed_normalization(spark, folder):
+    docs = _t(spark, folder, "documents")
+    # a file stream reads folders; the table may be one file, so its folder is filtered by name
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet" if _is_file(spark, f"{folder}/documents.parquet") else "*.parquet").parquet(folder if _is_file(spark, f"{folder}/documents.parquet") else f"{folder}/documents.parquet")
+    counts = audit.normalized(stream, "doc_id", "text").groupBy("normalization_status").agg(F.count("*").alias("records"))
+    return audit.run_to_end(counts, _view_name(), _own_folder(spark, "stream"), "complete")
+
+
+@query()
+def streamed_windows(spark, folder):
+    docs = _t(spark, folder, "documents")
+    one = _is_file(spark, f"{folder}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet" if one else "*.parquet").parquet(folder if one else f"{folder}/documents.parquet")
+    return audit.run_to_end(audit.status_windows(stream, "crawled_at", "text"), _view_name(), _own_folder(spark, "stream"))
+
+
+def _view_name() -> str:
+    import uuid
+
+    return f"chashma_{uuid.uuid4().hex}"
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
