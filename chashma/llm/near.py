@@ -83,9 +83,12 @@ def _fingerprints(least_words: int):
                     h = flat * a[k] + b[k]
                     slots[lo : lo + 256, k] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)
             low = slots & np.uint64(0xFFFFFFFF)
+            # rows of different tables share no block
+            names = batch.column("table_name").to_pylist()
+            own = np.array([digest(names[i] or "") for i in at], np.uint64)
             blocks = np.zeros((len(at), BLOCKS), np.uint64)
             for k in range(BLOCKS):
-                h = np.full(len(at), k + 1, np.uint64)
+                h = own + np.uint64(k + 1)
                 for j in range(WIDTH):
                     h = (h ^ low[:, k * WIDTH + j]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
@@ -118,15 +121,18 @@ def fingerprints(rows: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataF
 
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(table_name, id_a, id_b, shared, distinct): pairs of classes whose shared words are at least `threshold` of all their words."""
-    entries = classes.select("table_name", "id", F.explode("blocks").alias("block"))
-    a, b = (entries.select("table_name", F.col("id").alias(f"id_{x}"), "block") for x in "ab")
-    candidates = a.join(b, ["table_name", "block"]).where("id_a < id_b").select("id_a", "id_b").distinct()
-    side = lambda x: classes.select(*(["table_name"] if x == "a" else []), F.col("id").alias(f"id_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("words").alias(f"words_{x}"))
+    entries = classes.select("id", F.explode("blocks").alias("block"))
+    a, b = (entries.select(F.col("id").alias(f"id_{x}"), "block") for x in "ab")
+    candidates = a.join(b, "block").where("id_a < id_b").select("id_a", "id_b").distinct()
     most = SLOTS * (1 - threshold) / 2
     most += 5 * (SLOTS * (1 - threshold) / 2 * (1 - (1 - threshold) / 2)) ** 0.5
-    apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(1, LONGS)), F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
-    near = candidates.join(side("a"), "id_a").join(side("b"), "id_b").where(apart <= most)
-    counted = near.withColumn("shared", F.size(F.array_intersect("words_a", "words_b"))).withColumn("distinct", F.size("words_a") + F.size("words_b") - F.col("shared"))
+    # most pairs end here, so words move for the others only
+    bits = lambda x: classes.select(F.col("id").alias(f"id_{x}"), *(F.col("bits")[k].alias(f"bits_{x}{k}") for k in range(LONGS)))
+    apart = sum((F.bit_count(F.col(f"bits_a{k}").bitwiseXOR(F.col(f"bits_b{k}"))) for k in range(1, LONGS)), F.bit_count(F.col("bits_a0").bitwiseXOR(F.col("bits_b0"))))
+    near = staged(candidates.join(bits("a"), "id_a").join(bits("b"), "id_b").where(apart <= most).select("id_a", "id_b"), "near")
+    words = lambda x: classes.select(*(["table_name"] if x == "a" else []), F.col("id").alias(f"id_{x}"), F.col("words").alias(f"words_{x}"))
+    counted = near.join(words("a"), "id_a").join(words("b"), "id_b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
+    counted = counted.withColumn("distinct", F.size("words_a") + F.size("words_b") - F.col("shared"))
     return counted.where(F.col("shared") >= F.lit(threshold) * F.col("distinct")).select("table_name", "id_a", "id_b", "shared", "distinct")
 
 
