@@ -49,8 +49,10 @@ def allocate(strata: DataFrame, name: str, size: str, total: int, least: int = 0
     rows = rows.withColumn("quota", c("base") + F.when(c("place") <= c("left"), 1).otherwise(0))
     if least:
         rows = rows.withColumn("floored", F.greatest(F.lit(least), "quota")).withColumn("over", F.sum("floored").over(every) - F.lit(total))
-        giving = every.orderBy((c("floored") > least).cast("int").desc(), F.asc("rest"), F.asc(name))
-        rows = rows.withColumn("quota", c("floored") - F.when((F.row_number().over(giving) <= c("over")) & (c("floored") > least), 1).otherwise(0))
+        # units above the floor are given back in rounds, smallest remainders first; there are no more units than the sample has rows
+        units = rows.where(c("floored") > least).select(name, "rest", "over", F.explode(F.sequence(F.lit(1), (c("floored") - least).cast("int"))).alias("round"))
+        back = units.withColumn("turn", F.row_number().over(every.orderBy("round", "rest", name))).where("turn <= over").groupBy(name).agg(F.count("*").alias("back"))
+        rows = rows.join(back, name, "left").withColumn("quota", c("floored") - F.coalesce("back", F.lit(0)))
     return rows.select(name, size, F.col("quota").cast("bigint").alias("quota"), F.round(c(size) * total / c("all"), 6).alias("exact"))
 
 

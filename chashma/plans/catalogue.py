@@ -437,8 +437,9 @@ def _parts(spark, folder):
 
 
 _FLOORED = f"""{_ALLOC}, q AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, part) <= 400 - sum(base) OVER () THEN 1 ELSE 0 END AS q0 FROM b), f AS (SELECT *, greatest(1, q0) AS fl FROM q),
-    o AS (SELECT *, sum(fl) OVER () - 400 AS over FROM f)
-    SELECT part, size, (fl - CASE WHEN row_number() OVER (ORDER BY (fl > 1)::INT DESC, rest, part) <= over AND fl > 1 THEN 1 ELSE 0 END)::BIGINT AS quota, round(size * 400 / a, 6) AS exact FROM o"""
+    o AS (SELECT *, sum(fl) OVER () - 400 AS over FROM f),
+    u AS (SELECT part, rest, over, unnest(range(1, fl::BIGINT)) AS round FROM o WHERE fl > 1), k AS (SELECT part, count(*) AS back FROM (SELECT part, over, row_number() OVER (ORDER BY round, rest, part) AS turn FROM u) WHERE turn <= over GROUP BY 1)
+    SELECT o.part, size, (fl - coalesce(back, 0))::BIGINT AS quota, round(size * 400 / a, 6) AS exact FROM o LEFT JOIN k ON k.part = o.part"""
 
 
 @query(_FLOORED)
