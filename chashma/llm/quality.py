@@ -5,7 +5,8 @@ counts are taken together with the state at both ends: the unfinished first and
 the first and last token and the prints of the first and last word. `merge` joins two neighbouring
 partials, is associative and corrects what the cut hid (a line, a pair of tokens, a repeated word), so that
 partials of one document merge in a tree: each level is an aggregation over at most `FAN` neighbours. A
-text within one chunk, as nearly all are, is settled where it is read and never shuffled.
+text within one chunk, as nearly all are, is settled where it is read and never shuffled. A token longer
+than 256 characters may be cut; it counts once, but its class and letters are those of its pieces.
 
 How likely letters follow each other is learnt from a bounded sample of the corpus (`SAMPLE_TEXTS` rows);
 it tells random letters from words.
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, FAN, SAMPLE_TEXTS = 1 << 20, 32, 4000
+#: From fewer letter pairs nothing is learnt, and the rule on unlikely letters rests.
+LEAST_PAIRS = 5000
 
 #: Additive counts of a chunk, in this order.
 COUNTS = (
@@ -94,13 +97,14 @@ class Letters:
         first: Counter = Counter()
         for p, n in pairs.items():
             first[p[0]] += n
-        return cls({p: log(n / first[p[0]]) for p, n in pairs.items() if n > 2}, frozenset(w.lower() for w in common if w))
+        known = {p: log(n / first[p[0]]) for p, n in pairs.items() if n > 2} if sum(pairs.values()) >= LEAST_PAIRS else {}
+        return cls(known, frozenset(w.lower() for w in common if w))
 
     def bits(self, word: str) -> tuple[int, float]:
         got = self.known.get(word)
         if got is None:
-            letters = "".join(c for c in word if c.isalpha())
             table = self.table
+            letters = "".join(c for c in word if c.isalpha()) if table else ""
             got = (len(letters) + 1, sum(table.get(a + b, self.FLOOR) for a, b in zip(" " + letters, letters + " "))) if letters else (0, 0.0)
             if len(self.known) > 300_000:
                 self.known.clear()
@@ -109,7 +113,10 @@ class Letters:
 
 
 def partial(text: str, letters: Letters) -> list:
-    """[counts, first line, last line, newline seen, first token, last token, first word, last word] of a chunk."""
+    """[counts, first line, last line, newline seen, first token, last token, first word, last word, open ends] of a chunk.
+
+    Open ends are bits: whether a token (1, 2) or a word (4, 8) touches the start or the end.
+    """
     n = [0.0] * len(COUNTS)
     n[_AT["chars"]] = len(text)
     low = text.lower()
@@ -162,7 +169,10 @@ def partial(text: str, letters: Letters) -> list:
     lines = [_line(x) for x in text.split("\n")]
     for x in lines[1:-1]:
         _count_line(n, x)
-    return [n, lines[0], lines[-1], len(lines) > 1, first, last, first_word, last_word]
+    ends = 0
+    if text:
+        ends = (not text[0].isspace()) + 2 * (not text[-1].isspace()) + 4 * bool(_WORD.match(text[0])) + 8 * bool(_WORD.match(text[-1]))
+    return [n, lines[0], lines[-1], len(lines) > 1, first, last, first_word, last_word, ends]
 
 
 def _line(text: str) -> list:
@@ -196,7 +206,12 @@ def _count_pair(n: list, a: int, b: int) -> None:
 def merge(a: list, b: list) -> list:
     """The partial of two neighbouring stretches of text; associative."""
     n = [x + y for x, y in zip(a[0], b[0])]
-    if a[5] >= 0 and b[4] >= 0:
+    ends = a[8] & 5 | b[8] & 10
+    if a[8] & 2 and b[8] & 1:
+        # a token that the cut went through was counted on both sides; so was a word, if it went through one
+        n[_AT["tokens"]] -= 1
+        n[_AT["words"]] -= bool(a[8] & 8 and b[8] & 4)
+    elif a[5] >= 0 and b[4] >= 0:
         _count_pair(n, a[5], b[4])
     if a[7] and a[7] == b[6]:
         n[_AT["repeated_words"]] += 1
@@ -207,7 +222,7 @@ def merge(a: list, b: list) -> list:
     if a[3] and b[3]:
         _count_line(n, joined)
     pick = lambda x, y, none: x if x != none else y
-    return [n, first, last, a[3] or b[3], pick(a[4], b[4], -1), pick(b[5], a[5], -1), pick(a[6], b[6], 0), pick(b[7], a[7], 0)]
+    return [n, first, last, a[3] or b[3], pick(a[4], b[4], -1), pick(b[5], a[5], -1), pick(a[6], b[6], 0), pick(b[7], a[7], 0), ends]
 
 
 def finish(state: list) -> dict[str, float]:
@@ -274,14 +289,14 @@ def chunks(text: str, size: int) -> list[str]:
     return out
 
 
-_STATE = "key string, chunk int, of int, counts array<double>, head array<int>, tail array<int>, broken boolean, tokens array<int>, prints array<bigint>"
+_STATE = "key string, chunk int, of int, counts array<double>, head array<int>, tail array<int>, broken boolean, tokens array<int>, prints array<bigint>, ends int"
 _STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
-_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32()]
 
 
 def _rows(states: list[tuple]) -> pa.RecordBatch:
-    flat = [(k, i, of, s[0], s[1], s[2], s[3], [s[4], s[5]], [s[6], s[7]]) for k, i, of, s in states]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], _KINDS[j]) for j in range(9)], _STATE_NAMES)
+    flat = [(k, i, of, s[0], s[1], s[2], s[3], [s[4], s[5]], [s[6], s[7]], s[8]) for k, i, of, s in states]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], _KINDS[j]) for j in range(10)], _STATE_NAMES)
 
 
 def _partials(held, size: int):
@@ -301,7 +316,7 @@ def _merge_group(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     state = None
     for r in rows:
-        one = [r["counts"], r["head"], r["tail"], r["broken"], *r["tokens"], *r["prints"]]
+        one = [r["counts"], r["head"], r["tail"], r["broken"], *r["tokens"], *r["prints"], r["ends"]]
         state = one if state is None else merge(state, one)
     return pa.Table.from_batches([_rows([(rows[0]["key"], rows[0]["chunk"] // FAN, -(-rows[0]["of"] // FAN), state)])])
 
