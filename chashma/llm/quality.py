@@ -68,7 +68,7 @@ def token_class(token: str) -> int:
     return COLON if token[-1] == ":" else OTHER
 
 
-def _print(word: str) -> int:
+def text_print(word: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(word) >> 1
@@ -139,7 +139,7 @@ def partial(text: str, letters: Letters) -> list:
     words = _WORD.findall(low)
     first_word = last_word = 0
     for w in words:
-        p = _print(w)
+        p = text_print(w)
         if p == last_word:
             n[_AT["repeated_words"]] += 1
         first_word, last_word = first_word or p, p
@@ -289,14 +289,14 @@ def chunks(text: str, size: int) -> list[str]:
     return out
 
 
-_STATE = "key string, chunk int, of int, counts array<double>, head array<int>, tail array<int>, broken boolean, tokens array<int>, prints array<bigint>, ends int"
+_STATE = "key string, print bigint, chunk int, of int, counts array<double>, head array<int>, tail array<int>, broken boolean, tokens array<int>, prints array<bigint>, ends int"
 _STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
-_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32()]
+_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32()]
 
 
 def _rows(states: list[tuple]) -> pa.RecordBatch:
-    flat = [(k, i, of, s[0], s[1], s[2], s[3], [s[4], s[5]], [s[6], s[7]], s[8]) for k, i, of, s in states]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], _KINDS[j]) for j in range(10)], _STATE_NAMES)
+    flat = [(k, p, i, of, s[0], s[1], s[2], s[3], [s[4], s[5]], [s[6], s[7]], s[8]) for k, p, i, of, s in states]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], _KINDS[j]) for j in range(11)], _STATE_NAMES)
 
 
 def _partials(held, size: int):
@@ -306,19 +306,21 @@ def _partials(held, size: int):
             states = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = chunks(marks_as_letters(text), size)
-                states += [(key, i, len(parts), partial(p, letters)) for i, p in enumerate(parts)]
+                mark = text_print(text)
+                states += [(key, mark, i, len(parts), partial(p, letters)) for i, p in enumerate(parts)]
             yield _rows(states)
 
     return run
 
 
 def _merge_group(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    # a row delivered twice gives its chunks twice
+    rows = sorted({r["chunk"]: r for r in table.to_pylist()}.values(), key=lambda r: r["chunk"])
     state = None
     for r in rows:
         one = [r["counts"], r["head"], r["tail"], r["broken"], *r["tokens"], *r["prints"], r["ends"]]
         state = one if state is None else merge(state, one)
-    return pa.Table.from_batches([_rows([(rows[0]["key"], rows[0]["chunk"] // FAN, -(-rows[0]["of"] // FAN), state)])])
+    return pa.Table.from_batches([_rows([(rows[0]["key"], rows[0]["print"], rows[0]["chunk"] // FAN, -(-rows[0]["of"] // FAN), state)])])
 
 
 def sample(df: DataFrame, columns: list[Column], key: Column, rows: int) -> list:
@@ -334,21 +336,27 @@ def learn(df: DataFrame, key_col: str, text_col: str, common: list[str], sample_
     return Letters.learn([r[0] for r in rows], common)
 
 
+KIND_NAMES = ("prose", "list", "table", "junk")
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, kinds, columns = batch.column("key"), [], []
+        kinds, columns = [], []
         for r in batch.select(["counts", "head", "tail", "broken"]).to_pylist():
             c = finish([r["counts"], r["head"], r["tail"], r["broken"]])
-            kinds.append(kind(c))
+            kinds.append(KIND_NAMES.index(kind(c)))
             columns.append([c[n] for n in COUNTS])
         m = np.array(columns, dtype=np.float64).reshape(len(kinds), len(COUNTS))
-        yield pa.RecordBatch.from_arrays([keys, pa.array(kinds, pa.string()), *(pa.array(m[:, j]) for j in range(len(COUNTS)))], ["key", "kind", *COUNTS])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("print"), pa.array(kinds, pa.int32()), *(pa.array(m[:, j]) for j in range(len(COUNTS)))], ["key", "print", "code", *COUNTS])
 
 
 def statistics(df: DataFrame, key_col: str, text_col: str, letters: Letters, chunk: int = CHUNK) -> DataFrame:
-    """One row for each key with a text: its kind and its counts. Of rows with one key the smallest text counts."""
+    """One row for each key with a text: its kind and its counts. Of rows with one key that with the smallest print of its text counts.
+
+    Texts are not shuffled: rows delivered twice are counted twice and the results are reduced to one, column by column, so that unused ones are pruned.
+    """
     held = df.sparkSession.sparkContext.broadcast((letters.table, letters.common))
-    rows = df.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(key_col).cast("string").alias("key")).agg(F.min(text_col).alias("text"))
+    rows = df.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"))
     states = rows.mapInArrow(_partials(held, chunk), _STATE)
     longest = df.agg(F.max(F.length(text_col))).first()[0] or 0
     parts = -(-longest // max(1, chunk - 256))
@@ -359,11 +367,12 @@ def statistics(df: DataFrame, key_col: str, text_col: str, letters: Letters, chu
         states = staged(states, "partials")
         whole, broken = states.where("of = 1"), states.where("of > 1")
         while parts > 1:
-            broken = broken.groupBy("key", F.floor(F.col("chunk") / FAN).alias("branch")).applyInArrow(_merge_group, _STATE)
+            broken = broken.groupBy("key", "print", F.floor(F.col("chunk") / FAN).alias("branch")).applyInArrow(_merge_group, _STATE)
             parts = -(-parts // FAN)
         states = whole.unionAll(broken)
-    schema = "key string, kind string, " + ", ".join(f"{n} double" for n in COUNTS)
-    return states.mapInArrow(_finish, schema)
+    done = states.mapInArrow(_finish, "key string, print bigint, code int, " + ", ".join(f"{n} double" for n in COUNTS))
+    one = done.groupBy("key").agg(*(F.min_by(n, "print").alias(n) for n in ("code", *COUNTS)))
+    return one.select("key", F.element_at(F.array(*map(F.lit, KIND_NAMES)), F.col("code") + 1).alias("kind"), *COUNTS)
 
 
 def ratios(stats: DataFrame) -> DataFrame:

@@ -135,16 +135,16 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).select(F.col("key").alias("sample_id"), "segment", "start_char", "end_char", "lang", "confidence")
 
 
-def _sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.sentences(table(spark, folder, "routing_signal_audit"), "sample_id", "sentence_text")
+def _sentences(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "routing_signal_audit"), "sample_id", "sentence_text", with_text)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _sentences(spark, folder).where("sentence > 0").select(F.col("key").alias("sample_id"), "start_char")
+    return _sentences(spark, folder, False).where("sentence > 0").select(F.col("key").alias("sample_id"), "start_char")
 
 
 def p6_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return _sentences(spark, folder).withColumnRenamed("key", "sample_id")
+    return _sentences(spark, folder, True).withColumnRenamed("key", "sample_id")
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_sentences, p4_found, p4_statistics, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
