@@ -45,6 +45,8 @@ _TOKEN = regex.compile(r"\S+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'`´‘’ʻʼ]+")
 _FRAMES = regex.compile(r"[─-▟]")
 _SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\p{Z}\s.,:;!?…'\"`´‘’ʻʼ«»“”„()\-–—。，！？：；、।؟،]")
+#: ASCII signs that are symbols or begin tags; most texts have none.
+_SIGNS = regex.compile(r"[#$%&*+/<=>@\\^_{|}~\[\]]")
 _TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>|&#?\w{2,8};")
 _VOWELS = frozenset("aeiouyаеёиоуыэюяўіұүөәӣӯıöüâîûʻ")
 _ENDS = frozenset(".!?…。！？।؟．»\"”")
@@ -81,7 +83,8 @@ class Letters:
 
     def __init__(self, table: dict[str, float], common: frozenset[str]):
         self.table, self.common = table, common
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known: dict[str, tuple] = {}
+        self.classes: dict[str, int] = {}
 
     @classmethod
     def learn(cls, texts: list[str], common: list[str]) -> Letters:
@@ -101,14 +104,35 @@ class Letters:
         return cls(known, frozenset(w.lower() for w in common if w))
 
     def bits(self, word: str) -> tuple[int, float]:
-        got = self.known.get(word)
+        """Letter pairs of a word in lower case, and the sum of their log probabilities."""
+        table = self.table
+        letters = "".join(c for c in word if c.isalpha()) if table else ""
+        return (len(letters) + 1, sum(table.get(a + b, self.FLOOR) for a, b in zip(" " + letters, letters + " "))) if letters else (0, 0.0)
+
+    def word(self, raw: str) -> tuple:
+        """(print, length, common, letter pairs, their bits, letters, capitals, digits, vowels, Latin, Cyrillic); words are few, so they are kept."""
+        got = self.known.get(raw)
         if got is None:
-            table = self.table
-            letters = "".join(c for c in word if c.isalpha()) if table else ""
-            got = (len(letters) + 1, sum(table.get(a + b, self.FLOOR) for a, b in zip(" " + letters, letters + " "))) if letters else (0, 0.0)
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[word] = got
+            low = raw.lower()
+            size, bits = self.bits(low)
+            got = (
+                text_print(low), len(low), low in self.common, size, bits, sum(map(str.isalpha, raw)), sum(map(str.isupper, raw)), sum(map(str.isdigit, raw)),
+                sum(map(_VOWELS.__contains__, low)), sum("a" <= c <= "z" or "ß" <= c <= "ɏ" for c in low), sum("Ѐ" <= c <= "ԯ" for c in low),
+            )
+            if len(raw) < 64:
+                if len(self.known) > 300_000:
+                    self.known.clear()
+                self.known[raw] = got
+        return got
+
+    def token(self, raw: str) -> int:
+        got = self.classes.get(raw)
+        if got is None:
+            got = token_class(raw)
+            if len(raw) < 64:
+                if len(self.classes) > 300_000:
+                    self.classes.clear()
+                self.classes[raw] = got
         return got
 
 
@@ -119,45 +143,43 @@ def partial(text: str, letters: Letters) -> list:
     """
     n = [0.0] * len(COUNTS)
     n[_AT["chars"]] = len(text)
-    low = text.lower()
-    for c in text:
-        if c.isalpha():
-            n[1] += 1
-            if c.isupper():
-                n[2] += 1
-        elif c.isdigit():
-            n[3] += 1
-        elif c.isspace():
-            n[4] += 1
-    n[_AT["symbols"]] = len(_SYMBOL.findall(text))
-    n[_AT["frames"]] = len(_FRAMES.findall(text))
+    tokens = _TOKEN.findall(text)
+    words = _WORD.findall(text)
+    n[_AT["blanks"]] = len(text) - sum(map(len, tokens))
+    if not text.isascii() or _SIGNS.search(text):
+        n[_AT["symbols"]] = len(_SYMBOL.findall(text))
+        n[_AT["frames"]] = len(_FRAMES.findall(text))
+        n[_AT["tags"]] = len(_TAG.findall(text))
     n[_AT["tabs"]] = text.count("\t")
     n[_AT["semicolons"]] = text.count(";")
-    n[_AT["vowels"]] = sum(map(_VOWELS.__contains__, low))
-    n[_AT["latin"]] = sum("a" <= c <= "z" or "ß" <= c <= "ɏ" for c in low)
-    n[_AT["cyrillic"]] = sum("Ѐ" <= c <= "ԯ" for c in low)
-    words = _WORD.findall(low)
     first_word = last_word = 0
+    word_chars = common = repeated = pairs = letters_n = capitals = digits = vowels = latin = cyrillic = 0
+    bits = 0.0
     for w in words:
-        p = text_print(w)
-        if p == last_word:
-            n[_AT["repeated_words"]] += 1
-        first_word, last_word = first_word or p, p
-        n[_AT["word_chars"]] += len(w)
-        if w in letters.common:
-            n[_AT["common_words"]] += 1
-        size, bits = letters.bits(w)
-        n[_AT["letter_pairs"]] += size
-        n[_AT["pair_bits"]] += bits
-    n[_AT["words"]] = len(words)
-    n[_AT["tags"]] = len(_TAG.findall(text))
-    n[_AT["wide_gaps"]] = len(_GAP.findall(text))
+        mark, size, known, pair_n, pair_bits, l, u, d, v, la, cy = letters.word(w)
+        if mark == last_word:
+            repeated += 1
+        first_word, last_word = first_word or mark, mark
+        word_chars += size
+        common += known
+        pairs += pair_n
+        bits += pair_bits
+        letters_n += l
+        capitals += u
+        digits += d
+        vowels += v
+        latin += la
+        cyrillic += cy
+    for name, value in zip(("words", "word_chars", "common_words", "repeated_words", "letter_pairs", "pair_bits", "letters", "uppercase", "digits", "vowels", "latin", "cyrillic"), (len(words), word_chars, common, repeated, pairs, bits, letters_n, capitals, digits, vowels, latin, cyrillic)):
+        n[_AT[name]] = value
+    if "  " in text or "\xa0" in text:
+        n[_AT["wide_gaps"]] = len(_GAP.findall(text))
     first = last = -1
-    for t in _TOKEN.findall(text):
-        k = token_class(t)
-        _count_pair(n, last, k)
+    for t in tokens:
+        k = letters.token(t)
+        if k or last:
+            _count_pair(n, last, k)
         first, last = k if first < 0 else first, k
-        n[_AT["tokens"]] += 1
         if k == NUMBER:
             n[_AT["numbers"]] += 1
         elif k == ENUMERATOR:
@@ -166,6 +188,7 @@ def partial(text: str, letters: Letters) -> list:
             n[_AT["pipes"]] += 1
         elif k == OTHER and len(t) >= 16 and _CODE.match(t):
             n[_AT["codes"]] += 1
+    n[_AT["tokens"]] = len(tokens)
     lines = [_line(x) for x in text.split("\n")]
     for x in lines[1:-1]:
         _count_line(n, x)
@@ -339,15 +362,31 @@ def learn(df: DataFrame, key_col: str, text_col: str, common: list[str], sample_
 KIND_NAMES = ("prose", "list", "table", "junk")
 
 
+_DONE = "key string, print bigint, code int, " + ", ".join(f"{n} double" for n in COUNTS)
+
+
+def _done(keys, prints, counts: list[dict[str, float]]) -> pa.RecordBatch:
+    m = np.array([list(c.values()) for c in counts], dtype=np.float64).reshape(len(counts), len(COUNTS))
+    codes = pa.array([KIND_NAMES.index(kind(c)) for c in counts], pa.int32())
+    return pa.RecordBatch.from_arrays([keys, prints, codes, *(pa.array(m[:, j]) for j in range(len(COUNTS)))], ["key", "print", "code", *COUNTS])
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds, columns = [], []
-        for r in batch.select(["counts", "head", "tail", "broken"]).to_pylist():
-            c = finish([r["counts"], r["head"], r["tail"], r["broken"]])
-            kinds.append(KIND_NAMES.index(kind(c)))
-            columns.append([c[n] for n in COUNTS])
-        m = np.array(columns, dtype=np.float64).reshape(len(kinds), len(COUNTS))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("print"), pa.array(kinds, pa.int32()), *(pa.array(m[:, j]) for j in range(len(COUNTS)))], ["key", "print", "code", *COUNTS])
+        states = batch.select(["counts", "head", "tail", "broken"]).to_pylist()
+        yield _done(batch.column("key"), batch.column("print"), [finish([r["counts"], r["head"], r["tail"], r["broken"]]) for r in states])
+
+
+def _whole(held):
+    """Partial and finish of texts that are all within one chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = Letters(*held.value)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield _done(batch.column(0), pa.array(map(text_print, texts), pa.int64()), [count_text(marks_as_letters(t), letters) for t in texts])
+
+    return run
 
 
 def statistics(df: DataFrame, key_col: str, text_col: str, letters: Letters, chunk: int = CHUNK) -> DataFrame:
@@ -357,20 +396,20 @@ def statistics(df: DataFrame, key_col: str, text_col: str, letters: Letters, chu
     """
     held = df.sparkSession.sparkContext.broadcast((letters.table, letters.common))
     rows = df.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"))
-    states = rows.mapInArrow(_partials(held, chunk), _STATE)
     longest = df.agg(F.max(F.length(text_col))).first()[0] or 0
     parts = -(-longest // max(1, chunk - 256))
-    if parts > 1:
+    if parts <= 1:
+        done = rows.mapInArrow(_whole(held), _DONE)
+    else:
         # a tree over the documents of several chunks; the others pass by
         from chashma.plans.lineage import staged
 
-        states = staged(states, "partials")
+        states = staged(rows.mapInArrow(_partials(held, chunk), _STATE), "partials")
         whole, broken = states.where("of = 1"), states.where("of > 1")
         while parts > 1:
             broken = broken.groupBy("key", "print", F.floor(F.col("chunk") / FAN).alias("branch")).applyInArrow(_merge_group, _STATE)
             parts = -(-parts // FAN)
-        states = whole.unionAll(broken)
-    done = states.mapInArrow(_finish, "key string, print bigint, code int, " + ", ".join(f"{n} double" for n in COUNTS))
+        done = whole.unionAll(broken).mapInArrow(_finish, _DONE)
     one = done.groupBy("key").agg(*(F.min_by(n, "print").alias(n) for n in ("code", *COUNTS)))
     return one.select("key", F.element_at(F.array(*map(F.lit, KIND_NAMES)), F.col("code") + 1).alias("kind"), *COUNTS)
 
