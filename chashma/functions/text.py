@@ -363,6 +363,21 @@ def trigrams(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - 2)), lambda i: F.substring(padded, i, F.lit(3)))
 
 
+def foreign_evidence(text: Column, lists: dict[str, list[str]], strong: int = 3, possible: int = 1) -> Column:
+    """How many words of each list of foreign markers a text has, and what that makes of it: STRONG, POSSIBLE or NONE."""
+    words = F.array_distinct(tokens(F.lower(one_apostrophe(text)), "plain"))
+    hits = {name: F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))) for name, terms in lists.items()}
+    most = F.greatest(*hits.values(), F.lit(0))
+    return F.struct(*(c.alias(n) for n, c in hits.items()), F.when(most >= strong, "STRONG").when(most >= possible, "POSSIBLE").otherwise("NONE").alias("evidence"))
+
+
+def short_utterance(text: Column) -> Column:
+    """A clean short saying: one to four words of letters, 4 to 40 characters, no digits, no odd signs, ended or not."""
+    t = strip(text)
+    words = word_count(t)
+    return (words >= 1) & (words <= 4) & (F.length(t) >= 4) & (F.length(t) <= 40) & ~t.rlike(r"\p{Nd}") & t.rlike(rf"^[\p{{L}}\p{{M}}{APOSTROPHE_CHARS}\-]+(?: [\p{{L}}\p{{M}}{APOSTROPHE_CHARS}\-]+)*[.!?…]*$")
+
+
 def starts_lowercase(text: Column) -> Column:
     """Behind opening quotes, brackets and blanks."""
     return text.rlike(r"""(?U)^[\s"'“‘«(\[{]*\p{Ll}""")

@@ -59,3 +59,10 @@ def triage(events: DataFrame, reviewed: DataFrame, key: list[str]) -> DataFrame:
     """Events with their review, if there is one, and what is left to do."""
     joined = events.join(reviewed.select(*key, "label"), key, "left")
     return joined.withColumn("triage", F.when(F.col("label").isNull() & (F.col("prediction") == "PROTECT"), "PENDING_PROTECT").when(F.col("label").isNull(), "PENDING_LEAVE").when(F.col("label") == F.col("prediction"), "AGREED").otherwise("DISPUTED"))
+
+
+def review_hints(events: DataFrame) -> DataFrame:
+    """What to look at in a protected end: capital or digit behind it, few words, a quote, another end close by."""
+    right = F.col("right")
+    hints = T.flags(("CAPITAL_AFTER", right.rlike(r"^\s*\p{Lu}")), ("DIGIT_AFTER", right.rlike(r"^\s*\d")), ("SHORT_RIGHT_SIDE", F.regexp_count(right, F.lit(r"(?U)\S+")) < 4), ("QUOTE_NEAR", right.rlike(r"^\s*[\"«“]")), ("END_NEAR", F.substring(right, 1, 20).rlike("[.!?…]")))
+    return events.withColumn("hints", hints)

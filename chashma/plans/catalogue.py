@@ -307,6 +307,14 @@ def token_shapes(spark, folder):
     return rows
 
 
+@query()
+def foreign_and_short(spark, folder):
+    t = F.col("sentence_text")
+    lists = {"english": ["the", "and", "of", "with", "for"], "russian": ["chto", "eto", "kak", "dlya"]}
+    rows = _audit(spark, folder, "sentence_text").select(T.foreign_evidence(t, lists).alias("f"), T.short_utterance(t).alias("short"))
+    return rows.groupBy(F.col("f.evidence").alias("evidence"), "short").agg(F.count("*").alias("rows"))
+
+
 @query("""SELECT sample_id, array_to_string(list_sort(list_distinct([x for x in [regexp_replace(y, '^\\s+|\\s+$', '', 'g') for y in string_split_regex(regexp_replace(boundary_flags, '[\\[\\]()''"{}]', '', 'g'), '[|,;]')] if x != '' AND upper(x) != 'NONE'])), '|') AS flags
     FROM (SELECT DISTINCT sample_id, boundary_flags FROM routing_signal_audit) WHERE boundary_flags IS NOT NULL""")
 def parsed_flags(spark, folder):
@@ -413,6 +421,12 @@ def lowercase_families(spark, folder):
     return B.family_counts(B.lowercase_families(_sentences(spark, folder)))
 
 
+@query()
+def boundary_hints(spark, folder):
+    rows = _sentences(spark, folder).where(F.exists("boundary_flags", lambda x: x.isin(*B.PROTECTED))).select(F.regexp_extract("sentence_text", r"[.!?…](.*)$", 1).alias("right"))
+    return A.item_counts(B.review_hints(rows), "hints", "NONE")
+
+
 @query()
 def lowercase_token_pairs(spark, folder):
     return B.token_pairs(B.lowercase_families(_sentences(spark, folder)))
