@@ -48,18 +48,25 @@ def normalize(df: DataFrame, id_col: str, text_col: str, allowed: tuple[str, ...
     out = df.select(F.col(id_col).cast("bigint").alias("source_record_id"), F.col(text_col).alias("raw_text"))
     out = out.withColumn("normalized_text", apply_operations(raw, allowed))
     new = F.col("normalized_text")
+    # one cheap pass decides whether the rules have to look; each step is used several times above it, so Catalyst keeps it apart
+    out = out.withColumn("gap", T.gap_possible(new))
+    none = F.when(raw.isNotNull(), F.array().cast("array<string>"))
+    when_gap = lambda yes, no: F.when(F.col("gap"), yes).otherwise(no)
+    zero = F.when(raw.isNotNull(), 0)
+    total = lambda names: sum((T.gap_count(new, n) for n in names[1:]), T.gap_count(new, names[0]))
     out = out.withColumns(
         {
             "input_valid": raw.isNotNull(),
             "changed": raw != new,
-            "high_confidence_gap_count": T.gap_counts(new, high),
-            "ambiguous_gap_count": T.gap_counts(new, ambiguous),
-            "high_confidence_rule_ids": F.when(raw.isNotNull(), T.gap_rules_found(new, high)),
-            "ambiguous_rule_ids": F.when(raw.isNotNull(), T.gap_rules_found(new, ambiguous)),
+            "high_confidence_gap_count": when_gap(total(high), zero),
+            "ambiguous_gap_count": when_gap(total(ambiguous), zero),
+            "high_confidence_rule_ids": when_gap(T.gap_rules_found(new, high), none),
+            "ambiguous_rule_ids": when_gap(T.gap_rules_found(new, ambiguous), none),
+            "boundary": boundary_review_flags(raw),
         }
     )
     gaps = T.flags(("HIGH_CONFIDENCE_APOSTROPHE_GAP", F.col("high_confidence_gap_count") > 0), ("AMBIGUOUS_APOSTROPHE_GAP", F.col("ambiguous_gap_count") > 0))
-    out = out.withColumn("review_flags", F.when(raw.isNotNull(), F.array_sort(F.array_union(boundary_review_flags(raw), gaps))))
+    out = out.withColumn("review_flags", F.when(raw.isNotNull(), F.array_sort(F.array_union("boundary", gaps))))
     return out.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), "source_record_id", "input_valid", T.sha256(raw).alias("raw_text_sha256"), T.sha256(new).alias("normalized_text_sha256"),
         F.length(raw).alias("raw_character_count"), F.length(new).alias("normalized_character_count"), (F.length(new) - F.length(raw)).alias("character_delta"), "normalized_text",

@@ -32,33 +32,47 @@ WIDE = Profile("wide", words=(7, 18), solid_chars=(45, 165), commas=True, most_s
 SHORT = replace(STRICT, name="short", words=(3, 8), solid_chars=(12, 60))
 
 
-def reasons(text: Column, profile: Profile, blocked: list[str] | None = None) -> Column:
-    """Why a sentence is not plain prose under a profile; sorted, empty if it is. Null text has the one reason EMPTY."""
-    t = T.strip(text)
-    solid = F.regexp_count(t, F.lit(r"(?U)\S"))
-    words = F.regexp_count(T.one_apostrophe(t), F.lit(T.WORD_CLASSES["letters_marks"]))
-    letters, signs = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit(r"(?U)[^\p{L}\p{Nd}\s]"))
+_FEATURES = "f_"
+
+
+def with_features(df: DataFrame, text_col: str) -> DataFrame:
+    """What the rules of all profiles look at, once for each row, as columns that begin with `f_`."""
+    out = df.withColumn("f_text", T.strip(F.col(text_col)))
+    t = F.col("f_text")
+    out = out.withColumn("f_words_of", T.tokens(F.lower(T.one_apostrophe(t)), "plain"))
+    words = F.filter("f_words_of", lambda w: F.length(w) >= 2)
+    out = out.withColumn("f_pairs", F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)))
+    return out.withColumns(
+        {
+            "f_solid": F.regexp_count(t, F.lit(r"(?U)\S")), "f_words": F.regexp_count(T.one_apostrophe(t), F.lit(T.WORD_CLASSES["letters_marks"])), "f_letters": F.regexp_count(t, F.lit(r"\p{L}")), "f_signs": F.regexp_count(t, F.lit(r"(?U)[^\p{L}\p{Nd}\s]")),
+            "f_case_merge": T.case_merge(t), "f_spaced": T.spaced_letters(t), "f_apostrophe": F.size(T.apostrophe_defects(t)) > 0, "f_lower": T.starts_lowercase(t), "f_gap": T.gap_counts(t, T.HIGH_GAPS) > 0, "f_comma": t.contains(","), "f_digit": t.rlike(r"\p{Nd}"),
+            "f_repeat": F.size(F.array_distinct(F.filter("f_pairs", lambda p: p.contains(" ")))) < F.size(F.filter("f_pairs", lambda p: p.contains(" "))),
+        }
+    )
+
+
+def reasons(profile: Profile, blocked: list[str] | None = None) -> Column:
+    """Why a sentence (with its features) is not plain prose under a profile; sorted, empty if it is. Null and blank text has the one reason EMPTY."""
+    c = F.col
     named = [
-        ("TOO_FEW_WORDS", words < profile.words[0]), ("TOO_MANY_WORDS", words > profile.words[1]), ("TOO_SHORT", solid < profile.solid_chars[0]), ("TOO_LONG", solid > profile.solid_chars[1]),
-        ("FEW_LETTERS", letters < profile.least_letters * solid), ("MANY_SIGNS", signs > profile.most_signs * solid), ("DOES_NOT_END_PLAINLY", ~t.endswith(profile.must_end)), ("CASE_MERGE", T.case_merge(t)), ("SPACED_LETTERS", T.spaced_letters(t)),
-        ("APOSTROPHE_DEFECT", F.size(T.apostrophe_defects(t)) > 0), ("STARTS_LOWERCASE", T.starts_lowercase(t)), ("REPEATED_PHRASE", T.repeated_ngram(t, 2)), ("APOSTROPHE_GAP", T.gap_counts(t, T.HIGH_GAPS) > 0),
+        ("TOO_FEW_WORDS", c("f_words") < profile.words[0]), ("TOO_MANY_WORDS", c("f_words") > profile.words[1]), ("TOO_SHORT", c("f_solid") < profile.solid_chars[0]), ("TOO_LONG", c("f_solid") > profile.solid_chars[1]),
+        ("FEW_LETTERS", c("f_letters") < profile.least_letters * c("f_solid")), ("MANY_SIGNS", c("f_signs") > profile.most_signs * c("f_solid")), ("DOES_NOT_END_PLAINLY", ~c("f_text").endswith(profile.must_end)), ("CASE_MERGE", c("f_case_merge")),
+        ("SPACED_LETTERS", c("f_spaced")), ("APOSTROPHE_DEFECT", c("f_apostrophe")), ("STARTS_LOWERCASE", c("f_lower")), ("REPEATED_PHRASE", c("f_repeat")), ("APOSTROPHE_GAP", c("f_gap")),
     ]
     if not profile.commas:
-        named.append(("HAS_COMMA", t.contains(",")))
+        named.append(("HAS_COMMA", c("f_comma")))
     if not profile.digits:
-        named.append(("HAS_DIGIT", t.rlike(r"\p{Nd}")))
+        named.append(("HAS_DIGIT", c("f_digit")))
     if blocked:
-        named.append(("BLOCKED_WORD", F.arrays_overlap(T.tokens(F.lower(T.one_apostrophe(t)), "plain"), F.array(*map(F.lit, blocked)))))
-    return F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.array(F.lit("EMPTY"))).otherwise(T.flags(*named))
+        named.append(("BLOCKED_WORD", F.arrays_overlap("f_words_of", F.array(*map(F.lit, blocked)))))
+    return F.when(F.coalesce(F.length("f_text"), F.lit(0)) == 0, F.array(F.lit("EMPTY"))).otherwise(T.flags(*named))
 
 
 def select(df: DataFrame, text_col: str, profiles: tuple[Profile, ...]) -> DataFrame:
     """A reasons column and a selected column for each profile."""
-    out = df
-    for p in profiles:
-        out = out.withColumn(f"reasons_{p.name}", reasons(F.col(text_col), p))
-        out = out.withColumn(f"selected_{p.name}", F.size(f"reasons_{p.name}") == 0)
-    return out
+    out = with_features(df, text_col).withColumns({f"reasons_{p.name}": reasons(p) for p in profiles})
+    out = out.withColumns({f"selected_{p.name}": F.size(f"reasons_{p.name}") == 0 for p in profiles})
+    return out.drop(*(c for c in out.columns if c.startswith(_FEATURES)))
 
 
 def route(usable: Column, harmful: Column, repairable: Column) -> Column:

@@ -45,8 +45,8 @@ def _replace_first(text: Column, old: str, new: str) -> Column:
     return F.when(at > 0, F.concat(F.left(text, at - 1), F.lit(new), F.substring(text, at + len(old), F.length(text))))
 
 
-def variants(core: Column) -> Column:
-    """Array of (priority, rule, family, corrupted), sorted, each corrupted form once (its first rule counts), never the core itself."""
+def candidates(core: Column) -> Column:
+    """Array of (priority, rule, family, corrupted) of all rules that change a word, in the order of the rules."""
     n = F.length(core)
     half = F.floor(n / 2).cast("int")
     marked = core.rlike(f"[{MARKS}]")
@@ -66,11 +66,20 @@ def variants(core: Column) -> Column:
         (5, "split_word_middle", "spacing", F.when(n >= 7, F.concat(piece(F.lit(0), half), F.lit(" "), piece(half, n)))),
     ]
     told = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(r).alias("rule"), F.lit(f).alias("family"), c.alias("corrupted")) for p, r, f, c in every))
-    fits = F.filter(told, lambda v: v["corrupted"].isNotNull() & (v["corrupted"] != "") & (v["corrupted"] != core))
-    forms = F.transform(fits, lambda v: v["corrupted"])
+    return F.filter(told, lambda v: v["corrupted"].isNotNull() & (v["corrupted"] != "") & (v["corrupted"] != core))
+
+
+def distinct_variants(core: Column, fits: Column, forms: Column) -> Column:
+    """Of candidates and their forms: each form once, sorted; a doubled last letter if there is none."""
     once = F.filter(fits, lambda v, i: F.array_position(forms, v["corrupted"]) == i + 1)
     last = F.array(F.struct(F.lit(99).alias("priority"), F.lit("duplicate_last_char_fallback").alias("rule"), F.lit("fallback").alias("family"), F.concat(core, F.right(core, F.lit(1))).alias("corrupted")))
-    return F.when(F.size(once) > 0, F.array_sort(once)).otherwise(last)
+    return F.when(F.size(fits) > 0, F.array_sort(once)).otherwise(last)
+
+
+def with_variants(df: DataFrame, core: str, name: str) -> DataFrame:
+    """The variants of a word as a column, in steps, so that none is computed inside another's lambda."""
+    steps = df.withColumn("_fits", candidates(F.col(core))).withColumn("_forms", F.transform("_fits", lambda v: v["corrupted"]))
+    return steps.withColumn(name, distinct_variants(F.col(core), F.col("_fits"), F.col("_forms"))).drop("_fits", "_forms")
 
 
 def choose(found: Column, place: Column, most: int = 3, seed: str = "42") -> Column:
@@ -86,7 +95,7 @@ def typo_rows(df: DataFrame, id_col: str, text_col: str, most: int = 3, seed: st
     prefix, core, suffix = split_surface(F.col("t.surface"))
     words = spans.select("sentence_id", "target", "t.*", prefix.alias("prefix"), core.alias("core"), suffix.alias("suffix")).where(eligible(F.col("core")))
     place = F.concat_ws("|", "sentence_id", F.col("index").cast("string"))
-    chosen = words.withColumn("found", variants(F.col("core"))).withColumn("chosen", choose(F.col("found"), place, most, seed)).drop("found")
+    chosen = with_variants(words, "core", "found").withColumn("chosen", choose(F.col("found"), place, most, seed)).drop("found")
     rows = chosen.select("*", F.posexplode("chosen").alias("rank", "v"))
     noisy = F.concat("prefix", "v.corrupted", "suffix")
     return rows.select(

@@ -606,7 +606,7 @@ def strict_reasons(spark, folder):
 
 @query()
 def document_rollup(spark, folder):
-    rows = _sentences(spark, folder).select("source_record_id", *L.signals(F.col("sentence_text")), (F.size(L.reasons(F.col("sentence_text"), L.STRICT)) == 0).alias("candidate"))
+    rows = L.select(_sentences(spark, folder).select("source_record_id", "sentence_text"), "sentence_text", (L.STRICT,)).select("source_record_id", *L.signals(F.col("sentence_text")), F.col("selected_strict").alias("candidate"))
     return A.roll_up(rows, "source_record_id", ["signal_starts_lowercase", "signal_no_terminal_punctuation", "signal_case_merge"], "candidate").withColumn("reject_reasons", _joined(F.col("reject_reasons")))
 
 
@@ -666,7 +666,7 @@ def token_contrast(spark, folder):
 # ---- typing errors and detector views, over the sentences of the audit
 def _clean(spark, folder):
     rows = _audit(spark, folder, "sentence_text", "human_health_label")
-    return rows.where(F.col("human_health_label") == HEALTHY).where(F.size(L.reasons(F.col("sentence_text"), L.STRICT)) == 0).select(F.col("sample_id").alias("sentence_id"), F.col("sentence_text").alias("target"))
+    return L.select(rows.where(F.col("human_health_label") == HEALTHY), "sentence_text", (L.STRICT,)).where("selected_strict").select(F.col("sample_id").alias("sentence_id"), F.col("sentence_text").alias("target"))
 
 
 def _typos(spark, folder):

@@ -45,11 +45,12 @@ def test_near_miss(spark):
 
 
 def test_variants(spark):
-    got = one(spark, lambda c: Y.variants(c), "sho'r")
+    found = {r.t: r.v for r in Y.with_variants(spark.createDataFrame([("sho'r",), ("ab",)], "t string"), "t", "v").collect()}
+    got = found["sho'r"]
     assert {v.rule for v in got} >= {"apostrophe_drop", "apostrophe_ascii_to_backtick", "apostrophe_ascii_to_curly_left", "phonetic_sh_to_s"}
     assert len({v.corrupted for v in got}) == len(got) and all(v.corrupted != "sho'r" for v in got)
     assert {v.corrupted for v in got if v.priority == 1} == {"shor", "sho`r"}
-    assert one(spark, lambda c: Y.variants(c), "ab")[0].corrupted == "abb"
+    assert found["ab"][0].corrupted == "abb"
 
 
 def test_typo_rows(spark):
@@ -109,7 +110,7 @@ def test_text_functions(spark):
 
 def test_rules(spark):
     df = spark.createDataFrame([(1, "Bugun shaharda yangi maktab ochildi va bolalar quvondi."), (2, "1, 2, 3"), (3, None), (4, "")], "id int, t string")
-    got = {r.id: r.x for r in df.select("id", L.reasons(F.col("t"), L.STRICT).alias("x")).collect()}
+    got = {r.id: r.reasons_strict for r in L.select(df, "t", (L.STRICT, L.WIDE)).collect()}
     assert got[1] == [] and "HAS_DIGIT" in got[2] and got[3] == got[4] == ["EMPTY"]
 
 
