@@ -128,17 +128,17 @@ def apostrophe_counts(text: Column) -> list[Column]:
 
 def boundary_flags(text: Column) -> list[Column]:
     """Eleven booleans on blanks at the ends and inside."""
-    one = text.rlike(r"(?U)(?s)\S \z")
+    first, last = F.left(text, F.lit(1)), F.right(text, F.lit(1))
     named = {
-        "leading_blank": text.rlike(r"(?U)^\s"),
-        "trailing_blank": text.rlike(r"(?U)\s\z"),
+        "leading_blank": first.rlike(r"(?U)^\s"),
+        "trailing_blank": last.rlike(r"(?U)^\s"),
         "starts_with_space": text.startswith(" "),
         "starts_with_tab": text.startswith("\t"),
         "starts_with_newline": text.startswith("\n"),
         "ends_with_space": text.endswith(" "),
         "ends_with_tab": text.endswith("\t"),
         "ends_with_newline": text.endswith("\n"),
-        "one_trailing_space": one,
+        "one_trailing_space": F.right(text, F.lit(2)).rlike(r"(?U)^\S \z"),
         "several_trailing_spaces": text.endswith("  "),
         "repeated_blanks": text.rlike(r"[ \t]{2,}"),
     }
@@ -152,8 +152,8 @@ def flags(*named: tuple[str, Column]) -> Column:
 
 def quality_flags(text: Column) -> Column:
     return flags(
-        ("EMPTY", F.length(strip(text)) == 0),
-        ("LEADING_OR_TRAILING_BLANK", text.rlike(r"(?U)^\s|\s\z")),
+        ("EMPTY", ~text.rlike(r"(?U)\S")),
+        ("LEADING_OR_TRAILING_BLANK", F.left(text, F.lit(1)).rlike(r"(?U)^\s") | F.right(text, F.lit(1)).rlike(r"(?U)^\s")),
         ("REPEATED_BLANKS", text.rlike(r"[ \t]{2,}")),
         ("TAB", text.contains("\t")),
         ("NEWLINE", text.contains("\n")),

@@ -16,8 +16,8 @@ STATUSES = ("CHANGED_SAFE", "CHANGED_SAFE_REVIEW_REQUIRED", "UNCHANGED", "UNCHAN
 
 
 def trimmable(text: Column) -> Column:
-    """One space at the end, and no blank before it."""
-    return text.rlike(r"(?U)(?s)\S \z")
+    """One space at the end, and no blank before it. Only the last two characters are matched."""
+    return F.right(text, F.lit(2)).rlike(r"(?U)^\S \z")
 
 
 def apply_operations(text: Column, allowed: tuple[str, ...] = (TRIM,)) -> Column:
@@ -30,10 +30,10 @@ def boundary_review_flags(text: Column) -> Column:
         F.when(text.endswith("  "), "MULTIPLE_TRAILING_ASCII_SPACES")
         .when(text.endswith("\t"), "TRAILING_TAB")
         .when(text.endswith("\n") | text.endswith("\r"), "TRAILING_NEWLINE")
-        .when(text.rlike(r"(?U)\s \z"), "WHITESPACE_BEFORE_TRAILING_ASCII_SPACE")
-        .when(text.rlike(r"(?U)[\s&&[^ ]]\z"), "OTHER_TRAILING_WHITESPACE")
+        .when(F.right(text, F.lit(2)).rlike(r"(?U)^\s \z"), "WHITESPACE_BEFORE_TRAILING_ASCII_SPACE")
+        .when(F.right(text, F.lit(1)).rlike(r"(?U)^[\s&&[^ ]]\z"), "OTHER_TRAILING_WHITESPACE")
     )
-    start = T.flags(("EMPTY_OR_WHITESPACE_TEXT", F.length(T.strip(text)) == 0), ("LEADING_WHITESPACE", text.rlike(r"(?U)^\s")))
+    start = T.flags(("EMPTY_OR_WHITESPACE_TEXT", ~text.rlike(r"(?U)\S")), ("LEADING_WHITESPACE", F.left(text, F.lit(1)).rlike(r"(?U)^\s")))
     return F.array_sort(F.filter(F.concat(start, F.array(end)), lambda x: x.isNotNull()))
 
 

@@ -34,16 +34,19 @@ _END = re.compile(rf"[{re.escape(TERMINALS)}]+")
 _CLOSE = re.compile(rf"[{re.escape(CLOSERS)}]*")
 _WORD = r"[A-Za-zÀ-ÖØ-öø-ÿʻʼ‘’']+"
 _NEXT = re.compile(rf"[{re.escape(CLOSERS)}]*\s*({_WORD})")
-_LAST = re.compile(rf"({_WORD})\Z")
+_LETTER = re.compile(_WORD[:-1])
 _ORDINAL_TAIL = re.compile(ORDINALS + r"\Z", re.I)
 _INITIAL_ORDINAL = re.compile(rf"(?:^|\s)(?:[A-Z]|Sh|SH|Ch|CH|O['ʻʼ‘’]|G['ʻʼ‘’])\.\s+(?-i:{ORDINALS})\Z")
 
 
 def _protecting(text: str, at: int, stop: int, after_quotes: int) -> tuple[str, ...]:
     """Flags of the first rule that keeps text[at:stop] from ending a sentence; none if it ends one."""
-    near = text[max(0, at - 200) : at]
-    last = _LAST.search(near)
-    before = last.group(1) if last else ""
+    first = at
+    while first and _LETTER.match(text, first - 1):
+        first -= 1
+    before = text[first:at]
+    # all ordinal phrases end alike, so most ends need no look at more
+    near = text[max(0, at - 200) : at] if before.lower().endswith("inchi") else ""
     # a run of several dots has no next word here: the rules look right behind its first mark
     follows = _NEXT.match(text, at + 1)
     following = follows.group(1) if follows else ""

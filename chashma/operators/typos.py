@@ -95,7 +95,9 @@ def typo_rows(df: DataFrame, id_col: str, text_col: str, most: int = 3, seed: st
     prefix, core, suffix = split_surface(F.col("t.surface"))
     words = spans.select("sentence_id", "target", "t.*", prefix.alias("prefix"), core.alias("core"), suffix.alias("suffix")).where(eligible(F.col("core")))
     place = F.concat_ws("|", "sentence_id", F.col("index").cast("string"))
-    chosen = with_variants(words, "core", "found").withColumn("chosen", choose(F.col("found"), place, most, seed)).drop("found")
+    # a corpus has far fewer words than places, so each distinct word gets its variants once
+    known = with_variants(words.select("core").distinct(), "core", "found")
+    chosen = words.join(known, "core").withColumn("chosen", choose(F.col("found"), place, most, seed)).drop("found")
     rows = chosen.select("*", F.posexplode("chosen").alias("rank", "v"))
     noisy = F.concat("prefix", "v.corrupted", "suffix")
     return rows.select(

@@ -194,7 +194,7 @@ _RULES = [*T.HIGH_GAPS, *T.AMBIGUOUS_GAPS]
 @query("SELECT unnest([" + ", ".join(f"'{n}'" for n in _RULES) + "]) AS rule, unnest([" + ", ".join(f"sum({_gap_sql(n, 'text')})" for n in _RULES) + "])::BIGINT AS matches, unnest([" + ", ".join(f"count_if({_gap_sql(n, 'text')} > 0)" for n in _RULES) + "])::BIGINT AS records FROM documents")
 def gap_rule_counts(spark, folder):
     t = F.col("text")
-    one = _t(spark, folder, "documents").agg(F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(F.sum(T.gap_count(t, n)), F.lit(0)).cast("bigint").alias("matches"), F.count_if(T.gap_count(t, n) > 0).alias("records")) for n in _RULES)).alias("r"))
+    one = _t(spark, folder, "documents").where(T.gap_possible(t)).agg(F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(F.sum(T.gap_count(t, n)), F.lit(0)).cast("bigint").alias("matches"), F.count_if(T.gap_count(t, n) > 0).alias("records")) for n in _RULES)).alias("r"))
     return one.select(F.inline("r"))
 
 
