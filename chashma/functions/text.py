@@ -178,7 +178,7 @@ def _gap_pattern(name: str) -> str:
 
 
 #: One pass that nearly all texts fail: the first letters of any rule, a gap, a letter that goes on with one of them.
-_ANY_GAP = rf"(?i)(?:bo|ko|ma|qo|to|e|o)[ \t]+[glrtqz](?:[{LATIN} \t]|$|\b)"
+_ANY_GAP = rf"(?i)(?<![{LATIN}])(?:bo|ko|ma|qo|to|e|o)[ \t]+[glrtqz](?:[{LATIN} \t]|$|\b)"
 
 
 def gap_possible(text: Column) -> Column:

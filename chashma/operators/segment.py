@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chashma.plans.lineage import spread
+
 VERSION = "phase_03_sentence_record_v1"
 LONG = 400
 
@@ -118,7 +120,7 @@ def segment(df: DataFrame, id_col: str, text_col: str, flags_col: str | None = N
     """Sentence records of all texts: id, index, offsets, text, marks, method, flags, lineage."""
     parent = F.col(flags_col) if flags_col else F.array().cast("array<string>")
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("source_record_id"), F.col(text_col).alias("normalized_text"), parent.alias("parent_review_flags"))
-    spans = rows.mapInArrow(_scan_batches, _SPANS).select("source_record_id", F.sha2("normalized_text", 256).alias("parent_normalized_text_sha256"), "normalized_text", "parent_review_flags", F.posexplode("spans").alias("sentence_index_in_record", "s"))
+    spans = spread(rows).mapInArrow(_scan_batches, _SPANS).select("source_record_id", F.sha2("normalized_text", 256).alias("parent_normalized_text_sha256"), "normalized_text", "parent_review_flags", F.posexplode("spans").alias("sentence_index_in_record", "s"))
     text = F.substring("normalized_text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
     named = spans.withColumn("sentence_text", text)
     return named.select(

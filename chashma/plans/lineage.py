@@ -6,9 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,16 +36,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/chashma/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGED.append((spark, path))
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_TASK = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, if the table is so small that its tasks would read less than `SMALL_TASK` bytes each.
+
+    A small file is one row group and so one task; work that takes much longer for each row than reading it would
+    then run on one core. Larger tables are left as they are read. It changes where rows are judged, never which.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_TASK else df
+
+
 @atexit.register
 def _remove_staged() -> None:
-    for spark, path in _STAGED:
+    sc = SparkContext._active_spark_context
+    for path in _STAGED if sc else ():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the context may be gone already
             return
