@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chashma.plans.lineage import spread
+
 #: Selected offsets of each mask; all fit into ten words.
 SPAN = 10
 MASKS = ((0, 1, 2, 4, 5, 7, 8, 9), (0, 1, 3, 4, 6, 7, 9), (0, 2, 3, 5, 6, 8, 9))
@@ -163,10 +165,10 @@ def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     chars = tests.agg(F.sum(F.length("item_text"))).first()[0] or 0
     if chars <= max_item_chars:
         held = spark.sparkContext.broadcast([tuple(r) for r in tests.collect()])
-        hits = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_scan(held, tolerance), FOUND)
+        hits = spread(docs.where("text IS NOT NULL AND doc_id IS NOT NULL")).mapInArrow(_scan(held, tolerance), FOUND)
     else:
         schema = "seed bigint, owner bigint, at int"
-        ours = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_emit, schema).select("seed", F.col("owner").alias("doc_id"), F.col("at").alias("doc_at"))
+        ours = spread(docs.where("text IS NOT NULL AND doc_id IS NOT NULL")).mapInArrow(_emit, schema).select("seed", F.col("owner").alias("doc_id"), F.col("at").alias("doc_at"))
         theirs = tests.mapInArrow(_emit, schema).select("seed", F.col("owner").alias("item_id"), F.col("at").alias("item_at"))
         near = ours.join(theirs, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("diagonals"))
         hits = near.join(docs, "doc_id").join(tests, "item_id").select("doc_id", "item_id", "text", "item_text", "diagonals").mapInArrow(_verify(tolerance), FOUND)

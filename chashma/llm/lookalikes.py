@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import staged
+from chashma.plans.lineage import spread, staged
 
 # What looks the same. Each string is mapped to the one before the colon.
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -97,7 +97,7 @@ def _prints(df: DataFrame) -> DataFrame:
     sql = f"SELECT table_name, key, unhex(md5(skeleton)) AS looks, unhex(md5(text)) AS text_print FROM (SELECT table_name, key, text, {skeleton_sql()} AS skeleton FROM (SELECT table_name, key, text, {form_sql()} AS form FROM batch WHERE text IS NOT NULL AND key IS NOT NULL))"
     names = ["table_name", "key", "looks", "text_print"]
     kinds = {"table_name": pa.string(), "key": pa.string(), "looks": pa.binary(), "text_print": pa.binary()}
-    return df.mapInArrow(_run(sql, names, kinds), "table_name string, key string, looks binary, text_print binary")
+    return spread(df.select("table_name", "key", "text")).mapInArrow(_run(sql, names, kinds), "table_name string, key string, looks binary, text_print binary")
 
 
 def alike_classes(df: DataFrame) -> DataFrame:

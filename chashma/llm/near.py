@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import staged
+from chashma.plans.lineage import spread, staged
 
 WIDTH, BLOCKS = 6, 48
 SLOTS = WIDTH * BLOCKS
@@ -113,7 +113,7 @@ def _fingerprints(least_words: int):
 def fingerprints(rows: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of rows (table_name, key, text): the class of each key, and words, blocks and bits of each class, both staged."""
     good = rows.where("text IS NOT NULL AND key IS NOT NULL").select("table_name", F.col("key").cast("bigint").alias("key"), "text")
-    made = staged(good.mapInArrow(_fingerprints(least_words), _SCHEMA), "fingerprints")
+    made = staged(spread(good).mapInArrow(_fingerprints(least_words), _SCHEMA), "fingerprints")
     members = staged(made.groupBy("table_name", "key").agg(F.min(F.struct("row_print", "class")).alias("m")).select("table_name", "key", "m.class"), "members")
     shown = made.groupBy("table_name", "class").agg(*(F.first(c).alias(c) for c in ("words", "blocks", "bits")))
     return members, staged(shown.withColumn("id", F.monotonically_increasing_id()), "word-sets")

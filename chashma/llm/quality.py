@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chashma.plans.lineage import spread, staged
+
 CHUNK, FAN, SAMPLE_TEXTS = 1 << 20, 32, 4000
 #: From fewer letter pairs nothing is learnt, and the rule on unlikely letters rests.
 LEAST_PAIRS = 5000
@@ -396,14 +398,13 @@ def statistics(df: DataFrame, key_col: str, text_col: str, letters: Letters, chu
     """
     held = df.sparkSession.sparkContext.broadcast((letters.table, letters.common))
     rows = df.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+    rows = spread(rows)
     longest = df.agg(F.max(F.length(text_col))).first()[0] or 0
     parts = -(-longest // max(1, chunk - 256))
     if parts <= 1:
         done = rows.mapInArrow(_whole(held), _DONE)
     else:
         # a tree over the documents of several chunks; the others pass by
-        from chashma.plans.lineage import staged
-
         states = staged(rows.mapInArrow(_partials(held, chunk), _STATE), "partials")
         whole, broken = states.where("of = 1"), states.where("of > 1")
         while parts > 1:

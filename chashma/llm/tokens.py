@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import staged
+from chashma.plans.lineage import spread, staged
 
 #: Fixed value: the split pattern that belongs to the byte-level vocabularies.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -117,7 +117,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = V
     """One row (doc_id, ids) for each row of `df`: the ids of its text without special tokens."""
     spark = df.sparkSession
     texts = df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].alias("text"))
-    blocks = staged(texts.mapInArrow(_blocks(pattern, block_chars), _BLOCKS), "pretokens")
+    blocks = staged(spread(texts).mapInArrow(_blocks(pattern, block_chars), _BLOCKS), "pretokens")
     used = blocks.select("block", F.posexplode("words").alias("at", "word"))
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     coded = used.select("word").distinct().mapInArrow(_encoder(ranks, pattern), "word string, word_ids array<int>")
