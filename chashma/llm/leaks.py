@@ -34,12 +34,16 @@ MAX_ITEM_CHARS = 64_000_000
 TOLERANCE = 0.75
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
-_DROP = str.maketrans("", "", MARKS)
 FOUND = "doc_id bigint, item_id bigint, longest_run int, overlap_words int, matched_words int, doc_word int, item_word int"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower().translate(_DROP)) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    for mark in MARKS:
+        text = text.replace(mark, "")
+    return _WORDS.findall(text)
 
 
 def seed_hashes(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -33,13 +33,24 @@ LONGS = (SLOTS + 63) // 64
 THRESHOLD = 0.75
 LEAST_WORDS = 15
 _FIND = regex.compile(r"[\p{L}\p{N}]+")
-_DROP = str.maketrans("", "", "'`´‘’ʻʼ")
+MARKS = "'`´‘’ʻʼ"
 _SCHEMA = "table_name string, key bigint, class binary, row_print binary, words array<bigint>, blocks array<bigint>, bits array<bigint>"
 
 
+def words_of(text: str | None) -> set[str]:
+    """Distinct words; a replacement for each mark is several times faster than one translation of all."""
+    if not text:
+        return set()
+    text = text.lower()
+    for mark in MARKS:
+        text = text.replace(mark, "")
+    return set(_FIND.findall(text))
+
+
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, SLOTS, dtype=np.uint64)
+    # 32 bits are enough for minima of a text's words, and numpy multiplies them several times faster than 64
+    return rng.integers(0, 2**31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, SLOTS, dtype=np.uint32)
 
 
 def _fingerprints(least_words: int):
@@ -54,18 +65,18 @@ def _fingerprints(least_words: int):
         for batch in batches:
             at, sets, prints, rows = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words = set(_FIND.findall(text.lower().translate(_DROP))) if text else ()
+                words = words_of(text)
                 if len(words) < least_words:
                     continue
                 if len(known) > 500_000:
                     known.clear()
-                codes = []
-                for w in words:
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = digest(w)
-                    codes.append(h)
-                codes = np.unique(np.array(codes, np.uint64))
+                codes = [*map(known.get, words)]
+                if None in codes:
+                    for w in words:
+                        if w not in known:
+                            known[w] = digest(w)
+                    codes = [*map(known.__getitem__, words)]
+                codes = np.sort(np.array(codes, np.uint64))
                 at.append(i)
                 sets.append(codes)
                 prints.append(hashlib.md5(codes.tobytes()).digest())
@@ -74,15 +85,22 @@ def _fingerprints(least_words: int):
                 continue
             lens = np.array([len(x) for x in sets])
             ends = np.cumsum(lens)
-            slots = np.empty((len(at), SLOTS), np.uint64)
-            # some texts at a time, so that a slot's hashes stay in the cache
-            for lo in range(0, len(at), 256):
-                flat = np.concatenate(sets[lo : lo + 256])
-                starts = (ends - lens)[lo : lo + 256] - (ends - lens)[lo]
+            slots = np.empty((len(at), SLOTS), np.uint32)
+            # texts of like size side by side, short ones filled up with their own words, so that all steps run over whole columns
+            flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+            starts, order = ends - lens, np.argsort(lens, kind="stable")
+            lo = 0
+            while lo < len(order):
+                longest = int(lens[order[min(lo + 255, len(order) - 1)]])
+                some = order[lo : lo + max(1, min(256, (1 << 20) // longest))]
+                lo += len(some)
+                words = flat[starts[some] + np.arange(int(lens[some].max()))[:, None] % lens[some]]
+                h = np.empty_like(words)
                 for k in range(SLOTS):
-                    h = flat * a[k] + b[k]
-                    slots[lo : lo + 256, k] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)
-            low = slots & np.uint64(0xFFFFFFFF)
+                    np.multiply(words, a[k], out=h)
+                    np.bitwise_xor(h, b[k], out=h)
+                    slots[some, k] = h.min(axis=0)
+            low = slots.astype(np.uint64)
             # rows of different tables share no block
             names = batch.column("table_name").to_pylist()
             own = np.array([digest(names[i] or "") for i in at], np.uint64)
@@ -93,7 +111,7 @@ def _fingerprints(least_words: int):
                     h = (h ^ low[:, k * WIDTH + j]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
                 blocks[:, k] = h
-            raw = np.packbits(((slots >> np.uint64(7)) & np.uint64(1)).astype(np.uint8), axis=1)
+            raw = np.packbits(((slots >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), axis=1)
             wide = np.zeros((len(at), LONGS * 8), np.uint8)
             wide[:, : raw.shape[1]] = raw
             bits = wide.view(np.int64)

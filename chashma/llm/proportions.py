@@ -43,8 +43,8 @@ def quotas(documents: DataFrame, targets: DataFrame, part: str = "part_number",
     counts = documents.groupBy("category").agg(F.count("*").alias("documents"))
     told = targets.where(F.col(part).isNotNull()).groupBy(F.col(part).alias("category")).agg(F.coalesce(F.max(permille), F.lit(0)).cast("bigint").alias("permille"), F.coalesce(F.max(floor), F.lit(0)).cast("bigint").alias("floor"))
     # the counts are one row per category, so the total comes from them
-    total = counts.agg(F.floor(F.coalesce(F.sum("documents"), F.lit(0)) / share).cast("bigint").alias("n"))
-    rows = told.join(counts, "category", "left").crossJoin(F.broadcast(total)).withColumn("available", F.coalesce("documents", F.lit(0)).cast("bigint"))
+    total = counts.agg(F.floor(F.coalesce(F.sum("documents"), F.lit(0)) / share).cast("bigint")).scalar()
+    rows = told.join(counts, "category", "left").withColumn("n", total).withColumn("available", F.coalesce("documents", F.lit(0)).cast("bigint"))
     exact = F.col("permille") * F.col("n")
     rows = rows.withColumn("base", F.expr("(permille * n) div 1000")).withColumn("rest", exact % 1000)
     every = Window.partitionBy(F.lit(0))  # one row per target

@@ -121,7 +121,7 @@ def test_copies(spark):
 
 # ---- near-duplicates
 def brute_similar(rows):
-    sets = {(t, k): frozenset(near._FIND.findall(s.lower().translate(near._DROP))) for t, k, s in rows if s and k is not None}
+    sets = {(t, k): frozenset(near.words_of(s)) for t, k, s in rows if s and k is not None}
     ok = [(x, s) for x, s in sets.items() if len(s) >= 15]
     return {(a[0], *sorted((a[1], b[1]))) for (a, s), (b, u) in itertools.combinations(ok, 2) if a[0] == b[0] and 4 * len(s & u) >= 3 * len(s | u)}
 
