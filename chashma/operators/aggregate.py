@@ -11,8 +11,8 @@ from chashma.functions import text as T
 def label_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Rows and percentage for each combination of labels; nulls are a label of their own."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(*columns, "rows", T.percent(F.col("rows"), F.col("total")).alias("percent"))  # the total is one row
+    total = counts.agg(F.sum("rows")).scalar()
+    return counts.select(*columns, "rows", T.percent(F.col("rows"), total).alias("percent"))
 
 
 def item_counts(df: DataFrame, items: str, none: str = "SELECTED") -> DataFrame:
@@ -27,7 +27,11 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities:
     inside = Window.partitionBy(*group).orderBy(value) if group else Window.partitionBy(F.lit(0)).orderBy(value)
     cumulated = histogram.withColumn("upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     totals = histogram.groupBy(*group).agg(F.sum("n").alias("rows"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
-    joined = cumulated.join(totals, group) if group else cumulated.crossJoin(F.broadcast(totals))
+    if group:
+        joined = cumulated.join(totals, group)
+    else:
+        one = totals.withColumn("all", F.lit(0))
+        joined = cumulated.withColumn("all", F.lit(0)).join(one, "all")  # one row on the right
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
 
     def quantile(q: float) -> Column:

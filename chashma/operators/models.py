@@ -47,9 +47,9 @@ def text_pipeline(text: str, label: str, features: int = 1 << 15) -> Pipeline:
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
-    """Weights that give both classes the same sum; one aggregate row is attached."""
-    share = df.agg((F.count_if(F.col(label) == 1.0) / F.count("*")).alias("p"))
-    return df.crossJoin(F.broadcast(share)).withColumn("weight", F.when(F.col(label) == 1.0, 0.5 / F.greatest("p", F.lit(1e-9))).otherwise(0.5 / F.greatest(1 - F.col("p"), F.lit(1e-9)))).drop("p")
+    """Weights that give both classes the same sum; the share is a scalar subquery."""
+    p = df.agg(F.count_if(F.col(label) == 1.0) / F.count("*")).scalar()
+    return df.withColumn("weight", F.when(F.col(label) == 1.0, 0.5 / F.greatest(p, F.lit(1e-9))).otherwise(0.5 / F.greatest(1 - p, F.lit(1e-9))))
 
 
 def folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: str = "42") -> DataFrame:

@@ -155,8 +155,8 @@ def verify(sentences: DataFrame, parents: DataFrame, id_col: str, text_col: str)
     }
     counted = rows.agg(*(F.count_if(x).alias(k) for k, x in checks.items()), (F.count("sentence_id") - F.count_distinct("sentence_id")).alias("duplicate_id"))
     covered = rows.groupBy("source_record_id").agg(F.sum("solid").alias("solid"), F.max(F.length(F.regexp_replace("parent_text", r"(?U)\s", ""))).alias("all"))
-    missing = covered.agg(F.count_if(c("solid") != c("all")).alias("uncovered_text"))
-    return counted.crossJoin(missing).unpivot([], [*checks, "duplicate_id", "uncovered_text"], "problem", "failing")
+    missing = covered.agg(F.count_if(c("solid") != c("all"))).scalar()
+    return counted.withColumn("uncovered_text", missing).unpivot([], [*checks, "duplicate_id", "uncovered_text"], "problem", "failing")
 
 
 def inventory(sentences: DataFrame) -> DataFrame:
