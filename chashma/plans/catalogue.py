@@ -339,7 +339,13 @@ def normal_forms(spark, folder):
     return _t(spark, folder, "documents").select("doc_id", F.sha2(C.normal_form(F.col("text")), 256).alias("form_sha256"))
 
 
-@query()
+_FORM_FLAGS = {
+    "BLANK_VARIANT": r"regexp_matches(text, '[\x{A0}\x{2009}\x{202F}]')", "INVISIBLE": r"regexp_matches(text, '[\x{AD}\x{200B}\x{2060}\x{FEFF}]')", "APOSTROPHE_VARIANT": "regexp_matches(text, '[`´ʻʼ‘’′]')",
+    "QUOTE_VARIANT": "regexp_matches(text, '[“”„«»]')", "REPEATED_SPACES": "contains(text, '  ')", "OUTER_BLANKS": rf"regexp_matches(text, '^{_B}|{_B}\z')",
+}
+
+
+@query("WITH f AS (SELECT list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _FORM_FLAGS.items()) + "], lambda x: x IS NOT NULL) AS l FROM documents) SELECT unnest(CASE WHEN len(l) = 0 THEN ['NONE'] ELSE l END) AS item, count(*) AS rows FROM f GROUP BY 1")
 def normal_form_flags(spark, folder):
     return A.item_counts(_t(spark, folder, "documents").select(C.normal_form_flags(F.col("text")).alias("f")), "f", "NONE")
 
@@ -642,7 +648,8 @@ def trigram_coverage(spark, folder):
     return L.trigram_coverage(lexicon.where("occurrences = 1"), lexicon.where("occurrences >= 50"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT token, s, left(token, length(token) - length(s)) AS root FROM (SELECT token, unnest(['larning', 'larni', 'ning', 'lar', 'dan', 'ni', 'ga', 'da']) AS s FROM {_LEX} WHERE n < 20) WHERE suffix(token, s))
+    SELECT c.token, arg_min(root, -length(s)) AS root FROM c JOIN {_LEX} k ON k.n >= 20 AND k.token = c.root WHERE length(root) > 3 GROUP BY 1""")
 def stripped_roots(spark, folder):
     lexicon = _lexicon(spark, folder)
     return L.stripped_roots(lexicon.where("occurrences < 20"), lexicon.where("occurrences >= 20"), ["larning", "larni", "ning", "lar", "dan", "ni", "ga", "da"])
@@ -656,7 +663,8 @@ def token_label_frequency(spark, folder):
     return A.token_labels(_audit(spark, folder, "sentence_text", "human_health_label"), _tokens("sentence_text"), "human_health_label", HARMFUL)
 
 
-@query()
+@query(f"""WITH p AS (SELECT unnest(list_distinct({_RTOK})) AS token, coalesce(human_health_label, '') AS l FROM {_R}), c AS (SELECT token, count_if(l IN ({", ".join(f"'{x}'" for x in HARMFUL)})) AS false_clean_rows, count_if(l IN ('{HEALTHY}', '{MINOR}')) AS healthy_rows FROM p GROUP BY 1)
+    SELECT * FROM c WHERE false_clean_rows >= 2 AND (healthy_rows = 0 OR false_clean_rows >= 3 * healthy_rows)""")
 def token_contrast(spark, folder):
     rows = _audit(spark, folder, "sentence_text", "human_health_label")
     label = F.coalesce("human_health_label", F.lit(""))
