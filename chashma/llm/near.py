@@ -34,7 +34,6 @@ THRESHOLD = 0.75
 LEAST_WORDS = 15
 _FIND = regex.compile(r"[\p{L}\p{N}]+")
 MARKS = "'`´‘’ʻʼ"
-_SCHEMA = "table_name string, key bigint, class binary, row_print binary, words array<bigint>, blocks array<bigint>, bits array<bigint>"
 
 
 def words_of(text: str | None) -> set[str]:
@@ -53,14 +52,15 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, SLOTS, dtype=np.uint32)
 
 
-def _fingerprints(least_words: int):
+def _word_sets(least_words: int):
+    """Texts as their distinct words, each as 64 bits of a hash, sorted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        a, b = _constants()
         known: dict[str, int] = {}
         for batch in batches:
             at, sets, prints, rows = [], [], [], []
@@ -83,58 +83,62 @@ def _fingerprints(least_words: int):
                 rows.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
             if not at:
                 continue
-            lens = np.array([len(x) for x in sets])
-            ends = np.cumsum(lens)
-            slots = np.empty((len(at), SLOTS), np.uint32)
-            # texts of like size side by side, short ones filled up with their own words, so that all steps run over whole columns
-            flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-            starts, order = ends - lens, np.argsort(lens, kind="stable")
-            lo = 0
-            while lo < len(order):
-                longest = int(lens[order[min(lo + 255, len(order) - 1)]])
-                some = order[lo : lo + max(1, min(256, (1 << 20) // longest))]
-                lo += len(some)
-                words = flat[starts[some] + np.arange(int(lens[some].max()))[:, None] % lens[some]]
-                h = np.empty_like(words)
-                for k in range(SLOTS):
-                    np.multiply(words, a[k], out=h)
-                    np.bitwise_xor(h, b[k], out=h)
-                    slots[some, k] = h.min(axis=0)
-            low = slots.astype(np.uint64)
-            # rows of different tables share no block
-            names = batch.column("table_name").to_pylist()
-            own = np.array([digest(names[i] or "") for i in at], np.uint64)
-            blocks = np.zeros((len(at), BLOCKS), np.uint64)
-            for k in range(BLOCKS):
-                h = own + np.uint64(k + 1)
-                for j in range(WIDTH):
-                    h = (h ^ low[:, k * WIDTH + j]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                blocks[:, k] = h
-            raw = np.packbits(((slots >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), axis=1)
-            wide = np.zeros((len(at), LONGS * 8), np.uint8)
-            wide[:, : raw.shape[1]] = raw
-            bits = wide.view(np.int64)
-            index = pa.array(at)
-            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("table_name").take(index), batch.column("key").take(index), pa.array(prints, pa.binary()), pa.array(rows, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64))), lists(blocks), lists(bits),
-                ],
-                ["table_name", "key", "class", "row_print", "words", "blocks", "bits"],
-            )
+            index, ends = pa.array(at), np.cumsum([len(x) for x in sets])
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("table_name").take(index), batch.column("key").take(index), pa.array(prints, pa.binary()), pa.array(rows, pa.binary()), words], ["table_name", "key", "class", "row_print", "words"])
 
     return run
 
 
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks and bits of word sets."""
+    import xxhash
+
+    a, b = _constants()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("words")
+        flat = (lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        lens = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, order, lo = np.cumsum(lens) - lens, np.argsort(lens, kind="stable"), 0
+        slots = np.empty((len(lens), SLOTS), np.uint32)
+        # texts of like size side by side, short ones filled up with their own words, so that all steps run over whole columns
+        while lo < len(order):
+            longest = int(lens[order[min(lo + 255, len(order) - 1)]])
+            some = order[lo : lo + max(1, min(256, (1 << 20) // longest))]
+            lo += len(some)
+            words = flat[starts[some] + np.arange(int(lens[some].max()))[:, None] % lens[some]]
+            h = np.empty_like(words)
+            for k in range(SLOTS):
+                np.multiply(words, a[k], out=h)
+                np.bitwise_xor(h, b[k], out=h)
+                slots[some, k] = h.min(axis=0)
+        low = slots.astype(np.uint64)
+        # rows of different tables share no block
+        own = np.array([xxhash.xxh3_64_intdigest(t or "") for t in batch.column("table_name").to_pylist()], np.uint64)
+        blocks = np.zeros((len(lens), BLOCKS), np.uint64)
+        for k in range(BLOCKS):
+            h = own + np.uint64(k + 1)
+            for j in range(WIDTH):
+                h = (h ^ low[:, k * WIDTH + j]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            blocks[:, k] = h >> np.uint64(16)  # 48 bits tell blocks apart and leave two bytes less to move
+        raw = np.packbits(((slots >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), axis=1)
+        wide = np.zeros((len(lens), LONGS * 8), np.uint8)
+        wide[:, : raw.shape[1]] = raw
+        fixed = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("table_name"), batch.column("id"), batch.column("class"), lists, fixed(blocks), fixed(wide.view(np.int64))], ["table_name", "id", "class", "words", "blocks", "bits"])
+
+
 def fingerprints(rows: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of rows (table_name, key, text): the class of each key, and words, blocks and bits of each class, both staged."""
     good = rows.where("text IS NOT NULL AND key IS NOT NULL").select("table_name", F.col("key").cast("bigint").alias("key"), "text")
-    made = staged(spread(good).mapInArrow(_fingerprints(least_words), _SCHEMA), "fingerprints")
+    made = staged(spread(good).mapInArrow(_word_sets(least_words), "table_name string, key bigint, class binary, row_print binary, words array<bigint>"), "word-sets")
     members = staged(made.groupBy("table_name", "key").agg(F.min(F.struct("row_print", "class")).alias("m")).select("table_name", "key", "m.class"), "members")
-    shown = made.groupBy("table_name", "class").agg(*(F.first(c).alias(c) for c in ("words", "blocks", "bits")))
-    return members, staged(shown.withColumn("id", F.monotonically_increasing_id()), "word-sets")
+    # an id is fixed by the table it is written to, so fingerprints are made after it
+    shown = staged(made.groupBy("table_name", "class").agg(F.first("words").alias("words")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    return members, staged(shown.mapInArrow(_fingerprints, "table_name string, id bigint, class binary, words array<bigint>, blocks array<bigint>, bits array<bigint>"), "fingerprints")
 
 
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
