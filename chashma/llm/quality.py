@@ -149,9 +149,12 @@ def partial(text: str, letters: Letters) -> list:
     words = _WORD.findall(text)
     n[_AT["blanks"]] = len(text) - sum(map(len, tokens))
     if not text.isascii() or _SIGNS.search(text):
-        n[_AT["symbols"]] = len(_SYMBOL.findall(text))
-        n[_AT["frames"]] = len(_FRAMES.findall(text))
-        n[_AT["tags"]] = len(_TAG.findall(text))
+        symbols = len(_SYMBOL.findall(text))
+        if symbols:  # frames are among them
+            n[_AT["symbols"]] = symbols
+            n[_AT["frames"]] = len(_FRAMES.findall(text))
+        if "<" in text or "&" in text:
+            n[_AT["tags"]] = len(_TAG.findall(text))
     n[_AT["tabs"]] = text.count("\t")
     n[_AT["semicolons"]] = text.count(";")
     first_word = last_word = 0
