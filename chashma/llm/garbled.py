@@ -3,7 +3,7 @@
 A chain says how a text was garbled: written as E, read as D, perhaps twice. A multinomial classifier
 over hashed byte pairs is trained on a bounded sample of the corpus, garbled synthetically by every
 chain; `sample_texts` bounds it. All texts are scored whole: the byte pairs of each word give its odds of
-being garbled at all; texts with a word in doubt are classified, the likeliest chains are inverted word by word, and a
+being garbled at all; of texts with a word in doubt every chain is inverted word by word, the likeliest first, and a
 word counts only if it decodes strictly and the result is likelier as clean text. Where characters
 were lost, what is left of multi-byte sequences is counted, and the text is found but not restored.
 
@@ -39,6 +39,8 @@ CHAINS = (
 )
 #: Odds of a word from which a text is classified; between one-byte encodings, where any byte decodes: the gain of a word, of all its words, and their number.
 DOUBT, WORD_GAIN, LEAST_GAIN, LEAST_WORDS = 1.5, 5.0, 25.0, 3
+#: Of one-byte encodings, so many likeliest chains may gain anywhere in a text; the words of all others have to stand close together.
+LIKELY = 6
 LOST = "�"
 RESULT = "doc_id bigint, chain string, words int, lost int, restored string"
 
@@ -203,16 +205,18 @@ class Judge:
         doubtful = [w for w in _words(text) if not w.isascii() and self.doubt(w) > 0]
         if not doubtful:
             return None
-        sample = " ".join(doubtful[:2000])
-        pairs = _pairs((" " + sample + " ").encode("utf-8", "ignore"))
-        scores = self.table[1:, pairs].sum(axis=1)
+        distinct = sorted(set(doubtful))
+        pairs, many = np.unique(_pairs((" " + " ".join(distinct) + " ").encode("utf-8", "ignore")), return_counts=True)
+        scores = self.table[1:, pairs] @ many.astype(np.float32)
         best = None
-        for k in np.argsort(-scores)[:6].tolist():
+        # every chain is tried, as clean words in doubt may outweigh the garbled ones; the order decides between equal gains
+        for rank, k in enumerate(np.argsort(-scores, kind="stable").tolist()):
             chain = CHAINS[k]
             wide = chain[0] == "utf-8"
-            gain, good, lost, changed = 0.0, 0, 0, {}
-            for word in set(doubtful):
+            gain, good, lost, changed, steps = 0.0, 0, 0, {}, {}
+            for word in distinct:
                 new, seen, wrong = self.invert(word, chain)
+                steps[word] = -WORD_GAIN * (new != word)
                 if new is not None:
                     if new == word or not all(map(_plausible, new)) or wide and not seen:
                         continue
@@ -222,10 +226,14 @@ class Judge:
                     if more > 0 and not (word.isalpha() and not _LETTERS.search(new)):
                         gain, good = gain + more, good + 1
                         changed[word] = new
+                        steps[word] = more
                 elif wide and seen and (seen > 2 * wrong if LOST in word else not wrong):
                     gain, lost = gain + 4.0 * seen, lost + 1
             if not wide and (good < LEAST_WORDS or gain < LEAST_GAIN) or wide and good + lost == 0 or gain < 4:
                 continue
+            # in a long text any chain gains here and there by chance
+            if not wide and rank >= LIKELY and not self.in_stretch(text, chain, steps):
+                continue
             # the longer chain explains more; at equal words the gain decides
             key = (gain, good)
             if best is None or key > best[0]:
@@ -235,6 +243,23 @@ class Judge:
         _, chain, good, lost, changed = best
         return ">".join(chain), good, lost, None if lost else self.restore(text, chain, changed)
 
+    def in_stretch(self, text: str, chain: tuple[str, ...], steps: dict[str, float]) -> bool:
+        """Whether enough words gain close together, where every word that the chain would change for nothing counts against it."""
+        total, good = 0.0, set()
+        for word in _words(text):
+            if word.isascii():
+                continue
+            if word not in steps:  # a word not in doubt
+                steps[word] = -WORD_GAIN * (self.invert(word, chain)[0] != word)
+            total += steps[word]
+            if total <= 0:
+                total, good = 0.0, set()
+            elif steps[word] > 0:
+                good.add(word)
+                if total >= LEAST_GAIN and len(good) >= LEAST_WORDS:
+                    return True
+        return False
+
     def restore(self, text: str, chain: tuple[str, ...], changed: dict[str, str]) -> str:
         """The accepted words inverted; between them, at most three words apart, also those that tell too little alone, and next to them those that gain at all."""
         parts = _BLANKS.split(text)

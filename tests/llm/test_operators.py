@@ -332,6 +332,20 @@ def test_garbled_table(spark):
     assert garbled.find_garbled(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 800])
+def test_short_garbled_stretch_after_many_doubtful_words(spark, times):
+    clean = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0").orderBy("doc_id").limit(400).collect()]
+    judge = garbled.Judge(garbled.train(clean))
+    foreign, stretch = "Ελληνική γλώσσα και ιστορία των νησιών " * times, "Янги китоблар дўконда сотилади"
+    assert judge.doubt("γλώσσα") > 0 and judge.judge(foreign) is None
+    for chain in (("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "cp437"), ("utf-8", "mac-cyrillic"), ("utf-8", "cp1252", "utf-8", "cp1252")):
+        got = judge.judge(foreign + garbled.garble(stretch, chain, judge.readings))
+        assert got and (got[0], got[3]) == (">".join(chain), foreign + stretch), chain
+    # a text as long as a book, in which words that another chain would improve stand far apart
+    book = ("Москвада Ўзбекистон ҳақида Янги китоблар сотилади. " * 20).join(("«Ўша", "улиц…", "«Ёз", "шуд…", ""))
+    assert judge.judge(book) is None
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
     import re
