@@ -3,7 +3,8 @@
 A mask selects some of `SPAN` neighbouring words and ignores the rest; equal hashes of the selected words
 in a text and an item are a hit, even if ignored words differ. Around each hit the words of both
 are compared along its diagonal, which gives the exact run and the substitution-tolerant overlap.
-Every mask fits into `SPAN` words, so `SPAN` or more equal words in a row always give a hit.
+The masks hit every stretch of `SPAN` or more words of which three quarters are equal, wherever the others
+stand: a longer stretch has a part of 10 to 19 words with that share, and all of these are enumerated in the tests.
 
 The items' seeds are sent to all executors only if their text is within `max_item_chars`, which is
 measured first; beyond it, seeds of both sides are joined by shuffle and hits are verified after the join.
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 
 from chashma.plans.lineage import spread
 
-#: Selected offsets of each mask; all fit into ten words.
+#: Selected offsets of each mask; all fit into ten words. No masks of seven or more offsets hit all stretches.
 SPAN = 10
-MASKS = ((0, 1, 2, 4, 5, 7, 8, 9), (0, 1, 3, 4, 6, 7, 9), (0, 2, 3, 5, 6, 8, 9))
+MASKS = (
+    (0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 2, 3, 5, 8), (0, 1, 2, 3, 7, 9), (0, 1, 2, 4, 5, 6), (0, 1, 2, 4, 5, 7),
+    (0, 1, 3, 4, 5, 6), (0, 1, 3, 5, 8, 9), (0, 1, 4, 5, 6, 7), (0, 1, 4, 6, 7, 8), (0, 1, 4, 6, 8, 9), (0, 3, 4, 5, 6, 7),
+)
 #: Odd multipliers, one for each offset.
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 MARKS = "'`´‘’ʻʼ"
@@ -48,11 +52,11 @@ def words_of(text: str | None) -> list[str]:
 
 def seed_hashes(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each mask: the positions where a window starts whose selected words are all known (id > 0), and the hashes there."""
-    n = len(ids) - SPAN + 1
-    if n <= 0:
+    if len(ids) < SPAN:
         return
     known = ids > 0
     for k, mask in enumerate(MASKS):
+        n = len(ids) - mask[-1]
         good = known[mask[0] : mask[0] + n].copy()
         for o in mask[1:]:
             good &= known[o : o + n]
@@ -68,7 +72,8 @@ def compare(doc: np.ndarray, item: np.ndarray, diagonal: int, tolerance: float)
     """Along one diagonal (doc position minus item position): longest exact run, words of the best overlap, of them equal, its starts in both.
 
     The overlap is the stretch with the largest sum of `1 - tolerance` for an equal and `-tolerance` for a
-    different word, so that stretches of at least the tolerated share of equal words are kept whole.
+    different word, so that stretches of at least the tolerated share of equal words are kept whole; of equal
+    sums the longest. Stretches of `SPAN` or more words with that share, from an equal word to an equal word, go before shorter ones.
     """
     a = max(0, -diagonal)
     b = min(len(item), len(doc) - diagonal)
@@ -76,9 +81,15 @@ def compare(doc: np.ndarray, item: np.ndarray, diagonal: int, tolerance: float)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
     run = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
     sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - tolerance, -tolerance))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.argmin(sums[: end + 1]))
+    starts, ends = np.where(same, sums[:-1], np.inf), np.where(same, sums[1:], -np.inf)
+    for least in (SPAN, 1):
+        over = ends[least - 1 :] - np.minimum.accumulate(starts)[: max(0, b - a - least + 1)]
+        if len(over) and over.max() >= 0:
+            end = len(over) - 1 - int(np.argmax(over[::-1])) + least
+            start = int(np.argmin(starts[: end - least + 1]))
+            break
+    else:
+        start = end = 0
     return run, end - start, int(same[start:end].sum()), a + diagonal + start, a + start
 
 

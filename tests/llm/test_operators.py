@@ -69,6 +69,47 @@ def test_leak_with_substitution(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].longest_run < 10 <= got[0].overlap_words
 
 
+def test_masks_hit_every_stretch():
+    """All stretches of 10 to 19 words with three quarters equal; a longer one has such a part."""
+    for n in range(leaks.SPAN, 2 * leaks.SPAN):
+        for different in itertools.combinations(range(n), n // 4):
+            same = [i not in different for i in range(n)]
+            assert any(all(same[k + o] for o in mask) for mask in leaks.MASKS for k in range(n - mask[-1])), (n, different)
+
+
+@pytest.mark.parametrize("bound", [leaks.MAX_ITEM_CHARS, 0])
+@pytest.mark.parametrize("every", [4, 5, 6, 7])
+def test_leak_with_every_nth_word_substituted(spark, every, bound):
+    words = [f"w{i}" for i in range(30)]
+    changed = [(first, "bir ikki " + " ".join(w if i % every != first else f"boshqa{i}" for i, w in enumerate(words))) for first in range(every)]
+    got = leaks.find_leaks(spark.createDataFrame(changed, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"), max_item_chars=bound).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(first, 7) for first in range(every)]
+    assert all(r.overlap_words >= 20 and r.matched_words >= 0.75 * r.overlap_words for r in got)
+
+
+def brute_overlap(doc, item, diagonal):
+    """The largest sum of all stretches of ten and more words from an equal to an equal word, in quarters."""
+    pairs = [(doc[i + diagonal] == item[i]) for i in range(len(item)) if 0 <= i + diagonal < len(doc)]
+    sums = [sum(1 if s else -3 for s in pairs[a:b]) for a in range(len(pairs)) for b in range(a + leaks.SPAN, len(pairs) + 1) if pairs[a] and pairs[b - 1]]
+    return max((s for s in sums if s >= 0), default=None)
+
+
+def test_overlap_against_all_stretches():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(400):
+        item = np.arange(1, rng.randint(8, 40))
+        doc = np.array([0] * rng.randint(0, 3) + [w if rng.random() < 0.75 else 0 for w in item])
+        diagonal = rng.choice([len(doc) - len(item)] * 3 + [-2])
+        _, words, matched, at_doc, at_item = leaks.compare(doc, item, diagonal, 0.75)
+        want = brute_overlap(doc, item, diagonal)
+        assert (words >= leaks.SPAN) == (want is not None)
+        if want is not None:
+            assert matched - 3 * (words - matched) == want and at_doc - at_item == diagonal
+            assert matched == sum(doc[at_doc : at_doc + words] == item[at_item : at_item + words])
+
+
 # ---- look-alikes
 def test_lookalikes(spark):
     same = ["So'z yangi-eski", "Ｓｏ＇ｚ yangi‐eski", "So’z yangi-eski", "S​o'z yangi-eski", "Sо'z yаngi-eski", "So'z ya­ngi-eski"]
