@@ -85,11 +85,13 @@ def _run(sql: str, names: list[str], casts: dict[str, pa.DataType]):
     return run
 
 
-def with_forms(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """(key, text, form, skeleton) of each row."""
-    sql = f"SELECT key, text, form, {skeleton_sql()} AS skeleton FROM (SELECT key, text, {form_sql()} AS form FROM batch)"
-    names = ["key", "text", "form", "skeleton"]
-    return df.select(key.cast("string").alias("key"), text.alias("text")).mapInArrow(_run(sql, names, dict.fromkeys(names, pa.string())), "key string, text string, form string, skeleton string")
+def with_forms(df: DataFrame, key: Column, text: Column, *beside: str) -> DataFrame:
+    """(key, text, form, skeleton) of each row, and the string columns named in `beside`."""
+    held = ", ".join(["key", "text", *beside])
+    sql = f"SELECT {held}, form, {skeleton_sql()} AS skeleton FROM (SELECT {held}, {form_sql()} AS form FROM batch)"
+    names = ["key", "text", "form", "skeleton", *beside]
+    rows = spread(df.select(key.cast("string").alias("key"), text.alias("text"), *beside))
+    return rows.mapInArrow(_run(sql, names, dict.fromkeys(names, pa.string())), ", ".join(f"{n} string" for n in names))
 
 
 def _prints(df: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _looks(spark: SparkSession, folder: str) -> DataFrame:
     rows = None
-    for name, key, text in (("routing_signal_audit", "sample_id", "sentence_text"), ("validation_documents", "document_sample_id", "normalized_text"), ("seen_texts", "text_id", "text_value")):
-        part = table(spark, folder, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    for name, key, text, stored in (("routing_signal_audit", "sample_id", "sentence_text", None), ("validation_documents", "document_sample_id", "normalized_text", "normalized_text_sha256"), ("seen_texts", "text_id", "text_value", None)):
+        sha = F.col(stored) if stored else F.lit(None).cast("string")
+        part = table(spark, folder, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"), sha.alias("stored_sha256"))
         rows = part if rows is None else rows.unionAll(part)
     return rows
 
@@ -52,9 +53,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """Each sentence in its one form, and the hash of that form."""
-    rows = lookalikes.with_forms(table(spark, folder, "routing_signal_audit"), F.col("sample_id"), F.col("sentence_text"))
-    return rows.select(F.col("key").alias("sample_id"), "form", F.sha2("skeleton", 256).alias("look_sha256"), (F.col("form") != F.col("text")).alias("changed"))
+    """Each text of the three tables in its form, rows delivered twice once: the hash of that form beside the stored one, and the hash that is equal for all texts that look the same."""
+    rows = _looks(spark, folder).dropDuplicates(["table_name", "key", "text", "stored_sha256"])
+    formed = lookalikes.with_forms(rows, F.col("key"), F.col("text"), "table_name", "stored_sha256")
+    return formed.select("table_name", "key", "form", F.sha2("form", 256).alias("form_sha256"), "stored_sha256", F.sha2("skeleton", 256).alias("look_sha256"), (F.col("form") != F.col("text")).alias("changed"))
 
 
 def _plan(spark: SparkSession, folder: str) -> DataFrame:
