@@ -18,13 +18,17 @@ def normalized(stream: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def status_windows(stream: DataFrame, time_col: str, text_col: str, window: str = "1 hour", late: str = "3 days") -> DataFrame:
-    """Texts and changes per window of arrival; a window is final when rows later than `late` cannot come."""
+    """Texts and changes per window of arrival.
+
+    In append mode, for endless streams, a window comes out when rows later than `late` cannot come any more, and later
+    rows are dropped. In complete mode all windows come out with all rows.
+    """
     rows = stream.withWatermark(time_col, late).select(time_col, F.coalesce(N.trimmable(F.col(text_col)), F.lit(False)).alias("changed"))
     return rows.groupBy(F.window(time_col, window)).agg(F.count("*").alias("texts"), F.count_if("changed").alias("changes")).select("window.start", "window.end", "texts", "changes")
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, into a table in memory."""
+    """What is there now, into a table in memory: in append mode only what is final by the watermark, in complete mode all."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)

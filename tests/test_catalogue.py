@@ -16,6 +16,32 @@ def test_query(spark, smallest, name):
         assert rows_of(got) == rows_of(want)
 
 
+def test_streamed_windows_equal_a_batch(spark, smallest):
+    from pyspark.sql import functions as F
+
+    from chashma.operators import normalize as N
+
+    docs = spark.read.parquet(f"{smallest}/documents.parquet")
+    rows = docs.select("crawled_at", F.coalesce(N.trimmable(F.col("text")), F.lit(False)).alias("changed"))
+    want = rows.groupBy(F.window("crawled_at", "1 hour")).agg(F.count("*").alias("texts"), F.count_if("changed").alias("changes")).select("window.start", "window.end", "texts", "changes")
+    got = catalogue.QUERIES["streamed_windows"](spark, smallest)
+    assert rows_of(got.toPandas()) == rows_of(want.toPandas())
+    assert got.agg(F.sum("texts")).first()[0] == docs.where("crawled_at IS NOT NULL").count()
+
+
+def test_late_rows_of_several_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from chashma.streaming import audit
+
+    days = ["2024-03-20", "2024-03-01", "2024-03-21", "2024-03-02"]
+    for day in days:  # files are read in the order of their times
+        spark.createDataFrame([(f"{day} 10:00:00", " a ")], "at string, text string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = audit.read_folder(spark, str(tmp_path / "in"), "at timestamp, text string", 1)
+    got = audit.run_to_end(audit.status_windows(stream, "at", "text"), "late_rows", str(tmp_path / "state"), "complete")
+    assert sorted(str(r.start.date()) for r in got.collect()) == sorted(days)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
