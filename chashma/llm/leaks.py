@@ -16,6 +16,7 @@ texts of any length are scanned whole; items of fewer than `SPAN` words cannot b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,11 @@ def compare(doc: np.ndarray, item: np.ndarray, diagonal: int, tolerance: float)
     return run, end - start, int(same[start:end].sum()), a + diagonal + start, a + start
 
 
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Of two diagonals of a text and an item: the longer run and, apart from it, the better overlap with its place."""
+    return (max(a[0], b[0]), *max(a[1:], b[1:]))
+
+
 def _scan(items, tolerance: float):
     """Texts against items that every executor holds."""
 
@@ -134,8 +140,7 @@ def _scan(items, tolerance: float):
                         words = ids[starts[d] : starts[d + 1] - SPAN]
                         got = compare(words, coded[key[1]][1], key[2], tolerance)
                         pair = (docs[d], coded[key[1]][0])
-                        if pair not in found or got > found[pair]:
-                            found[pair] = got
+                        found[pair] = _joined(found[pair], got) if pair in found else got
             rows = [(*k, *v) for k, v in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j < 2 else pa.int32()) for j in range(7)], FIELDS)
 
@@ -166,14 +171,14 @@ def _verify(tolerance: float):
             rows = []
             for r in batch.to_pylist():
                 doc, item = (np.array([_word_id(w) for w in words_of(r[c])], np.int64) for c in ("text", "item_text"))
-                rows.append((r["doc_id"], r["item_id"], *max(compare(doc, item, d, tolerance) for d in r["diagonals"])))
+                rows.append((r["doc_id"], r["item_id"], *reduce(_joined, (compare(doc, item, d, tolerance) for d in r["diagonals"]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j < 2 else pa.int32()) for j in range(7)], FIELDS)
 
     return run
 
 
 def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_chars: int = MAX_ITEM_CHARS, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for each document and item with a hit: longest exact run, best tolerant overlap, and where it starts."""
+    """One row for each document and item with a hit: longest exact run of all diagonals, best tolerant overlap of all diagonals, and where that starts."""
     spark = corpus.sparkSession
     docs = corpus.select(corpus[id_col].cast("bigint").alias("doc_id"), corpus[text_col].alias("text"))
     tests = items.select(items[item_col].cast("bigint").alias("item_id"), items[item_text_col].alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL").dropDuplicates(["item_id", "item_text"])
@@ -187,5 +192,5 @@ def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         theirs = tests.mapInArrow(_emit, schema).select("seed", F.col("owner").alias("item_id"), F.col("at").alias("item_at"))
         near = ours.join(theirs, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("diagonals"))
         hits = near.join(docs, "doc_id").join(tests, "item_id").select("doc_id", "item_id", "text", "item_text", "diagonals").mapInArrow(_verify(tolerance), FOUND)
-    best = F.max(F.struct("longest_run", "overlap_words", "matched_words", "doc_word", "item_word")).alias("best")
-    return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    best = F.max(F.struct("overlap_words", "matched_words", "doc_word", "item_word")).alias("best")
+    return hits.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), best).select("doc_id", "item_id", "longest_run", "best.*")

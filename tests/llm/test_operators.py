@@ -87,6 +87,19 @@ def test_leak_with_every_nth_word_substituted(spark, every, bound):
     assert all(r.overlap_words >= 20 and r.matched_words >= 0.75 * r.overlap_words for r in got)
 
 
+@pytest.mark.parametrize("bound", [leaks.MAX_ITEM_CHARS, 0])
+def test_run_and_overlap_on_different_diagonals(spark, bound):
+    """Eight words copied after an insertion, and thirty with every eighth substituted, in one text and in two rows of one id."""
+    words = [f"w{i}" for i in range(60)]
+    run = words[:8]
+    rest = [w if i % 8 != 7 else f"boshqa{i}" for i, w in enumerate(words[20:50])]
+    rows = [(1, " ".join([*run, *["x"] * 30, *rest])), (2, " ".join([*run, *"xyz"])), (2, " ".join(rest)), (3, " ".join([*rest, *["x"] * 30, *run]))]
+    items = spark.createDataFrame([(7, " ".join(["q"] * 3 + words))], "item_id long, text string")
+    got = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, max_item_chars=bound).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    assert all(r.longest_run == 8 and r.overlap_words == 30 and r.matched_words == 27 and r.item_word == 23 for r in got), got
+
+
 def brute_overlap(doc, item, diagonal):
     """The largest sum of all stretches of ten and more words from an equal to an equal word, in quarters."""
     pairs = [(doc[i + diagonal] == item[i]) for i in range(len(item)) if 0 <= i + diagonal < len(doc)]
