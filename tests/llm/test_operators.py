@@ -335,6 +335,45 @@ def test_sentences(pieces):
     assert parts(joiner.join(pieces), gaps) == pieces
 
 
+def test_sentence_with_many_possible_ends():
+    """A sentence may span any number of possible ends, and the cuts are those of a look at all pairs of ends."""
+    gaps = sentences.Gaps.learn(["Bu yerda uy bor. U katta."] * 3)
+    for n in (30, 60, 200):
+        inner = " ".join(f"“Bu yerda uy {k} bor. U katta edi.”"[1:-1] for k in range(n))
+        text = f"U shunday dedi: “{inner}” Keyin u ketdi."
+        assert brute_starts(text, gaps) == sentences.starts(text, gaps)
+    for unit in ("5 kg. Un", "12 km. Yo‘l", "2020 y. Uy"):
+        text = "Bozorda " + ", ".join([unit] * 60) + " bor edi."
+        assert sentences.starts(text, gaps) == brute_starts(text, gaps) == [0]
+    rng = random.Random(3)
+    words = ["Bu uy katta.", "5 kg. un", "Va...", "“Men", "keldim.”", '"Ha."', "«Yo‘q!»", "Lekin u ketdi?", "A. Qodiriy", "(qarang.)", "deb so‘radi.", "…"]
+    for _ in range(150):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 130)))
+        assert brute_starts(text, gaps) == sentences.starts(text, gaps), text
+
+
+def brute_starts(text, gaps):
+    nodes = [(0, 0.0)] + [(m.end(), p) for m in sentences._END.finditer(text) if (p := sentences._node(text, m.start(), m.end(), gaps)) is not None and sentences._TEXT.search(text, m.end())] + [(len(text), 0.0)]
+    depth = [sum(sentences._QUOTES.get(c, 0) for c in text[:stop]) for stop, _ in nodes]
+    straight = [text[:stop].count('"') for stop, _ in nodes]
+    best, back = [0.0], [0]
+    for j in range(1, len(nodes)):
+        costs = [(best[i] + nodes[j][1] + 3.0 * (min(3, abs(depth[j] - depth[i])) + (straight[j] - straight[i]) % 2) + sentences._edge(text[nodes[i][0] : min(nodes[j][0], nodes[i][0] + 120)]), i) for i in range(j)]
+        best.append(min(costs)[0])
+        back.append(min(costs)[1])
+    cuts, j = [], len(nodes) - 1
+    while j:
+        j = back[j]
+        cuts.append(nodes[j][0])
+    out = []
+    for at in reversed(cuts):
+        while at < len(text) and (text[at].isspace() or sentences._INVISIBLE.match(text[at])):
+            at += 1
+        if at < len(text):
+            out.append(at)
+    return out
+
+
 def test_lost_blank_and_limits():
     assert parts("Ish tugadi.Ertaga bayram.") == ["Ish tugadi.", "Ertaga bayram."]
     assert parts("Bu haqda sarlavha.example sayti yozdi.") == ["Bu haqda sarlavha.example sayti yozdi."]
