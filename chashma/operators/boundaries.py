@@ -61,6 +61,13 @@ def triage(events: DataFrame, reviewed: DataFrame, key: list[str]) -> DataFrame:
     return joined.withColumn("triage", F.when(F.col("label").isNull() & (F.col("prediction") == "PROTECT"), "PENDING_PROTECT").when(F.col("label").isNull(), "PENDING_LEAVE").when(F.col("label") == F.col("prediction"), "AGREED").otherwise("DISPUTED"))
 
 
+def inner_ends(text: Column) -> Column:
+    """The text behind each mark or run of marks that has a letter or digit behind it, over line breaks too."""
+    parts = F.split(text, r"(?<=[.!?…])(?![.!?…])", -1)
+    rights = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
+    return F.filter(rights, lambda right: right.rlike(r"[\p{L}\p{N}]"))
+
+
 def review_hints(events: DataFrame) -> DataFrame:
     """What to look at in a protected end: capital or digit behind it, few words, a quote, another end close by."""
     right = F.col("right")

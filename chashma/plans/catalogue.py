@@ -429,7 +429,7 @@ def lowercase_families(spark, folder):
 
 @query()
 def boundary_hints(spark, folder):
-    rows = _sentences(spark, folder).where(F.exists("boundary_flags", lambda x: x.isin(*B.PROTECTED))).select(F.regexp_extract("sentence_text", r"[.!?…](.*)$", 1).alias("right"))
+    rows = _sentences(spark, folder).where(F.exists("boundary_flags", lambda x: x.isin(*B.PROTECTED))).select(F.explode(B.inner_ends(F.col("sentence_text"))).alias("right"))
     return A.item_counts(B.review_hints(rows), "hints", "NONE")
 
 

@@ -129,3 +129,22 @@ def test_files(spark, tmp_path):
     assert before == after
     S.write_csv(df.limit(3), str(tmp_path / "c"), ["id", "text", "note"])
     assert S.read_csv(spark, str(tmp_path / "c")).columns == ["id", "text", "note"]
+
+
+def test_hints_of_every_inner_end(spark):
+    from chashma.operators import boundaries as B
+
+    df = spark.createDataFrame([("Prof. A. Qodiriy\n3.5 soat... keldi.",), ("Bitta gap.",), ("belgisiz",), ("",), (None,)], "text string")
+    rows = B.review_hints(df.select(F.explode(B.inner_ends(F.col("text"))).alias("right"))).collect()
+    assert [r.right for r in rows] == [" A. Qodiriy\n3.5 soat... keldi.", " Qodiriy\n3.5 soat... keldi.", "5 soat... keldi.", " keldi."]
+    assert ["CAPITAL_AFTER" in r.hints for r in rows] == [True, True, False, False] and "DIGIT_AFTER" in rows[2].hints
+
+
+def test_boundary_hints_count_every_end(spark, monkeypatch):
+    from chashma.operators import boundaries as B
+    from chashma.plans import catalogue
+
+    rows = spark.createDataFrame([("Prof. A.\nQodiriy uyga keldi.", [B.PROTECTED[0]]), ("Prof. Karimov keldi.", ["OTHER"])], "sentence_text string, boundary_flags array<string>")
+    monkeypatch.setattr(catalogue, "_sentences", lambda *_: rows)
+    got = {r["item"]: r["rows"] for r in catalogue.QUERIES["boundary_hints"](spark, "").collect()}
+    assert got["CAPITAL_AFTER"] == 2
