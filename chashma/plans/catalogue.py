@@ -19,40 +19,25 @@ from chashma.operators import rules as L
 from chashma.operators import sampling as W
 from chashma.operators import segment as G
 from chashma.operators import typos as Y
+from chashma.plans import sql as Z
 from chashma.plans.lineage import shared_folder
+from chashma.plans.registry import QUERIES, SQL, query  # noqa: F401
+from chashma.plans.sql import B as _B
+from chashma.plans.sql import CYR as _CYR
+from chashma.plans.sql import LAT as _LAT
+from chashma.plans.sql import N as _N
+from chashma.plans.sql import gap_sql as _gap_sql
+from chashma.plans.sql import gaps_sql as _gaps_sql
+from chashma.plans.sql import stripped as _stripped
 from chashma.sources import files as S
 from chashma.streaming import audit
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
 HEALTHY, MINOR = "HEALTHY", "MINOR_DAMAGE_BUT_USABLE"
 USABLE = [HEALTHY, MINOR]
 HARMFUL = ["FORMAT_OR_LIST", "FRAGMENT", "HEAVY_CORRUPTION", "MIXED_OR_FOREIGN_TEXT"]
 LABELS = [*USABLE, *HARMFUL, "UNCERTAIN"]
 
 
-def _plain_counts(sql: str) -> str:
-    """`count_if(x)`, which is a 128-bit number in DuckDB, as a filtered count, which has 64 bits."""
-    while (at := sql.find("count_if(")) >= 0:
-        depth, end = 1, at + 9
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
-            end += 1
-        sql = f"{sql[:at]}(count(*) FILTER (WHERE {sql[at + 9 : end - 1]})){sql[end:]}"
-    return sql
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = _plain_counts(sql)
-        return f
-
-    return register
-
-
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -61,27 +46,8 @@ def _joined(array: Column) -> Column:
     return F.array_join(array, "|")
 
 
-# ---- SQL pieces. RE2 has no look-around; the blanks are those Java and Python know.
-_B = r"[\t-\r\x{85}\p{Z}]"
-_LAT = "A-Za-zÀ-ɏḀ-ỿ"
-_CYR = "Ѐ-ԯⷠ-ⷿꙀ-ꚟ"
-
-
-def _gap_sql(name: str, text: str) -> str:
-    word, alone = (T.HIGH_GAPS | T.AMBIGUOUS_GAPS)[name]
-    ahead = f"([{_LAT}]|{alone})" if alone else f"[{_LAT}]"
-    return rf"len(regexp_extract_all({text}, '(?i)(^|[^{_LAT}]){r'[ \t]+'.join(word.split())}{ahead}'))"
-
-
-def _gaps_sql(names, text: str) -> str:
-    return "(" + " + ".join(_gap_sql(n, text) for n in names) + ")"
-
-
 _TRIMMABLE = rf"regexp_matches(text, '(?s)[^\t-\r\x{{85}}\p{{Z}}] \z')"
 _NORM = f"CASE WHEN {_TRIMMABLE} THEN left(text, length(text) - 1) ELSE text END"
-def _stripped(text: str) -> str:
-    return rf"regexp_replace({text}, '^{_B}+|{_B}+$', '', 'g')"
-
 
 _NFLAGS = rf"""list_sort(list_filter([CASE WHEN length({_stripped("text")}) = 0 THEN 'EMPTY_OR_WHITESPACE_TEXT' END, CASE WHEN regexp_matches(text, '^{_B}') THEN 'LEADING_WHITESPACE' END,
     CASE WHEN suffix(text, '  ') THEN 'MULTIPLE_TRAILING_ASCII_SPACES' WHEN suffix(text, chr(9)) THEN 'TRAILING_TAB' WHEN suffix(text, chr(10)) OR suffix(text, chr(13)) THEN 'TRAILING_NEWLINE'
@@ -162,9 +128,6 @@ def script_distribution(spark, folder):
     return A.label_counts(_t(spark, folder, "documents").select(T.script_label(F.col("text")).alias("script")), "script")
 
 
-_N = lambda p, t="text": rf"len(regexp_extract_all({t}, '{p}'))"
-
-
 @query(rf"""WITH c AS (SELECT {_N(r'\p{Latin}')} AS la, {_N(r'\p{Cyrillic}')} AS cy, {_N(r'\pL')} AS l, text FROM documents WHERE text IS NOT NULL)
     SELECT CASE WHEN l = 0 THEN 'NO_LETTERS' WHEN l = la THEN 'LATIN' WHEN l = cy THEN 'CYRILLIC' WHEN l = la + cy THEN 'LATIN_CYRILLIC_MIXED' WHEN la + cy = 0 THEN 'OTHER_SCRIPT' ELSE 'MULTISCRIPT_OTHER' END AS label, count(*) AS rows, sum(la)::BIGINT AS latin FROM c GROUP BY 1""")
 def letter_script_distribution(spark, folder):
@@ -211,7 +174,17 @@ def gap_review_status(spark, folder):
     return rows.select("doc_id", T.gap_status(F.col("h"), F.col("a")).alias("review_status"), T.per_thousand(F.col("h") + F.col("a"), F.length("text")).alias("per_thousand"))
 
 
-@query()
+def _spans_sql(name: str) -> str:
+    word, alone = (T.HIGH_GAPS | T.AMBIGUOUS_GAPS)[name]
+    pattern = rf"(?is).*?(?:^|[^{_LAT}])({r'[ \t]+'.join(word.split())})([{_LAT}]{'|' + alone if alone else ''})"
+    return f"""SELECT doc_id, text, unnest([{{'stop': (list_sum([length(y) for y in x[1:k]]) - length(h[k]))::BIGINT, 'fragment': w[k]}} for k in range(1, len(x) + 1)]) AS s, '{name}' AS rule
+        FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS x, regexp_extract_all(text, '{pattern}', 1) AS w, regexp_extract_all(text, '{pattern}', 2) AS h FROM documents WHERE text IS NOT NULL)"""
+
+
+_GAPS = "(SELECT doc_id, text, (s.stop - length(s.fragment))::INT AS start, s.stop::INT AS stop, rule, s.fragment AS fragment FROM (" + " UNION ALL ".join(map(_spans_sql, _RULES)) + "))"
+
+
+@query(f"SELECT doc_id, start, stop, rule, fragment, {Z.context('text', 'start', 'stop', 20)} AS context FROM {_GAPS}")
 def gap_spans(spark, folder):
     rows = _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(T.gap_spans(F.col("text"), _RULES)).alias("s"))
     return rows.select("doc_id", "s.*", T.context(F.col("text"), F.col("s.start"), F.col("s.stop"), 20).alias("context"))
@@ -264,13 +237,29 @@ def credit_markers(spark, folder):
     return rows.groupBy("marker").agg(F.count("*").alias("rows"))
 
 
-@query()
+def _name_like_sql(text: str) -> str:
+    words = rf"string_split_regex(regexp_replace({_stripped(text)}, '[.!?…]+\z', ''), '{_B}+')"
+    apostrophes = T.APOSTROPHE_CHARS.replace("'", "''")
+    ok = rf"regexp_matches(w, '^[{_LAT}][{_LAT}{apostrophes}\-]*\z') AND regexp_matches(regexp_replace(w, '[{apostrophes}\-]', '', 'g'), '^(\p{{Lu}}+|\p{{Lu}}[^\p{{Lu}}]*)\z')"
+    return f"(len({words}) BETWEEN 2 AND 4 AND len([w for w in {words} if {ok}]) = len({words}))"
+
+
+_ST = _stripped("text")
+_SOLID_RUN = Z.SOLID + "+"
+_ENDED = f"regexp_matches({_ST}, '{Z.ENDS}')"
+_CREDIT = f"""(length({_ST}) > 0 AND length({_ST}) <= 220 AND length({_ST}) - length(replace({_ST}, chr(10), '')) <= 2 AND ({" OR ".join(f"regexp_matches({_ST}, {Z.quoted(p.replace(chr(92) + 's', _B))})" for p in T.WHOLE_CREDITS)}
+    OR regexp_matches(text, '(?i){_MARK["FOTO_CREDIT"]}') OR regexp_matches(text, '(?i){_MARK["MUALLIF"]}') OR ({_name_like_sql("text")} AND {_ENDED})))"""
+
+
+@query(f"""SELECT CASE WHEN length({_ST}) <= 120 THEN CASE WHEN {_CREDIT} OR ({_name_like_sql("text")} AND {_ENDED}) THEN 'SHORT_CREDIT_LIKE' WHEN {_ENDED} THEN 'SHORT_SENTENCE_LIKE' ELSE 'SHORT_FRAGMENT_OR_UNKNOWN' END END AS role, {_CREDIT} AS credit, {_name_like_sql("text")} AS name_like, count(*) AS rows
+    FROM documents GROUP BY ALL""")
 def short_roles(spark, folder):
     rows = _t(spark, folder, "documents").select(T.short_role(F.col("text")).alias("role"), T.standalone_credit(F.col("text")).alias("credit"), T.name_like(F.col("text")).alias("name_like"))
     return rows.groupBy("role", "credit", "name_like").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT {Z.flags({"SHORT_RECORD": f"length(text) <= 120 AND {_N(_SOLID_RUN)} <= 15", "SOURCE_OR_CREDIT_MARKER": " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in _MARK.values()), "PERSON_NAME_LIKE": f"{_name_like_sql('text')} AND {_N(_SOLID_RUN)} <= 6"})} AS l FROM documents)
+    SELECT unnest(CASE WHEN len(l) = 0 THEN ['NONE'] ELSE l END) AS item, count(*) AS rows FROM f GROUP BY 1""")
 def boilerplate_reasons(spark, folder):
     return A.item_counts(_t(spark, folder, "documents").select(T.boilerplate_reasons(F.col("text")).alias("r")), "r", "NONE")
 
@@ -298,20 +287,43 @@ def character_ratios(spark, folder):
     return _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", *T.ratios(F.col("text")))
 
 
-@query()
+_SHAPES = {
+    "LONG_TOKEN": "length(w) >= 14", "LONG_TOKEN_WITH_APOSTROPHE": "length(w) >= 12 AND contains(w, '''')", "CONSONANT_CLUSTER": "regexp_matches(w, '[b-df-hj-np-tv-xz]{5}')", "TRIPLE_LETTER": f"regexp_matches(w, '{'|'.join(c * 3 for c in 'abcdefghijklmnopqrstuvwxyz')}')",
+    "LETTER_W": "contains(w, 'w')", "C_WITHOUT_H": "regexp_matches(w, 'c([^h]|$)')",
+}
+_VOWELS = "CASE WHEN length(w) > 0 THEN len(regexp_extract_all(w, '(?i)[aeiou]')) / length(w) ELSE 0 END"
+_OCR = f"length(w) >= 8 AND ((length(w) >= 14 AND ({_VOWELS} < 0.22 OR {_VOWELS} > 0.72)) OR regexp_matches(w, '(?i)[b-df-hj-np-tv-z]{{5}}') OR {_SHAPES['TRIPLE_LETTER'].replace('(w,', '(lower(w),')})"
+_FOREIGN = "length(w) >= 4 AND (contains(lower(w), 'w') OR (contains(lower(w), 'c') AND NOT contains(lower(w), 'ch')) OR regexp_matches(lower(w), '(tion|ing|ness|ment|able)$'))"
+_some = lambda words, condition: f"len([w for w in {words} if {condition}]) > 0"
+_NUMBERS = ["bir", "ikki", "uch", "ming", "yuz"]
+_NUMBER_WORDS = f"string_split_regex(lower({Z.one_apostrophe(_ST)}), '{_B}+')"
+
+
+@query(rf"""SELECT doc_id, array_to_string({Z.flags({n: _some("tok", c) for n, c in _SHAPES.items()})}, '|') AS shapes, {Z.repeated_ngram("[w for w in tok if length(w) >= 2]", 2)} AS repeated_pair,
+    {_some("tok", "length(w) >= 11 AND len([k for k in range(3, length(w) // 2 + 1) if left(w, k) = substr(w, k + 1, k)]) > 0")} AS doubled_token, regexp_matches(text, '\p{{Ll}}\p{{Lu}}') AS case_merge, {Z.spaced_letters("text")} AS spaced_letters,
+    len([w for w in regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\p{{Nl}}]+') if regexp_matches(w, '^\p{{Lu}}{{2,}}$')])::INT AS acronyms, array_to_string({Z.flags(Z.apostrophe_defects("text"))}, '|') AS apostrophe_defects, {_some("tok", "regexp_matches(w, 'aa|ee|ii|oo|uu')")} AS repeated_vowel,
+    {_some("raw", _OCR)} AS ocr_like, {_some("raw", _FOREIGN)} AS foreign_like, {Z.starts_lowercase("text")} AS starts_lowercase,
+    len({_NUMBER_WORDS}) >= 5 AND len([w for w in {_NUMBER_WORDS} if w IN {Z.one_of(_NUMBERS)} OR regexp_matches(w, '^[0-9]+$')]) >= 0.55 * len({_NUMBER_WORDS}) AS mostly_numbers, len(list_intersect(list_distinct(tok), ['tuman', 'shahar', 'viloyat', 'rais']))::INT AS anchors
+    FROM (SELECT doc_id, text, {Z.plain_tokens("text")} AS tok, regexp_extract_all(text, '[A-Za-z'']+') AS raw FROM documents WHERE text IS NOT NULL)""")
 def token_shapes(spark, folder):
     t = F.col("text")
     rows = _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", _joined(T.token_shape_flags(t)).alias("shapes"), T.repeated_ngram(t, 2).alias("repeated_pair"), T.doubled_token(t).alias("doubled_token"), T.case_merge(t).alias("case_merge"), T.spaced_letters(t).alias("spaced_letters"),
         T.acronym_count(t).alias("acronyms"), _joined(T.apostrophe_defects(t)).alias("apostrophe_defects"), T.repeated_vowel(t).alias("repeated_vowel"), F.exists(T.tokens(t, "plain"), T.ocr_like).alias("ocr_like"), F.exists(T.tokens(t, "plain"), T.foreign_like).alias("foreign_like"), T.starts_lowercase(t).alias("starts_lowercase"),
-        T.mostly_numbers(t, ["bir", "ikki", "uch", "ming", "yuz"]).alias("mostly_numbers"), T.anchors(t, ["tuman", "shahar", "viloyat", "rais"]).alias("anchors"))
+        T.mostly_numbers(t, _NUMBERS).alias("mostly_numbers"), T.anchors(t, ["tuman", "shahar", "viloyat", "rais"]).alias("anchors"))
     return rows
 
 
-@query()
+_MARKERS = {"english": ["the", "and", "of", "with", "for"], "russian": ["chto", "eto", "kak", "dlya"]}
+_SAID = r"[\p{L}\p{M}" + T.APOSTROPHE_CHARS.replace("'", "''") + r"\-]+"
+# Rows delivered twice are one row.
+_R = "(SELECT DISTINCT ON (sample_id) * FROM routing_signal_audit ORDER BY sample_id, reviewed_at)"
+
+
+@query(rf"""SELECT CASE WHEN h >= 3 THEN 'STRONG' WHEN h >= 1 THEN 'POSSIBLE' ELSE 'NONE' END AS evidence, n BETWEEN 1 AND 4 AND length(st) BETWEEN 4 AND 40 AND NOT regexp_matches(st, '\p{{Nd}}') AND regexp_matches(st, '^{_SAID}( {_SAID})*[.!?…]*$') AS short, count(*) AS rows
+    FROM (SELECT {_stripped("sentence_text")} AS st, {_N(_SOLID + "+", _stripped("sentence_text"))} AS n, greatest({", ".join(f"len(list_intersect(list_distinct({Z.plain_tokens('sentence_text')}), {list(w)}))" for w in _MARKERS.values())}) AS h FROM {_R}) GROUP BY 1, 2""")
 def foreign_and_short(spark, folder):
     t = F.col("sentence_text")
-    lists = {"english": ["the", "and", "of", "with", "for"], "russian": ["chto", "eto", "kak", "dlya"]}
-    rows = _audit(spark, folder, "sentence_text").select(T.foreign_evidence(t, lists).alias("f"), T.short_utterance(t).alias("short"))
+    rows = _audit(spark, folder, "sentence_text").select(T.foreign_evidence(t, _MARKERS).alias("f"), T.short_utterance(t).alias("short"))
     return rows.groupBy(F.col("f.evidence").alias("evidence"), "short").agg(F.count("*").alias("rows"))
 
 
@@ -380,16 +392,25 @@ def part_rollup_zero_filled(spark, folder):
 
 
 # ---- sentences
+_SEG = Z.segments()
+
+
+def _compact_sql(text: str, limit: int) -> str:
+    line = _stripped(f"regexp_replace({text}, '{_B}+', ' ', 'g')")
+    return f"CASE WHEN length({line}) > {limit} THEN left({line}, {limit - 1}) || '…' ELSE {line} END"
+
+
 def _sentences(spark: SparkSession, folder: str) -> DataFrame:
     return G.segment(_t(spark, folder, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""SELECT sentence_id, rec AS source_record_id, i::INT AS sentence_index_in_record, sha256(t) AS parent_normalized_text_sha256, sentence_text, a::INT AS sentence_start_char, b::INT AS sentence_end_char, (b - a)::INT AS sentence_character_count,
+    {_N(_SOLID + '+', 'sentence_text')}::INT AS sentence_token_count, marks AS terminal_punctuation, method AS segmentation_method, array_to_string(flags, '|') AS boundary_flags, review AS segmentation_review_required FROM {_SEG}""")
 def segment_sentences(spark, folder):
-    return _sentences(spark, folder)
+    return _sentences(spark, folder).withColumn("boundary_flags", _joined(F.col("boundary_flags"))).drop("schema_version", "parent_review_flags")
 
 
-@query()
+@query(f"""SELECT kind, name, count(*) AS sentences FROM (SELECT 'method' AS kind, method AS name FROM {_SEG} UNION ALL SELECT 'flag', unnest(flags) FROM {_SEG} UNION ALL SELECT 'review', 'REQUIRED' FROM {_SEG} WHERE review) GROUP BY 1, 2""")
 def segment_inventory(spark, folder):
     return G.inventory(_sentences(spark, folder))
 
@@ -406,7 +427,8 @@ def inventory_diff(spark, folder):
     return G.inventory_diff(_sentences(spark, folder), G.segment(docs.withColumn("text", T.one_apostrophe(F.col("text"))), "doc_id", "text"))
 
 
-@query()
+@query(rf"""WITH s AS (SELECT * FROM {_SEG}), c AS (SELECT x.sentence_id, y.sentence_text AS p, x.sentence_text AS s, z.sentence_text AS n FROM s x LEFT JOIN s y ON y.rec = x.rec AND y.i = x.i - 1 LEFT JOIN s z ON z.rec = x.rec AND z.i = x.i + 1)
+    SELECT sentence_id, {_compact_sql('p', 120)} AS previous, {_compact_sql('s', 240)} AS sentence, {_compact_sql('n', 120)} AS next FROM c""")
 def sentence_context(spark, folder):
     rows = R.neighbours(_sentences(spark, folder).select("source_record_id", "sentence_index_in_record", "sentence_id", "sentence_text"), "source_record_id", "sentence_index_in_record", "sentence_text")
     return rows.select("sentence_id", T.compact(F.col("previous_text"), 120).alias("previous"), T.compact(F.col("sentence_text"), 240).alias("sentence"), T.compact(F.col("next_text"), 120).alias("next"))
@@ -417,23 +439,42 @@ def neighbour_context(spark, folder):
     return R.neighbours(_t(spark, folder, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, unnest(flags) AS boundary_group FROM {_SEG}) SELECT rec AS source_record_id, sentence_id, boundary_group,
+    CASE WHEN boundary_group IN {Z.one_of(B.PROTECTED)} THEN 'PROTECT_NO_SPLIT' WHEN boundary_group = 'LOWERCASE_AFTER_TERMINAL' THEN 'SPLIT' ELSE 'WHOLE_SENTENCE_REVIEW' END AS event, {Z.context('t', 'b - 1', 'b', 220)} AS context FROM s""")
 def boundary_events(spark, folder):
     return B.events(_sentences(spark, folder), _t(spark, folder, "documents"), "doc_id", "text")
 
 
-@query()
+_LOWERCASE = rf"""(SELECT x.sentence_id, regexp_extract(x.sentence_text, '(\S+)\s*\z', 1) AS l, regexp_extract(coalesce(y.sentence_text, ''), '^\s*(\S+)', 1) AS r FROM {_SEG} x LEFT JOIN {_SEG} y ON y.rec = x.rec AND y.i = x.i + 1 WHERE list_contains(x.flags, 'LOWERCASE_AFTER_TERMINAL'))"""
+_FAMILIES = Z.flags(
+    {
+        "ELLIPSIS": r"""regexp_matches(l, '(\.{2,}|…)["»”’)\]]*\z')""", "QUESTION_OR_EXCLAMATION": r"""regexp_matches(l, '[!?]["»”’)\]]*\z')""", "NUMBER_BEFORE": r"regexp_matches(l, '\d\.\z')", "SHORT_TOKEN_BEFORE": r"regexp_matches(l, '^\p{L}{1,3}\.\z')",
+        "ORDINAL_BEFORE": r"regexp_matches(l, '(?i)inchi\.\z')", "SUFFIX_AFTER": r"regexp_matches(r, '^(ning|ni|ga|da|dan)\b')", "QUOTE_BEFORE": r"""regexp_matches(l, '["»”’]\z')""",
+    }
+)
+
+
+@query(f"SELECT unnest(CASE WHEN len(f) = 0 THEN ['OTHER'] ELSE f END) AS family, count(*) AS events FROM (SELECT {_FAMILIES} AS f FROM {_LOWERCASE}) GROUP BY 1")
 def lowercase_families(spark, folder):
     return B.family_counts(B.lowercase_families(_sentences(spark, folder)))
 
 
-@query()
+_HINTS = Z.flags(
+    {
+        "CAPITAL_AFTER": r"regexp_matches(r, '^\s*\p{Lu}')", "DIGIT_AFTER": r"regexp_matches(r, '^\s*\d')", "SHORT_RIGHT_SIDE": f"{_N(_SOLID + '+', 'r')} < 4", "QUOTE_NEAR": r"""regexp_matches(r, '^\s*["«“]')""", "END_NEAR": "regexp_matches(left(r, 20), '[.!?…]')",
+    }
+)
+
+
+@query(rf"""WITH s AS (SELECT sentence_text AS t, regexp_extract_all(sentence_text, '(?s)[^.!?…]*[.!?…]+') AS x FROM {_SEG} WHERE len([f for f in flags if f IN {Z.one_of(B.PROTECTED)}]) > 0),
+    r AS (SELECT unnest([substr(t, (list_sum([length(y) for y in x[1:k]]) + 1)::BIGINT) for k in range(1, len(x) + 1)]) AS r FROM s), h AS (SELECT {_HINTS} AS h FROM r WHERE regexp_matches(r, '[\pL\pN]'))
+    SELECT unnest(CASE WHEN len(h) = 0 THEN ['NONE'] ELSE h END) AS item, count(*) AS rows FROM h GROUP BY 1""")
 def boundary_hints(spark, folder):
     rows = _sentences(spark, folder).where(F.exists("boundary_flags", lambda x: x.isin(*B.PROTECTED))).select(F.explode(B.inner_ends(F.col("sentence_text"))).alias("right"))
     return A.item_counts(B.review_hints(rows), "hints", "NONE")
 
 
-@query()
+@query(f"SELECT l AS left_token, r AS right_token, count(*) AS events FROM {_LOWERCASE} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 30")
 def lowercase_token_pairs(spark, folder):
     return B.token_pairs(B.lowercase_families(_sentences(spark, folder)))
 
@@ -485,7 +526,12 @@ def one_per_document(spark, folder):
     return W.one_per_document(_t(spark, folder, "routing_signal_audit"), "sample_id", "source_record_id", 200)
 
 
-@query()
+@query(f"""WITH k AS (SELECT sample_id, part_number, human_health_label, digit_ratio, sha256('42|' || CASE WHEN part_number IS NULL THEN '' ELSE part_number || '|' END || sample_id) AS s FROM (SELECT DISTINCT ON (sample_id) sample_id, part_number, human_health_label, digit_ratio FROM routing_signal_audit WHERE sample_id IS NOT NULL ORDER BY sample_id, part_number NULLS FIRST, human_health_label NULLS FIRST, digit_ratio NULLS FIRST)),
+    a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY part_number ORDER BY s, sample_id) <= 7 THEN 'ESTIMATION' END AS p1 FROM k),
+    b AS (SELECT *, p1 IS NULL AND coalesce(human_health_label = 'FORMAT_OR_LIST', false) AS f FROM a), c AS (SELECT *, CASE WHEN f AND row_number() OVER (PARTITION BY part_number, f ORDER BY s, sample_id) <= 1 THEN 'FORMAT' ELSE p1 END AS p2 FROM b),
+    d AS (SELECT * EXCLUDE (f), p2 IS NULL AND coalesce(digit_ratio > 0.2, false) AS f FROM c), e AS (SELECT *, CASE WHEN f AND row_number() OVER (PARTITION BY part_number, f ORDER BY s, sample_id) <= 1 THEN 'DIGITS' ELSE p2 END AS p3 FROM d),
+    g AS (SELECT *, CASE WHEN p3 IS NULL AND row_number() OVER (PARTITION BY part_number, p3 IS NULL ORDER BY s, sample_id) <= 10 - count(p3) OVER (PARTITION BY part_number) THEN 'FILL' ELSE p3 END AS phase FROM e)
+    SELECT sample_id, part_number, human_health_label, digit_ratio, phase FROM g WHERE phase IS NOT NULL""")
 def two_phase_sample(spark, folder):
     rows = R.keep_first(_t(spark, folder, "routing_signal_audit").select("sample_id", "part_number", "human_health_label", "digit_ratio"), ["sample_id"], ["part_number"])
     return W.two_phase(rows, "sample_id", "part_number", 7, {"FORMAT": (F.col("human_health_label") == "FORMAT_OR_LIST", 1), "DIGITS": (F.col("digit_ratio") > 0.2, 1)}, 10)
@@ -509,10 +555,7 @@ def two_stage_weights(spark, folder):
     return rows.select("document_sample_id", W.two_stage_weight(F.col("sampling_weight"), F.col("part_record_count") / 1e7).alias("weight"))
 
 
-# ---- labels, signals, estimates. Rows delivered twice are one row.
-_R = "(SELECT DISTINCT ON (sample_id) * FROM routing_signal_audit ORDER BY sample_id, reviewed_at)"
-
-
+# ---- labels, signals, estimates
 def _audit(spark, folder, *columns: str) -> DataFrame:
     rows = _t(spark, folder, "routing_signal_audit").select("sample_id", "reviewed_at", *columns)
     return R.keep_first(rows, ["sample_id"], ["reviewed_at"])
@@ -547,12 +590,18 @@ def stratified_estimate(spark, folder):
     return A.stratified_estimate(strata, "pop", "s", "h")
 
 
-@query()
+_SIGNALS = Z.signals("st")
+_SIGNAL_ROWS = f"(SELECT sample_id, human_health_label, sentence_text, {_stripped('sentence_text')} AS st FROM {_R})"
+
+
+@query("SELECT sample_id, " + ", ".join(f"coalesce({c}, false) AS signal_{n}" for n, c in _SIGNALS.items()) + f" FROM {_SIGNAL_ROWS} WHERE sentence_text IS NOT NULL")
 def signal_features(spark, folder):
     return _audit(spark, folder, "sentence_text").where("sentence_text IS NOT NULL").select("sample_id", *L.signals(F.col("sentence_text")))
 
 
-@query()
+@query(f"""WITH s AS (SELECT human_health_label AS l, unnest([{", ".join(f"'signal_{n}'" for n in _SIGNALS)}]) AS signal, unnest([{", ".join(f"coalesce({c}, false)" for c in _SIGNALS.values())}]) AS o FROM {_SIGNAL_ROWS}),
+    c AS (SELECT signal, count(*) AS n, count_if(o) AS flagged, count_if(o AND l IN ('{HEALTHY}', '{MINOR}')) AS us, count_if(o AND l IN {Z.one_of(HARMFUL)}) AS ha FROM s GROUP BY 1)
+    SELECT signal, flagged, round(flagged * 100.0 / n, 4) AS coverage_percent, round(CASE WHEN flagged > 0 THEN us * 100.0 / flagged ELSE 0 END, 4) AS usable_percent, round(CASE WHEN flagged > 0 THEN ha * 100.0 / flagged ELSE 0 END, 4) AS harmful_percent FROM c""")
 def signal_summary(spark, folder):
     rows = _audit(spark, folder, "sentence_text", "human_health_label").select("human_health_label", *L.signals(F.col("sentence_text")))
     return A.signal_summary(rows, L.SIGNALS, "human_health_label", USABLE, HARMFUL)
@@ -598,7 +647,7 @@ def threshold_sweep(spark, folder):
 
 
 # ---- rules and lexicon
-@query()
+@query(" UNION ALL ".join(f"SELECT '{p.name}' AS profile, unnest(CASE WHEN len(reasons) = 0 THEN ['SELECTED'] ELSE reasons END) AS reason, count(*) AS rows FROM {Z.strict(p, _R, 'sentence_text', 'sample_id')} GROUP BY 1, 2" for p in (L.STRICT, L.WIDE, L.SHORT)))
 def strict_reasons(spark, folder):
     rows = L.select(_audit(spark, folder, "sentence_text"), "sentence_text", (L.STRICT, L.WIDE, L.SHORT))
 
@@ -610,7 +659,10 @@ def strict_reasons(spark, folder):
     return rows.select(F.explode(kinds).alias("k")).groupBy("k.profile", "k.reason").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(f"""SELECT source_record_id, sentences, lc AS signal_starts_lowercase, np AS signal_no_terminal_punctuation, cm AS signal_case_merge, candidates, round(candidates / sentences, 6) AS candidate_rate,
+    array_to_string({Z.flags({"SIGNAL_STARTS_LOWERCASE": "lc > 0", "SIGNAL_NO_TERMINAL_PUNCTUATION": "np > 0", "SIGNAL_CASE_MERGE": "cm > 0", "NO_CANDIDATE": "candidates = 0"})}, '|') AS reject_reasons
+    FROM (SELECT rec AS source_record_id, count(*) AS sentences, count_if({_SIGNALS["starts_lowercase"].replace("(st,", "(sentence_text,")}) AS lc, count_if({_SIGNALS["no_terminal_punctuation"].replace("(st,", "(sentence_text,")}) AS np, count_if({_SIGNALS["case_merge"].replace("(st,", "(sentence_text,")}) AS cm, count_if(len(reasons) = 0) AS candidates
+    FROM {Z.strict(L.STRICT, _SEG, "sentence_text", "rec", "sentence_text")} GROUP BY 1)""")
 def document_rollup(spark, folder):
     rows = L.select(_sentences(spark, folder).select("source_record_id", "sentence_text"), "sentence_text", (L.STRICT,)).select("source_record_id", *L.signals(F.col("sentence_text")), F.col("selected_strict").alias("candidate"))
     return A.roll_up(rows, "source_record_id", ["signal_starts_lowercase", "signal_no_terminal_punctuation", "signal_case_merge"], "candidate").withColumn("reject_reasons", _joined(F.col("reject_reasons")))
@@ -781,7 +833,7 @@ def one_to_one_join(spark, folder):
     return R.one_to_one(docs.select("doc_id", F.col("text").isNotNull().alias("has_text")), docs.select("doc_id", "n_chars"), "doc_id")
 
 
-@query()
+@query(f"SELECT s.sentence_id, g.start AS \"at\", g.rule FROM {_GAPS} g JOIN {_SEG} s ON s.rec = g.doc_id AND g.start > s.a AND g.start < s.b")
 def span_containment(spark, folder):
     """Gap matches with the sentence of their document that holds them."""
     gaps = _t(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("source_record_id"), F.explode(T.gap_spans(F.col("text"), _RULES)).alias("s")).select("source_record_id", F.col("s.start").alias("at"), "s.rule")
