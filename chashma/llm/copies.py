@@ -1,14 +1,14 @@
 """Records that are the same but for formatting: blanks, letter case, punctuation or the order of fields.
 
 Plan (dictionary encoding): a record is its whole text and, if it is a record card, its `name: value` fields.
-Each distinct short value is canonicalised once in a dictionary; values over `LONG` characters, which
-rarely repeat, are canonicalised where they stand, so that no long text is shuffled. Distinct canonical values
+Each distinct value is canonicalised once in a dictionary, whose key is a 128-bit print of the value: values are moved once for
+their dictionary entry, and everything else moves prints and ids. Distinct canonical values
 get integer ids, and records become sorted tuples of ids, which are grouped instead of texts. Groups are
 counted with partial aggregates and members find their group by a join on ids, which AQE splits where
 it is skewed; no group is collected.
 
 Two records are copies if their whole texts have one id, or if both are cards and have the same fields
-in any order; classes are closed under both (an iteration over distinct ids that ends after one round
+in any order; classes are closed under both (an iteration over distinct ids with pointer jumping, which ends after one round
 unless one text can be read as several cards).
 
 Defined cases: null texts and null keys are left out; texts without letters and digits are all equal;
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from chashma.plans.lineage import staged
 
-LONG = 64
 SEPARATORS = r"[;|\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]"
 _BLANK = r"[\s\p{Z}]"
 FIELD = rf"(?s)^{_BLANK}*[^:\s\p{{Z}}][^:]*:.*[^\s\p{{Z}}]"
@@ -56,23 +55,25 @@ def encode_records(rows: DataFrame) -> DataFrame:
     whole = F.struct(F.lit(-1).alias("no"), F.col("text").alias("raw"))
     fields = F.transform(F.coalesce(card_fields(F.col("text")), F.array().cast("array<string>")), lambda p, i: F.struct(i.alias("no"), p.alias("raw")))
     parts = good.select("table_name", "key", "occurrences", F.unhex(F.md5("text")).alias("row_print"), F.explode(F.concat(F.array(whole), fields)).alias("part"))
-    canon = lambda: F.when(F.col("no") < 0, canonical(F.col("raw"))).otherwise(_canon_field(F.col("raw")))
-    parts = parts.select("table_name", "key", "occurrences", "row_print", "part.no", "part.raw").withColumn("kind", F.col("no") < 0)
-    short, long = parts.where(F.length("raw") <= LONG), parts.where(F.length("raw") > LONG).withColumn("value", _print(canon())).drop("raw")
-    spelt = staged(short.select("kind", "raw").distinct().withColumn("no", F.when(F.col("kind"), -1).otherwise(0)).withColumn("value", _print(canon())).select("kind", "raw", "value"), "spellings")
+    parts = parts.select("table_name", "key", "occurrences", "row_print", "part.no", (F.col("part.no") < 0).alias("kind"), F.unhex(F.md5("part.raw")).alias("raw_print"), "part.raw")
+    # read twice: values for the dictionary, prints for the records
+    parts = staged(parts, "parts")
+    spelt = parts.groupBy("kind", "raw_print").agg(F.any_value("raw").alias("raw"))
+    spelt = staged(spelt.select("kind", "raw_print", _print(F.when(F.col("kind"), canonical(F.col("raw"))).otherwise(_canon_field(F.col("raw")))).alias("value")), "spellings")
     # an id is fixed once it is written; it would change if the numbering ran again
-    ids = staged(spelt.select("kind", "value").unionAll(long.select("kind", "value")).distinct().withColumn("id", F.monotonically_increasing_id()), "values")
-    coded_short = short.join(spelt.join(ids, ["kind", "value"]).select("kind", "raw", "id"), ["kind", "raw"])
-    coded_long = long.join(ids, ["kind", "value"])
+    ids = staged(spelt.select("kind", "value").distinct().withColumn("id", F.monotonically_increasing_id()), "values")
+    coded = parts.drop("raw").join(spelt.join(ids, ["kind", "value"]).select("kind", "raw_print", "id"), ["kind", "raw_print"])
     columns = ["table_name", "key", "occurrences", "row_print", "no", "id"]
-    coded = coded_short.select(columns).unionAll(coded_long.select(columns)).repartition("table_name", "key")
-    once = coded.groupBy("table_name", "key", "row_print").agg(F.max("occurrences").alias("occurrences"), F.max(F.when(F.col("no") < 0, F.col("id"))).alias("whole"), F.collect_set(F.when(F.col("no") >= 0, F.struct("no", "id"))).alias("set"))
+    once = coded.select(columns).repartition("table_name", "key").groupBy("table_name", "key", "row_print").agg(F.max("occurrences").alias("occurrences"), F.max(F.when(F.col("no") < 0, F.col("id"))).alias("whole"), F.collect_set(F.when(F.col("no") >= 0, F.struct("no", "id"))).alias("set"))
     record = F.min(F.struct("row_print", "occurrences", "whole", F.array_sort(F.transform("set", lambda x: x["id"])).alias("fields"))).alias("r")
     return staged(once.groupBy("table_name", "key").agg(record).select("table_name", "key", "r.occurrences", "r.whole", "r.fields"), "records")
 
 
 def _linked(records: DataFrame) -> DataFrame:
-    """(table_name, whole, class): texts that cards with equal fields put into one class, with the smallest id as its name."""
+    """(table_name, whole, class): texts that cards with equal fields put into one class, with the smallest id as its name.
+
+    A round gives each text the smallest class of its cards, then that class' own class, so the rounds grow with the logarithm of the longest chain.
+    """
     cards = records.where(F.size("fields") > 1).select("table_name", "fields", "whole").distinct()
     shared = cards.groupBy("table_name", "fields").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low < high").select("table_name", "fields")
     edges = staged(cards.join(shared, ["table_name", "fields"], "left_semi"), "card-edges")
@@ -84,8 +85,10 @@ def _linked(records: DataFrame) -> DataFrame:
         # a text read as one card only is settled after one round; so are all, if there is no other
         if not nearer.where("readings > 1").limit(1).count():
             return nearer.select("table_name", "whole", "class")
-        changed = nearer.join(labels.withColumnRenamed("class", "old"), ["table_name", "whole"]).where("class != old").limit(1).count()
-        labels = nearer.select("table_name", "whole", "class")
+        jump = nearer.select("table_name", F.col("whole").alias("class"), F.col("class").alias("further"))
+        moved = staged(nearer.join(jump, ["table_name", "class"]).select("table_name", "whole", F.least("class", "further").alias("class")), "card-classes")
+        changed = moved.join(labels.withColumnRenamed("class", "old"), ["table_name", "whole"]).where("class != old").limit(1).count()
+        labels = moved
         if not changed:
             return labels
 
