@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import spread, staged
+from chashma.plans.lineage import released, staged
 
 WIDTH, BLOCKS = 6, 48
 SLOTS = WIDTH * BLOCKS
@@ -128,28 +128,29 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         wide = np.zeros((len(lens), LONGS * 8), np.uint8)
         wide[:, : raw.shape[1]] = raw
         fixed = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("table_name"), batch.column("id"), batch.column("class"), lists, fixed(blocks), fixed(wide.view(np.int64))], ["table_name", "id", "class", "words", "blocks", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), fixed(blocks), fixed(wide.view(np.int64))], ["id", "blocks", "bits"])
 
 
-def fingerprints(rows: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(members, classes) of rows (table_name, key, text): the class of each key, and words, blocks and bits of each class, both staged."""
+def fingerprints(rows: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, prints) of rows (table_name, key, text): the class of each key, the words of each class, and its blocks and bits, all staged."""
     good = rows.where("text IS NOT NULL AND key IS NOT NULL").select("table_name", F.col("key").cast("bigint").alias("key"), "text")
-    made = staged(spread(good).mapInArrow(_word_sets(least_words), "table_name string, key bigint, class binary, row_print binary, words array<bigint>"), "word-sets")
+    made = staged(good.mapInArrow(_word_sets(least_words), "table_name string, key bigint, class binary, row_print binary, words array<bigint>"), "word-sets")
     members = staged(made.groupBy("table_name", "key").agg(F.min(F.struct("row_print", "class")).alias("m")).select("table_name", "key", "m.class"), "members")
     # an id is fixed by the table it is written to, so fingerprints are made after it
     shown = staged(made.groupBy("table_name", "class").agg(F.first("words").alias("words")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    return members, staged(shown.mapInArrow(_fingerprints, "table_name string, id bigint, class binary, words array<bigint>, blocks array<bigint>, bits array<bigint>"), "fingerprints")
+    released(made)  # members and classes have all of it
+    return members, shown, staged(shown.select("table_name", "id", "words").mapInArrow(_fingerprints, "id bigint, blocks array<bigint>, bits array<bigint>"), "fingerprints")
 
 
-def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_classes(classes: DataFrame, prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(table_name, id_a, id_b, shared, distinct): pairs of classes whose shared words are at least `threshold` of all their words."""
-    entries = classes.select("id", F.explode("blocks").alias("block"))
+    entries = prints.select("id", F.explode("blocks").alias("block"))
     a, b = (entries.select(F.col("id").alias(f"id_{x}"), "block") for x in "ab")
     candidates = a.join(b, "block").where("id_a < id_b").select("id_a", "id_b").distinct()
     most = SLOTS * (1 - threshold) / 2
     most += 5 * (SLOTS * (1 - threshold) / 2 * (1 - (1 - threshold) / 2)) ** 0.5
     # most pairs end here, so words move for the others only
-    bits = lambda x: classes.select(F.col("id").alias(f"id_{x}"), *(F.col("bits")[k].alias(f"bits_{x}{k}") for k in range(LONGS)))
+    bits = lambda x: prints.select(F.col("id").alias(f"id_{x}"), *(F.col("bits")[k].alias(f"bits_{x}{k}") for k in range(LONGS)))
     apart = sum((F.bit_count(F.col(f"bits_a{k}").bitwiseXOR(F.col(f"bits_b{k}"))) for k in range(1, LONGS)), F.bit_count(F.col("bits_a0").bitwiseXOR(F.col("bits_b0"))))
     near = staged(candidates.join(bits("a"), "id_a").join(bits("b"), "id_b").where(apart <= most).select("id_a", "id_b"), "near")
     words = lambda x: classes.select(*(["table_name"] if x == "a" else []), F.col("id").alias(f"id_{x}"), F.col("words").alias(f"words_{x}"))
@@ -160,8 +161,8 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
     """All pairs of rows of one table, key_a < key_b, whose distinct words are alike: pairs of classes and pairs within a class."""
-    members, classes = fingerprints(rows, least_words)
-    links = staged(similar_classes(classes, threshold), "links")
+    members, classes, prints = fingerprints(rows, least_words)
+    links = staged(similar_classes(classes, prints, threshold), "links")
     named = members.join(classes.select("table_name", "class", "id"), ["table_name", "class"]).select("table_name", "key", "id")
     one, two = (named.select("table_name", F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
     across = links.select("id_a", "id_b").join(one, "id_a").join(two.drop("table_name"), "id_b").select("table_name", "key_a", "key_b")
@@ -175,8 +176,8 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD, least_words: int = LEA
     Components by rounds of taking the smallest label of the neighbours and then the label's own label;
     each round is a staged table, and rounds end when no label changes.
     """
-    members, classes = fingerprints(rows, least_words)
-    links = staged(similar_classes(classes, threshold), "links")
+    members, classes, prints = fingerprints(rows, least_words)
+    links = staged(similar_classes(classes, prints, threshold), "links")
     both = staged(links.select("id_a", "id_b").unionAll(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))), "edges")
     labels = staged(both.groupBy("id_a").agg(F.least(F.min("id_b"), F.col("id_a")).alias("label")).withColumnRenamed("id_a", "id"), "labels")
     while True:
