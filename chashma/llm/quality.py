@@ -1,15 +1,14 @@
 """Per-document text statistics that tell prose from lists, tables and junk.
 
-A text is cut into chunks of at most `CHUNK` characters, at a blank where there is one. Of each chunk the
+A text is cut into chunks of about `CHUNK` characters, at single blanks or line breaks outside of tags. Of each chunk the
 counts are taken together with the state at both ends: the unfinished first and last line, the classes of
 the first and last token and the prints of the first and last word. `merge` joins two neighbouring
 partials, is associative and corrects what the cut hid (a line, a pair of tokens, a repeated word), so that
-partials of one document merge in a tree: each level is an aggregation over at most `FAN` neighbours. A
-text within one chunk, as nearly all are, is settled where it is read and never shuffled. A token longer
-than 256 characters may be cut; it counts once, but its class and letters are those of its pieces.
+partials of one document merge in a tree: each level is an aggregation over at most `FAN` neighbours. The
+result is that of the uncut text at any size of chunks. A text within one chunk, as nearly all are, is a tree of one.
 
-How likely letters follow each other is learnt from a bounded sample of the corpus (`SAMPLE_TEXTS` rows);
-it tells random letters from words.
+How likely letters follow each other is learnt from a bounded sample of the corpus (`SAMPLE_TEXTS` rows of at most
+`SAMPLE_CHARS` characters each); it tells random letters from words.
 
 Defined cases: a null text gives null statistics and no kind; an empty or blank text counts nothing and is
 junk; rows delivered twice count once; other columns are not read.
@@ -26,9 +25,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import spread, staged
-
-CHUNK, FAN, SAMPLE_TEXTS = 1 << 20, 32, 4000
+CHUNK, SAMPLE_TEXTS, SAMPLE_CHARS = 1 << 20, 4000, 20_000
+#: Partials merged in one step of the tree, and the most characters a value can have, which bounds the steps: two for chunks of `CHUNK`.
+FAN, MOST_CHARS = 64, 1 << 31
 #: From fewer letter pairs nothing is learnt, and the rule on unlikely letters rests.
 LEAST_PAIRS = 5000
 
@@ -139,10 +138,7 @@ class Letters:
 
 
 def partial(text: str, letters: Letters) -> list:
-    """[counts, first line, last line, newline seen, first token, last token, first word, last word, open ends] of a chunk.
-
-    Open ends are bits: whether a token (1, 2) or a word (4, 8) touches the start or the end.
-    """
+    """[counts, first line, last line, newline seen, first token, last token, first word, last word] of a chunk."""
     n = [0.0] * len(COUNTS)
     n[_AT["chars"]] = len(text)
     tokens = _TOKEN.findall(text)
@@ -197,10 +193,7 @@ def partial(text: str, letters: Letters) -> list:
     lines = [_line(x) for x in text.split("\n")]
     for x in lines[1:-1]:
         _count_line(n, x)
-    ends = 0
-    if text:
-        ends = (not text[0].isspace()) + 2 * (not text[-1].isspace()) + 4 * bool(_WORD.match(text[0])) + 8 * bool(_WORD.match(text[-1]))
-    return [n, lines[0], lines[-1], len(lines) > 1, first, last, first_word, last_word, ends]
+    return [n, lines[0], lines[-1], len(lines) > 1, first, last, first_word, last_word]
 
 
 def _line(text: str) -> list:
@@ -232,14 +225,9 @@ def _count_pair(n: list, a: int, b: int) -> None:
 
 
 def merge(a: list, b: list) -> list:
-    """The partial of two neighbouring stretches of text; associative."""
+    """The partial of two neighbouring stretches of text; associative. Cuts go through no token, so what they hid is a line, a pair of tokens or a repeated word."""
     n = [x + y for x, y in zip(a[0], b[0])]
-    ends = a[8] & 5 | b[8] & 10
-    if a[8] & 2 and b[8] & 1:
-        # a token that the cut went through was counted on both sides; so was a word, if it went through one
-        n[_AT["tokens"]] -= 1
-        n[_AT["words"]] -= bool(a[8] & 8 and b[8] & 4)
-    elif a[5] >= 0 and b[4] >= 0:
+    if a[5] >= 0 and b[4] >= 0:
         _count_pair(n, a[5], b[4])
     if a[7] and a[7] == b[6]:
         n[_AT["repeated_words"]] += 1
@@ -250,7 +238,7 @@ def merge(a: list, b: list) -> list:
     if a[3] and b[3]:
         _count_line(n, joined)
     pick = lambda x, y, none: x if x != none else y
-    return [n, first, last, a[3] or b[3], pick(a[4], b[4], -1), pick(b[5], a[5], -1), pick(a[6], b[6], 0), pick(b[7], a[7], 0), ends]
+    return [n, first, last, a[3] or b[3], pick(a[4], b[4], -1), pick(b[5], a[5], -1), pick(a[6], b[6], 0), pick(b[7], a[7], 0)]
 
 
 def finish(state: list) -> dict[str, float]:
@@ -304,27 +292,33 @@ def count_text(text: str, letters: Letters) -> dict[str, float]:
     return finish(partial(text, letters))
 
 
+#: Where a text may be cut: behind a single blank or line break between two tokens.
+_CUT = regex.compile(r"(?<=\S)[ \n](?=\S)")
+_BRACKET = regex.compile(r"[<>]")
+
+
 def chunks(text: str, size: int) -> list[str]:
-    """Cut at the last blank of a chunk, if there is one in its last 256 characters."""
+    """Pieces of about `size` characters, cut at the first place behind that where no token, gap or tag is cut in two; a text without such a place stays whole."""
     out, at = [], 0
     while len(text) - at > size:
-        end = at + size
-        cut = max(text.rfind(" ", end - 256, end), text.rfind("\n", end - 256, end))
-        end = cut + 1 if cut > at else end
-        out.append(text[at:end])
-        at = end
+        # an open tag reaches at most 203 characters
+        cut = next((m.end() for m in _CUT.finditer(text, at + size) if not (open_ := _BRACKET.findall(text, max(at, m.end() - 203), m.end())) or open_[-1] == ">"), None)
+        if cut is None:
+            break
+        out.append(text[at:cut])
+        at = cut
     out.append(text[at:])
     return out
 
 
-_STATE = "key string, print bigint, chunk int, of int, counts array<double>, head array<int>, tail array<int>, broken boolean, tokens array<int>, prints array<bigint>, ends int"
+_STATE = "key string, print bigint, chunk int, of int, counts array<double>, head array<int>, tail array<int>, broken boolean, tokens array<int>, prints array<bigint>"
 _STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
-_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32()]
+_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
 
 def _rows(states: list[tuple]) -> pa.RecordBatch:
-    flat = [(k, p, i, of, s[0], s[1], s[2], s[3], [s[4], s[5]], [s[6], s[7]], s[8]) for k, p, i, of, s in states]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], _KINDS[j]) for j in range(11)], _STATE_NAMES)
+    flat = [(k, p, i, of, s[0], s[1], s[2], s[3], [s[4], s[5]], [s[6], s[7]]) for k, p, i, of, s in states]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], _KINDS[j]) for j in range(10)], _STATE_NAMES)
 
 
 def _partials(held, size: int):
@@ -342,25 +336,35 @@ def _partials(held, size: int):
 
 
 def _merge_group(table: pa.Table) -> pa.Table:
-    # a row delivered twice gives its chunks twice
-    rows = sorted({r["chunk"]: r for r in table.to_pylist()}.values(), key=lambda r: r["chunk"])
+    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     state = None
     for r in rows:
-        one = [r["counts"], r["head"], r["tail"], r["broken"], *r["tokens"], *r["prints"], r["ends"]]
+        one = [r["counts"], r["head"], r["tail"], r["broken"], *r["tokens"], *r["prints"]]
         state = one if state is None else merge(state, one)
     return pa.Table.from_batches([_rows([(rows[0]["key"], rows[0]["print"], rows[0]["chunk"] // FAN, -(-rows[0]["of"] // FAN), state)])])
 
 
 def sample(df: DataFrame, columns: list[Column], key: Column, rows: int) -> list:
-    """The rows whose key's hash is among the smallest `rows` hashes; only hashes are sorted."""
+    """One row for each of the `rows` distinct keys with the smallest hashes, in their order; of rows with one key that with the smallest values. Only hashes are sorted.
+
+    The caller bounds the characters of a text with `sample_text`, so what comes to the driver has a bound.
+    """
     h = F.xxhash64(key)
-    edge = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(h <= F.lit(edge)).select(*columns).limit(2 * rows).collect() if edge is not None else []
+    edge = df.select(h.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if edge is None:
+        return []
+    picked = df.where(h <= F.lit(edge)).groupBy(h.alias("h")).agg(F.min(F.struct(*columns)).alias("r")).collect()
+    return [r["r"] for r in sorted(picked, key=lambda r: r["h"])]
+
+
+def sample_text(column: str, chars: int = SAMPLE_CHARS) -> Column:
+    """A text to learn from: at most `chars` characters of it. Texts that are judged are read whole."""
+    return F.left(F.col(column), F.lit(chars)).alias(column)
 
 
 def learn(df: DataFrame, key_col: str, text_col: str, common: list[str], sample_texts: int = SAMPLE_TEXTS) -> Letters:
     """Letters from a bounded sample of rows."""
-    rows = sample(df.where(F.length(text_col) > 0), [F.col(text_col)], F.col(key_col), sample_texts)
+    rows = sample(df.where(F.length(text_col) > 0), [sample_text(text_col)], F.col(key_col), sample_texts)
     return Letters.learn([r[0] for r in rows], common)
 
 
@@ -397,23 +401,20 @@ def _whole(held):
 def statistics(df: DataFrame, key_col: str, text_col: str, letters: Letters, chunk: int = CHUNK) -> DataFrame:
     """One row for each key with a text: its kind and its counts. Of rows with one key that with the smallest print of its text counts.
 
-    Texts are not shuffled: rows delivered twice are counted twice and the results are reduced to one, column by column, so that unused ones are pruned.
+    A text within one chunk is settled where it is read; of longer ones the chunks' partials are merged in a tree of aggregations, whose
+    groups have at most `FAN` rows. Texts are not shuffled: rows delivered twice are counted twice and the results are reduced to one, column by column, so that unused ones are pruned.
     """
     held = df.sparkSession.sparkContext.broadcast((letters.table, letters.common))
     rows = df.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"))
-    rows = spread(rows)
-    longest = df.agg(F.max(F.length(text_col))).first()[0] or 0
-    parts = -(-longest // max(1, chunk - 256))
-    if parts <= 1:
-        done = rows.mapInArrow(_whole(held), _DONE)
-    else:
-        # a tree over the documents of several chunks; the others pass by
-        states = staged(rows.mapInArrow(_partials(held, chunk), _STATE), "partials")
-        whole, broken = states.where("of = 1"), states.where("of > 1")
-        while parts > 1:
-            broken = broken.groupBy("key", "print", F.floor(F.col("chunk") / FAN).alias("branch")).applyInArrow(_merge_group, _STATE)
-            parts = -(-parts // FAN)
-        done = whole.unionAll(broken).mapInArrow(_finish, _DONE)
+    size = F.length("text")
+    states = rows.where(size > chunk).mapInArrow(_partials(held, chunk), _STATE)
+    # a row delivered twice gives its chunks twice
+    states = states.dropDuplicates(["key", "print", "chunk"])
+    parts = MOST_CHARS // chunk
+    while parts > 1:
+        parts = -(-parts // FAN)
+        states = states.groupBy("key", "print", F.floor(F.col("chunk") / FAN).alias("branch")).applyInArrow(_merge_group, _STATE)
+    done = rows.where(size <= chunk).mapInArrow(_whole(held), _DONE).unionAll(states.mapInArrow(_finish, _DONE))
     one = done.groupBy("key").agg(*(F.min_by(n, "print").alias(n) for n in ("code", *COUNTS)))
     return one.select("key", F.element_at(F.array(*map(F.lit, KIND_NAMES)), F.col("code") + 1).alias("kind"), *COUNTS)
 
