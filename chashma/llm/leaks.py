@@ -6,8 +6,9 @@ are compared along its diagonal, which gives the exact run and the substitution-
 The masks hit every stretch of `SPAN` or more words of which three quarters are equal, wherever the others
 stand: a longer stretch has a part of 10 to 19 words with that share, and all of these are enumerated in the tests.
 
-The items' seeds are sent to all executors only if their text is within `max_item_chars`, which is
-measured first; beyond it, seeds of both sides are joined by shuffle and hits are verified after the join.
+The items are taken in blocks of at most `BLOCK_CHARS` characters of text. Of each block the words' numbers and the sorted seeds
+are made once, as arrays, and sent to all executors, where the seeds of the corpus are joined with them; the hits of all
+blocks are put together. So what is sent has a fixed bound, and any number of items goes the same way.
 
 Defined cases: null or wordless texts contain nothing; repeated items or documents of one id count once;
 texts of any length are scanned whole; items of fewer than `SPAN` words cannot be found.
@@ -16,7 +17,6 @@ texts of any length are scanned whole; items of fewer than `SPAN` words cannot b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import spread
-
 #: Selected offsets of each mask; all fit into ten words. No masks of seven or more offsets hit all stretches.
 SPAN = 10
 MASKS = (
@@ -35,7 +33,8 @@ MASKS = (
 #: Odd multipliers, one for each offset.
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 MARKS = "'`´‘’ʻʼ"
-MAX_ITEM_CHARS = 64_000_000
+#: A word gives twelve seeds of 16 bytes, so a block sends some 60 MB at most; an item longer than this is a block of its own.
+BLOCK_CHARS = 2_000_000
 TOLERANCE = 0.75
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
@@ -99,22 +98,39 @@ def _joined(a: tuple, b: tuple) -> tuple:
     return (max(a[0], b[0]), *max(a[1:], b[1:]))
 
 
-def _scan(items, tolerance: float):
-    """Texts against items that every executor holds."""
+def index(items: list[tuple[int, str]]) -> dict:
+    """What a block of items is found by: numbers of its words, its texts as numbers, and the seeds of all of them, sorted, with text and place."""
+    vocabulary: dict[str, int] = {}
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in items]
+    seeds, whose, where = [], [], []
+    for k, ids in enumerate(texts):
+        for at, h in seed_hashes(ids):
+            seeds.append(h)
+            whose.append(np.full(len(at), k, np.int32))
+            where.append(at.astype(np.int32))
+    seeds, whose, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, whose, where))
+    order = np.argsort(seeds, kind="stable")
+    return {"words": vocabulary, "ids": [i for i, _ in items], "texts": texts, "seeds": seeds[order], "whose": whose[order], "where": where[order]}
+
+
+def blocks_of(items: Iterator, chars: int) -> Iterator[list[tuple[int, str]]]:
+    block, size = [], 0
+    for i, text in items:
+        if block and size + len(text) > chars:
+            yield block
+            block, size = [], 0
+        block.append((i, text))
+        size += len(text)
+    if block:
+        yield block
+
+
+def _scan(held, tolerance: float):
+    """Texts against one block of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary: dict[str, int] = {}
-        coded = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], np.int64)) for i, t in items.value]
-        seeds, whose, where = [], [], []
-        for k, (_, ids) in enumerate(coded):
-            for at, h in seed_hashes(ids):
-                seeds.append(h)
-                whose.append(np.full(len(at), k))
-                where.append(at)
-        seeds, whose, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, whose, where))
-        order = np.argsort(seeds, kind="stable")
-        seeds, whose, where = seeds[order], whose[order], where[order]
-        get = vocabulary.get
+        get, own, texts, seeds, whose, where = (held.value[k] for k in ("words", "ids", "texts", "seeds", "whose", "where"))
+        get = get.get
         for batch in batches:
             docs, starts, flat = [], [], []
             gap = [0] * SPAN
@@ -138,8 +154,8 @@ def _scan(items, tolerance: float):
                             continue
                         seen.add(key)
                         words = ids[starts[d] : starts[d + 1] - SPAN]
-                        got = compare(words, coded[key[1]][1], key[2], tolerance)
-                        pair = (docs[d], coded[key[1]][0])
+                        got = compare(words, texts[key[1]], key[2], tolerance)
+                        pair = (docs[d], own[key[1]])
                         found[pair] = _joined(found[pair], got) if pair in found else got
             rows = [(*k, *v) for k, v in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j < 2 else pa.int32()) for j in range(7)], FIELDS)
@@ -150,47 +166,13 @@ def _scan(items, tolerance: float):
 FIELDS = [x.split()[0] for x in FOUND.split(", ")]
 
 
-def _word_id(word: str) -> int:
-    import xxhash
-
-    return (xxhash.xxh3_64_intdigest(word) >> 1) | 1
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, id, position) of all windows of a text."""
-    for batch in batches:
-        for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.array([_word_id(w) for w in words_of(text)], np.int64)
-            for at, h in seed_hashes(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([owner] * len(at), pa.int64()), pa.array(at.astype(np.int32))], ["seed", "owner", "at"])
-
-
-def _verify(tolerance: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                doc, item = (np.array([_word_id(w) for w in words_of(r[c])], np.int64) for c in ("text", "item_text"))
-                rows.append((r["doc_id"], r["item_id"], *reduce(_joined, (compare(doc, item, d, tolerance) for d in r["diagonals"]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j < 2 else pa.int32()) for j in range(7)], FIELDS)
-
-    return run
-
-
-def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_chars: int = MAX_ITEM_CHARS, tolerance: float = TOLERANCE) -> DataFrame:
+def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each document and item with a hit: longest exact run of all diagonals, best tolerant overlap of all diagonals, and where that starts."""
-    spark = corpus.sparkSession
-    docs = corpus.select(corpus[id_col].cast("bigint").alias("doc_id"), corpus[text_col].alias("text"))
+    context = corpus.sparkSession.sparkContext
+    docs = corpus.select(corpus[id_col].cast("bigint").alias("doc_id"), corpus[text_col].alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
     tests = items.select(items[item_col].cast("bigint").alias("item_id"), items[item_text_col].alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL").dropDuplicates(["item_id", "item_text"])
-    chars = tests.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    if chars <= max_item_chars:
-        held = spark.sparkContext.broadcast([tuple(r) for r in tests.collect()])
-        hits = spread(docs.where("text IS NOT NULL AND doc_id IS NOT NULL")).mapInArrow(_scan(held, tolerance), FOUND)
-    else:
-        schema = "seed bigint, owner bigint, at int"
-        ours = spread(docs.where("text IS NOT NULL AND doc_id IS NOT NULL")).mapInArrow(_emit, schema).select("seed", F.col("owner").alias("doc_id"), F.col("at").alias("doc_at"))
-        theirs = tests.mapInArrow(_emit, schema).select("seed", F.col("owner").alias("item_id"), F.col("at").alias("item_at"))
-        near = ours.join(theirs, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("diagonals"))
-        hits = near.join(docs, "doc_id").join(tests, "item_id").select("doc_id", "item_id", "text", "item_text", "diagonals").mapInArrow(_verify(tolerance), FOUND)
+    hits = corpus.sparkSession.createDataFrame([], FOUND)
+    for block in blocks_of(tests.toLocalIterator(), block_chars):
+        hits = hits.unionAll(docs.mapInArrow(_scan(context.broadcast(index(block)), tolerance), FOUND))
     best = F.max(F.struct("overlap_words", "matched_words", "doc_word", "item_word")).alias("best")
     return hits.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), best).select("doc_id", "item_id", "longest_run", "best.*")
