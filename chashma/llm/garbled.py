@@ -2,9 +2,10 @@
 
 A chain says how a text was garbled: written as E, read as D, perhaps twice. A multinomial classifier
 over hashed byte pairs is trained on a bounded sample of the corpus, garbled synthetically by every
-chain; `sample_texts` bounds it. All texts are scored whole: the byte pairs of each word give its odds of
+chain; `sample_texts` bounds it, and `SAMPLE_CHARS` the characters of each. All texts are scored whole: the byte pairs of each word give its odds of
 being garbled at all; of texts with a word in doubt every chain is inverted word by word, the likeliest first, and a
-word counts only if it decodes strictly and the result is likelier as clean text. Where characters
+word counts only if it decodes strictly and the result is likelier as clean text. A restored text is judged again, so that
+stretches garbled by different chains are restored one after the other. Where characters
 were lost, what is left of multi-byte sequences is counted, and the text is found but not restored.
 
 Defined cases: null and empty texts are not garbled; correct foreign words, signs and accents do not
@@ -21,8 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chashma.llm.quality import sample
-from chashma.plans.lineage import spread
+from chashma.llm.quality import sample, sample_text
 
 SAMPLE_TEXTS = 400
 HASH_BITS = 16
@@ -201,7 +201,18 @@ class Judge:
         return word, seen, 0
 
     def judge(self, text: str) -> tuple[str, int, int, str | None] | None:
-        """(chain, garbled words, of them not restorable, restored text) or None."""
+        """(chains joined by ` + `, garbled words, of them not restorable, restored text) or None."""
+        chains, good, lost, now, seen = [], 0, 0, text, {text}
+        while got := self.one_chain(now):
+            chains.append(got[0])
+            good, lost, now = good + got[1], lost + got[2], got[3]
+            if now is None or now in seen:
+                break
+            seen.add(now)
+        return (" + ".join(chains), good, lost, now) if chains else None
+
+    def one_chain(self, text: str) -> tuple[str, int, int, str | None] | None:
+        """The chain that gains most: its name, garbled words, of them not restorable, text without it; or None."""
         doubtful = [w for w in _words(text) if not w.isascii() and self.doubt(w) > 0]
         if not doubtful:
             return None
@@ -319,10 +330,10 @@ def _find(table, doubt: float):
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = SAMPLE_TEXTS) -> np.ndarray:
     """Train on at most `sample_texts` texts, those with the smallest hashes of their ids."""
-    return train([r[0] for r in sample(df.where(F.length(text_col) > 0), [F.col(text_col)], F.col(id_col), sample_texts)])
+    return train([r[0] for r in sample(df.where(F.length(text_col) > 0), [sample_text(text_col)], F.col(id_col), sample_texts)])
 
 
 def find_garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = SAMPLE_TEXTS, doubt: float = DOUBT) -> DataFrame:
     """One row for each garbled text: its chain, garbled words, how many of them lost characters, and the restored text if none did."""
     table = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col, sample_texts))
-    return spread(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_find(table, doubt), RESULT)
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_find(table, doubt), RESULT)
