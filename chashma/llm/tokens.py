@@ -5,6 +5,7 @@ at most `block_chars` characters of text, and for each text the positions as ind
 block is what is shuffled instead of single occurrences, so a frequent word moves once per block.
 Then: distinct words of all blocks -> encoded once each -> joined back to the blocks' words -> one row
 per block -> ids put together by position. A text longer than `block_chars` is a block of its own.
+Decoding goes the same way: the distinct ids of each block are joined with the token-byte table.
 
 Defined cases: an empty or null text gives an empty list; each input row gives one output row, also when ids repeat or are null;
 strings that look like special tokens are ordinary text; other columns are not read.
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import spread, staged
+from chashma.plans.lineage import staged
 
 #: Fixed value: the split pattern that belongs to the byte-level vocabularies.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -77,11 +78,12 @@ def _blocks(pattern: str, block_chars: int):
     return run
 
 
-def _encoder(ranks, pattern: str):
+def _encoder(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
+        # each word is a pre-token already
+        encode = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         for batch in batches:
             words = batch.column(0)
             yield pa.RecordBatch.from_arrays([words, pa.array([encode(w) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "word_ids"])
@@ -117,10 +119,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = V
     """One row (doc_id, ids) for each row of `df`: the ids of its text without special tokens."""
     spark = df.sparkSession
     texts = df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].alias("text"))
-    blocks = staged(spread(texts).mapInArrow(_blocks(pattern, block_chars), _BLOCKS), "pretokens")
+    blocks = staged(texts.mapInArrow(_blocks(pattern, block_chars), _BLOCKS), "pretokens")
     used = blocks.select("block", F.posexplode("words").alias("at", "word"))
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    coded = used.select("word").distinct().mapInArrow(_encoder(ranks, pattern), "word string, word_ids array<int>")
+    coded = used.select("word").distinct().mapInArrow(_encoder(ranks), "word string, word_ids array<int>")
     # at most one row per block and word: a word in every text is joined once per block, and skewed partitions are split
     spelt = used.join(coded.hint("shuffle_merge"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "word_ids")).alias("spelt"))
     whole = blocks.select("block", "doc_ids", "lens", "idx").join(spelt, "block", "left").withColumn("spelt", F.coalesce("spelt", F.array().cast(spelt.schema["spelt"].dataType)))
@@ -132,21 +134,49 @@ def token_bytes(spark, vocabulary: str = VOCABULARY) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(b)) for b, i in read_ranks(vocabulary).items()], "token_id int, token_bytes binary")
 
 
-def _decoder(table):
+_ID_BLOCKS = "block string, doc_ids array<bigint>, lens array<int>, idx array<int>, tokens array<int>"
+
+
+def _id_blocks(block_ids: int):
+    """Blocks of at most `block_ids` ids: the distinct ones, and for each row the positions as indexes into them; a row of null ids has length -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [b"".join([known[i] for i in ids]).decode("utf-8", "replace") if ids is not None else None for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            lens = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.maximum(lens, 0))
+            lo = 0
+            while lo < len(lens):
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + block_ids, "right")))
+                tokens, idx = np.unique(batch.column(1)[lo : hi].flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                one = lambda values, kind: pa.array([values], pa.list_(kind))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{part}-{n}"]), one(batch.column(0)[lo:hi].to_pylist(), pa.int64()), one(lens[lo:hi].astype(np.int32), pa.int32()), one(idx.astype(np.int32), pa.int32()), one(tokens.astype(np.int32), pa.int32())],
+                    ["block", "doc_ids", "lens", "idx", "tokens"],
+                )
+                lo, n = hi, n + 1
 
     return run
 
 
-def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of encoded rows. The token-byte table has the vocabulary's fixed size, so each executor holds it and nothing is shuffled."""
-    table = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in read_ranks(vocabulary).items()})
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(table), "doc_id bigint, text string")
-
-
-def token_count(ids: Column) -> Column:
-    return F.size(ids)
+def _join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            known = {x["at"]: x["token_bytes"] for x in row["spelt"]}
+            texts, at = [], 0
+            for n in row["lens"]:
+                texts.append(None if n < 0 else b"".join([known[i] for i in row["idx"][at : at + n]]).decode("utf-8", "replace"))
+                at += max(n, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY, block_ids: int = BLOCK_CHARS // 4) -> DataFrame:
+    """(doc_id, text) of encoded rows; null ids give null. An id that the vocabulary does not have is an error."""
+    blocks = staged(encoded.select("doc_id", "ids").mapInArrow(_id_blocks(block_ids), _ID_BLOCKS), "ids")
+    used = blocks.select("block", F.posexplode("tokens").alias("at", "token_id"))
+    spelt = used.join(token_bytes(encoded.sparkSession, vocabulary), "token_id").groupBy("block").agg(F.collect_list(F.struct("at", "token_bytes")).alias("spelt"))
+    whole = blocks.select("block", "doc_ids", "lens", "idx").join(spelt, "block", "left").withColumn("spelt", F.coalesce("spelt", F.array().cast(spelt.schema["spelt"].dataType)))
+    return whole.drop("block").mapInArrow(_join_bytes, "doc_id bigint, text string")
