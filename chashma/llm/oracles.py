@@ -14,16 +14,24 @@ _SHORT = f"""WITH e AS ({_ELIGIBLE}), n AS (SELECT floor(count(*) / 3)::BIGINT A
     SELECT t.part_number, t.target_permille, t.min_documents, n.n, coalesce(c.available, 0) AS available,
         greatest(t.min_documents, (t.target_permille * n.n + 999) // 1000) AS wanted, (t.target_permille * n.n) // 1000 AS base, (t.target_permille * n.n) % 1000 AS rest
     FROM sampling_targets t CROSS JOIN n LEFT JOIN c ON c.part = t.part_number"""
-_QUOTAS = f"""WITH s AS ({_SHORT}),
-    i AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, part_number) <= n - sum(base) OVER () THEN 1 ELSE 0 END AS ideal FROM s),
-    f AS (SELECT *, least(available, greatest(ideal, min_documents)) AS q FROM i),
-    g AS (SELECT *, n - sum(q) OVER () AS gap FROM f),
-    r AS (SELECT *, CASE WHEN gap >= 0 THEN available - q ELSE greatest(0, q - least(min_documents, available)) END AS room FROM g),
-    a AS (SELECT *, sum(room) OVER () AS all_room FROM r),
-    m AS (SELECT *, CASE WHEN all_room > 0 THEN (room * least(abs(gap), all_room)) // all_room ELSE 0 END AS moved, CASE WHEN all_room > 0 THEN (room * least(abs(gap), all_room)) % all_room ELSE 0 END AS spare FROM a),
-    x AS (SELECT *, moved + CASE WHEN row_number() OVER (ORDER BY spare DESC, part_number) <= least(abs(gap), all_room) - sum(moved) OVER () AND room > moved THEN 1 ELSE 0 END AS given FROM m)
-    SELECT part_number, target_permille::BIGINT AS permille, min_documents::BIGINT AS floor, n, available, ideal::BIGINT AS ideal, wanted::BIGINT AS wanted,
-        (q + sign(gap) * given)::BIGINT AS quota, greatest(0, wanted - available)::BIGINT AS shortfall FROM x"""
+#: What is lacking is handed out in rounds: each round gives every category with room its share of targets of what is left, up to its room.
+_QUOTAS = f"""WITH RECURSIVE s AS ({_SHORT}),
+    i AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, part_number) <= sum(rest) OVER () // 1000 THEN 1 ELSE 0 END AS ideal FROM s),
+    f AS (SELECT *, least(available, greatest(ideal, min_documents))::BIGINT AS q FROM i),
+    g AS (SELECT *, (n - sum(q) OVER ())::BIGINT AS gap, CASE WHEN target_permille > 0 THEN available - q ELSE 0 END AS room FROM f),
+    r AS (SELECT 0 AS round, part_number, target_permille AS w, room, 0.0::DOUBLE AS has, greatest(gap, 0)::DOUBLE AS pot FROM g
+        UNION ALL SELECT round + 1, part_number, w, room, least(room, has + gift), pot - sum(least(room, has + gift) - has) OVER ()
+        FROM (SELECT *, CASE WHEN room - has > 1e-9 THEN pot * w / sum(CASE WHEN room - has > 1e-9 THEN w ELSE 0 END) OVER () ELSE 0 END AS gift FROM r WHERE round < 60)),
+    t AS (SELECT part_number, room, CASE WHEN abs(has - round(has)) < 1e-6 THEN round(has) ELSE has END AS has FROM r WHERE round = 60),
+    u AS (SELECT part_number, floor(has)::BIGINT AS low, has - floor(has) AS spare, sum(has) OVER () AS all_given FROM t),
+    v AS (SELECT part_number, low + CASE WHEN spare > 0 AND row_number() OVER (ORDER BY round(spare, 9) DESC, part_number) <= round(all_given - sum(low) OVER ()) THEN 1 ELSE 0 END AS taken FROM u),
+    b AS (SELECT *, greatest(0, q - least(min_documents, available)) AS above FROM g),
+    a AS (SELECT *, sum(above) OVER () AS all_above, least(-gap, sum(above) OVER ()) AS back FROM b),
+    m AS (SELECT *, CASE WHEN back > 0 THEN (above * back) // all_above ELSE 0 END AS low, CASE WHEN back > 0 THEN (above * back) % all_above ELSE 0 END AS spare FROM a),
+    x AS (SELECT *, low + CASE WHEN row_number() OVER (ORDER BY spare DESC, part_number) <= back - sum(low) OVER () AND above > low THEN 1 ELSE 0 END AS given FROM m),
+    y AS (SELECT x.*, (CASE WHEN gap >= 0 THEN q + taken ELSE q - given END)::BIGINT AS quota FROM x JOIN v USING (part_number))
+    SELECT part_number, target_permille::BIGINT AS permille, min_documents::BIGINT AS floor, n, available, ideal::BIGINT AS ideal, wanted::BIGINT AS wanted, quota, least(quota, available) AS drawn,
+        greatest(0, wanted - quota)::BIGINT AS missing, available - quota AS "left", greatest(0, wanted - available)::BIGINT AS shortfall FROM y"""
 _KEYED = f"""SELECT id, part, ('0x' || substr(md5('42|' || id), 1, 15))::BIGINT AS sample_key FROM ({_ELIGIBLE})"""
 
 _REDUCED = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
