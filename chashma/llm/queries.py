@@ -52,6 +52,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.alike_pairs(_looks(spark, folder))
 
 
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each row that looks like another but differs, with its class: no pairs."""
+    return lookalikes.classes(_looks(spark, folder))
+
+
 def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Each text of the three tables in its form, rows delivered twice once: the hash of that form beside the stored one, and the hash that is equal for all texts that look the same."""
     rows = _looks(spark, folder).dropDuplicates(["table_name", "key", "text", "stored_sha256"])
@@ -59,20 +64,21 @@ def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
     return formed.select("table_name", "key", "form", F.sha2("form", 256).alias("form_sha256"), "stored_sha256", F.sha2("skeleton", 256).alias("look_sha256"), (F.col("form") != F.col("text")).alias("changed"))
 
 
-def _plan(spark: SparkSession, folder: str) -> DataFrame:
-    return proportions.quotas(proportions.eligible(table(spark, folder, "validation_documents")), table(spark, folder, "sampling_targets"))
+def _sampled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return proportions.sample(table(spark, folder, "validation_documents"), table(spark, folder, "sampling_targets"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan(spark, folder).where("shortfall > 0").select(F.col("category").alias("part_number"))
+    """Parts whose sample lacks more than the draw left of them."""
+    return proportions.report(*_sampled(spark, folder)).where("shortfall > 0").select(F.col("category").alias("part_number"))
 
 
 def p1_quotas(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan(spark, folder).withColumnRenamed("category", "part_number")
+    return proportions.report(*_sampled(spark, folder)).withColumnRenamed("category", "part_number")
 
 
 def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
-    drawn, _ = proportions.sample(table(spark, folder, "validation_documents"), table(spark, folder, "sampling_targets"))
+    drawn, _ = _sampled(spark, folder)
     return drawn.select(F.col("document_id").alias("source_record_id"), F.col("category").alias("part_number"), "sample_key")
 
 
@@ -121,15 +127,16 @@ def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.ratios(_statistics(spark, folder)).withColumnRenamed("key", "sample_id")
 
 
-def _segments(spark: SparkSession, folder: str) -> DataFrame:
-    return languages.segments(table(spark, folder, "routing_signal_audit"), table(spark, folder, "common_words"), "sample_id", "sentence_text", "lang")
+def _segments(spark: SparkSession, folder: str, prose_only: bool = False) -> DataFrame:
+    return languages.segments(table(spark, folder, "routing_signal_audit"), table(spark, folder, "common_words"), "sample_id", "sentence_text", "lang", prose_only)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return languages.relabelled(_segments(spark, folder)).select(F.col("key").alias("sample_id"), "lang")
+    return languages.relabelled(_segments(spark, folder, True)).select(F.col("key").alias("sample_id"), "lang")
 
 
 def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every row, `und` where there is no text."""
     return languages.languages(_segments(spark, folder)).withColumnRenamed("key", "sample_id")
 
 
@@ -138,15 +145,17 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
-    return sentences.sentences(table(spark, folder, "routing_signal_audit"), "sample_id", "sentence_text", with_text)
+    return sentences.sentences(table(spark, folder, "routing_signal_audit"), "sample_id", "sentence_text", with_text, prose_only=not with_text)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Of prose, as lists, tables and junk are no cases."""
     return _sentences(spark, folder, False).where("sentence > 0").select(F.col("key").alias("sample_id"), "start_char")
 
 
 def p6_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every text."""
     return _sentences(spark, folder, True).withColumnRenamed("key", "sample_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_sentences, p4_found, p4_statistics, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_sentences, p4_found, p4_statistics, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_classes, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}

@@ -33,6 +33,9 @@ def test_tokens(spark):
     back = {r.doc_id: r.text for r in tokens.decode_corpus(encoded).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+    for size in (7, 100_000):
+        back = {r.doc_id: r.text for r in tokens.decode_corpus(encoded.unionByName(spark.createDataFrame([(500, None)], "doc_id long, ids array<int>")), block_ids=size).collect()}
+        assert back[500] is None and all(back[i] == (t or "") for i, t in enumerate(texts))
     assert tokens.token_bytes(spark).count() == 50256
 
 
@@ -42,7 +45,7 @@ def brute_leaks(docs, items, n=10):
     return {(d, i) for d, t in docs for i, s in items if t and s and d is not None and grams(t) & grams(s)}
 
 
-@pytest.mark.parametrize("bound", [leaks.MAX_ITEM_CHARS, 0])
+@pytest.mark.parametrize("bound", [leaks.BLOCK_CHARS, 100])
 def test_leaks(spark, bound):
     rng = random.Random(1)
     vocabulary = [f"so'z{i}" for i in range(60)]
@@ -55,11 +58,11 @@ def test_leaks(spark, bound):
     docs += [(200, None), (201, ""), (202, ". " * 50), (203, "qq " * 20_000 + items[0][1]), (100, docs[60][1]), (None, items[1][1])]
     df = clashing(spark.createDataFrame(docs, "doc_id long, text string"))
     tests = clashing(spark.createDataFrame(items, "item_id long, text string"))
-    found = leaks.find_leaks(df, tests, max_item_chars=bound).collect()
+    found = leaks.find_leaks(df, tests, block_chars=bound).collect()
     assert {(r.doc_id, r.item_id) for r in found if r.longest_run >= 10} == brute_leaks(docs, items)
     assert len({(r.doc_id, r.item_id) for r in found}) == len(found)
-    assert leaks.find_leaks(df, tests.limit(0), max_item_chars=bound).count() == 0
-    assert leaks.find_leaks(df.limit(0), tests, max_item_chars=bound).count() == 0
+    assert leaks.find_leaks(df, tests.limit(0), block_chars=bound).count() == 0
+    assert leaks.find_leaks(df.limit(0), tests, block_chars=bound).count() == 0
 
 
 def test_leak_with_substitution(spark):
@@ -77,17 +80,17 @@ def test_masks_hit_every_stretch():
             assert any(all(same[k + o] for o in mask) for mask in leaks.MASKS for k in range(n - mask[-1])), (n, different)
 
 
-@pytest.mark.parametrize("bound", [leaks.MAX_ITEM_CHARS, 0])
+@pytest.mark.parametrize("bound", [leaks.BLOCK_CHARS, 100])
 @pytest.mark.parametrize("every", [4, 5, 6, 7])
 def test_leak_with_every_nth_word_substituted(spark, every, bound):
     words = [f"w{i}" for i in range(30)]
     changed = [(first, "bir ikki " + " ".join(w if i % every != first else f"boshqa{i}" for i, w in enumerate(words))) for first in range(every)]
-    got = leaks.find_leaks(spark.createDataFrame(changed, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"), max_item_chars=bound).collect()
+    got = leaks.find_leaks(spark.createDataFrame(changed, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"), block_chars=bound).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(first, 7) for first in range(every)]
     assert all(r.overlap_words >= 20 and r.matched_words >= 0.75 * r.overlap_words for r in got)
 
 
-@pytest.mark.parametrize("bound", [leaks.MAX_ITEM_CHARS, 0])
+@pytest.mark.parametrize("bound", [leaks.BLOCK_CHARS, 100])
 def test_run_and_overlap_on_different_diagonals(spark, bound):
     """Eight words copied after an insertion, and thirty with every eighth substituted, in one text and in two rows of one id."""
     words = [f"w{i}" for i in range(60)]
@@ -95,7 +98,7 @@ def test_run_and_overlap_on_different_diagonals(spark, bound):
     rest = [w if i % 8 != 7 else f"boshqa{i}" for i, w in enumerate(words[20:50])]
     rows = [(1, " ".join([*run, *["x"] * 30, *rest])), (2, " ".join([*run, *"xyz"])), (2, " ".join(rest)), (3, " ".join([*rest, *["x"] * 30, *run]))]
     items = spark.createDataFrame([(7, " ".join(["q"] * 3 + words))], "item_id long, text string")
-    got = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, max_item_chars=bound).collect()
+    got = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, block_chars=bound).collect()
     assert {r.doc_id for r in got} == {r[0] for r in rows}
     assert all(r.longest_run == 8 and r.overlap_words == 30 and r.matched_words == 27 and r.item_word == 23 for r in got), got
 
@@ -134,10 +137,21 @@ def test_lookalikes(spark):
     want = {("t", *sorted((a, b))) for a, b in itertools.combinations([f"k{i}" for i in range(len(same))] + ["same0"], 2) if texts[a] != texts[b]} | {("t", "long", "long2")}
     assert pairs == want
     assert lookalikes.alike_pairs(df.limit(0)).count() == 0
+    members = {(r.table_name, r.key): (r.class_key, r.class_rows) for r in lookalikes.classes(df).collect()}
+    assert members == {("t", k): ("k0", 7) for k in texts if k in {f"k{i}" for i in range(len(same))} | {"same0"}} | {("t", k): ("long", 2) for k in ("long", "long2")}
+    assert lookalikes.classes(df.limit(0)).count() == 0
     forms = {r.key: r.form for r in lookalikes.with_forms(df, F.col("key"), F.col("text")).collect()}
     assert forms["k1"] == same[0] and forms["null"] is None and forms["empty"] == ""
 
 
+LOOKS = [("ў", "y\u0306", True), ("ç", "с\u0327", True), ("ӧ", "ö", True), ("Ўй", "Y\u0306й", True), ("ё", "ë", True), ("ά", "á", True), ("Ⅳ-㎏ ﬁ", "IV-kg fi", True), ("ｱ", "ア", True), ("𝐀b", "Ab", True), ("№", "No", True), ("…", "...", False), ("x²", "x2", False), ("①", "1", False), ("½", "1/2", False), ("é", "e", False)]
+
+
+def test_looks(spark):
+    df = spark.createDataFrame([("t", f"{i}{side}", t) for i, (a, b, _) in enumerate(LOOKS) for side, t in (("a", f"{i} {a}"), ("b", f"{i} {b}"))], "table_name string, key string, text string")
+    assert {r.key_a[:-1] for r in lookalikes.alike_pairs(df).collect()} == {str(i) for i, (_, _, alike) in enumerate(LOOKS) if alike}
+
+
 # ---- proportions
 def test_proportions(spark):
     rows = [(i, 1, 5, 1.0) for i in range(100)] + [(1000 + i, 2, 5, 2.0) for i in range(20)] + [(2000 + i, 9, 1, 1.0) for i in range(30)]
@@ -145,7 +159,7 @@ def test_proportions(spark):
     docs = clashing(spark.createDataFrame(rows, "source_record_id long, part_number int, part_allocated_documents int, sampling_weight double"))
     targets = clashing(spark.createDataFrame([(1, 500, 2), (2, 490, 5), (7, 10, 3), (None, 5, 5)], "part_number int, target_permille int, min_documents int"), skip=("n", "quota"))
     drawn, plan = proportions.sample(docs, targets)
-    plan = {r.category: r for r in plan.collect()}
+    plan = {r.category: r for r in proportions.report(drawn, plan).collect()}
     assert plan[1].n == 50 and plan[1].available == 100 and plan[2].available == 20
     assert plan[2].shortfall == 5 and plan[7].shortfall == 3 and plan[1].shortfall == 0
     assert sum(r.quota for r in plan.values()) == 50 and plan[2].quota == 20 and plan[7].quota == 0
@@ -159,6 +173,42 @@ def test_proportions(spark):
         assert drawn.count() == 0 and plan.count() in (0, 3)
 
 
+def brute_quotas(parts, n):
+    """Hand out what is lacking one document at a time, to the category with room that is furthest behind its target; exact fractions."""
+    from fractions import Fraction
+
+    rest = {c: w * n % 1000 for c, (w, f, a) in parts.items()}
+    first = sorted(parts, key=lambda c: (-rest[c], c))[: sum(rest.values()) // 1000]
+    quota = {c: min(a, max(w * n // 1000 + (c in first), f)) for c, (w, f, a) in parts.items()}
+    gap, room = n - sum(quota.values()), {c: a - quota[c] if w else 0 for c, (w, f, a) in parts.items()}
+    if gap < 0:
+        return quota
+    share = {c: Fraction(0) for c in parts}
+    pot = Fraction(gap)
+    while pot and (left := [c for c in parts if share[c] < room[c]]):
+        weights = sum(parts[c][0] for c in left)
+        gifts = {c: min(room[c] - share[c], pot * parts[c][0] / weights) for c in left}
+        for c, g in gifts.items():
+            share[c] += g
+        pot -= sum(gifts.values())
+    parted = sorted((c for c in parts if share[c].denominator > 1), key=lambda c: (-(share[c] % 1), c))
+    units = sum(share.values()) - sum(int(x) for x in share.values())
+    return {c: quota[c] + int(share[c]) + (c in parted[: int(units)]) for c in parts}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quotas_follow_the_targets(spark, seed):
+    rng = random.Random(seed)
+    parts = {c: (rng.choice([0, 10, 50, 200, 333]), rng.choice([0, 0, 2]), rng.choice([0, 3, 20, 90, 400])) for c in range(9)}
+    rows = [(c * 1000 + i, c, 1, 1.0) for c, (_, _, a) in parts.items() for i in range(a)]
+    docs = spark.createDataFrame(rows, "source_record_id long, part_number int, part_allocated_documents int, sampling_weight double")
+    targets = spark.createDataFrame([(c, w, f) for c, (w, f, _) in parts.items()], "part_number int, target_permille int, min_documents int")
+    n = len(rows) // proportions.SHARE
+    got = {r.category: r.quota for r in proportions.quotas(proportions.eligible(docs), targets).collect()}
+    assert got == brute_quotas(parts, n)
+    assert sum(got.values()) == min(n, sum(a for w, f, a in parts.values() if w) + sum(min(f, a) for w, f, a in parts.values() if not w))
+
+
 # ---- copies
 def test_copies(spark):
     card = "Sana: 1/2/2020; Muallif: Ali; Raqam: 7"
@@ -229,19 +279,32 @@ def test_kinds(spark, smallest):
 
 
 def test_merge_is_exact():
+    """At any size of chunks, and in any order of merging, the result is that of the uncut text."""
     rng = random.Random(3)
     letters = quality.Letters.learn(["salom dunyo bugun yangi kun"] * 3, ["kun"])
-    pool = ["salom", "salom", "12,5", "-", "•", "\n", "\n", "\t", "a)", "narx:", "77", "kun.", "|", "  ", ";", "<b>", "7"]
-    for _ in range(200):
-        text = " ".join(rng.choices(pool, k=60)).replace(" \n ", "\n")
-        whole = quality.count_text(text, letters)
-        parts = [quality.partial(p, letters) for p in quality.chunks(text, rng.randint(20, 90))]
-        while len(parts) > 1:
-            k = rng.randrange(len(parts) - 1)
-            parts[k : k + 2] = [quality.merge(parts[k], parts[k + 1])]
-        got = quality.finish(parts[0])
-        # gaps of blanks that a cut goes through are the one count that needs both sides of it
-        assert {n: round(v, 6) for n, v in got.items() if n != "wide_gaps"} == {n: round(v, 6) for n, v in whole.items() if n != "wide_gaps"}
+    pool = ["salom", "salom", "12,5", "-", "•", "\n", "\n", "\t", "a)", "narx:", "77", "kun.", "|", "  ", "     55", ";", "<b>", "7", '<div class="a b c" id=x>', "<a href='bir ikki uch to\u2018rt besh'", "&nbsp;", "f1ac2d08fcdc7041833c6c6d884e2b39", "Q" * 400, "x < 5", "> 7"]
+    for size in [*range(20, 400, 13), 256, 512, 1024, 2048]:
+        for words in (60, 900):
+            text = " ".join(rng.choices(pool, k=words)).replace(" \n ", "\n")
+            whole = quality.count_text(text, letters)
+            pieces = quality.chunks(text, size)
+            assert "".join(pieces) == text
+            parts = [quality.partial(p, letters) for p in pieces]
+            while len(parts) > 1:
+                k = rng.randrange(len(parts) - 1)
+                parts[k : k + 2] = [quality.merge(parts[k], parts[k + 1])]
+            got = quality.finish(parts[0])
+            assert {n: round(v, 6) for n, v in got.items()} == {n: round(v, 6) for n, v in whole.items()}
+            assert quality.kind(got) == quality.kind(whole)
+
+
+def test_sample_is_bounded(spark):
+    """A key with most of the rows is one row of the sample, and a long text gives no more than its bound."""
+    rows = [("hot", "x" * 50_000)] * 300 + [(f"k{i}", f"matn {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    got = quality.sample(df, [quality.sample_text("text")], F.col("key"), 40)
+    assert len(got) == 40 and all(len(r[0]) <= quality.SAMPLE_CHARS for r in got)
+    assert len(quality.sample(df, [quality.sample_text("text")], F.col("key"), 1000)) == 101
 
 
 def test_statistics(spark):
@@ -265,7 +328,7 @@ def test_automaton():
     text = "".join(rng.choices("abc", k=300))
     a = languages.Automaton(text)
     for _ in range(300):
-        s = "".join(rng.choices("abcd", k=rng.randint(0, 12)))
+        s = "".join(rng.choices("abcd😀", k=rng.randint(0, 12)))
         want, i = 0, 0
         while i < len(s):
             n = 1
@@ -278,7 +341,7 @@ def test_automaton():
 def test_languages(spark):
     folder = "/root/testdata/sf0.01"
     rows, words = spark.read.parquet(f"{folder}/routing_signal_audit.parquet"), spark.read.parquet(f"{folder}/common_words.parquet")
-    model = languages.Model(languages.fit(rows, words, "sample_id", "sentence_text", "lang")["texts"])
+    model = languages.fit(rows, words, "sample_id", "sentence_text", "lang")["model"]
     held = {
         "uz": ["Bugun shahrida yangi kitob haqida sekin yozishmoqda.", "Эртага шаҳрида янги китоб ҳақида секин ёзишмоқда."], "ru": ["После долгих споров новая школа получила ответ на письмо жителей."], "en": ["The quiet farmer visited the library after the meeting."],
         "tr": ["Geçen yıl eski köprü ile yeni müze açıldı."], "kk": ["Өткен жылы суық оқушы мен ескі кітап айтылды."], "tg": ["Соли гузашта ҳар шаҳр ва ҳар дарё кушода шуд."], "zh": ["昨天老师在车站买到了两份报告。"], "hi": ["किसान बाजार में नई किताब देख रहा था।"], "ar": ["كتب المعلم الكتاب الجديد في القرية."],
@@ -301,11 +364,40 @@ def test_language_table(spark):
     words = spark.read.parquet("/root/testdata/sf0.001/common_words.parquet")
     rows = [("a", "The farmer visited the library and the river was in the town.", "en")] * 2 + [("b", None, "en"), ("c", "", None), ("d", "7 8 9", "xx"), (None, "The end of it.", "en"), ("e", "the of and to in " * 5000, None)]
     df = clashing(spark.createDataFrame(rows, "key string, text string, lang string"), skip=("label",))
+    every = languages.languages(languages.segments(df, words, "key", "text", "lang")).collect()
+    assert {r.key for r in every} == set("abcde") and {(r.key, r.confidence) for r in every if r.lang == "und"} == {(k, 1.0) for k in "bcd"}
     got = languages.relabelled(languages.segments(df, words, "key", "text", "lang")).collect()
     assert all(r.key in ("a", "e") for r in got)
+    only = languages.relabelled(languages.segments(df, words, "key", "text", "lang", prose_only=True)).collect()
+    assert {(r.key, r.lang) for r in only} == {(r.key, r.lang) for r in got}
     assert languages.segments(df.limit(0), words, "key", "text", "lang").count() == 0
 
 
+def test_costs_of_a_batch_are_those_of_single_texts():
+    """Texts of all scripts side by side give the phrases that each alone gives, counted where they begin."""
+    rng = random.Random(4)
+    known = {"uz": "bu yerda yangi kitob bor edi va эски уй ҳам бор эди", "ru": "новая школа и старая школа", "zh": "昨天老师在车站买到了两份报告", "en": "the old school and the new river"}
+    model = languages.Model({l: f" {t} " for l, t in known.items()})
+    words = [w for t in known.values() for w in t.split()] + ["qwx", "ёжик", "報告😀", "昨天老师"]
+    texts = [rng.choices(words, k=rng.choice([0, 1, 5, 63, 64, 65, 300])) for _ in range(40)]
+    for text, got in zip(texts, model.costs(texts)):
+        want = []
+        for lo in range(0, len(text), languages.PIECE):
+            line, at = languages.running(text[lo : lo + languages.PIECE])
+            ends = [*at[1:], len(line)]
+            rows = [[0.0] * len(model.languages) for _ in at]
+            for j, l in enumerate(model.languages):
+                i, learnt = 0, f" {known[l]} "
+                while i < len(line):
+                    rows[next(k for k, e in enumerate(ends) if i < e)][j] += model.weights[j]
+                    n = 1
+                    while i + n < len(line) and line[i : i + n + 1] in learnt:
+                        n += 1
+                    i += n
+            want += [[min(languages.MOST_COST, c - min(r)) for c in r] for r in rows]
+        assert len(want) == len(got) and all(abs(a - b) < 1e-9 for x, y in zip(want, got.tolist()) for a, b in zip(x, y))
+
+
 # ---- sentences
 def parts(text, gaps=None):
     at = sentences.starts(text, gaps or sentences.Gaps({}, {}, {}))
@@ -335,6 +427,21 @@ def test_sentences(pieces):
     assert parts(joiner.join(pieces), gaps) == pieces
 
 
+@pytest.mark.parametrize("marks", ["«»", "“”", "„“", '""', "‹›"])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 20])
+def test_reported_quotation_is_one_sentence(marks, n):
+    inner = " ".join(f"Bu yerda uy bor edi{'m' if k % 2 else ''}." for k in range(n))
+    quoted = f"{marks[0]}{inner}{marks[1]}"
+    for told in (f"{quoted}, dedi u.", f"U dedi: {quoted}", f"{quoted} — dedi Ali.", f"{quoted} deb so'radi u."):
+        assert parts(f"{told} Keyin u ketdi.") == [told, "Keyin u ketdi."]
+    assert len(parts(f"{quoted} Keyin u ketdi.")) == n + 1  # it stands alone, so its sentences do too
+
+
+def test_quotes_without_a_match_count_for_nothing():
+    assert parts("A «uy bor. Keyin u ketdi. Va qaytdi.") == ["A «uy bor.", "Keyin u ketdi.", "Va qaytdi."]
+    assert parts('Ekrani 5" bor. Keyin u ketdi. "Yo\'q. Ketdim," dedi Ali.') == ['Ekrani 5" bor.', "Keyin u ketdi.", '"Yo\'q. Ketdim," dedi Ali.']
+
+
 def test_sentence_with_many_possible_ends():
     """A sentence may span any number of possible ends, and the cuts are those of a look at all pairs of ends."""
     gaps = sentences.Gaps.learn(["Bu yerda uy bor. U katta."] * 3)
@@ -353,12 +460,11 @@ def test_sentence_with_many_possible_ends():
 
 
 def brute_starts(text, gaps):
-    nodes = [(0, 0.0)] + [(m.end(), p) for m in sentences._END.finditer(text) if (p := sentences._node(text, m.start(), m.end(), gaps)) is not None and sentences._TEXT.search(text, m.end())] + [(len(text), 0.0)]
-    depth = [sum(sentences._QUOTES.get(c, 0) for c in text[:stop]) for stop, _ in nodes]
-    straight = [text[:stop].count('"') for stop, _ in nodes]
+    """All pairs of ends; quotations and what they cost are taken from the operator, whose own tests are above."""
+    nodes = sentences.nodes_of(text, gaps)
     best, back = [0.0], [0]
     for j in range(1, len(nodes)):
-        costs = [(best[i] + nodes[j][1] + 3.0 * (min(3, abs(depth[j] - depth[i])) + (straight[j] - straight[i]) % 2) + sentences._edge(text[nodes[i][0] : min(nodes[j][0], nodes[i][0] + 120)]), i) for i in range(j)]
+        costs = [(best[i] + nodes[j][1] + sentences._edge(text[nodes[i][0] : min(nodes[j][0], nodes[i][0] + 120)]), i) for i in range(j)]
         best.append(min(costs)[0])
         back.append(min(costs)[1])
     cuts, j = [], len(nodes) - 1
@@ -386,7 +492,8 @@ def test_sentence_table(spark):
     df = clashing(spark.createDataFrame(rows, "key string, text string"))
     got = sentences.sentences(df, "key", "text").collect()
     assert [(r.start_char, r.text) for r in sorted(got, key=lambda r: r.sentence) if r.key == "a"] == [(0, "Yangi kun keldi."), (17, "Hamma uyg'ondi.")]
-    assert {r.key for r in got} == {"a", "e"} and sum(r.key == "e" for r in got) == 4000
+    assert {r.key for r in got} == {"a", "d", "e"} and sum(r.key == "e" for r in got) == 4000
+    assert {r.key for r in got if not r.prose} == {"d"} and {r.key for r in sentences.sentences(df, "key", "text", False, True).collect()} == {"a", "e"}
     assert sentences.sentences(df.limit(0), "key", "text").count() == 0
 
 
@@ -414,6 +521,18 @@ def test_garbled(spark):
         assert found(text) is None, text
 
 
+def test_two_chains_in_one_text(spark):
+    clean = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0").orderBy("doc_id").limit(400).collect()]
+    judge = garbled.Judge(garbled.train(clean))
+    source = "Кичик шоирлар янги китоб ҳақида сўзлашди, лекин музей эртага очилади."
+    for one, two in ((("utf-8", "cp1252"), ("utf-8", "cp1251")), (("utf-8", "latin-1"), ("utf-8", "cp866"))):
+        for times in (1, 250):
+            a, b = (garbled.garble(source, c, judge.readings) for c in (one, two))
+            got = judge.judge(" ".join([source, *[a] * times, source, b, source]))
+            assert got and set(got[0].split(" + ")) == {">".join(one), ">".join(two)}
+            assert got[3] == " ".join([source] * (times + 4))
+
+
 def test_garbled_table(spark):
     good = "Кичик шоирлар янги китоб ҳақида сўзлашди."
     bad = garbled.garble(good, ("utf-8", "cp1252"), garbled._readings())
