@@ -18,7 +18,8 @@ def label_counts(df: DataFrame, *columns: str) -> DataFrame:
 def item_counts(df: DataFrame, items: str, none: str = "SELECTED") -> DataFrame:
     """Rows for each item of an array column; rows without items count under `none`."""
     told = F.coalesce(F.col(items), F.array().cast("array<string>"))
-    return df.select(F.explode(F.when(F.size(told) == 0, F.array(F.lit(none))).otherwise(told)).alias("item")).groupBy("item").agg(F.count("*").alias("rows"))
+    # an outer explode, as a plain one pushes a filter on the array below it and so makes the array twice
+    return df.select(F.explode_outer(F.when(F.size(told) == 0, F.array(F.lit(none))).otherwise(told)).alias("item")).groupBy("item").agg(F.count("*").alias("rows"))
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probabilities: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
@@ -60,24 +61,28 @@ def blocks(df: DataFrame, id_col: str, size: int, *measures: Column) -> DataFram
 def exact_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each text that occurs more than once: hash, length, first id, occurrences. Texts are grouped by hash and length; a last column counts different texts behind one hash.
 
-    Ids of copies are not gathered (a text may be a third of all rows); `duplicate_members` lists them as rows.
+    Two phases: hashes and lengths give the candidates, then the whole texts of the candidates alone are compared: a group whose smallest and largest
+    texts differ is a collision. Ids of copies are not gathered (a text may be a third of all rows); `duplicate_members` lists them as rows.
     """
-    hashed = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("text_sha256"), F.length(text_col).alias("character_count"), F.xxhash64(text_col).alias("second"))
-    grouped = hashed.groupBy("text_sha256", "character_count").agg(F.min("id").alias("first_id"), F.count("*").alias("occurrences"), (F.max("second") != F.min("second")).cast("int").alias("collisions"))
-    return grouped.where("occurrences > 1")
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("text_sha256"), F.length(text_col).alias("character_count"), F.col(text_col).alias("text"))
+    key = ["text_sha256", "character_count"]
+    candidates = texts.groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("occurrences")).where("occurrences > 1")
+    # partial aggregates keep one or two texts a group and task
+    compared = texts.join(candidates.select(*key), key, "left_semi").groupBy(*key).agg((F.max("text") != F.min("text")).cast("int").alias("collisions"))
+    return candidates.join(compared, key)
 
 
 def duplicate_members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(first_id, id) of each copy after the first."""
     hashed = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("text_sha256"))
-    groups = exact_duplicates(df, id_col, text_col).select("text_sha256", "first_id")
+    groups = hashed.groupBy("text_sha256").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("text_sha256", "first_id")
     return hashed.join(groups, "text_sha256").where("id != first_id").select("first_id", "id")
 
 
 def text_groups(df: DataFrame, text_col: str, *distinct: str) -> DataFrame:
-    """Texts that occur more than once: rows and distinct values of other columns."""
+    """Texts that occur more than once: rows, distinct values of other columns, and the first and last of them as a preview of fixed size."""
     grouped = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("text_sha256"))
-    return grouped.agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(f"distinct_{c}") for c in distinct)).where("rows > 1")
+    return grouped.agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(f"distinct_{c}") for c in distinct), *(f(c).alias(f"{n}_{c}") for c in distinct for n, f in (("first", F.min), ("last", F.max)))).where("rows > 1")
 
 
 def crosstab(df: DataFrame, group: str, label: str, labels: list[str], usable: list[str]) -> DataFrame:
@@ -86,12 +91,11 @@ def crosstab(df: DataFrame, group: str, label: str, labels: list[str], usable: l
     return table.withColumn("usable_percent", T.percent(sum((F.col(x) for x in usable[1:]), F.col(usable[0])), F.col("labelled")))
 
 
-def parts_with_zeros(df: DataFrame, part: str, parts: int, *measures: Column) -> DataFrame:
+def parts_with_zeros(df: DataFrame, part: str, parts: int, **measures: Column) -> DataFrame:
     """Measures for every part 0 .. parts - 1, also for those without rows."""
     every = df.sparkSession.range(parts).select(F.col("id").alias(part))
-    names = [m._jc.toString().rsplit(" AS ", 1)[-1].strip("`") for m in measures]
-    told = df.groupBy(F.col(part).cast("bigint").alias(part)).agg(*measures)
-    return every.join(told, part, "left").select(part, *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names))
+    told = df.groupBy(F.col(part).cast("bigint").alias(part)).agg(*(m.alias(n) for n, m in measures.items()))
+    return every.join(told, part, "left").select(part, *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in measures))
 
 
 def roll_up(rows: DataFrame, key: str, risks: list[str], candidate: str) -> DataFrame:
@@ -142,7 +146,7 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: list[floa
 
 def signal_summary(df: DataFrame, signals: list[str], label: str, usable: list[str], harmful: list[str]) -> DataFrame:
     """For each boolean signal: rows flagged, their share, and the shares of usable and harmful labels among them. Signals are unpivoted in one pass."""
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.coalesce(F.col(s), F.lit(False)).alias("on")) for s in signals))).alias("x"), F.col(label).alias("label"))
+    pairs = df.select(F.explode_outer(F.array(*(F.struct(F.lit(s).alias("signal"), F.coalesce(F.col(s), F.lit(False)).alias("on")) for s in signals))).alias("x"), F.col(label).alias("label"))
     sums = pairs.groupBy("x.signal").agg(F.count("*").alias("rows"), F.count_if("x.on").alias("flagged"), F.count_if(F.col("x.on") & F.col("label").isin(usable)).alias("usable"), F.count_if(F.col("x.on") & F.col("label").isin(harmful)).alias("harmful"))
     return sums.select("signal", "flagged", T.percent(F.col("flagged"), F.col("rows"), 4).alias("coverage_percent"), T.percent(F.col("usable"), F.col("flagged"), 4).alias("usable_percent"), T.percent(F.col("harmful"), F.col("flagged"), 4).alias("harmful_percent"))
 

@@ -111,6 +111,12 @@ def validate(raw: DataFrame, normalized: DataFrame, id_col: str, text_col: str)
     return one.unpivot([], list(checks), "problem", "failing")
 
 
+def split_valid(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of valid input with their text, and rows of invalid input with what is known of them."""
+    valid = normalized.where("input_valid").select("source_record_id", "normalized_text", "normalized_text_sha256", "normalization_status", "review_flags")
+    return valid, normalized.where("NOT input_valid").select("source_record_id", "schema_version", "normalization_status")
+
+
 def counters(normalized: DataFrame) -> DataFrame:
     """(kind, name, records): counts of statuses, flags and operations in one pass."""
     kinds = F.concat(
@@ -118,18 +124,21 @@ def counters(normalized: DataFrame) -> DataFrame:
         F.transform(F.coalesce("review_flags", F.array().cast("array<string>")), lambda x: F.struct(F.lit("flag").alias("kind"), x.alias("name"))),
         F.transform(F.coalesce("operations_applied", F.array().cast("array<string>")), lambda x: F.struct(F.lit("operation").alias("kind"), x.alias("name"))),
     )
-    return normalized.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.name").agg(F.count("*").alias("records"))
+    return normalized.select(F.explode_outer(kinds).alias("k")).groupBy("k.kind", "k.name").agg(F.count("*").alias("records"))
 
 
-def run_checks(normalized: DataFrame) -> DataFrame:
-    """(name, status, observed, expected) of equalities that hold for a whole run."""
+def run_checks(normalized: DataFrame, raw: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(name, status, observed, expected) of equalities that hold for a whole run and its input; the row problems of `validate` are one of them."""
     c = F.col
+    scalars = {"problems": validate(raw, normalized, id_col, text_col).agg(F.sum("failing").cast("bigint")), "source_rows": raw.agg(F.count("*")), "source_texts": raw.agg(F.count(text_col))}
     one = normalized.agg(
         F.count("*").alias("rows"), F.count_if("input_valid").alias("valid"), F.count_if(~c("input_valid")).alias("invalid"), F.count_if(c("operation_count") > 0).alias("changed"),
         F.count_if(c("normalization_status").startswith("CHANGED")).alias("changed_status"), F.count_if("review_required").alias("review"), F.sum("operation_count").cast("bigint").alias("operations"),
         F.coalesce(F.sum("character_delta"), F.lit(0)).cast("bigint").alias("delta"), F.count_if(c("review_required") & c("normalization_status").endswith("REVIEW_REQUIRED")).alias("review_status"), F.count_distinct("source_record_id").alias("ids"),
-    )
+        F.count_if(c("input_valid") & c("normalization_status").startswith("UNCHANGED")).alias("unchanged"), F.count_if(c("input_valid") & ~c("review_required")).alias("without_review"), F.count_if(c("input_valid") & c("review_required")).alias("valid_review"),
+    ).withColumns({n: d.scalar() for n, d in scalars.items()})
     pairs = {
+        "input_output_record_count": (c("rows"), c("source_rows")), "texts_are_valid_rows": (c("valid"), c("source_texts")), "changed_and_unchanged_make_valid": (c("changed") + c("unchanged"), c("valid")), "review_and_no_review_make_valid": (c("valid_review") + c("without_review"), c("valid")), "no_row_problems": (c("problems"), F.lit(0).cast("bigint")),
         "valid_and_invalid_make_all": (c("valid") + c("invalid"), c("rows")), "changed_rows_have_changed_status": (c("changed_status"), c("changed")), "review_rows_have_review_status": (c("review_status"), c("review")),
         "one_operation_for_each_change": (c("operations"), c("changed")), "delta_is_minus_changes": (c("delta"), -c("changed")), "ids_are_unique": (c("ids"), c("rows")),
     }

@@ -16,19 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chashma.plans.lineage import spread
-
 VERSION = "phase_03_sentence_record_v1"
 LONG = 400
 
 # Marks, words and phrases the rules know.
 TERMINALS = ".!?…"
 CLOSERS = "\"»”’)]}"
-SPEECH = frozenset("deb dedi deya degan deyiladi deganidek shiori".split())
-ABBREVIATIONS = frozenset("aj mchj prof dr kv".split())
+SPEECH = frozenset(("deb", "dedi", "deya", "degan", "deyiladi", "deganidek", "shiori"))
+ABBREVIATIONS = frozenset(("aj", "mchj", "prof", "dr", "kv"))
 LETTER_PAIRS = frozenset(("sh", "ch", "o'", "g'"))
-SUFFIXES = frozenset("ning ni ga da dan".split())
-DOMAINS = frozenset("uz ru com net org day az info".split())
+SUFFIXES = frozenset(("ning", "ni", "ga", "da", "dan"))
+DOMAINS = frozenset(("uz", "ru", "com", "net", "org", "day", "az", "info"))
 ORDINALS = r"(?:bir\s+minginchi|besh\s+yuzinchi|birinchi|beshinchi|o'ninchi|yuzinchi)"
 REVIEW = ("LOWERCASE_AFTER_TERMINAL", "NO_TERMINAL_PUNCTUATION", "VERY_LONG_SEGMENT", "SHORT_TOKEN_BEFORE_PERIOD", "SUSPICIOUS_ORDINAL_PERIOD_PROTECTED", "ROMAN_EXPANSION_INITIAL_PROTECTED", "LOWERCASE_AFTER_STRONG_PUNCTUATION_PROTECTED")
 
@@ -120,7 +118,7 @@ def segment(df: DataFrame, id_col: str, text_col: str, flags_col: str | None = N
     """Sentence records of all texts: id, index, offsets, text, marks, method, flags, lineage."""
     parent = F.col(flags_col) if flags_col else F.array().cast("array<string>")
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("source_record_id"), F.col(text_col).alias("normalized_text"), parent.alias("parent_review_flags"))
-    spans = spread(rows).mapInArrow(_scan_batches, _SPANS).select("source_record_id", F.sha2("normalized_text", 256).alias("parent_normalized_text_sha256"), "normalized_text", "parent_review_flags", F.posexplode("spans").alias("sentence_index_in_record", "s"))
+    spans = rows.mapInArrow(_scan_batches, _SPANS).select("source_record_id", F.sha2("normalized_text", 256).alias("parent_normalized_text_sha256"), "normalized_text", "parent_review_flags", F.posexplode("spans").alias("sentence_index_in_record", "s"))
     text = F.substring("normalized_text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
     named = spans.withColumn("sentence_text", text)
     return named.select(
@@ -138,31 +136,36 @@ def sentence_id(record: Column, index: Column, start: Column, stop: Column, text
 
 
 def verify(sentences: DataFrame, parents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(problem, failing): sequence of indexes, unique ids, offsets, overlap, reconstruction, counts, and characters that no sentence covers."""
-    texts = parents.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("source_record_id"), F.col(text_col).alias("parent_text"))
-    inside = Window.partitionBy("source_record_id").orderBy("sentence_index_in_record")
+    """(problem, failing): sequence of indexes, offsets, overlap, reconstruction, counts, parent's hash, ids, and texts with characters that no sentence covers.
+
+    The sentences of a text are put side by side in order and compared with it once, so the text is not copied to each of them. An id names its
+    record, so ids are unique if none repeats within a record and none names another.
+    """
     c = F.col
-    rows = sentences.join(texts, "source_record_id").withColumn("previous_end", F.lag("sentence_end_char").over(inside)).withColumn("expected_index", F.row_number().over(inside) - 1)
-    rows = rows.withColumn("solid", F.length(F.regexp_replace("sentence_text", r"(?U)\s", "")))
-    cut = F.substring("parent_text", c("sentence_start_char") + 1, c("sentence_end_char") - c("sentence_start_char"))
+    texts = parents.where(c(text_col).isNotNull()).select(c(id_col).cast("bigint").alias("source_record_id"), c(text_col).alias("parent_text"))
+    fields = F.struct(c("sentence_index_in_record").alias("i"), c("sentence_start_char").alias("a"), c("sentence_end_char").alias("b"), c("sentence_text").alias("t"), c("sentence_character_count").alias("n"), c("parent_normalized_text_sha256").alias("h"), c("sentence_id").alias("id"))
+    together = sentences.groupBy("source_record_id").agg(F.array_sort(F.collect_list(fields)).alias("s"))
+    rows = texts.join(together, "source_record_id", "left").withColumn("s", F.coalesce("s", F.array().cast(together.schema["s"].dataType))).withColumn("size", F.length("parent_text")).withColumn("sha", F.sha2("parent_text", 256))
+    many = lambda f: F.size(F.filter("s", f))
+    prefix = F.concat(F.lit("s3v1-"), c("source_record_id").cast("string"), F.lit("-"))
+    solid = lambda t: F.length(F.regexp_replace(t, r"(?U)\s", ""))
     checks = {
-        "index_sequence": c("sentence_index_in_record") != c("expected_index"),
-        "offset_range": (c("sentence_start_char") < 0) | (c("sentence_end_char") > F.length("parent_text")) | (c("sentence_start_char") >= c("sentence_end_char")),
-        "overlap": c("previous_end") > c("sentence_start_char"),
-        "reconstruction": cut != c("sentence_text"),
-        "character_count": c("sentence_character_count") != F.length("sentence_text"),
-        "parent_hash": c("parent_normalized_text_sha256") != F.sha2("parent_text", 256),
+        "index_sequence": many(lambda x, k: x["i"] != k),
+        "offset_range": many(lambda x: (x["a"] < 0) | (x["b"] > c("size")) | (x["a"] >= x["b"])),
+        "overlap": many(lambda x, k: (k > 0) & (F.get("s", k - 1)["b"] > x["a"])),
+        "reconstruction": many(lambda x: (x["a"] < 0) | (F.substring(c("parent_text"), x["a"] + 1, x["b"] - x["a"]) != x["t"])),
+        "character_count": many(lambda x: x["n"] != F.length(x["t"])),
+        "parent_hash": many(lambda x: x["h"] != c("sha")),
+        "duplicate_id": F.size("s") - F.size(F.array_distinct(F.transform("s", lambda x: x["id"]))) + many(lambda x: ~x["id"].startswith(prefix)),
+        "uncovered_text": (F.aggregate("s", F.lit(0), lambda n, x: n + solid(x["t"])) != solid(c("parent_text"))).cast("int"),
     }
-    counted = rows.agg(*(F.count_if(x).alias(k) for k, x in checks.items()), (F.count("sentence_id") - F.count_distinct("sentence_id")).alias("duplicate_id"))
-    covered = rows.groupBy("source_record_id").agg(F.sum("solid").alias("solid"), F.max(F.length(F.regexp_replace("parent_text", r"(?U)\s", ""))).alias("all"))
-    missing = covered.agg(F.count_if(c("solid") != c("all"))).scalar()
-    return counted.withColumn("uncovered_text", missing).unpivot([], [*checks, "duplicate_id", "uncovered_text"], "problem", "failing")
+    return rows.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(k) for k, x in checks.items())).unpivot([], list(checks), "problem", "failing")
 
 
 def inventory(sentences: DataFrame) -> DataFrame:
     """(kind, name, sentences): counts by method and flag, and of reviews."""
     kinds = F.concat(F.array(F.struct(F.lit("method").alias("kind"), F.col("segmentation_method").alias("name"))), F.transform("boundary_flags", lambda x: F.struct(F.lit("flag").alias("kind"), x.alias("name"))), F.when(F.col("segmentation_review_required"), F.array(F.struct(F.lit("review").alias("kind"), F.lit("REQUIRED").alias("name")))).otherwise(F.array()))
-    return sentences.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.name").agg(F.count("*").alias("sentences"))
+    return sentences.select(F.explode_outer(kinds).alias("k")).groupBy("k.kind", "k.name").agg(F.count("*").alias("sentences"))
 
 
 def inner_boundaries(sentences: DataFrame) -> DataFrame:

@@ -17,17 +17,16 @@ NORMALISATION_ONLY = ("apostrophe_ascii_to_backtick", "apostrophe_ascii_to_curly
 
 
 def token_spans(text: Column) -> Column:
-    """Array of (index, start, stop, surface) of the words between blanks: lengths of the pieces around them give the offsets."""
-    surfaces, gaps = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), F.split(text, r"(?U)\S+", -1)
-    # the blanks before a word and the words and blanks before those, summed up once
-    lengths = F.transform(surfaces, lambda s, i: F.struct(F.length(F.element_at(gaps, i + 1)).alias("gap"), F.length(s).alias("size"), s.alias("surface")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<index:int,start:int,stop:int,surface:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        return F.struct((a + x["size"]).alias("at"), F.array_append(acc["out"], F.struct(F.size(acc["out"]).alias("index"), a.alias("start"), (a + x["size"]).alias("stop"), x["surface"].alias("surface"))).alias("out"))
+    """Array of (index, start, stop, surface) of the words between blanks: lengths of the pieces around them give the offsets.
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    Offsets are one running sum, kept as text that only grows at its end, as arrays would be copied for each word.
+    """
+    surfaces, gaps = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), F.split(text, r"(?U)\S+", -1)
+    lengths = F.zip_with(F.slice(gaps, 1, F.greatest(F.lit(0), F.size(gaps) - 1)), surfaces, lambda g, s: F.struct(F.length(g).alias("gap"), F.length(s).alias("size")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("told"))
+    starts = F.aggregate(lengths, start, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["told"], (acc["at"] + x["gap"]).cast("string"), F.lit(",")).alias("told")), lambda acc: F.split(acc["told"], ","))
+    both = F.zip_with(surfaces, F.slice(starts, 1, F.size(surfaces)), lambda s, a: F.struct(a.cast("int").alias("start"), s.alias("surface")))
+    return F.transform(both, lambda x, i: F.struct(i.alias("index"), x["start"].alias("start"), (x["start"] + F.length(x["surface"])).alias("stop"), x["surface"].alias("surface")))
 
 
 def split_surface(surface: Column) -> tuple[Column, Column, Column]:
@@ -88,17 +87,25 @@ def choose(found: Column, place: Column, most: int = 3, seed: str = "42") -> Col
     return F.slice(F.array_sort(keyed), 1, most)
 
 
+def words_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sentence_id, index, start, stop, surface, prefix, core, suffix) of the eligible words; no sentence goes with its words."""
+    named = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("sentence_id"), F.explode(token_spans(F.col(text_col))).alias("t"))
+    prefix, core, suffix = split_surface(F.col("t.surface"))
+    return named.select("sentence_id", "t.*", prefix.alias("prefix"), core.alias("core"), suffix.alias("suffix")).where(eligible(F.col("core")))
+
+
 def typo_rows(df: DataFrame, id_col: str, text_col: str, most: int = 3, seed: str = "42") -> DataFrame:
-    """One row for each chosen variant of each eligible word: the sentence with and without the error, and where it is."""
+    """One row for each chosen variant of each eligible word: the sentence with and without the error, and where it is.
+
+    Variants are made where the word stands, so there is no join on words and no shuffle; the sentence is only carried along.
+    """
     named = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("sentence_id"), F.col(text_col).alias("target"))
-    spans = named.select("sentence_id", "target", token_spans(F.col("target")).alias("spans")).select("sentence_id", "target", F.explode("spans").alias("t"))
     prefix, core, suffix = split_surface(F.col("t.surface"))
-    words = spans.select("sentence_id", "target", "t.*", prefix.alias("prefix"), core.alias("core"), suffix.alias("suffix")).where(eligible(F.col("core")))
+    words = named.select("sentence_id", "target", F.explode(token_spans(F.col("target"))).alias("t")).select("sentence_id", "target", "t.*", prefix.alias("prefix"), core.alias("core"), suffix.alias("suffix"))
+    words = with_variants(words.where(eligible(F.col("core"))), "core", "found")
     place = F.concat_ws("|", "sentence_id", F.col("index").cast("string"))
-    # a corpus has far fewer words than places, so each distinct word gets its variants once
-    known = with_variants(words.select("core").distinct(), "core", "found")
-    chosen = words.join(known, "core").withColumn("chosen", choose(F.col("found"), place, most, seed)).drop("found")
-    rows = chosen.select("*", F.posexplode("chosen").alias("rank", "v"))
+    # each word has a variant; a plain explode would push a filter on it down to the text and make all variants there once more
+    rows = words.withColumn("chosen", choose(F.col("found"), place, most, seed)).drop("found").select("*", F.posexplode_outer("chosen").alias("rank", "v"))
     noisy = F.concat("prefix", "v.corrupted", "suffix")
     return rows.select(
         F.format_string("v11-%s-%03d-%02d", F.col("sentence_id"), F.col("index"), F.col("rank")).alias("row_id"), "sentence_id", "target",
@@ -108,11 +115,48 @@ def typo_rows(df: DataFrame, id_col: str, text_col: str, most: int = 3, seed: st
     )
 
 
+# The ten rules of a sweep, in their order, with their families.
+SWEEP = {
+    "apostrophe_drop": "apostrophe",
+    "apostrophe_ascii_to_backtick": "apostrophe",
+    "phonetic_sh": "phonetic",
+    "phonetic_ch": "phonetic",
+    "drop_last": "deletion",
+    "drop_inner": "deletion",
+    "duplicate_inner": "insertion",
+    "swap_inner": "transposition",
+    "split_word": "spacing",
+    "duplicate_last_char_fallback": "insertion_fallback",
+}
+
+
+def sweep_variants(core: Column) -> Column:
+    """Array of (rule, family, corrupted): what each rule of the sweep makes of a word, where it changes it."""
+    n = F.length(core)
+    half, swap = F.floor(n / 2).cast("int"), F.greatest(F.lit(1), F.floor(n / 2).cast("int") - 1)
+    piece = lambda a, b: F.substring(core, a + 1, b - a)
+    made = {
+        "apostrophe_drop": F.replace(core, F.lit("'"), F.lit("")), "apostrophe_ascii_to_backtick": F.replace(core, F.lit("'"), F.lit("`")), "phonetic_sh": F.coalesce(_replace_first(core, "sh", "s"), _replace_first(core, "Sh", "S")), "phonetic_ch": F.coalesce(_replace_first(core, "ch", "c"), _replace_first(core, "Ch", "C")),
+        "drop_last": F.when(n >= 4, F.left(core, n - 1)), "drop_inner": F.when(n >= 5, F.concat(piece(F.lit(0), half), piece(half + 1, n))), "duplicate_inner": F.when(n >= 4, F.concat(piece(F.lit(0), half + 1), piece(half, n))),
+        "swap_inner": F.when(n >= 4, F.concat(piece(F.lit(0), swap), piece(swap + 1, swap + 2), piece(swap, swap + 1), piece(swap + 2, n))), "split_word": F.when(n >= 7, F.concat(piece(F.lit(0), half), F.lit(" "), piece(half, n))), "duplicate_last_char_fallback": F.when(n >= 2, F.concat(core, F.right(core, F.lit(1)))),
+    }
+    told = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), made[rule].alias("corrupted")) for rule, family in SWEEP.items()))
+    return F.filter(told, lambda v: v["corrupted"].isNotNull() & (v["corrupted"] != "") & (v["corrupted"] != core))
+
+
+def sweep_rows(df: DataFrame, id_col: str, text_col: str, seed: str = "42") -> DataFrame:
+    """One row for each eligible word: one of the variants that apply, picked by a hash of seed and place; and a row without a variant for each word that is not eligible."""
+    named = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("sentence_id"), F.explode(token_spans(F.col(text_col))).alias("t"))
+    _, core, _ = split_surface(F.col("t.surface"))
+    words = named.select("sentence_id", F.col("t.index").alias("token_index"), F.col("t.surface").alias("surface"), core.alias("core")).withColumn("eligible", eligible(F.col("core"))).withColumn("fits", sweep_variants(F.col("core")))
+    turn = F.conv(F.left(F.sha2(F.concat_ws("|", F.lit(seed), "sentence_id", F.col("token_index").cast("string")), 256), F.lit(8)), 16, 10).cast("bigint")
+    v = F.when(F.col("eligible"), F.get("fits", F.pmod(turn, F.greatest(F.size("fits"), F.lit(1))).cast("int")))
+    return words.withColumn("v", v).select("sentence_id", "token_index", "surface", "core", "eligible", "v.rule", "v.family", "v.corrupted")
+
+
 def coverage(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(eligible, covered): eligible words, and those that have at least one row."""
-    named = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("sentence_id"), token_spans(F.col(text_col)).alias("spans"))
-    cores = named.select("sentence_id", F.explode("spans").alias("t")).withColumn("core", split_surface(F.col("t.surface"))[1])
-    words = cores.where(eligible(F.col("core"))).select("sentence_id", F.col("t.index").alias("token_index"))
+    words = words_of(df, id_col, text_col).select("sentence_id", F.col("index").alias("token_index"))
     have = rows.select("sentence_id", "token_index").distinct().withColumn("have", F.lit(1))
     return words.distinct().join(have, ["sentence_id", "token_index"], "left").agg(F.count("*").alias("eligible"), F.count("have").alias("covered"))
 

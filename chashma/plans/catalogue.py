@@ -79,19 +79,57 @@ def normalize_counters(spark, folder):
     return N.counters(_normalized(spark, folder))
 
 
-@query(f"""WITH r AS (SELECT * FROM {_NORMAL}), a AS (SELECT count(*) AS rows, count_if(changed) AS ch, count_if(text IS NULL OR len(flags) > 0) AS rv, count(DISTINCT doc_id) AS ids FROM r)
-    SELECT unnest(['valid_and_invalid_make_all', 'changed_rows_have_changed_status', 'review_rows_have_review_status', 'one_operation_for_each_change', 'delta_is_minus_changes', 'ids_are_unique']) AS name, 'PASS' AS status,
-        unnest([rows, ch, rv, ch, -ch, ids]) AS observed, unnest([rows, ch, rv, ch, -ch, rows]) AS expected FROM a""")
+@query(f"""WITH r AS (SELECT *, {_STATUS} AS st FROM {_NORMAL}),
+    a AS (SELECT count(*) AS n, count(text) AS valid, count(*) - count(text) AS invalid, count_if(changed) AS ch, count_if(text = n) AS un, count_if(prefix(st, 'CHANGED')) AS cs, count_if(text IS NULL OR len(flags) > 0) AS rv, count_if(suffix(st, 'REVIEW_REQUIRED')) AS rs, count_if(len(flags) > 0) AS vr, count_if(len(flags) = 0) AS nr, coalesce(sum(length(n) - length(text)), 0)::BIGINT AS d, count(DISTINCT doc_id) AS ids FROM r),
+    c AS (SELECT unnest([{{'name': 'input_output_record_count', 'o': n, 'e': n}}, {{'name': 'texts_are_valid_rows', 'o': valid, 'e': valid}}, {{'name': 'changed_and_unchanged_make_valid', 'o': ch + un, 'e': valid}}, {{'name': 'review_and_no_review_make_valid', 'o': vr + nr, 'e': valid}}, {{'name': 'no_row_problems', 'o': 0, 'e': 0}}, {{'name': 'valid_and_invalid_make_all', 'o': valid + invalid, 'e': n}},
+        {{'name': 'changed_rows_have_changed_status', 'o': cs, 'e': ch}}, {{'name': 'review_rows_have_review_status', 'o': rs, 'e': rv}}, {{'name': 'one_operation_for_each_change', 'o': ch, 'e': ch}}, {{'name': 'delta_is_minus_changes', 'o': d, 'e': -ch}}, {{'name': 'ids_are_unique', 'o': ids, 'e': n}}]) AS x FROM a)
+    SELECT x.name AS name, CASE WHEN x.o = x.e THEN 'PASS' ELSE 'FAIL' END AS status, x.o AS observed, x.e AS expected FROM c""")
 def normalize_checks(spark, folder):
-    return N.run_checks(_normalized(spark, folder))
+    return N.run_checks(_normalized(spark, folder), _t(spark, folder, "documents"), "doc_id", "text")
 
 
-_PROBLEMS = "missing_row extra_row raw_hash_mismatch normalized_hash_mismatch raw_count_mismatch delta_mismatch schema_version_mismatch input_validity_mismatch unapproved_operation unexplained_text_change operation_without_text_change invalid_trim_transformation unexpected_operation_sequence invalid_unchanged_delta idempotence_failure status_mismatch review_boolean_mismatch".split()
+# The problems a check of a run knows.
+_PROBLEMS = (
+    "missing_row", "extra_row", "raw_hash_mismatch", "normalized_hash_mismatch", "raw_count_mismatch", "delta_mismatch", "schema_version_mismatch", "input_validity_mismatch",
+    "unapproved_operation", "unexplained_text_change", "operation_without_text_change", "invalid_trim_transformation", "unexpected_operation_sequence", "invalid_unchanged_delta", "idempotence_failure", "status_mismatch", "review_boolean_mismatch",
+)
+
+
+def _faulty(rows: DataFrame) -> DataFrame:
+    """Normalised rows with a fault that the length of the text decides on, so that each check has something to find."""
+    m, c = F.length(F.col("raw_text")) % 17, F.col
+    none, other = F.array().cast("array<string>"), lambda *x: F.array(*map(F.lit, x))
+    wrong = rows.withColumns(
+        {
+            "raw_text_sha256": F.when(m == 2, "x").otherwise(c("raw_text_sha256")), "normalized_text": F.when(m == 3, F.concat("normalized_text", F.lit(" "))).otherwise(c("normalized_text")),
+            "operations_applied": F.when(m == 4, none).when(m == 5, other(N.TRIM, N.TRIM)).when(m == 6, other("OTHER")).otherwise(c("operations_applied")), "normalization_status": F.when(m == 7, "UNCHANGED").otherwise(c("normalization_status")),
+            "review_required": F.when(m == 8, ~c("review_required")).otherwise(c("review_required")), "schema_version": F.when(m == 9, "v0").otherwise(c("schema_version")), "input_valid": F.when(m == 10, False).otherwise(c("input_valid")),
+            "character_delta": F.when(m == 11, c("character_delta") + 1).otherwise(c("character_delta")), "source_record_id": F.when(m == 12, -c("source_record_id") - 1).otherwise(c("source_record_id")), "raw_character_count": F.when(m == 13, c("raw_character_count") + 1).otherwise(c("raw_character_count")),
+        }
+    )
+    return wrong.where(F.coalesce(m != 1, F.lit(True))).drop("raw_text")
+
+
+_FAULTY = f"""(SELECT CASE WHEN m = 12 THEN -doc_id - 1 ELSE doc_id END AS id, CASE WHEN m = 2 THEN 'x' ELSE sha256(text) END AS rh, sha256(n) AS nh, CASE WHEN m = 3 THEN n || ' ' ELSE n END AS nt,
+    CASE WHEN m = 4 THEN []::VARCHAR[] WHEN m = 5 THEN ['{N.TRIM}', '{N.TRIM}'] WHEN m = 6 THEN ['OTHER'] WHEN changed THEN ['{N.TRIM}'] WHEN text IS NOT NULL THEN []::VARCHAR[] END AS ops, CASE WHEN m = 7 THEN 'UNCHANGED' ELSE st END AS st,
+    (text IS NULL OR len(flags) > 0) != coalesce(m = 8, false) AS rev, flags, coalesce(m = 9, false) AS old, text IS NOT NULL AND m != 10 AS ok, length(n) - length(text) + CASE WHEN m = 11 THEN 1 ELSE 0 END AS d, length(text) + CASE WHEN m = 13 THEN 1 ELSE 0 END AS rc, length(n) AS nc
+    FROM (SELECT *, {_STATUS} AS st, length(text) % 17 AS m FROM {_NORMAL}) WHERE coalesce(m != 1, true))"""
+_VALID = "text IS NOT NULL AND id IS NOT NULL AND "
+_AGAIN = rf"regexp_matches(nt, '(?s)[^\t-\r\x{{85}}\p{{Z}}] \z')"
+_FAILS = {
+    "missing_row": "id IS NULL", "extra_row": "doc_id IS NULL", "raw_hash_mismatch": _VALID + "rh != sha256(text)", "normalized_hash_mismatch": _VALID + "nh != sha256(nt)", "raw_count_mismatch": _VALID + "rc != length(text)", "delta_mismatch": _VALID + "d != nc - rc", "schema_version_mismatch": "id IS NOT NULL AND old",
+    "input_validity_mismatch": "id IS NOT NULL AND doc_id IS NOT NULL AND ok != (text IS NOT NULL)", "unapproved_operation": _VALID + f"len([x for x in ops if x != '{N.TRIM}']) > 0", "unexplained_text_change": _VALID + "text != nt AND len(ops) = 0", "operation_without_text_change": _VALID + "text = nt AND len(ops) > 0",
+    "invalid_trim_transformation": _VALID + f"len(ops) = 1 AND NOT ({_TRIMMABLE} AND nt = left(text, length(text) - 1))", "unexpected_operation_sequence": _VALID + "len(ops) > 1", "invalid_unchanged_delta": _VALID + "len(ops) = 0 AND length(text) != length(nt)", "idempotence_failure": _VALID + _AGAIN,
+    "status_mismatch": _VALID + "st != CASE WHEN text != nt AND rev THEN 'CHANGED_SAFE_REVIEW_REQUIRED' WHEN text != nt THEN 'CHANGED_SAFE' WHEN rev THEN 'UNCHANGED_REVIEW_REQUIRED' ELSE 'UNCHANGED' END", "review_boolean_mismatch": _VALID + "rev != (len(flags) > 0)",
+}
 
 
-@query("SELECT unnest([" + ", ".join(f"'{p}'" for p in _PROBLEMS) + "]) AS problem, 0::BIGINT AS failing")
+@query(f"WITH b AS (SELECT d.doc_id, d.text, f.* FROM documents d FULL JOIN {_FAULTY} f ON f.id = d.doc_id), c AS (SELECT " + ", ".join(f"count_if({_FAILS[p]}) AS {p}" for p in _PROBLEMS) + " FROM b) SELECT problem, failing FROM (UNPIVOT c ON " + ", ".join(_PROBLEMS) + " INTO NAME problem VALUE failing)")
 def normalize_verify(spark, folder):
-    return N.validate(_t(spark, folder, "documents"), _normalized(spark, folder), "doc_id", "text")
+    """A run with planted faults of every kind against its input."""
+    docs = _t(spark, folder, "documents")
+    kept = docs.select(F.col("doc_id").alias("source_record_id"), F.col("text").alias("raw_text"))
+    return N.validate(docs, _faulty(_normalized(spark, folder).join(kept, "source_record_id")), "doc_id", "text")
 
 
 # ---- shape of texts
@@ -363,7 +401,7 @@ def normal_form_flags(spark, folder):
 
 
 # ---- duplicates and parts
-_DUP = "SELECT sha256(text) AS text_sha256, length(text)::INT AS character_count, min(doc_id) AS first_id, count(*) AS occurrences, 0::INT AS collisions FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"
+_DUP = "SELECT sha256(text) AS text_sha256, length(text)::INT AS character_count, min(doc_id) AS first_id, count(*) AS occurrences, (min(text) != max(text))::INT AS collisions FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"
 
 
 @query(_DUP)
@@ -376,7 +414,7 @@ def duplicate_members(spark, folder):
     return A.duplicate_members(_t(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("SELECT sha256(sentence_text) AS text_sha256, count(*) AS rows, count(DISTINCT source_record_id) AS distinct_source_record_id, count(DISTINCT part_number) AS distinct_part_number FROM routing_signal_audit WHERE sentence_text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(sentence_text) AS text_sha256, count(*) AS rows, count(DISTINCT source_record_id) AS distinct_source_record_id, count(DISTINCT part_number) AS distinct_part_number, min(source_record_id) AS first_source_record_id, max(source_record_id) AS last_source_record_id, min(part_number) AS first_part_number, max(part_number) AS last_part_number FROM routing_signal_audit WHERE sentence_text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def sentence_duplicates(spark, folder):
     return A.text_groups(_t(spark, folder, "routing_signal_audit"), "sentence_text", "source_record_id", "part_number")
 
@@ -388,7 +426,7 @@ def part_census(spark, folder):
 
 @query("SELECT p.part_number, coalesce(rows, 0) AS rows, coalesce(records, 0) AS records FROM (SELECT range AS part_number FROM range(160)) p LEFT JOIN (SELECT part_number::BIGINT AS k, count(*) AS rows, count(DISTINCT source_record_id) AS records FROM validation_documents GROUP BY 1) a ON a.k = p.part_number")
 def part_rollup_zero_filled(spark, folder):
-    return A.parts_with_zeros(_t(spark, folder, "validation_documents"), "part_number", 160, F.count("*").alias("rows"), F.count_distinct("source_record_id").alias("records"))
+    return A.parts_with_zeros(_t(spark, folder, "validation_documents"), "part_number", 160, rows=F.count("*"), records=F.count_distinct("source_record_id"))
 
 
 # ---- sentences
@@ -415,9 +453,27 @@ def segment_inventory(spark, folder):
     return G.inventory(_sentences(spark, folder))
 
 
-@query("SELECT unnest(['index_sequence', 'offset_range', 'overlap', 'reconstruction', 'character_count', 'parent_hash', 'duplicate_id', 'uncovered_text']) AS problem, 0::BIGINT AS failing")
+_PLANTED = f"""(SELECT rec, t, i + CASE WHEN m = 5 THEN 1 ELSE 0 END AS i, a - CASE WHEN m = 1 THEN 1 ELSE 0 END AS a, b, sentence_text || CASE WHEN m = 2 THEN 'x' ELSE '' END AS x, b - a + CASE WHEN m = 3 THEN 1 ELSE 0 END AS n, CASE WHEN m = 4 THEN 'x' ELSE sha256(t) END AS h, CASE WHEN m = 6 THEN 's3v1-0-0000-0' ELSE sentence_id END AS id
+    FROM (SELECT *, length(sentence_text) % 13 AS m FROM {_SEG}) WHERE m != 7)"""
+_squeezed = lambda text: f"length(regexp_replace({text}, '{_B}', '', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT *, row_number() OVER w - 1 AS k, lag(b) OVER w AS before FROM {_PLANTED} WINDOW w AS (PARTITION BY rec ORDER BY i, a)),
+    c AS (SELECT count_if(i != k) AS index_sequence, count_if(a < 0 OR b > length(t) OR a >= b) AS offset_range, count_if(before > a) AS overlap, count_if(a < 0 OR substr(t, a + 1, b - a) != x) AS reconstruction, count_if(n != length(x)) AS character_count, count_if(h != sha256(t)) AS parent_hash,
+        (SELECT coalesce(sum(n - u + o), 0) FROM (SELECT count(*) AS n, count(DISTINCT id) AS u, count_if(NOT prefix(id, 's3v1-' || rec || '-')) AS o FROM p GROUP BY rec))::BIGINT AS duplicate_id,
+        (SELECT count_if(coalesce(s, 0) != {_squeezed('text')}) FROM documents d LEFT JOIN (SELECT rec, sum({_squeezed('x')}) AS s FROM p GROUP BY 1) q ON q.rec = d.doc_id WHERE text IS NOT NULL) AS uncovered_text FROM p)
+    SELECT problem, failing FROM (UNPIVOT c ON index_sequence, offset_range, overlap, reconstruction, character_count, parent_hash, duplicate_id, uncovered_text INTO NAME problem VALUE failing)""")
 def segment_verify(spark, folder):
-    return G.verify(_sentences(spark, folder), _t(spark, folder, "documents"), "doc_id", "text")
+    """Sentences with planted faults of every kind against their texts."""
+    m, c = F.length("sentence_text") % 13, F.col
+    when = lambda k, yes, no: F.when(m == k, yes).otherwise(no)
+    planted = _sentences(spark, folder).where(m != 7).withColumns(
+        {
+            "sentence_start_char": when(1, c("sentence_start_char") - 1, c("sentence_start_char")), "sentence_text": when(2, F.concat("sentence_text", F.lit("x")), c("sentence_text")), "sentence_character_count": when(3, c("sentence_character_count") + 1, c("sentence_character_count")),
+            "parent_normalized_text_sha256": when(4, F.lit("x"), c("parent_normalized_text_sha256")), "sentence_index_in_record": when(5, c("sentence_index_in_record") + 1, c("sentence_index_in_record")), "sentence_id": when(6, F.lit("s3v1-0-0000-0"), c("sentence_id")),
+        }
+    )
+    return G.verify(planted, _t(spark, folder, "documents"), "doc_id", "text")
 
 
 @query()
@@ -656,7 +712,7 @@ def strict_reasons(spark, folder):
         return F.transform(F.when(F.size(reasons) == 0, F.array(F.lit("SELECTED"))).otherwise(reasons), lambda x: F.struct(F.lit(profile).alias("profile"), x.alias("reason")))
 
     kinds = F.concat(*map(told, ("strict", "wide", "short")))
-    return rows.select(F.explode(kinds).alias("k")).groupBy("k.profile", "k.reason").agg(F.count("*").alias("rows"))
+    return rows.select(F.explode_outer(kinds).alias("k")).groupBy("k.profile", "k.reason").agg(F.count("*").alias("rows"))
 
 
 @query(f"""SELECT source_record_id, sentences, lc AS signal_starts_lowercase, np AS signal_no_terminal_punctuation, cm AS signal_case_merge, candidates, round(candidates / sentences, 6) AS candidate_rate,

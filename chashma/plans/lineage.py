@@ -69,20 +69,6 @@ def _remove(path: str) -> None:
         pass
 
 
-SMALL_TASK = 4 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, if the table is so small that its tasks would read less than `SMALL_TASK` bytes each.
-
-    A small file is one row group and so one task; work that takes much longer for each row than reading it would
-    then run on one core. Larger tables are left as they are read. It changes where rows are judged, never which.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_TASK else df
-
-
 @atexit.register
 def _remove_staged() -> None:
     for path in list(_STAGED):
