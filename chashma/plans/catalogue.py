@@ -453,6 +453,7 @@ def segment_inventory(spark, folder):
     return G.inventory(_sentences(spark, folder))
 
 
+_SOFT = Z.segments("(SELECT doc_id, translate(text, '.!?', ',..') AS text FROM documents)")
 _PLANTED = f"""(SELECT rec, t, i + CASE WHEN m = 5 THEN 1 ELSE 0 END AS i, a - CASE WHEN m = 1 THEN 1 ELSE 0 END AS a, b, sentence_text || CASE WHEN m = 2 THEN 'x' ELSE '' END AS x, b - a + CASE WHEN m = 3 THEN 1 ELSE 0 END AS n, CASE WHEN m = 4 THEN 'x' ELSE sha256(t) END AS h, CASE WHEN m = 6 THEN 's3v1-0-0000-0' ELSE sentence_id END AS id
     FROM (SELECT *, length(sentence_text) % 13 AS m FROM {_SEG}) WHERE m != 7)"""
 _squeezed = lambda text: f"length(regexp_replace({text}, '{_B}', '', 'g'))"
@@ -476,11 +477,13 @@ def segment_verify(spark, folder):
     return G.verify(planted, _t(spark, folder, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH o AS (SELECT rec, b FROM {_SEG} QUALIFY lead(b) OVER (PARTITION BY rec ORDER BY i) IS NOT NULL), n AS (SELECT * FROM {_SOFT}), m AS (SELECT rec, b FROM n QUALIFY lead(b) OVER (PARTITION BY rec ORDER BY i) IS NOT NULL)
+    SELECT o.rec AS source_record_id, o.b::INT AS boundary, 'REMOVED' AS change, n.sentence_text AS merged_sentence, coalesce(len([f for f in n.flags if f IN {Z.one_of(B.PROTECTED)}]) > 0, false) AS explained FROM o ANTI JOIN m ON m.rec = o.rec AND m.b = o.b LEFT JOIN n ON n.rec = o.rec AND o.b > n.a AND o.b < n.b
+    UNION ALL SELECT rec, b::INT, 'ADDED', NULL, true FROM m ANTI JOIN o ON o.rec = m.rec AND o.b = m.b""")
 def inventory_diff(spark, folder):
-    """Of the texts and of their one-apostrophe form."""
+    """Of the texts, and of the same with commas for full stops and full stops for strong marks."""
     docs = _t(spark, folder, "documents")
-    return G.inventory_diff(_sentences(spark, folder), G.segment(docs.withColumn("text", T.one_apostrophe(F.col("text"))), "doc_id", "text"))
+    return G.inventory_diff(_sentences(spark, folder), G.segment(docs.withColumn("text", F.translate("text", ".!?", ",..")), "doc_id", "text"))
 
 
 @query(rf"""WITH s AS (SELECT * FROM {_SEG}), c AS (SELECT x.sentence_id, y.sentence_text AS p, x.sentence_text AS s, z.sentence_text AS n FROM s x LEFT JOIN s y ON y.rec = x.rec AND y.i = x.i - 1 LEFT JOIN s z ON z.rec = x.rec AND z.i = x.i + 1)
@@ -535,9 +538,17 @@ def lowercase_token_pairs(spark, folder):
     return B.token_pairs(B.lowercase_families(_sentences(spark, folder)))
 
 
-@query()
+_ROMAN = rf"(^|{_B})(([A-Z]|Sh|SH|Ch|CH|O[''ʻʼ‘’]|G[''ʻʼ‘’])\.{_B}+{G.ORDINALS.replace("'", "''").replace(chr(92) + 's', _B)})\.({_B}+[^.!?…]*)"
+_ROMAN_TEXT = "regexp_replace(text, ' (bilan|va) ', ' J. bir minginchi. ', 'g')"
+
+
+@query(rf"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_ROMAN}', 2)) AS fragment, unnest(regexp_extract_all(t, '{_ROMAN}', 4)) AS r FROM (SELECT doc_id, {_ROMAN_TEXT} AS t FROM documents WHERE text IS NOT NULL)),
+    w AS (SELECT *, {_N(_SOLID + '+', 'r')}::INT AS n FROM e), x AS (SELECT *, {Z.flags({"FEW_WORDS_AFTER": "n < 12", "METADATA_AFTER": "regexp_matches(r, '(?i)" + chr(92) + "b(manba|foto|surat|muallif)" + chr(92) + "b')", "NOT_LOWERCASE_AFTER": "NOT " + Z.starts_lowercase("r")})} AS reasons FROM w)
+    SELECT doc_id AS source_record_id, fragment, n AS words_after, array_to_string(reasons, '|') AS reasons, CASE WHEN len(reasons) = 0 THEN 'PROTECT' ELSE 'LEAVE' END AS prediction FROM x""")
 def roman_events(spark, folder):
-    return B.roman_events(_t(spark, folder, "documents"), "doc_id", "text")
+    """Over texts in which a frequent word is written as an initial and an ordinal, as the tables have no such case."""
+    docs = _t(spark, folder, "documents").withColumn("text", F.regexp_replace("text", r" (bilan|va) ", " J. bir minginchi. "))
+    return B.roman_events(docs, "doc_id", "text").withColumn("reasons", _joined(F.col("reasons")))
 
 
 # ---- samples
@@ -785,8 +796,14 @@ def _clean(spark, folder):
     return L.select(rows.where(F.col("human_health_label") == HEALTHY), "sentence_text", (L.STRICT,)).where("selected_strict").select(F.col("sample_id").alias("sentence_id"), F.col("sentence_text").alias("target"))
 
 
-def _typos(spark, folder):
-    return Y.typo_rows(_clean(spark, folder), "sentence_id", "target")
+def _typos(spark, folder, most: int = 3):
+    return Y.typo_rows(_clean(spark, folder), "sentence_id", "target", most)
+
+
+_CLEAN = f"(SELECT sample_id AS sentence_id, sentence_text AS target FROM {Z.strict(L.STRICT, f"(SELECT * FROM {_R} WHERE human_health_label = '{HEALTHY}')", 'sentence_text', 'sample_id', 'sentence_text')} WHERE len(reasons) = 0)"
+_WORDS = Z.typo_words(_CLEAN)
+_VARIANTS = Z.typo_variants(_WORDS)
+_TYPOS = Z.typo_rows(_VARIANTS, 3)
 
 
 @query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{_SOLID}+')) AS tokens, coalesce(list_sum([length(x) for x in regexp_extract_all(text, '{_SOLID}+')]), 0)::BIGINT AS token_chars, true AS offsets_fit FROM documents WHERE text IS NOT NULL""")
@@ -796,22 +813,28 @@ def token_spans(spark, folder):
     return rows.select("doc_id", F.size("s").cast("bigint").alias("tokens"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"]).alias("token_chars"), fits.alias("offsets_fit"))
 
 
-@query()
+@query(f"SELECT *, false AS is_no_error, false AS synthetic_is_gold, false AS auto_replace_allowed, true AS review_required FROM {_TYPOS}")
 def typo_rows(spark, folder):
     return _typos(spark, folder)
 
 
-@query()
+@query(Z.typo_sweep(_WORDS))
+def typo_sweep(spark, folder):
+    return Y.sweep_rows(_clean(spark, folder), "sentence_id", "target")
+
+
+@query(f"SELECT typo_family, typo_rule, count(*) AS rows FROM {_TYPOS} WHERE typo_rule NOT IN {Z.one_of(Y.NORMALISATION_ONLY)} GROUP BY 1, 2")
 def typo_core(spark, folder):
     return Y.core_rows(_typos(spark, folder)).groupBy("typo_family", "typo_rule").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(f"SELECT sentence_id, token_index FROM {Z.typo_rows(_VARIANTS, 1)} WHERE typo_rule IN {Z.one_of(Y.NORMALISATION_ONLY)}")
 def typo_lost_places(spark, folder):
-    return Y.lost_places(_typos(spark, folder))
+    """Where a place has one variant only."""
+    return Y.lost_places(_typos(spark, folder, 1))
 
 
-@query()
+@query(f"SELECT count(*) AS eligible, count(v.k) AS covered FROM (SELECT DISTINCT sentence_id, k FROM {_WORDS} WHERE fit) w LEFT JOIN (SELECT DISTINCT sentence_id, k FROM {_VARIANTS}) v ON v.sentence_id = w.sentence_id AND v.k = w.k")
 def typo_coverage(spark, folder):
     return Y.coverage(_clean(spark, folder), _typos(spark, folder), "sentence_id", "target")
 
@@ -822,13 +845,18 @@ def detector_split(spark, folder):
     return Y.split_groups(_t(spark, folder, "routing_signal_audit").select(F.col("source_record_id").cast("string").alias("g")), "g")
 
 
-@query()
+_SPLIT = f"""(SELECT g AS group_id, CASE WHEN n <= floor(a * 0.8) THEN 'train' WHEN n <= floor(a * 0.8) + floor(a * 0.1) THEN 'dev' ELSE 'test' END AS split FROM (SELECT g, row_number() OVER (ORDER BY sha256('42|' || g), g) AS n, count(*) OVER () AS a FROM (SELECT DISTINCT sentence_id AS g FROM {_CLEAN})))"""
+_VIEW = f"""(SELECT v.*, s.split FROM (SELECT row_id, sentence_id AS group_id, 'CORRECT_THIS' AS label, input, target, token_index, clean_token, error_word AS observed_token, correction, typo_family, typo_rule, false AS is_no_error FROM {_TYPOS}
+    UNION ALL SELECT 'keep-v1-' || sentence_id, sentence_id, 'KEEP', target, target, NULL, NULL, NULL, NULL, NULL, NULL, true FROM {_CLEAN}) v JOIN {_SPLIT} s ON s.group_id = v.group_id)"""
+
+
+@query(f"SELECT * FROM {_VIEW}")
 def detector_view(spark, folder):
     clean = _clean(spark, folder)
     return Y.detector_view(_typos(spark, folder), clean, Y.split_groups(clean, "sentence_id"))
 
 
-@query()
+@query(f"""SELECT split, label, tokens FROM (SELECT split, sum(len(regexp_extract_all(input, '{_SOLID}+')) - CASE WHEN label = 'KEEP' THEN 0 ELSE 1 END)::BIGINT AS "OK", sum(CASE WHEN label = 'KEEP' THEN 0 ELSE 1 END)::BIGINT AS "ERROR" FROM {_VIEW} GROUP BY 1) UNPIVOT (tokens FOR label IN ("OK", "ERROR"))""")
 def detector_tokens(spark, folder):
     return Y.token_view(detector_view(spark, folder)).groupBy("split", "label").agg(F.count("*").alias("tokens"))
 
@@ -949,13 +977,14 @@ def streamed_normalization(spark, folder):
     return audit.run_to_end(counts, _view_name(), _own_folder(spark, "stream"), "complete")
 
 
-@query()
+@query(f"""SELECT strftime(date_trunc('hour', crawled_at), '%Y-%m-%d %H:%M:%S') AS "start", strftime(date_trunc('hour', crawled_at) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS texts, count_if(coalesce({_TRIMMABLE}, false)) AS changes FROM documents WHERE crawled_at IS NOT NULL GROUP BY ALL""")
 def streamed_windows(spark, folder):
     docs = _t(spark, folder, "documents")
     one = _is_file(spark, f"{folder}/documents.parquet")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet" if one else "*.parquet").parquet(folder if one else f"{folder}/documents.parquet")
     # what is there is all there is, so the newest windows are whole too
-    return audit.run_to_end(audit.status_windows(stream, "crawled_at", "text"), _view_name(), _own_folder(spark, "stream"), "complete")
+    told = audit.run_to_end(audit.status_windows(stream, "crawled_at", "text"), _view_name(), _own_folder(spark, "stream"), "complete")
+    return told.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "texts", "changes")
 
 
 def _view_name() -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chashma.functions import text as T
 from chashma.operators import segment as G
+from chashma.operators import typos as Y
 
 B = r"[\t-\r\x{85}\p{Z}]"
 SOLID = "[^" + B[1:-1] + "]"
@@ -152,3 +153,55 @@ def strict(profile, rows: str, text: str, *beside: str) -> str:
     return rf"""(SELECT {kept}, CASE WHEN coalesce(length(st), 0) = 0 THEN ['EMPTY'] ELSE {flags(named)} END AS reasons
         FROM (SELECT *, [tok[j] || ' ' || tok[j + 1] for j in range(1, len(tok))] AS pairs, {N(SOLID, "st")} AS solid, {N(letters_marks, one_apostrophe("st"))} AS words, {N(r"\pL", "st")} AS letters, {N(r"[^\pL\p{Nd}" + B[1:-1] + "]", "st")} AS signs
         FROM (SELECT *, [w for w in {plain_tokens("st")} if length(w) >= 2] AS tok FROM (SELECT *, {stripped(text)} AS st FROM {rows}))))"""
+
+
+# ---- typing errors
+def typo_words(rows: str) -> str:
+    """(sentence_id, target, k, start, surface, prefix, core, suffix, fit) of the words of (sentence_id, target)."""
+    pattern = rf"(?s)^({Y.OPENING})(.*?)({Y.CLOSING})\z".replace("'", "''")
+    return rf"""(WITH s AS (SELECT sentence_id, target, regexp_extract_all(target, '{SOLID}+') AS x, string_split_regex(target, '{SOLID}+') AS g FROM {rows} WHERE target IS NOT NULL),
+    w AS (SELECT sentence_id, target, x[k] AS surface, (k - 1)::INT AS k, (list_sum([length(y) for y in g[1:k]]) + coalesce(list_sum([length(y) for y in x[1:k - 1]]), 0))::INT AS start FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM s)),
+    c AS (SELECT *, regexp_extract(surface, '{pattern}', 1) AS prefix, regexp_extract(surface, '{pattern}', 2) AS core, regexp_extract(surface, '{pattern}', 3) AS suffix FROM w)
+    SELECT *, length(core) >= 2 AND NOT regexp_matches(core, '^\d+\z') AND regexp_matches(core, '[A-Za-zÀ-ÿʻʼ‘’''`-]') AS fit FROM c)"""
+
+
+def _first(old: str, new: str) -> str:
+    o = quoted(old)
+    return f"CASE WHEN contains(core, {o}) THEN left(core, instr(core, {o}) - 1) || {quoted(new)} || substr(core, instr(core, {o}) + {len(old)}) END"
+
+
+_HALF, _SWAP = "(length(core) // 2)", "greatest(1, length(core) // 2 - 1)"
+_SWAPPED = f"substr(core, 1, {_SWAP}) || substr(core, {_SWAP} + 2, 1) || substr(core, {_SWAP} + 1, 1) || substr(core, {_SWAP} + 3)"
+_DOUBLED = f"substr(core, 1, {_HALF} + 1) || substr(core, {_HALF} + 1)"
+_SHORTENED = f"substr(core, 1, {_HALF}) || substr(core, {_HALF} + 2)"
+_PARTED = f"substr(core, 1, {_HALF}) || ' ' || substr(core, {_HALF} + 1)"
+
+
+def typo_variants(words: str) -> str:
+    """(…, priority, rule, family, corrupted) of each fit word and rule that changes it; equal results once, by the first rule."""
+    marks = Y.MARKS.replace("'", "''")
+    rules = [
+        (1, "apostrophe_drop", "apostrophe", f"CASE WHEN regexp_matches(core, '[{marks}]') THEN regexp_replace(core, '[{marks}]', '', 'g') END"), (1, "apostrophe_ascii_to_backtick", "apostrophe", "replace(core, '''', '`')"), (2, "apostrophe_ascii_to_curly_left", "apostrophe", "replace(core, '''', '‘')"),
+        (2, "apostrophe_to_ascii", "apostrophe", "regexp_replace(core, '[‘’ʻʼ`]', '''', 'g')"), *((2, rule, "phonetic" if rule.startswith("phonetic") else "apostrophe", _first(old, new)) for old, new, rule in Y.SIMPLER),
+        (3, "drop_last_char", "deletion", "CASE WHEN length(core) >= 4 THEN left(core, length(core) - 1) END"), (3, "drop_middle_char", "deletion", f"CASE WHEN length(core) >= 5 THEN {_SHORTENED} END"), (3, "duplicate_middle_char", "insertion", f"CASE WHEN length(core) >= 3 THEN {_DOUBLED} END"),
+        (4, "duplicate_last_char_short_token", "insertion", "CASE WHEN length(core) BETWEEN 2 AND 4 THEN core || right(core, 1) END"), (3, "swap_inner_chars", "transposition", f"CASE WHEN length(core) >= 4 AND {_SWAP} + 1 < length(core) THEN {_SWAPPED} END"), (5, "split_word_middle", "spacing", f"CASE WHEN length(core) >= 7 THEN {_PARTED} END"),
+    ]
+    told = ", ".join(f"{{'at': {i}, 'priority': {p}, 'rule': '{r}', 'family': '{f}', 'corrupted': {c}}}" for i, (p, r, f, c) in enumerate(rules))
+    return f"""(SELECT * EXCLUDE (v), v.priority AS priority, v.rule AS rule, v.family AS family, v.corrupted AS corrupted FROM (SELECT *, unnest([{told}]) AS v FROM {words} WHERE fit) WHERE v.corrupted IS NOT NULL AND v.corrupted != '' AND v.corrupted != core
+        QUALIFY row_number() OVER (PARTITION BY sentence_id, k, v.corrupted ORDER BY v.at) = 1)"""
+
+
+def typo_rows(variants: str, most: int) -> str:
+    return f"""(SELECT printf('v11-%s-%03d-%02d', sentence_id, k, turn) AS row_id, sentence_id, target, left(target, start) || prefix || corrupted || suffix || substr(target, start + length(surface) + 1) AS input, k AS token_index, start AS token_start_char, (start + length(surface))::INT AS token_end_char,
+        core AS clean_token, corrupted AS corrupted_token, prefix || corrupted || suffix AS error_word, surface AS correction, family AS typo_family, rule AS typo_rule, (turn + 1)::INT AS variant_rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id, k ORDER BY priority, sha256('42|' || sentence_id || '|' || k || '|' || rule), rule) - 1 AS turn FROM {variants}) WHERE turn < {most})"""
+
+
+def typo_sweep(words: str) -> str:
+    made = {
+        "apostrophe_drop": "replace(core, '''', '')", "apostrophe_ascii_to_backtick": "replace(core, '''', '`')", "phonetic_sh": f"coalesce({_first('sh', 's')}, {_first('Sh', 'S')})", "phonetic_ch": f"coalesce({_first('ch', 'c')}, {_first('Ch', 'C')})", "drop_last": "CASE WHEN length(core) >= 4 THEN left(core, length(core) - 1) END",
+        "drop_inner": f"CASE WHEN length(core) >= 5 THEN {_SHORTENED} END", "duplicate_inner": f"CASE WHEN length(core) >= 4 THEN {_DOUBLED} END", "swap_inner": f"CASE WHEN length(core) >= 4 THEN {_SWAPPED} END", "split_word": f"CASE WHEN length(core) >= 7 THEN {_PARTED} END", "duplicate_last_char_fallback": "CASE WHEN length(core) >= 2 THEN core || right(core, 1) END",
+    }
+    told = ", ".join(f"{{'rule': '{r}', 'family': '{f}', 'corrupted': {made[r]}}}" for r, f in Y.SWEEP.items())
+    return f"""SELECT sentence_id, k AS token_index, surface, core, fit AS eligible, v.rule AS rule, v.family AS family, v.corrupted AS corrupted
+        FROM (SELECT *, CASE WHEN fit THEN fits[1 + ('0x' || left(sha256('42|' || sentence_id || '|' || k), 8))::BIGINT % greatest(1, len(fits))] END AS v FROM (SELECT *, [v for v in [{told}] if v.corrupted IS NOT NULL AND v.corrupted != '' AND v.corrupted != core] AS fits FROM {words}))"""

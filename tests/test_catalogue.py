@@ -23,7 +23,7 @@ def test_streamed_windows_equal_a_batch(spark, smallest):
 
     docs = spark.read.parquet(f"{smallest}/documents.parquet")
     rows = docs.select("crawled_at", F.coalesce(N.trimmable(F.col("text")), F.lit(False)).alias("changed"))
-    want = rows.groupBy(F.window("crawled_at", "1 hour")).agg(F.count("*").alias("texts"), F.count_if("changed").alias("changes")).select("window.start", "window.end", "texts", "changes")
+    want = rows.groupBy(F.window("crawled_at", "1 hour")).agg(F.count("*").alias("texts"), F.count_if("changed").alias("changes")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("window.end", "yyyy-MM-dd HH:mm:ss").alias("end"), "texts", "changes")
     got = catalogue.QUERIES["streamed_windows"](spark, smallest)
     assert rows_of(got.toPandas()) == rows_of(want.toPandas())
     assert got.agg(F.sum("texts")).first()[0] == docs.where("crawled_at IS NOT NULL").count()
