@@ -6,11 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, Imputer, NGram, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chashma.operators.aggregate import threshold_sweep
-from chashma.operators.sampling import hash_order
 
 KINDS = ("logistic", "tree", "forest", "boosted")
 
@@ -28,19 +27,19 @@ def numeric_pipeline(kind: str, numeric: list[str], label: str) -> Pipeline:
     model = {
         "logistic": lambda: LogisticRegression(labelCol=label, weightCol="weight", maxIter=50, regParam=0.01),
         "tree": lambda: DecisionTreeClassifier(labelCol=label, weightCol="weight", maxDepth=5, minInstancesPerNode=8, seed=42),
-        "forest": lambda: RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=60, maxDepth=10, seed=42),
+        "forest": lambda: RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=400, maxDepth=10, seed=42),
         "boosted": lambda: GBTClassifier(labelCol=label, weightCol="weight", maxIter=30, maxDepth=4, seed=42),
     }[kind]()
     return Pipeline(stages=[*stages, model])
 
 
-def text_pipeline(text: str, label: str, features: int = 1 << 15) -> Pipeline:
-    """Words, word pairs and character trigrams by hashed TF-IDF, and a logistic model."""
-    words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\s+")
-    chars = RegexTokenizer(inputCol=text, outputCol="chars", pattern=".", gaps=False)
-    pairs, triples = NGram(n=2, inputCol="words", outputCol="pairs"), NGram(n=3, inputCol="chars", outputCol="triples")
-    stages, vectors = [words, chars, pairs, triples], []
-    for c in ("words", "pairs", "triples"):
+def text_pipeline(text: str, label: str, features: int = 1 << 14, chars: tuple[int, int] = (3, 6)) -> Pipeline:
+    """Words, word pairs and runs of `chars` characters by hashed TF-IDF, and a logistic model."""
+    stages = [RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\s+"), RegexTokenizer(inputCol=text, outputCol="chars", pattern=".", gaps=False), NGram(n=2, inputCol="words", outputCol="pairs")]
+    runs = [f"chars_{n}" for n in range(chars[0], chars[1] + 1)]
+    stages += [NGram(n=n, inputCol="chars", outputCol=f"chars_{n}") for n in range(chars[0], chars[1] + 1)]
+    vectors = []
+    for c in ("words", "pairs", *runs):
         stages += [HashingTF(inputCol=c, outputCol=f"{c}_tf", numFeatures=features), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf", minDocFreq=2)]
         vectors.append(f"{c}_idf")
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=vectors, outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=40, regParam=0.01)])
@@ -52,15 +51,14 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1.0, 0.5 / F.greatest(p, F.lit(1e-9))).otherwise(0.5 / F.greatest(1 - p, F.lit(1e-9))))
 
 
-def folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: str = "42") -> DataFrame:
-    """Stratified folds in hash order."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, F.col(id_col)), id_col))
-    return df.withColumn("fold", (place - 1) % k)
+def folds(df: DataFrame, id_col: str, k: int = 5) -> DataFrame:
+    """Folds by a hash of the id, so that each class is spread evenly and nothing is sorted or shuffled."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(id_col)), F.lit(k)).cast("int"))
 
 
 def out_of_fold(df: DataFrame, id_col: str, label: str, pipeline: Pipeline, k: int = 5) -> DataFrame:
     """(id, label, probability): each row scored by the model that did not see its fold. A fit is one job for each fold."""
-    rows, out = weighted(folds(df, id_col, label, k), label), None
+    rows, out = weighted(folds(df, id_col, k), label), None
     for f in range(k):
         scored = pipeline.fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f))
         part = scored.select(id_col, label, vector_to_array("probability")[1].alias("probability"))
@@ -82,10 +80,14 @@ def staged_route(usable: str, direct: str, reject: str, thresholds: tuple[float,
 
 
 def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Write a model and, last, the mark that it is frozen."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(f"{path}/model")
+    spark.range(1).select(F.lit(True).alias("frozen"), F.lit(len(model.stages)).alias("stages")).write.mode("overwrite").json(f"{path}/frozen")
 
 
 def frozen(path: str, blind: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """Score rows with a saved model; labels are joined last, so they cannot reach the scores."""
-    scored = PipelineModel.load(path).transform(blind).select(id_col, vector_to_array("probability")[1].alias("probability"))
+    """Score rows with a saved model; without its mark this is an error. Labels are joined last, so they cannot reach the scores."""
+    blind.sparkSession.read.json(f"{path}/frozen").first()
+    scored = PipelineModel.load(f"{path}/model").transform(blind).select(id_col, vector_to_array("probability")[1].alias("probability"))
     return scored.join(labels, id_col, "left")
