@@ -266,9 +266,13 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def one_apostrophe(text: Column) -> Column:
-    """All apostrophe-like marks as the ASCII one."""
-    return F.translate(text, "`´ʻʼ‘’", "''''''")
+#: Which marks the maps to one apostrophe know.
+APOSTROPHE_MAPS = {"six": "`´ʻʼ‘’", "five": "`ʻʼ‘’", "three": "ʻ‘’"}
+
+
+def one_apostrophe(text: Column, marks: str = APOSTROPHE_MAPS["six"]) -> Column:
+    """Apostrophe-like marks as the ASCII one."""
+    return F.translate(text, marks, "'" * len(marks))
 
 
 def tokens(text: Column, kind: str = "segmenter") -> Column:
@@ -389,6 +393,29 @@ def short_utterance(text: Column) -> Column:
     return (words >= 1) & (words <= 4) & (F.length(t) >= 4) & (F.length(t) <= 40) & ~t.rlike(r"\p{Nd}") & t.rlike(rf"^[\p{{L}}\p{{M}}{APOSTROPHE_CHARS}\-]+(?: [\p{{L}}\p{{M}}{APOSTROPHE_CHARS}\-]+)*[.!?…]*$")
 
 
+#: Endings that stand alone behind a word they were cut from, and those that show it behind a short word.
+CUT_ENDINGS = ("ning", "ni", "ga", "da", "dan", "gi", "gina", "lik", "ligi", "lar", "lari", "siz", "miz", "dir", "chi", "cha", "kor", "xona", "bop", "dek", "day", "dagi")
+SHORT_ENDINGS = ("lik", "ning", "dagi", "dan", "ga", "da", "ni", "siz", "miz", "chi", "cha")
+
+
+def broken_spacing(text: Column) -> Column:
+    """Whether a word is followed by an ending of its own: one that stands alone behind three or more characters, or that begins the word behind two to five."""
+    words = F.transform(F.split(F.lower(one_apostrophe(text)), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[.,;:!?()\[\]{}\"]+|[.,;:!?()\[\]{}\"]+$", ""))
+    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def cut(p: Column) -> Column:
+        size = F.length(p["a"])
+        return (size >= 3) & p["b"].isin(*CUT_ENDINGS) | (size >= 2) & (size <= 5) & p["b"].rlike("^(" + "|".join(SHORT_ENDINGS) + ")")
+
+    return F.exists(pairs, lambda p: F.coalesce(cut(p), F.lit(False)))
+
+
+def format_characters(text: Column) -> Column:
+    """Characters of the categories Cf and Cc, other than tab and line breaks, and the replacement character, as `U+XXXX`."""
+    found = F.regexp_extract_all(text, F.lit(r"[\p{Cf}\p{Cc}�&&[^\t\n\r]]"), F.lit(0))
+    return F.transform(found, lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0")))
+
+
 def starts_lowercase(text: Column) -> Column:
     """Behind opening quotes, brackets and blanks."""
     return text.rlike(r"""(?U)^[\s"'“‘«(\[{]*\p{Ll}""")
@@ -407,6 +434,12 @@ def parse_float(text: Column) -> Column:
     return F.coalesce(number, share, F.when(low.isin("true", "yes"), 1.0).when(low.isin("false", "no"), 0.0))
 
 
+def parse_int(text: Column) -> Column:
+    """Whole numbers, also written as a decimal with zeros behind the point; anything else is null."""
+    low = F.trim(text)
+    return F.when(low.rlike(r"^[+-]?\d+(\.0*)?$"), F.regexp_replace(low, r"\.0*$", "").try_cast("bigint"))
+
+
 def parse_list(text: Column) -> Column:
     """Items of a list written as a literal (`['A', "B"]`) or with `|`, `,` or `;`, sorted and once each; none for blanks, `NONE` and `[]`."""
     parts = F.transform(F.split(F.regexp_replace(text, r"[\[\]()'\"{}]", ""), r"[|,;]"), strip)
@@ -430,7 +463,7 @@ def compact(text: Column, limit: int) -> Column:
 
 def human_size(size: Column) -> Column:
     step = F.least(F.lit(4), F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1024.0)))).cast("int")
-    return F.concat(F.format_number(size / F.pow(F.lit(1024.0), step), 2), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KiB", "MiB", "GiB", "TiB"))), step + 1))
+    return F.format_string("%.2f %s", size / F.pow(F.lit(1024.0), step), F.element_at(F.array(*map(F.lit, ("B", "KiB", "MiB", "GiB", "TiB"))), step + 1))
 
 
 def first_named(columns: list[str], *candidates: str) -> Column:

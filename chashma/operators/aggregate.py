@@ -187,3 +187,25 @@ def stratified_estimate(strata: DataFrame, population: str, sampled: str, hits:
 def schema_shapes(items: DataFrame, variant: str) -> DataFrame:
     """(shape, rows): the inferred shape of each item of a VARIANT column."""
     return items.groupBy(F.schema_of_variant(variant).alias("shape")).agg(F.count("*").alias("rows"))
+
+
+def field_presence(items: DataFrame, variant: str, fields: list[str]) -> DataFrame:
+    """(field, present, missing): in how many items each field has a value."""
+    have = F.array(*(F.struct(F.lit(f).alias("field"), F.try_variant_get(variant, f"$.{f}", "string").isNotNull().alias("has")) for f in fields))
+    return items.select(F.explode_outer(have).alias("x")).groupBy("x.field").agg(F.count_if("x.has").alias("present"), F.count_if(~F.col("x.has")).alias("missing"))
+
+
+def transitions(df: DataFrame, truth: str, predicted: str, flags: str) -> DataFrame:
+    """(truth, predicted, flag, rows): how often a row of one class goes to another, for each of its flags; `NONE` without flags."""
+    told = F.coalesce(F.col(flags), F.array().cast("array<string>"))
+    rows = df.select(truth, predicted, F.explode_outer(F.when(F.size(told) == 0, F.array(F.lit("NONE"))).otherwise(told)).alias("flag"))
+    return rows.groupBy(truth, predicted, "flag").agg(F.count("*").alias("rows"))
+
+
+def selection_scores(df: DataFrame, outcome: str, *groups: str) -> DataFrame:
+    """For each group: healthy, false clean and missed rows among the selected and the rest, with precision and recall of the selection."""
+    count = lambda name: F.count_if(F.col(outcome) == name)
+    sums = df.groupBy(*groups).agg(count("SELECTED_HEALTHY").alias("selected_healthy"), count("FALSE_CLEAN").alias("false_clean"), count("MISSED_HEALTHY").alias("missed_healthy"), count("REJECTED").alias("rejected"))
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    hit = F.col("selected_healthy")
+    return sums.select("*", share(hit, hit + F.col("false_clean")).alias("precision"), share(hit, hit + F.col("missed_healthy")).alias("recall"))

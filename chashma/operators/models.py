@@ -21,19 +21,19 @@ def preflight(df: DataFrame, id_col: str, label: str, labels: list[str]) -> Data
     return one.select(F.inline(checks))
 
 
-def numeric_pipeline(kind: str, numeric: list[str], label: str) -> Pipeline:
+def numeric_pipeline(kind: str, numeric: list[str], label: str, trees: int = 400, rounds: int = 30) -> Pipeline:
     filled = [f"{c}_filled" for c in numeric]
     stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
     model = {
         "logistic": lambda: LogisticRegression(labelCol=label, weightCol="weight", maxIter=50, regParam=0.01),
         "tree": lambda: DecisionTreeClassifier(labelCol=label, weightCol="weight", maxDepth=5, minInstancesPerNode=8, seed=42),
-        "forest": lambda: RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=400, maxDepth=10, seed=42),
-        "boosted": lambda: GBTClassifier(labelCol=label, weightCol="weight", maxIter=30, maxDepth=4, seed=42),
+        "forest": lambda: RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=10, seed=42),
+        "boosted": lambda: GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=4, seed=42),
     }[kind]()
     return Pipeline(stages=[*stages, model])
 
 
-def text_pipeline(text: str, label: str, features: int = 1 << 14, chars: tuple[int, int] = (3, 6)) -> Pipeline:
+def text_pipeline(text: str, label: str, features: int = 1 << 14, chars: tuple[int, int] = (3, 6), rounds: int = 40) -> Pipeline:
     """Words, word pairs and runs of `chars` characters by hashed TF-IDF, and a logistic model."""
     stages = [RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\s+"), RegexTokenizer(inputCol=text, outputCol="chars", pattern=".", gaps=False), NGram(n=2, inputCol="words", outputCol="pairs")]
     runs = [f"chars_{n}" for n in range(chars[0], chars[1] + 1)]
@@ -42,7 +42,7 @@ def text_pipeline(text: str, label: str, features: int = 1 << 14, chars: tuple[i
     for c in ("words", "pairs", *runs):
         stages += [HashingTF(inputCol=c, outputCol=f"{c}_tf", numFeatures=features), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf", minDocFreq=2)]
         vectors.append(f"{c}_idf")
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=vectors, outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=40, regParam=0.01)])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=vectors, outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=rounds, regParam=0.01)])
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:

@@ -419,9 +419,9 @@ def sentence_duplicates(spark, folder):
     return A.text_groups(_t(spark, folder, "routing_signal_audit"), "sentence_text", "source_record_id", "part_number")
 
 
-@query("SELECT source_record_id // 10000000 AS part, count(*) AS rows, count_if(source_record_id IS NULL) AS null_ids, min(source_record_id) AS first_id, max(source_record_id) AS last_id, 0::BIGINT AS misplaced FROM validation_documents GROUP BY 1")
+@query("SELECT source_record_id // 10000000 AS part, count(*) AS rows, count_if(source_record_id IS NULL) AS null_ids, min(source_record_id) AS first_id, max(source_record_id) AS last_id, 0::BIGINT AS misplaced, count_if(trim(coalesce(normalized_text, '')) = '') AS empty_rows, coalesce(sum(strlen(normalized_text)), 0)::BIGINT AS bytes, coalesce(bit_xor(('0x' || left(sha256(normalized_text), 15))::BIGINT), 0) AS texts_print FROM validation_documents GROUP BY 1")
 def part_census(spark, folder):
-    return S.part_census(_t(spark, folder, "validation_documents"), "source_record_id", F.floor(F.col("source_record_id") / 10_000_000), 10_000_000)
+    return S.part_census(_t(spark, folder, "validation_documents"), "source_record_id", F.floor(F.col("source_record_id") / 10_000_000), 10_000_000, "normalized_text")
 
 
 @query("SELECT p.part_number, coalesce(rows, 0) AS rows, coalesce(records, 0) AS records FROM (SELECT range AS part_number FROM range(160)) p LEFT JOIN (SELECT part_number::BIGINT AS k, count(*) AS rows, count(DISTINCT source_record_id) AS records FROM validation_documents GROUP BY 1) a ON a.k = p.part_number")
@@ -938,25 +938,34 @@ def shard_round_trip(spark, folder):
     return S.read_shards(spark, path, "doc_id bigint, text string, part_number int").groupBy(F.col("part_number").cast("bigint").alias("part_number")).agg(F.count("*").alias("rows"), F.count("text").alias("texts"))
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT item_id) AS ids, sum(length(text))::BIGINT AS chars FROM eval_items")
+@query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM documents")
 def csv_round_trip(spark, folder):
     path = _own_folder(spark, "csv")
-    S.write_csv(_t(spark, folder, "eval_items"), path, ["item_id", "split", "task", "text", "note"])
-    return S.read_csv(spark, path).agg(F.count("*").alias("rows"), F.count_distinct("item_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+    S.write_csv(_t(spark, folder, "documents"), path, ["doc_id", "lang", "source", "text", "note"])
+    return S.read_csv(spark, path).agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT CASE WHEN text IS NULL THEN 'NON_STRING_TEXT' ELSE 'TEXT' END AS record_type, count(*) AS rows, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM eval_items GROUP BY 1")
+@query("SELECT CASE WHEN text IS NULL THEN 'NON_STRING_TEXT' ELSE 'TEXT' END AS record_type, count(*) AS rows, coalesce(sum(length(text)), 0)::BIGINT AS chars, min(n) AS first_id, max(n) AS last_id FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY 1")
 def json_array_round_trip(spark, folder):
-    """The evaluation items as one JSON array and back."""
+    """The documents as JSON arrays, in files by id, and back with their numbers."""
     path = _own_folder(spark, "array")
-    items = _t(spark, folder, "eval_items").select(F.to_json(F.struct("item_id", "text")).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))  # a fixed table of a few hundred rows
-    items.write.text(path)
-    return S.classify_items(S.read_json_array(spark, path)).groupBy("record_type").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    S.write_json_array(_t(spark, folder, "documents").select("doc_id", "text"), path, "doc_id")
+    items = S.classify_items(S.read_json_array(spark, path))
+    return items.groupBy("record_type").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.min("source_record_id").alias("first_id"), F.max("source_record_id").alias("last_id"))
+
+
+@query("SELECT part_number, count(*) AS rows, 0::BIGINT AS empty_lines FROM (SELECT doc_id // 1000 AS part_number FROM documents) GROUP BY 1")
+def shard_manifest(spark, folder):
+    path = _own_folder(spark, "shards")
+    S.write_shards(_t(spark, folder, "documents").select("doc_id", "text"), path, "doc_id", 1000)
+    told = S.manifest(spark, path).withColumn("part_number", F.regexp_extract("path", r"part_number=(\d+)", 1).cast("bigint"))
+    return told.groupBy("part_number").agg(F.sum("rows").alias("rows"), F.sum("empty_lines").alias("empty_lines"))
 
 
 @query()
 def file_fingerprints(spark, folder):
-    return S.fingerprints(spark, f"{folder}/common_words.parquet").drop("path", "modified_at")
+    """Of the files of all tables."""
+    return S.fingerprints(spark, f"{folder}/*.parquet").drop("path", "modified_at")
 
 
 @query()
@@ -996,3 +1005,6 @@ def _view_name() -> str:
 def _is_file(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+
+
+from chashma.plans import extras  # noqa: E402, F401  more queries, which use the pieces above

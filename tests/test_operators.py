@@ -116,7 +116,7 @@ def test_rules(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('﻿[{"text": "salom"}, {"x": 1}, 5, {"text": 7}]', encoding="utf-8")
-    items = S.classify_items(S.read_json_array(spark, str(tmp_path / "a.json"))).orderBy("source_record_id").collect()
+    items = S.classify_items(S.read_small_json_array(spark, str(tmp_path / "a.json"))).orderBy("source_record_id").collect()
     assert [(r.record_type, r.text) for r in items] == [("TEXT", "salom"), ("MISSING_TEXT_FIELD", None), ("NON_DICTIONARY_RECORD", None), ("NON_STRING_TEXT", None)]
     b = S.boundaries(spark, str(tmp_path / "a.json")).first()
     assert b.starts_with_bracket and b.ends_with_bracket and b.has_bom
