@@ -208,17 +208,29 @@ def gap_rules_found(text: Column, names) -> Column:
     return F.when(gap_possible(text), flags(*((n, text.rlike(_gap_pattern(n))) for n in names))).otherwise(F.array().cast("array<string>"))
 
 
+#: A character for a place, and one for signs beyond the basic plane, each of which then is one element of a split text.
+_PLACE, _OTHER = "\ue000", "\ue001"
+
+
+def places(text: Column, pattern: str, mark: str) -> Column:
+    """Zero-based offsets of the matches of a pattern whose replacement by `mark` begins with the place's character and is as long as the match. Linear in the text: nothing is summed up or appended."""
+    marked = F.regexp_replace(F.regexp_replace(text, rf"[\x{{10000}}-\x{{10FFFF}}{_PLACE}]", _OTHER), pattern, mark)
+    return F.filter(F.transform(F.split(marked, ""), lambda c, i: F.when(c == _PLACE, i)), lambda i: i.isNotNull())
+
+
 def gap_spans(text: Column, names) -> Column:
-    """Array of (start, stop, rule, fragment), sorted. Starts come from the pieces between matches, so no scanner is needed."""
+    """Array of (start, stop, rule, fragment), sorted."""
 
     def spans(name: str) -> Column:
-        pattern = F.lit(_gap_pattern(name))
-        found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, _gap_pattern(name), -1)
-        before = lambda a, k: F.aggregate(F.slice(a, F.lit(1), k), F.lit(0), lambda s, x: s + F.length(x))
-        start = lambda i: before(pieces, i + 1) + before(found, i)
-        return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("stop"), F.lit(name).alias("rule"), m.alias("fragment")))
+        word, _ = (HIGH_GAPS | AMBIGUOUS_GAPS)[name]
+        # the first letter gives way to the place's character
+        first, rest = r"[ \t]+".join(word.split())[0], r"[ \t]+".join(word.split())[1:]
+        starts = places(text, _gap_pattern(name).replace(first + rest, f"{first}({rest})"), _PLACE + "$1")
+        found = F.regexp_extract_all(text, F.lit(_gap_pattern(name)), F.lit(0))
+        return F.zip_with(starts, found, lambda a, m: F.struct(a.alias("start"), (a + F.length(m)).alias("stop"), F.lit(name).alias("rule"), m.alias("fragment")))
 
-    return F.array_sort(F.concat(*(spans(n) for n in names)))
+    none = F.array().cast("array<struct<start:int,stop:int,rule:string,fragment:string>>")
+    return F.when(gap_possible(text), F.array_sort(F.concat(*(spans(n) for n in names)))).otherwise(F.when(text.isNotNull(), none))
 
 
 def gap_status(high: Column, ambiguous: Column) -> Column:
@@ -463,7 +475,7 @@ def compact(text: Column, limit: int) -> Column:
 
 def human_size(size: Column) -> Column:
     step = F.least(F.lit(4), F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1024.0)))).cast("int")
-    return F.format_string("%.2f %s", size / F.pow(F.lit(1024.0), step), F.element_at(F.array(*map(F.lit, ("B", "KiB", "MiB", "GiB", "TiB"))), step + 1))
+    return F.format_string("%.2f %s", F.round(size / F.pow(F.lit(1024.0), step), 2), F.element_at(F.array(*map(F.lit, ("B", "KiB", "MiB", "GiB", "TiB"))), step + 1))
 
 
 def first_named(columns: list[str], *candidates: str) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chashma.functions.text import places
+
 # Marks around a word, apostrophe-like marks, letter pairs that are simplified, and which rules only undo normalisation.
 OPENING = r"""["'“”‘’(\[{«»„]*"""
 CLOSING = r"""[.,!?;:…"'“”‘’)\]}«»]*"""
@@ -17,15 +19,9 @@ NORMALISATION_ONLY = ("apostrophe_ascii_to_backtick", "apostrophe_ascii_to_curly
 
 
 def token_spans(text: Column) -> Column:
-    """Array of (index, start, stop, surface) of the words between blanks: lengths of the pieces around them give the offsets.
-
-    Offsets are one running sum, kept as text that only grows at its end, as arrays would be copied for each word.
-    """
-    surfaces, gaps = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), F.split(text, r"(?U)\S+", -1)
-    lengths = F.zip_with(F.slice(gaps, 1, F.greatest(F.lit(0), F.size(gaps) - 1)), surfaces, lambda g, s: F.struct(F.length(g).alias("gap"), F.length(s).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("told"))
-    starts = F.aggregate(lengths, start, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["told"], (acc["at"] + x["gap"]).cast("string"), F.lit(",")).alias("told")), lambda acc: F.split(acc["told"], ","))
-    both = F.zip_with(surfaces, F.slice(starts, 1, F.size(surfaces)), lambda s, a: F.struct(a.cast("int").alias("start"), s.alias("surface")))
+    """Array of (index, start, stop, surface) of the words between blanks; linear in the text."""
+    surfaces, starts = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), places(text, r"(?U)(?<!\S)\S", "\ue000")
+    both = F.zip_with(surfaces, starts, lambda s, a: F.struct(a.alias("start"), s.alias("surface")))
     return F.transform(both, lambda x, i: F.struct(i.alias("index"), x["start"].alias("start"), (x["start"] + F.length(x["surface"])).alias("stop"), x["surface"].alias("surface")))
 
 

@@ -856,7 +856,7 @@ def detector_view(spark, folder):
     return Y.detector_view(_typos(spark, folder), clean, Y.split_groups(clean, "sentence_id"))
 
 
-@query(f"""SELECT split, label, tokens FROM (SELECT split, sum(len(regexp_extract_all(input, '{_SOLID}+')) - CASE WHEN label = 'KEEP' THEN 0 ELSE 1 END)::BIGINT AS "OK", sum(CASE WHEN label = 'KEEP' THEN 0 ELSE 1 END)::BIGINT AS "ERROR" FROM {_VIEW} GROUP BY 1) UNPIVOT (tokens FOR label IN ("OK", "ERROR"))""")
+@query(f"""SELECT split, label, tokens FROM (SELECT split, sum(len(regexp_extract_all(input, '{_SOLID}+')) - CASE WHEN label = 'KEEP' THEN 0 ELSE 1 END)::BIGINT AS "OK", sum(CASE WHEN label = 'KEEP' THEN 0 ELSE 1 END)::BIGINT AS "ERROR" FROM {_VIEW} GROUP BY 1) UNPIVOT (tokens FOR label IN ("OK", "ERROR")) WHERE tokens > 0""")
 def detector_tokens(spark, folder):
     return Y.token_view(detector_view(spark, folder)).groupBy("split", "label").agg(F.count("*").alias("tokens"))
 

@@ -41,7 +41,7 @@ def blank_run_shapes(spark, folder):
     return _t(spark, folder, "documents").select(F.explode(T.blank_runs(F.col("text"))).alias("run")).groupBy("run").agg(F.count("*").alias("runs"))
 
 
-@query("SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.2f B', s::DOUBLE) WHEN s < 1048576 THEN printf('%.2f KiB', s / 1024) ELSE printf('%.2f MiB', s / 1048576) END AS size FROM (SELECT doc_id, strlen(text) AS s FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.2f B', s::DOUBLE) WHEN s < 1048576 THEN printf('%.2f KiB', round(s / 1024, 2)) ELSE printf('%.2f MiB', round(s / 1048576, 2)) END AS size FROM (SELECT doc_id, strlen(text) AS s FROM documents WHERE text IS NOT NULL)")
 def text_sizes(spark, folder):
     return _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", T.human_size(F.octet_length("text").cast("bigint")).alias("size"))
 

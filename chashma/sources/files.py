@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """(source_record_id, item VARIANT) of the items of JSON arrays, in order, from files of any size.
 
-    Files are read in splits at line breaks. Where each item has its own line, as `write_json_array` and most tools lay them out, the lines are the items: the
-    opening bracket, the closing one and the commas between are taken off, and numbers come from counts per split. A line that holds several items or
-    a part of one does not parse and ends the read with an error; for such files there is `read_small_json_array`.
+    Files are read in splits at line breaks, with the brackets of the array on lines of their own and an item on each other line, as `write_json_array`
+    and most tools lay them out; commas at the ends are taken off, and numbers come from counts per split. Any other layout does not parse and ends
+    the read with an error; for such files there is `read_small_json_array`.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    # an item that ends in a bracket of its own keeps it: the array's closing bracket stands on a line of its own
-    own = F.when(F.trim("value").rlike(r"^[\[\]]\s*,?\z"), F.lit("")).otherwise(F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\[\s*(?=[{\[\"0-9tfn-])", ""), r"\s*,\z", ""))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
+    own = F.when(F.col("value").isin("[", "]", "],"), F.lit("")).otherwise(F.regexp_replace("value", r"\s*,\z", ""))
     items = lines.withColumn("own", own).where("own != ''")
     return _numbered(items.select("file", "at", F.parse_json("own").alias("item")))
 

@@ -43,7 +43,8 @@ def test_contract(spark, frame):
     assert found["normalized_hash_mismatch"] > 0 and found["invalid_trim_transformation"] > 0
     short = {r.problem: r.failing for r in N.validate(frame, run.where("source_record_id > 0"), "id", "text").collect()}
     assert short["missing_row"] == 1 and short["extra_row"] == 0
-    assert all(r.status == "PASS" for r in N.run_checks(run).collect())
+    assert all(r.status == "PASS" for r in N.run_checks(run, frame, "id", "text").collect())
+    assert any(r.status == "FAIL" for r in N.run_checks(damaged, frame, "id", "text").collect())
 
 
 def test_empty_table(spark):

@@ -148,3 +148,121 @@ def test_boundary_hints_count_every_end(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_sentences", lambda *_: rows)
     got = {r["item"]: r["rows"] for r in catalogue.QUERIES["boundary_hints"](spark, "").collect()}
     assert got["CAPITAL_AFTER"] == 2
+
+
+def hot(spark, rows=20_000, share=0.9):
+    """Rows of which nine tenths are in one part, some of them in none."""
+    part = F.when(F.col("id") < int(rows * share), F.lit(1)).when(F.col("id") % 50 == 0, F.lit(None)).otherwise((F.col("id") % 7 + 2).cast("int"))
+    return spark.range(rows).select("id", part.alias("part"), (F.col("id") % 11 == 0).alias("odd"), (F.col("id") * 7919 % 1000).alias("score"))
+
+
+def brute_lowest(rows, k, seed="42", with_part=True):
+    import hashlib
+
+    by = {}
+    for r in rows:
+        told = "|".join([seed, *([str(r.part)] if with_part and r.part is not None else []), str(r.id)])
+        by.setdefault(r.part, []).append((hashlib.sha256(told.encode()).hexdigest(), r.id))
+    return {p: [i for _, i in sorted(x)[:k]] for p, x in by.items()}
+
+
+def test_hot_part_is_cut_before_it_is_ranked(spark):
+    df = hot(spark)
+    scored = df.withColumn("h", W.hash_order("42", F.col("part"), F.col("id")))
+    near = W.lowest(scored, ["part"], "h", F.lit(20))
+    sizes = {r.part: r["count"] for r in near.groupBy("part").count().collect()}
+    # what is ranked is little more than what is wanted, also of the part with nine tenths of the rows
+    assert set(sizes) == {None, *range(1, 9)} and all(20 <= n <= 60 for n in sizes.values())
+    want = brute_lowest(df.collect(), 20)
+    for p, ids in want.items():
+        got = near.where(F.col("part").eqNullSafe(F.lit(p).cast("int"))).orderBy("h").limit(20)
+        assert [r.id for r in got.collect()] == ids
+
+
+def test_draws_from_hot_parts(spark):
+    df = hot(spark)
+    quotas = df.groupBy("part").agg(F.count("*").alias("size"), F.lit(30).alias("quota")).where("part IS NOT NULL")
+    got = W.draw(df, "id", "part", quotas, "size").collect()
+    want = brute_lowest(df.collect(), 30)
+    assert {(r.part, r.id) for r in got} == {(p, i) for p, ids in want.items() if p for i in ids}
+    two = W.two_phase(df, "id", "part", 5, {"ODD": (F.col("odd"), 3)}, 12).collect()
+    for p, ids in brute_lowest(df.collect(), 5).items():
+        assert {r.id for r in two if r.part == p and r.phase == "ESTIMATION"} == set(ids)
+    assert all(sum(r.part == p for r in two) == 12 for p in (None, *range(1, 9))) and len({r.id for r in two}) == len(two)
+    assert W.balanced(df, "id", "part", 2, 100).where("part = 1").count() >= 2
+    tails = W.score_tails(df, "score", "part", "id", 4).collect()
+    scores = sorted((r.score, r.id) for r in df.where("part = 1").collect())
+    assert {r.id for r in tails if r.part == 1 and r.tail == "LOW"} == {i for _, i in scores[:4]}
+    assert {r.id for r in tails if r.part == 1 and r.tail == "HIGH"} == {i for _, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:4]}
+
+
+def test_folds_of_a_hot_class(spark):
+    from chashma.operators import models as M
+
+    sizes = [r["count"] for r in M.folds(hot(spark), "id", 5).groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_new_parsers_and_flags(spark):
+    assert [one(spark, T.parse_int, x) for x in (" 12 ", "3.0", "-7", "1.5", "x", "", None)] == [12, 3, -7, None, None, None, None]
+    assert [one(spark, T.broken_spacing, x) for x in ("Noyo ning uyi", "kitob lik", "u bordi", "bog' da gul", "", None)] == [True, True, False, True, False, None]
+    assert one(spark, T.format_characters, "a\u200bb\tc\x07\ufffd") == ["U+200B", "U+0007", "U+FFFD"]
+    assert one(spark, lambda c: T.one_apostrophe(c, T.APOSTROPHE_MAPS["three"]), "o`z o‘z") == "o`z o'z"
+
+
+def test_sweep(spark):
+    df = spark.createDataFrame([("s1", "Sho'rva 2024 ab ishxona."), ("s2", None), ("s3", "")], "id string, text string")
+    rows = {r.core: r for r in Y.sweep_rows(df, "id", "text").collect()}
+    assert set(rows) == {"Sho'rva", "2024", "ab", "ishxona"} and not rows["2024"].eligible and rows["2024"].rule is None
+    assert rows["ab"].corrupted == "abb" and all(r.corrupted != r.core for r in rows.values())
+    known = spark.createDataFrame([("Sho'rva",)], "t string").select(Y.sweep_variants(F.col("t")).alias("v")).first().v
+    assert {v.rule: v.corrupted for v in known} == {"apostrophe_drop": "Shorva", "apostrophe_ascii_to_backtick": "Sho`rva", "phonetic_sh": "So'rva", "drop_last": "Sho'rv", "drop_inner": "Shorva", "duplicate_inner": "Sho''rva", "swap_inner": "Sh'orva", "split_word": "Sho 'rva", "duplicate_last_char_fallback": "Sho'rvaa"}
+
+
+def test_json_arrays_in_splits(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("matn [\n] , "), F.col("id").cast("string"))).alias("text"))
+    S.write_json_array(df.repartition(4), str(tmp_path / "a"), "id")
+    items = S.read_json_array(spark, str(tmp_path / "a"))
+    told = S.classify_items(items).orderBy("source_record_id").collect()
+    assert [r.source_record_id for r in told] == list(range(1000))
+    assert [r.text for r in told] == [None if i % 5 == 0 else f"matn [\n] , {i}" for i in range(1000)]
+    import json
+
+    for f in (tmp_path / "a").glob("part-*"):
+        assert json.loads(f.read_text()) is not None
+    S.write_json_array(df.limit(0), str(tmp_path / "none"), "id")
+    assert S.read_json_array(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "b.json").write_text('[\n  {"text": "bir"},\n  [1, 2],\n\n  "uch", \n  4\n]\n')
+    got = S.classify_items(S.read_json_array(spark, str(tmp_path / "b.json"))).orderBy("source_record_id").collect()
+    assert [(r.source_record_id, r.record_type, r.text) for r in got] == [(0, "TEXT", "bir"), (1, "NON_DICTIONARY_RECORD", None), (2, "NON_DICTIONARY_RECORD", None), (3, "NON_DICTIONARY_RECORD", None)]
+
+
+def test_bom_csv(spark, tmp_path):
+    (tmp_path / "b.csv").write_bytes("\ufeffid,text\n1,\"a\nb\"\n2,\n".encode())
+    got = S.read_csv(spark, str(tmp_path / "b.csv"))
+    assert got.columns == ["id", "text"] and [tuple(r) for r in got.orderBy("id").collect()] == [("1", "a\nb"), ("2", "")]
+
+
+def test_long_texts(spark):
+    """Words and gaps of a text of some hundred thousand words."""
+    text = "u bo ldi va  ketdi\t" * 40_000
+    row = spark.createDataFrame([(text,)], "t string").select(Y.token_spans(F.col("t")).alias("w"), T.gap_spans(F.col("t"), T.HIGH_GAPS).alias("g")).first()
+    assert len(row.w) == 200_000 and all(text[x.start : x.stop] == x.surface for x in row.w) and [x["index"] for x in row.w] == list(range(200_000))
+    assert len(row.g) == 40_000 and all(text[x.start : x.stop] == x.fragment for x in row.g)
+
+
+def test_shared_folder_of_a_cluster():
+    from chashma.plans import lineage
+
+    assert lineage.one_process("local") and lineage.one_process("local[8]") and not lineage.one_process("local-cluster[2,1,1024]") and not lineage.one_process("spark://host:7077") and not lineage.one_process("yarn")
+
+    class Context:
+        master = "yarn"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})
+
+        def getConf(self):
+            return {}
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})})
+    with pytest.raises(RuntimeError):
+        lineage.shared_folder(session)
