@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from chashma.llm import lookalikes
+
 #: Lists of words as TESTDATA.md defines a word; then one row for each ten words in a row.
 _WORDS = "regexp_extract_all(regexp_replace(lower({0}), '[''`´‘’ʻʼ]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = """(SELECT id, array_to_string(w[i : i + 9], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {id} AS id, {words} AS w FROM {table}) WHERE len(w) >= 10))"""
@@ -52,7 +54,34 @@ _SIMILAR = f"""WITH r AS (SELECT DISTINCT 'seen_texts' AS table_name, text_id AS
     p AS (SELECT a.table_name, a.key AS key_a, b.key AS key_b, count(*) AS shared, any_value(a.n + b.n) AS n FROM u a JOIN u b ON a.table_name = b.table_name AND a.word = b.word AND a.key < b.key GROUP BY 1, 2, 3)
     SELECT table_name, key_a, key_b FROM p WHERE shared * 4 >= 3 * (n - shared)"""
 
+#: Classes of pairs: each round a row takes the smallest key it is linked to.
+_GROUPS = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM ({_SIMILAR})), e AS MATERIALIZED (SELECT table_name, key_a AS a, key_b AS b FROM p UNION ALL SELECT table_name, key_b, key_a FROM p),
+    r AS (SELECT DISTINCT table_name, a AS key, a AS low FROM e UNION SELECT e.table_name, e.b, r.low FROM r JOIN e ON e.table_name = r.table_name AND e.a = r.key WHERE r.low < e.b),
+    g AS (SELECT table_name, key, min(low) AS group_key FROM r GROUP BY 1, 2),
+    c AS (SELECT DISTINCT table_name, key, md5(array_to_string(list_sort(list_distinct({_WORDS.format("text")})), ' ')) AS class FROM (SELECT 'seen_texts' AS table_name, text_id AS key, text_value AS text FROM seen_texts UNION SELECT 'duplicate_index', first_source_record_id, text_preview FROM duplicate_index) WHERE text IS NOT NULL),
+    d AS (SELECT e.table_name, e.a AS key, count(DISTINCT y.class) FILTER (WHERE x.class != y.class) AS links FROM e JOIN c x ON x.table_name = e.table_name AND x.key = e.a JOIN c y ON y.table_name = e.table_name AND y.key = e.b GROUP BY 1, 2)
+    SELECT g.table_name, g.key, g.group_key, count(*) OVER (PARTITION BY g.table_name, g.group_key) AS group_rows, d.links FROM g JOIN d ON d.table_name = g.table_name AND d.key = g.key"""
+
+#: The form itself is SQL, so it is the same here; what is checked is everything around it.
+_LOOKS = """(SELECT 'routing_signal_audit' AS table_name, sample_id AS key, sentence_text AS text, NULL::VARCHAR AS stored_sha256 FROM routing_signal_audit
+    UNION ALL SELECT 'validation_documents', document_sample_id, normalized_text, normalized_text_sha256 FROM validation_documents UNION ALL SELECT 'seen_texts', text_id::VARCHAR, text_value, NULL FROM seen_texts)"""
+_LOOKING = f"(SELECT DISTINCT table_name, key, text, skeleton FROM {lookalikes.forms_of(_LOOKS)} WHERE text IS NOT NULL AND key IS NOT NULL)"
+_SEVERAL = f"(SELECT table_name, skeleton FROM {_LOOKING} GROUP BY 1, 2 HAVING count(DISTINCT text) > 1)"
+
+#: Runs of equal words along each diagonal: places less their number along the diagonal are equal within a run.
+_RUNS = f"""(WITH d AS (SELECT doc_id AS id, {_WORDS.format("text")} AS w FROM documents), e AS (SELECT item_id AS id, {_WORDS.format("text")} AS w FROM eval_items), p AS ({_PAIRS}),
+    x AS (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS place FROM d WHERE id IN (SELECT doc_id FROM p)), y AS (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS place FROM e),
+    m AS (SELECT p.doc_id, p.item_id, x.place - y.place AS diagonal, x.place FROM p JOIN x ON x.id = p.doc_id JOIN y ON y.id = p.item_id AND y.word = x.word),
+    r AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY place) AS run FROM m)
+    SELECT doc_id, item_id, max(n) AS longest_run FROM (SELECT doc_id, item_id, diagonal, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1, 2)"""
+
 SQL = {
+    "p3_groups": _GROUPS,
+    "p7_found": f"SELECT DISTINCT a.table_name, a.key AS key_a, b.key AS key_b FROM {_LOOKING} a JOIN {_LOOKING} b ON a.table_name = b.table_name AND a.skeleton = b.skeleton AND a.key < b.key AND a.text != b.text",
+    "p7_classes": f"""SELECT table_name, key, class_key, class_rows, class_texts FROM (SELECT DISTINCT table_name, skeleton, key FROM {_LOOKING}) l
+        JOIN (SELECT table_name, skeleton, min(key) AS class_key, count(DISTINCT key) AS class_rows, count(DISTINCT text) AS class_texts FROM {_LOOKING} WHERE (table_name, skeleton) IN (SELECT (table_name, skeleton) FROM {_SEVERAL}) GROUP BY 1, 2) c USING (table_name, skeleton)""",
+    "p7_forms": f"SELECT DISTINCT table_name, key, form, sha256(form) AS form_sha256, stored_sha256, sha256(skeleton) AS look_sha256, form != text AS changed FROM (SELECT DISTINCT table_name, key, text, stored_sha256, form, skeleton FROM {lookalikes.forms_of(_LOOKS)})",
+    "p9_leaked_items": f"SELECT i.item_id, i.split, i.task, count(*) AS documents, max(longest_run) AS longest_run FROM eval_items i JOIN {_RUNS} r ON r.item_id = i.item_id GROUP BY 1, 2, 3",
     "p3_found": _SIMILAR,
     "p2_found": f"{_CLASSES} SELECT table_name, k3 AS key_a, key AS key_b FROM z WHERE k3 != key",
     "p2_records": f"{_CLASSES} SELECT table_name, k3 AS key, count(*) AS records, sum(coalesce(o, 0))::BIGINT AS occurrence_count FROM z GROUP BY 1, 2",
@@ -61,5 +90,5 @@ SQL = {
     "p1_sample": f"""SELECT id AS source_record_id, part AS part_number, sample_key
         FROM (SELECT k.*, row_number() OVER (PARTITION BY part ORDER BY sample_key, id) AS place, q.quota FROM ({_KEYED}) k JOIN ({_QUOTAS}) q ON k.part = q.part_number) WHERE place <= quota""",
     "p9_found": _PAIRS,
-    "p8_round_trip": "SELECT count(*) AS compared, 0::BIGINT AS differing FROM documents",
+    "p8_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
