@@ -27,8 +27,25 @@ def status_windows(stream: DataFrame, time_col: str, text_col: str, window: str
     return rows.groupBy(F.window(time_col, window)).agg(F.count("*").alias("texts"), F.count_if("changed").alias("changes")).select("window.start", "window.end", "texts", "changes")
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What is there now, into a table in memory: in append mode only what is final by the watermark, in complete mode all."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
+    """What is there now, as a table in the shared folder: in append mode what is final by the watermark, in complete mode all.
+
+    Each batch is written by the executors, none of it goes to the driver; in complete mode a batch replaces the ones before it.
+    """
+    table = f"{folder}/{name}"
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again after a failure replaces itself
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    batches = sorted(int(f.getPath().getName().partition("=")[2]) for f in files.listStatus(where)) if files.exists(where) else []
+    if not batches:
+        return spark.createDataFrame([], schema)
+    kept = batches[-1:] if mode == "complete" else batches
+    return spark.read.schema(schema).parquet(*(f"{table}/batch={b}" for b in kept))

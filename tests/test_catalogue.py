@@ -40,6 +40,9 @@ def test_late_rows_of_several_batches(spark, tmp_path):
     stream = audit.read_folder(spark, str(tmp_path / "in"), "at timestamp, text string", 1)
     got = audit.run_to_end(audit.status_windows(stream, "at", "text"), "late_rows", str(tmp_path / "state"), "complete")
     assert sorted(str(r.start.date()) for r in got.collect()) == sorted(days)
+    # in append mode only windows that no late row can reach any more
+    again = audit.run_to_end(audit.status_windows(audit.read_folder(spark, str(tmp_path / "in"), "at timestamp, text string", 1), "at", "text"), "late_rows", str(tmp_path / "again"))
+    assert set(str(r.start.date()) for r in again.collect()) < set(days)
 
 
 def test_entry(spark):
