@@ -209,13 +209,13 @@ def gap_rules_found(text: Column, names) -> Column:
 
 
 #: A character for a place, and one for signs beyond the basic plane, each of which then is one element of a split text.
-_PLACE, _OTHER = "\ue000", "\ue001"
+PLACE, _OTHER = "\ue000", "\ue001"
 
 
 def places(text: Column, pattern: str, mark: str) -> Column:
     """Zero-based offsets of the matches of a pattern whose replacement by `mark` begins with the place's character and is as long as the match. Linear in the text: nothing is summed up or appended."""
-    marked = F.regexp_replace(F.regexp_replace(text, rf"[\x{{10000}}-\x{{10FFFF}}{_PLACE}]", _OTHER), pattern, mark)
-    return F.filter(F.transform(F.split(marked, ""), lambda c, i: F.when(c == _PLACE, i)), lambda i: i.isNotNull())
+    marked = F.regexp_replace(F.regexp_replace(text, rf"[\x{{10000}}-\x{{10FFFF}}{PLACE}]", _OTHER), pattern, mark)
+    return F.filter(F.transform(F.split(marked, ""), lambda c, i: F.when(c == PLACE, i)), lambda i: i.isNotNull())
 
 
 def gap_spans(text: Column, names) -> Column:
@@ -225,7 +225,7 @@ def gap_spans(text: Column, names) -> Column:
         word, _ = (HIGH_GAPS | AMBIGUOUS_GAPS)[name]
         # the first letter gives way to the place's character
         first, rest = r"[ \t]+".join(word.split())[0], r"[ \t]+".join(word.split())[1:]
-        starts = places(text, _gap_pattern(name).replace(first + rest, f"{first}({rest})"), _PLACE + "$1")
+        starts = places(text, _gap_pattern(name).replace(first + rest, f"{first}({rest})"), PLACE + "$1")
         found = F.regexp_extract_all(text, F.lit(_gap_pattern(name)), F.lit(0))
         return F.zip_with(starts, found, lambda a, m: F.struct(a.alias("start"), (a + F.length(m)).alias("stop"), F.lit(name).alias("rule"), m.alias("fragment")))
 
@@ -318,6 +318,9 @@ def foreign_like(token: Column) -> Column:
     return (F.length(token) >= 4) & (low.contains("w") | (low.contains("c") & ~low.contains("ch")) | low.rlike("(tion|ing|ness|ment|able)$"))
 
 
+TOKEN_SHAPES = ("LONG_TOKEN", "LONG_TOKEN_WITH_APOSTROPHE", "CONSONANT_CLUSTER", "TRIPLE_LETTER", "LETTER_W", "C_WITHOUT_H")
+
+
 def token_shape_flags(text: Column) -> Column:
     """Which odd shapes the tokens of a text have."""
     words = tokens(F.lower(one_apostrophe(text)), "plain")
@@ -335,7 +338,10 @@ def token_shape_flags(text: Column) -> Column:
 def repeated_ngram(text: Column, n: int) -> Column:
     """Whether `n` words in a row occur twice."""
     words = F.filter(tokens(F.lower(one_apostrophe(text)), "plain"), lambda w: F.length(w) >= 2)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    grams = words
+    for k in range(2, n + 1):  # arrays side by side: inside of a function of an index the words would be found anew for each
+        grams = F.zip_with(grams, F.slice(words, k, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.filter(grams, lambda g: g.isNotNull())
     return (F.size(words) > n) & (F.size(F.array_distinct(grams)) < F.size(grams))
 
 
@@ -433,6 +439,12 @@ def starts_lowercase(text: Column) -> Column:
     return text.rlike(r"""(?U)^[\s"'“‘«(\[{]*\p{Ll}""")
 
 
+def following_class(text: Column, at: Column) -> Column:
+    """What stands behind a place, blanks aside: END, UPPER, LOWER, DIGIT or OTHER."""
+    behind = F.regexp_extract(F.substring(text, at + 1, F.length(text)), r"(?Us)^\s*(.)", 1)
+    return F.when(behind == "", "END").when(behind.rlike(r"\p{Lu}"), "UPPER").when(behind.rlike(r"\p{Ll}"), "LOWER").when(behind.rlike(r"\p{Nd}"), "DIGIT").otherwise("OTHER")
+
+
 def parse_bool(text: Column) -> Column:
     low = F.lower(F.trim(text))
     return F.when(low.isin("true", "1", "yes", "y", "t"), True).when(low.isin("false", "0", "no", "n", "f"), False)

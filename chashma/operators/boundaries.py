@@ -17,7 +17,7 @@ def events(sentences: DataFrame, parents: DataFrame, id_col: str, text_col: str,
     texts = parents.select(F.col(id_col).cast("bigint").alias("source_record_id"), F.col(text_col).alias("parent_text"))
     rows = sentences.select("source_record_id", "sentence_id", "sentence_start_char", "sentence_end_char", "segmentation_method", F.explode("boundary_flags").alias("boundary_group")).join(texts, "source_record_id")
     kind = F.when(F.col("boundary_group").isin(*PROTECTED), "PROTECT_NO_SPLIT").when(F.col("boundary_group") == "LOWERCASE_AFTER_TERMINAL", "SPLIT").otherwise("WHOLE_SENTENCE_REVIEW")
-    return rows.select("source_record_id", "sentence_id", "boundary_group", kind.alias("event"), T.context(F.col("parent_text"), F.col("sentence_end_char") - 1, F.col("sentence_end_char"), around).alias("context"))
+    return rows.select("source_record_id", "sentence_id", "boundary_group", kind.alias("event"), T.following_class(F.col("parent_text"), F.col("sentence_end_char")).alias("following"), T.context(F.col("parent_text"), F.col("sentence_end_char") - 1, F.col("sentence_end_char"), around).alias("context"))
 
 
 def lowercase_families(sentences: DataFrame) -> DataFrame:
@@ -63,9 +63,8 @@ def triage(events: DataFrame, reviewed: DataFrame, key: list[str]) -> DataFrame:
 
 def inner_ends(text: Column) -> Column:
     """The text behind each mark or run of marks that has a letter or digit behind it, over line breaks too."""
-    parts = F.split(text, r"(?<=[.!?…])(?![.!?…])", -1)
-    rights = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
-    return F.filter(rights, lambda right: right.rlike(r"[\p{L}\p{N}]"))
+    ends = T.places(text, r"[.!?…](?![.!?…])", T.PLACE)
+    return F.filter(F.transform(ends, lambda at: F.substring(text, at + 2, 1 << 30)), lambda right: right.rlike(r"[\p{L}\p{N}]"))
 
 
 def review_hints(events: DataFrame) -> DataFrame:

@@ -25,11 +25,14 @@ class Profile:
     commas: bool = False
     digits: bool = False
     must_end: str = "."
+    #: Whether the shapes of single words count too.
+    shapes: bool = False
 
 
 STRICT = Profile("strict")
 WIDE = Profile("wide", words=(7, 18), solid_chars=(45, 165), commas=True, most_signs=0.12)
 SHORT = replace(STRICT, name="short", words=(3, 8), solid_chars=(12, 60))
+CAREFUL = replace(STRICT, name="careful", shapes=True)
 
 
 _FEATURES = "f_"
@@ -46,6 +49,7 @@ def with_features(df: DataFrame, text_col: str) -> DataFrame:
         {
             "f_solid": F.regexp_count(t, F.lit(r"(?U)\S")), "f_words": F.regexp_count(T.one_apostrophe(t), F.lit(T.WORD_CLASSES["letters_marks"])), "f_letters": F.regexp_count(t, F.lit(r"\p{L}")), "f_signs": F.regexp_count(t, F.lit(r"(?U)[^\p{L}\p{Nd}\s]")),
             "f_case_merge": T.case_merge(t), "f_spaced": T.spaced_letters(t), "f_apostrophe": F.size(T.apostrophe_defects(t)) > 0, "f_lower": T.starts_lowercase(t), "f_gap": T.gap_counts(t, T.HIGH_GAPS) > 0, "f_comma": t.contains(","), "f_digit": t.rlike(r"\p{Nd}"),
+            "f_shapes": T.token_shape_flags(t), "f_doubled": T.doubled_token(t), "f_vowels": T.repeated_vowel(t), "f_triples": T.repeated_ngram(t, 3), "f_broken": T.broken_spacing(t), "f_acronyms": T.acronym_count(t),
             "f_repeat": F.size(F.array_distinct(F.filter("f_pairs", lambda p: p.contains(" ")))) < F.size(F.filter("f_pairs", lambda p: p.contains(" "))),
         }
     )
@@ -63,6 +67,9 @@ def reasons(profile: Profile, blocked: list[str] | None = None) -> Column:
         named.append(("HAS_COMMA", c("f_comma")))
     if not profile.digits:
         named.append(("HAS_DIGIT", c("f_digit")))
+    if profile.shapes:
+        named += [(f"{n}_SHAPE", F.array_contains("f_shapes", n)) for n in T.TOKEN_SHAPES]
+        named += [("DOUBLED_TOKEN", c("f_doubled")), ("REPEATED_VOWEL", c("f_vowels")), ("REPEATED_TRIPLE", c("f_triples")), ("BROKEN_SPACING", c("f_broken")), ("ACRONYM", c("f_acronyms") > 0)]
     if blocked:
         named.append(("BLOCKED_WORD", F.arrays_overlap("f_words_of", F.array(*map(F.lit, blocked)))))
     return F.when(F.coalesce(F.length("f_text"), F.lit(0)) == 0, F.array(F.lit("EMPTY"))).otherwise(T.flags(*named))
@@ -75,6 +82,15 @@ def select(df: DataFrame, text_col: str, profiles: tuple[Profile, ...]) -> DataF
     return out.drop(*(c for c in out.columns if c.startswith(_FEATURES)))
 
 
+def route_by(levels: dict[str, dict[str, Column]], default: str) -> tuple[Column, Column]:
+    """(decision, reasons): the first level of which any rule holds, with the names of its rules that hold; `default` and no reasons if none does."""
+    told = {name: T.flags(*rules.items()) for name, rules in levels.items()}
+    decision, why = F.lit(default), F.array().cast("array<string>")
+    for name, reasons_of in reversed(told.items()):
+        decision, why = F.when(F.size(reasons_of) > 0, F.lit(name)).otherwise(decision), F.when(F.size(reasons_of) > 0, reasons_of).otherwise(why)
+    return decision, why
+
+
 def route(usable: Column, harmful: Column, repairable: Column) -> Column:
     """The first that applies: reject, quarantine (unknown), repair, take."""
     return F.when(harmful, "REJECT").when(usable.isNull(), "QUARANTINE").when(~usable, "QUARANTINE").when(repairable, "REPAIRABLE_USABLE").otherwise("DIRECT_HEALTHY")

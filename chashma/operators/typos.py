@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chashma.functions.text import places
+from chashma.functions.text import PLACE, places
 
 # Marks around a word, apostrophe-like marks, letter pairs that are simplified, and which rules only undo normalisation.
 OPENING = r"""["'“”‘’(\[{«»„]*"""
@@ -20,7 +20,7 @@ NORMALISATION_ONLY = ("apostrophe_ascii_to_backtick", "apostrophe_ascii_to_curly
 
 def token_spans(text: Column) -> Column:
     """Array of (index, start, stop, surface) of the words between blanks; linear in the text."""
-    surfaces, starts = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), places(text, r"(?U)(?<!\S)\S", "\ue000")
+    surfaces, starts = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), places(text, r"(?U)(?<!\S)\S", PLACE)
     both = F.zip_with(surfaces, starts, lambda s, a: F.struct(a.alias("start"), s.alias("surface")))
     return F.transform(both, lambda x, i: F.struct(i.alias("index"), x["start"].alias("start"), (x["start"] + F.length(x["surface"])).alias("stop"), x["surface"].alias("surface")))
 

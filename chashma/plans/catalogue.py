@@ -325,27 +325,23 @@ def character_ratios(spark, folder):
     return _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", *T.ratios(F.col("text")))
 
 
-_SHAPES = {
-    "LONG_TOKEN": "length(w) >= 14", "LONG_TOKEN_WITH_APOSTROPHE": "length(w) >= 12 AND contains(w, '''')", "CONSONANT_CLUSTER": "regexp_matches(w, '[b-df-hj-np-tv-xz]{5}')", "TRIPLE_LETTER": f"regexp_matches(w, '{'|'.join(c * 3 for c in 'abcdefghijklmnopqrstuvwxyz')}')",
-    "LETTER_W": "contains(w, 'w')", "C_WITHOUT_H": "regexp_matches(w, 'c([^h]|$)')",
-}
 _VOWELS = "CASE WHEN length(w) > 0 THEN len(regexp_extract_all(w, '(?i)[aeiou]')) / length(w) ELSE 0 END"
-_OCR = f"length(w) >= 8 AND ((length(w) >= 14 AND ({_VOWELS} < 0.22 OR {_VOWELS} > 0.72)) OR regexp_matches(w, '(?i)[b-df-hj-np-tv-z]{{5}}') OR {_SHAPES['TRIPLE_LETTER'].replace('(w,', '(lower(w),')})"
+_OCR = f"length(w) >= 8 AND ((length(w) >= 14 AND ({_VOWELS} < 0.22 OR {_VOWELS} > 0.72)) OR regexp_matches(w, '(?i)[b-df-hj-np-tv-z]{{5}}') OR {Z.SHAPES['TRIPLE_LETTER'].replace('(w,', '(lower(w),')})"
 _FOREIGN = "length(w) >= 4 AND (contains(lower(w), 'w') OR (contains(lower(w), 'c') AND NOT contains(lower(w), 'ch')) OR regexp_matches(lower(w), '(tion|ing|ness|ment|able)$'))"
-_some = lambda words, condition: f"len([w for w in {words} if {condition}]) > 0"
+_some = Z.some
 _NUMBERS = ["bir", "ikki", "uch", "ming", "yuz"]
 _NUMBER_WORDS = f"string_split_regex(lower({Z.one_apostrophe(_ST)}), '{_B}+')"
 
 
-@query(rf"""SELECT doc_id, array_to_string({Z.flags({n: _some("tok", c) for n, c in _SHAPES.items()})}, '|') AS shapes, {Z.repeated_ngram("[w for w in tok if length(w) >= 2]", 2)} AS repeated_pair,
-    {_some("tok", "length(w) >= 11 AND len([k for k in range(3, length(w) // 2 + 1) if left(w, k) = substr(w, k + 1, k)]) > 0")} AS doubled_token, regexp_matches(text, '\p{{Ll}}\p{{Lu}}') AS case_merge, {Z.spaced_letters("text")} AS spaced_letters,
+@query(rf"""SELECT doc_id, array_to_string({Z.flags({n: _some("tok", c) for n, c in Z.SHAPES.items()})}, '|') AS shapes, {Z.repeated_ngram("[w for w in tok if length(w) >= 2]", 2)} AS repeated_pair,
+    {_some("tok", "length(w) >= 11 AND len([k for k in range(3, length(w) // 2 + 1) if left(w, k) = substr(w, k + 1, k)]) > 0")} AS doubled_token, {_some("tok", "length(w) >= 10 AND w NOT IN ('tashtash', 'bolabolalar') AND len([k for k in range(3, length(w) // 2 + 1) if left(w, k) = substr(w, k + 1, k)]) > 0")} AS doubled_ten, {_some("tok", "regexp_matches(w, 'aa|ee|ii|oo|uu') AND w NOT IN ('saat', 'maa')")} AS unsafe_vowel, regexp_matches(text, '\p{{Ll}}\p{{Lu}}') AS case_merge, {Z.spaced_letters("text")} AS spaced_letters,
     len([w for w in regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\p{{Nl}}]+') if regexp_matches(w, '^\p{{Lu}}{{2,}}$')])::INT AS acronyms, array_to_string({Z.flags(Z.apostrophe_defects("text"))}, '|') AS apostrophe_defects, {_some("tok", "regexp_matches(w, 'aa|ee|ii|oo|uu')")} AS repeated_vowel,
     {_some("raw", _OCR)} AS ocr_like, {_some("raw", _FOREIGN)} AS foreign_like, {Z.starts_lowercase("text")} AS starts_lowercase,
     len({_NUMBER_WORDS}) >= 5 AND len([w for w in {_NUMBER_WORDS} if w IN {Z.one_of(_NUMBERS)} OR regexp_matches(w, '^[0-9]+$')]) >= 0.55 * len({_NUMBER_WORDS}) AS mostly_numbers, len(list_intersect(list_distinct(tok), ['tuman', 'shahar', 'viloyat', 'rais']))::INT AS anchors
     FROM (SELECT doc_id, text, {Z.plain_tokens("text")} AS tok, regexp_extract_all(text, '[A-Za-z'']+') AS raw FROM documents WHERE text IS NOT NULL)""")
 def token_shapes(spark, folder):
     t = F.col("text")
-    rows = _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", _joined(T.token_shape_flags(t)).alias("shapes"), T.repeated_ngram(t, 2).alias("repeated_pair"), T.doubled_token(t).alias("doubled_token"), T.case_merge(t).alias("case_merge"), T.spaced_letters(t).alias("spaced_letters"),
+    rows = _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", _joined(T.token_shape_flags(t)).alias("shapes"), T.repeated_ngram(t, 2).alias("repeated_pair"), T.doubled_token(t).alias("doubled_token"), T.doubled_token(t, 10, ("tashtash", "bolabolalar")).alias("doubled_ten"), T.repeated_vowel(t, ("saat", "maa")).alias("unsafe_vowel"), T.case_merge(t).alias("case_merge"), T.spaced_letters(t).alias("spaced_letters"),
         T.acronym_count(t).alias("acronyms"), _joined(T.apostrophe_defects(t)).alias("apostrophe_defects"), T.repeated_vowel(t).alias("repeated_vowel"), F.exists(T.tokens(t, "plain"), T.ocr_like).alias("ocr_like"), F.exists(T.tokens(t, "plain"), T.foreign_like).alias("foreign_like"), T.starts_lowercase(t).alias("starts_lowercase"),
         T.mostly_numbers(t, _NUMBERS).alias("mostly_numbers"), T.anchors(t, ["tuman", "shahar", "viloyat", "rais"]).alias("anchors"))
     return rows
@@ -499,7 +495,7 @@ def neighbour_context(spark, folder):
 
 
 @query(f"""WITH s AS (SELECT *, unnest(flags) AS boundary_group FROM {_SEG}) SELECT rec AS source_record_id, sentence_id, boundary_group,
-    CASE WHEN boundary_group IN {Z.one_of(B.PROTECTED)} THEN 'PROTECT_NO_SPLIT' WHEN boundary_group = 'LOWERCASE_AFTER_TERMINAL' THEN 'SPLIT' ELSE 'WHOLE_SENTENCE_REVIEW' END AS event, {Z.context('t', 'b - 1', 'b', 220)} AS context FROM s""")
+    CASE WHEN boundary_group IN {Z.one_of(B.PROTECTED)} THEN 'PROTECT_NO_SPLIT' WHEN boundary_group = 'LOWERCASE_AFTER_TERMINAL' THEN 'SPLIT' ELSE 'WHOLE_SENTENCE_REVIEW' END AS event, {Z.following('t', 'b')} AS following, {Z.context('t', 'b - 1', 'b', 220)} AS context FROM s""")
 def boundary_events(spark, folder):
     return B.events(_sentences(spark, folder), _t(spark, folder, "documents"), "doc_id", "text")
 
@@ -714,15 +710,15 @@ def threshold_sweep(spark, folder):
 
 
 # ---- rules and lexicon
-@query(" UNION ALL ".join(f"SELECT '{p.name}' AS profile, unnest(CASE WHEN len(reasons) = 0 THEN ['SELECTED'] ELSE reasons END) AS reason, count(*) AS rows FROM {Z.strict(p, _R, 'sentence_text', 'sample_id')} GROUP BY 1, 2" for p in (L.STRICT, L.WIDE, L.SHORT)))
+@query(" UNION ALL ".join(f"SELECT '{p.name}' AS profile, unnest(CASE WHEN len(reasons) = 0 THEN ['SELECTED'] ELSE reasons END) AS reason, count(*) AS rows FROM {Z.strict(p, _R, 'sentence_text', 'sample_id')} GROUP BY 1, 2" for p in (L.STRICT, L.WIDE, L.SHORT, L.CAREFUL)))
 def strict_reasons(spark, folder):
-    rows = L.select(_audit(spark, folder, "sentence_text"), "sentence_text", (L.STRICT, L.WIDE, L.SHORT))
+    rows = L.select(_audit(spark, folder, "sentence_text"), "sentence_text", (L.STRICT, L.WIDE, L.SHORT, L.CAREFUL))
 
     def told(profile: str) -> Column:
         reasons = F.col(f"reasons_{profile}")
         return F.transform(F.when(F.size(reasons) == 0, F.array(F.lit("SELECTED"))).otherwise(reasons), lambda x: F.struct(F.lit(profile).alias("profile"), x.alias("reason")))
 
-    kinds = F.concat(*map(told, ("strict", "wide", "short")))
+    kinds = F.concat(*map(told, ("strict", "wide", "short", "careful")))
     return rows.select(F.explode_outer(kinds).alias("k")).groupBy("k.profile", "k.reason").agg(F.count("*").alias("rows"))
 
 

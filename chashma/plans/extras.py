@@ -58,11 +58,7 @@ def format_characters(spark, folder):
     return _t(spark, folder, "documents").select(F.explode(T.format_characters(F.col("text"))).alias("code")).groupBy("code").agg(F.count("*").alias("occurrences"))
 
 
-_TRIMMED = rf"[regexp_replace(w, '^[.,;:!?()\[\]{{}}\"]+|[.,;:!?()\[\]{{}}\"]+$', '', 'g') for w in string_split_regex(lower({Z.one_apostrophe('text')}), '{Z.B}+')]".replace('\\"', '"')
-
-
-@query(f"""SELECT doc_id, len([k for k in range(1, len(w)) if (length(w[k]) >= 3 AND w[k + 1] IN {Z.one_of(T.CUT_ENDINGS)}) OR (length(w[k]) BETWEEN 2 AND 5 AND regexp_matches(w[k + 1], '^({'|'.join(T.SHORT_ENDINGS)})'))]) > 0 AS broken_spacing
-    FROM (SELECT doc_id, {_TRIMMED} AS w FROM documents WHERE text IS NOT NULL)""")
+@query(f"SELECT doc_id, {Z.broken_spacing('text')} AS broken_spacing FROM documents WHERE text IS NOT NULL")
 def broken_spacing(spark, folder):
     return _t(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", T.broken_spacing(F.col("text")).alias("broken_spacing"))
 
@@ -132,6 +128,35 @@ def route_transitions(spark, folder):
     return A.transitions(_routes(spark, folder).join(flags, "sample_id"), "truth", "predicted", "flags")
 
 
+_LEVELS = {
+    "REJECT": ("replacement_character", "mixed_latin_cyrillic", "url_or_mail", "bracket_imbalance"),
+    "QUARANTINE": ("many_digits", "capitals", "bullet", "spaced_letters", "very_long"),
+    "REPAIRABLE_USABLE": ("apostrophe_gap", "repeated_blanks", "repeated_signs", "case_merge", "line_break", "no_terminal_punctuation"),
+}
+_SIGNAL_SQL = Z.signals("st")
+_LEVEL_SQL = {name: Z.flags({n.upper(): f"coalesce({_SIGNAL_SQL[n]}, false)" for n in names}) for name, names in _LEVELS.items()}
+
+
+@query(f"""WITH f AS (SELECT {", ".join(f"{sql} AS {name}" for name, sql in _LEVEL_SQL.items())} FROM (SELECT *, {Z.stripped('sentence_text')} AS st FROM {_R}) WHERE sentence_text IS NOT NULL),
+    d AS (SELECT {"CASE " + " ".join(f"WHEN len({n}) > 0 THEN '{n}'" for n in _LEVELS) + " ELSE 'DIRECT_HEALTHY' END"} AS decision, {"CASE " + " ".join(f"WHEN len({n}) > 0 THEN {n}" for n in _LEVELS) + " ELSE ['NONE'] END"} AS why FROM f)
+    SELECT decision, unnest(why) AS reason, count(*) AS rows FROM d GROUP BY 1, 2""")
+def health_routes(spark, folder):
+    """Decisions by levels of rules, here the signals of damage, with their reasons."""
+    rows = _audit(spark, folder, "sentence_text").where("sentence_text IS NOT NULL").select("sample_id", *L.signals(F.col("sentence_text")))
+    decision, why = L.route_by({name: {n.upper(): F.col(f"signal_{n}") for n in names} for name, names in _LEVELS.items()}, "DIRECT_HEALTHY")
+    told = rows.select(decision.alias("decision"), why.alias("why")).select("decision", F.explode_outer(F.when(F.size("why") == 0, F.array(F.lit("NONE"))).otherwise(F.col("why"))).alias("reason"))
+    return told.groupBy("decision", "reason").agg(F.count("*").alias("rows"))
+
+
+@query(f"""SELECT DISTINCT ON (k) k AS normal_text, origin, id FROM (SELECT lower({Z.stripped(Z.one_apostrophe('text'))}) AS k, 1 AS origin, doc_id AS id FROM documents WHERE text IS NOT NULL UNION ALL SELECT lower({Z.stripped(Z.one_apostrophe('text_value'))}), 2, text_id FROM seen_texts WHERE text_value IS NOT NULL) ORDER BY k, origin, id""")
+def seed_union(spark, folder):
+    """Texts of two tables, each once by its normal form, the first table's before the second's."""
+    normal = lambda c: F.lower(T.strip(T.one_apostrophe(F.col(c))))
+    one = _t(spark, folder, "documents").where("text IS NOT NULL").select(normal("text").alias("normal_text"), F.lit(1).alias("origin"), F.col("doc_id").alias("id"))
+    two = _t(spark, folder, "seen_texts").where("text_value IS NOT NULL").select(normal("text_value").alias("normal_text"), F.lit(2).alias("origin"), F.col("text_id").alias("id"))
+    return R.keep_first(R.union_all(one, two), ["normal_text"], ["origin", "id"])
+
+
 # ---- review work
 _PRIORITIES = {"CORRUPT": "human_health_label = 'HEAVY_CORRUPTION'", "FOREIGN": "human_health_label = 'MIXED_OR_FOREIGN_TEXT'", "MANY_DIGITS": "digit_ratio > 0.2", "UNLABELLED": "human_health_label IS NULL"}
 _PRIORITY = "CASE " + " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(_PRIORITIES.values(), 1)) + f" ELSE {len(_PRIORITIES) + 1} END"

@@ -101,6 +101,30 @@ def segments(table: str = "documents", key: str = "doc_id", text: str = "text")
 
 
 # ---- damage and rules
+SHAPES = {
+    "LONG_TOKEN": "length(w) >= 14", "LONG_TOKEN_WITH_APOSTROPHE": "length(w) >= 12 AND contains(w, '''')", "CONSONANT_CLUSTER": "regexp_matches(w, '[b-df-hj-np-tv-xz]{5}')", "TRIPLE_LETTER": f"regexp_matches(w, '{'|'.join(c * 3 for c in 'abcdefghijklmnopqrstuvwxyz')}')",
+    "LETTER_W": "contains(w, 'w')", "C_WITHOUT_H": "regexp_matches(w, 'c([^h]|$)')",
+}
+
+
+def some(words: str, condition: str) -> str:
+    return f"len([w for w in {words} if {condition}]) > 0"
+
+
+DOUBLED = "length(w) >= 11 AND len([k for k in range(3, length(w) // 2 + 1) if left(w, k) = substr(w, k + 1, k)]) > 0"
+
+
+def broken_spacing(text: str) -> str:
+    trimmed = rf"""[regexp_replace(w, '^[.,;:!?()\[\]{{}}"]+|[.,;:!?()\[\]{{}}"]+$', '', 'g') for w in string_split_regex(lower({one_apostrophe(text)}), '{B}+')]"""
+    pairs = f"list_zip({trimmed}, ({trimmed})[2:])"
+    return f"""len([p for p in {pairs} if coalesce((length(p[1]) >= 3 AND p[2] IN {one_of(T.CUT_ENDINGS)}) OR (length(p[1]) BETWEEN 2 AND 5 AND regexp_matches(p[2], '^({'|'.join(T.SHORT_ENDINGS)})')), false)]) > 0"""
+
+
+def following(text: str, at: str) -> str:
+    behind = f"regexp_extract(substr({text}, {at} + 1), '(?s)^{B}*(.)', 1)"
+    return rf"CASE WHEN {behind} = '' THEN 'END' WHEN regexp_matches({behind}, '\p{{Lu}}') THEN 'UPPER' WHEN regexp_matches({behind}, '\p{{Ll}}') THEN 'LOWER' WHEN regexp_matches({behind}, '\p{{Nd}}') THEN 'DIGIT' ELSE 'OTHER' END"
+
+
 def spaced_letters(text: str, least: int = 3) -> str:
     return rf"regexp_matches({text}, '(^|{OUTSIDE})(\p{{L}}{B}){{{least},}}\p{{L}}($|{OUTSIDE})')"
 
@@ -148,6 +172,10 @@ def strict(profile, rows: str, text: str, *beside: str) -> str:
         named["HAS_COMMA"] = "contains(st, ',')"
     if not profile.digits:
         named["HAS_DIGIT"] = r"regexp_matches(st, '\p{Nd}')"
+    if profile.shapes:
+        tokens = plain_tokens("st")
+        named |= {f"{n}_SHAPE": some(tokens, SHAPES[n]) for n in T.TOKEN_SHAPES}
+        named |= {"DOUBLED_TOKEN": some(tokens, DOUBLED), "REPEATED_VOWEL": some(tokens, "regexp_matches(w, 'aa|ee|ii|oo|uu')"), "REPEATED_TRIPLE": repeated_ngram("tok", 3), "BROKEN_SPACING": broken_spacing("st"), "ACRONYM": some(r"regexp_extract_all(st, '[\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}]+')", r"regexp_matches(w, '^\p{Lu}{2,}$')")}
     kept = ", ".join(beside)
     letters_marks = T.WORD_CLASSES["letters_marks"].replace("'", "''")
     return rf"""(SELECT {kept}, CASE WHEN coalesce(length(st), 0) = 0 THEN ['EMPTY'] ELSE {flags(named)} END AS reasons
