@@ -74,14 +74,23 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _where(column: str, chars: str, sql: str) -> str:
+    """`sql` for texts that have one of the characters, others as they are: `translate` sets up its table for each row it is called on."""
+    return f"CASE WHEN regexp_matches({column}, {_quoted('[' + _ranges(chars) + ']')}) THEN {sql} ELSE {column} END"
+
+
 def plain_sql(column: str = "text") -> str:
     """SQL for full-width forms, invisible characters, blanks, apostrophes and hyphens."""
     source = FULL_WIDTH + BLANKS + APOSTROPHES + HYPHENS
     target = ASCII + " " * len(BLANKS) + "'" * len(APOSTROPHES) + "-" * len(HYPHENS)
-    sql = f"translate({column}, {_quoted(source)}, {_quoted(target)})"
-    sql = f"translate({sql}, '`', '''')"  # a full-width grave accent has become an ordinary one
-    sql = f"regexp_replace({sql}, {_quoted(INVISIBLE)}, '', 'g')"
-    return sql
+    # a full-width grave accent becomes an ordinary one first
+    sql = _where(column, source, f"translate(translate({column}, {_quoted(source)}, {_quoted(target)}), '`', {_quoted(chr(39))})")
+    return f"regexp_replace({sql}, {_quoted(INVISIBLE)}, '', 'g')"
+
+
+def has_compatibility(column: str = "text") -> str:
+    """SQL for whether a text has a character of the compatibility table; the plain steps neither make nor change any."""
+    return f"regexp_matches({column}, {_quoted('[' + _ranges(compatibility()) + ']')})"
 
 
 def composed_sql(column: str = "plain") -> str:
@@ -89,7 +98,7 @@ def composed_sql(column: str = "plain") -> str:
     table = compatibility()
     entries = ", ".join(f"{_quoted(c)}: {_quoted(to)}" for c, to in table.items())
     spelt = f"array_to_string(list_transform(regexp_extract_all({column}, '(?s).'), lambda c: coalesce(map_extract_value(MAP {{{entries}}}, c), c)), '')"
-    return f"nfc_normalize(CASE WHEN regexp_matches({column}, {_quoted('[' + _ranges(table) + ']')}) THEN {spelt} ELSE {column} END)"
+    return f"nfc_normalize(CASE WHEN {has_compatibility(column)} THEN {spelt} ELSE {column} END)"
 
 
 def _ranges(chars) -> str:
@@ -109,7 +118,7 @@ def skeleton_sql(column: str = "form") -> str:
     sql = f"translate({column}, {_quoted(source)}, {_quoted(target)})"
     for c, to in several.items():
         sql = f"replace({sql}, {_quoted(c)}, {_quoted(to)})"
-    return f"nfc_normalize({sql})"
+    return _where(column, source + "".join(several), f"nfc_normalize({sql})")
 
 
 def forms_of(rows: str) -> str:
@@ -118,6 +127,9 @@ def forms_of(rows: str) -> str:
 
 
 def _run(sql: str, names: list[str], casts: dict[str, pa.DataType]):
+    """`sql` over each batch. Its table of compatibility characters is large, so a batch without any such character goes by the same expression without it."""
+    asked, table, bare = f"SELECT count(*) FROM batch WHERE {has_compatibility()}", composed_sql(), "nfc_normalize(plain)"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
@@ -127,7 +139,7 @@ def _run(sql: str, names: list[str], casts: dict[str, pa.DataType]):
             if batch.num_rows == 0:
                 continue
             con.register("batch", pa.Table.from_batches([batch]))
-            out = con.sql(sql).to_arrow_table()
+            out = con.sql(sql if con.sql(asked).fetchall()[0][0] else sql.replace(table, bare)).to_arrow_table()
             con.unregister("batch")
             yield from out.select(names).cast(pa.schema([(n, casts[n]) for n in names])).combine_chunks().to_batches()
 
