@@ -75,7 +75,23 @@ _RUNS = f"""(WITH d AS (SELECT doc_id AS id, {_WORDS.format("text")} AS w FROM d
     r AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY place) AS run FROM m)
     SELECT doc_id, item_id, max(n) AS longest_run FROM (SELECT doc_id, item_id, diagonal, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1, 2)"""
 
+_BLANK = r"[\t-\r\x1C-\x1F\x{85}\p{Z}]"
+_tokens = lambda text: f"regexp_extract_all({text}, '[^{_BLANK[1:-1]}]+')"
+_ENDING = ".!?…。！？।؟．»\"”"
+#: The counts behind the shares; what is learnt (how likely letters are, and so the kind) is left out.
+_MEASURES = rf"""WITH r AS (SELECT DISTINCT sample_id, nfc_normalize(sentence_text) AS t FROM routing_signal_audit WHERE sample_id IS NOT NULL AND sentence_text IS NOT NULL), k AS (SELECT list(DISTINCT lower(word)) AS known FROM common_words WHERE word IS NOT NULL),
+    w AS (SELECT sample_id, t, length(t) AS chars, {_tokens('t')} AS tok, [lower(x) for x in regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}''`´‘’ʻʼ]+')] AS words, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^{_BLANK[1:-1]}]')] AS lines, known FROM r, k),
+    c AS (SELECT *, len(tok) AS tokens, coalesce(list_sum([length(x) for x in tok]), 0) AS solid, len(words) AS n, len(lines) AS l, [regexp_replace(x, '{_BLANK}+$', '') for x in lines] AS ends, [{_tokens('x')}[1] for x in lines] AS heads, len(regexp_extract_all(t, '\pL')) AS letters FROM w),
+    m AS (SELECT sample_id, chars, n, letters, coalesce(list_sum([length(x) for x in words]), 0) AS word_chars, solid, tokens, l, len(regexp_extract_all(t, '\p{{Nd}}')) AS digits, len(regexp_extract_all(t, '\p{{Lu}}')) AS capitals,
+        len(regexp_extract_all(t, '[^\p{{L}}\p{{M}}\p{{N}}{_BLANK[1:-1]}.,:;!?…''"`´‘’ʻʼ«»“”„()\-–—。，！？：；、।؟،]')) AS symbols, len([x for x in words if list_contains(known, x)]) AS common, len([i for i in range(2, n + 1) if words[i] = words[i - 1]]) AS repeated,
+        len([x for x in ends if contains('{_ENDING}', right(x, 1)) OR contains('{_ENDING}', coalesce(nullif(right(regexp_replace(x, '[»"”’'')\]）］]+$', ''), 1), ''), '~'))]) AS ended, len([x for x in heads if regexp_matches(x, '^(\(?[0-9]{{1,3}}[.)]|\(?[a-zа-я]\)|[•*▪◦‣·\-–—])$')]) AS bullets,
+        len([x for x in tok if regexp_matches(x, '^[+\-]?\p{{Nd}}[\p{{Nd}}.,]*%?[;,.]?$') AND NOT regexp_matches(x, '^\(?\p{{Nd}}{{1,3}}[.)]$')]) AS numbers, len(regexp_extract_all(array_to_string(words, ' '), '[a-zß-ɏ]')) AS latin, len(regexp_extract_all(array_to_string(words, ' '), '[Ѐ-ԯ]')) AS cyrillic FROM c)
+    SELECT sample_id, chars::BIGINT AS char_count, n::BIGINT AS word_count, letters::BIGINT AS letter_count, {", ".join(f"round(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END, 6) AS {name}" for name, a, b in (
+        ("mean_word_length", "word_chars", "n"), ("symbol_ratio", "symbols", "solid"), ("digit_ratio", "digits", "solid"), ("uppercase_ratio", "capitals", "letters"), ("ended_line_ratio", "ended", "l"), ("common_word_ratio", "common", "n"), ("repeated_word_ratio", "repeated", "n"),
+        ("bullet_line_ratio", "bullets", "l"), ("number_token_ratio", "numbers", "tokens"), ("latin_ratio", "latin", "letters"), ("cyrillic_ratio", "cyrillic", "letters")))} FROM m"""
+
 SQL = {
+    "p4_measures": _MEASURES,
     "p3_groups": _GROUPS,
     "p7_found": f"SELECT DISTINCT a.table_name, a.key AS key_a, b.key AS key_b FROM {_LOOKING} a JOIN {_LOOKING} b ON a.table_name = b.table_name AND a.skeleton = b.skeleton AND a.key < b.key AND a.text != b.text",
     "p7_classes": f"""SELECT table_name, key, class_key, class_rows, class_texts FROM (SELECT DISTINCT table_name, skeleton, key FROM {_LOOKING}) l

@@ -126,6 +126,11 @@ def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.ratios(_statistics(spark, folder)).withColumnRenamed("key", "sample_id")
 
 
+def p4_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics without the kind, which is the only one that is learnt."""
+    return quality.ratios(_statistics(spark, folder)).withColumnRenamed("key", "sample_id").drop("kind")
+
+
 def _segments(spark: SparkSession, folder: str, prose_only: bool = False) -> DataFrame:
     return languages.segments(table(spark, folder, "routing_signal_audit"), table(spark, folder, "common_words"), "sample_id", "sentence_text", "lang", prose_only)
 
@@ -157,4 +162,4 @@ def p6_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return _sentences(spark, folder, True).withColumnRenamed("key", "sample_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_sentences, p4_found, p4_statistics, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_classes, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_sentences, p4_found, p4_statistics, p4_measures, p5_found, p5_languages, p5_segments, p10_found, p10_restored, p3_found, p3_groups, p2_found, p2_records, p1_found, p1_quotas, p1_sample, p7_found, p7_classes, p7_forms, p8_ids, p8_round_trip, p9_found, p9_overlaps, p9_leaked_items)}
