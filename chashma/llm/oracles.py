@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chashma.llm import lookalikes
+from chashma.llm import leaks, lookalikes
 
 #: Lists of words as TESTDATA.md defines a word; then one row for each ten words in a row.
 _WORDS = "regexp_extract_all(regexp_replace(lower({0}), '[''`´‘’ʻʼ]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
@@ -75,6 +75,16 @@ _RUNS = f"""(WITH d AS (SELECT doc_id AS id, {_WORDS.format("text")} AS w FROM d
     r AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY place) AS run FROM m)
     SELECT doc_id, item_id, max(n) AS longest_run FROM (SELECT doc_id, item_id, diagonal, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1, 2)"""
 
+#: All stretches of ten and more words from an equal to an equal word with three quarters equal: of each diagonal the one with the largest sum, the last, the longest. The longest run is that of all diagonals on which a mask fits.
+_OVERLAPS = f"""WITH x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS dp FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents)), y AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS ip FROM (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items)),
+    m AS (SELECT doc_id, item_id, dp - ip AS diagonal, ip FROM x JOIN y USING (word)), g AS (SELECT *, row_number() OVER w AS k FROM m WINDOW w AS (PARTITION BY doc_id, item_id, diagonal ORDER BY ip) QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= 8),
+    s AS (SELECT a.doc_id, a.item_id, a.diagonal, a.ip AS a, b.ip AS b, b.k - a.k + 1 AS n FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.diagonal = b.diagonal AND b.ip >= a.ip + 9 WHERE 4 * (b.k - a.k + 1) >= 3 * (b.ip - a.ip + 1)),
+    t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY 4 * n - 3 * (b - a + 1) DESC, b DESC, a) = 1), o AS (SELECT doc_id, item_id, max({{'w': b - a + 1, 'n': n, 'd': a + diagonal, 'i': a}}) AS z FROM t GROUP BY 1, 2),
+    h AS (SELECT doc_id, item_id, diagonal, list(ip) AS p FROM m GROUP BY 1, 2, 3 HAVING count(*) >= 6 AND (doc_id, item_id) IN (SELECT (doc_id, item_id) FROM o)), d AS (SELECT doc_id, item_id, diagonal FROM h WHERE len([a for a in p if {" OR ".join(f"list_has_all(p, [{', '.join(f'a + {i}' for i in mask)}])" for mask in leaks.MASKS)}]) > 0),
+    v AS (SELECT *, ip - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY ip) AS part FROM m SEMI JOIN d USING (doc_id, item_id, diagonal)),
+    r AS (SELECT doc_id, item_id, max(c) AS longest_run FROM (SELECT doc_id, item_id, diagonal, part, count(*) AS c FROM v GROUP BY ALL) GROUP BY 1, 2)
+    SELECT o.doc_id, o.item_id, r.longest_run::INT AS longest_run, z.w::INT AS overlap_words, z.n::INT AS matched_words, z.d::INT AS doc_word, z.i::INT AS item_word FROM o JOIN r ON r.doc_id = o.doc_id AND r.item_id = o.item_id"""
+
 _BLANK = r"[\t-\r\x1C-\x1F\x{85}\p{Z}]"
 _tokens = lambda text: f"regexp_extract_all({text}, '[^{_BLANK[1:-1]}]+')"
 _ENDING = ".!?…。！？।؟．»\"”"
@@ -97,7 +107,7 @@ SQL = {
     "p7_classes": f"""SELECT table_name, key, class_key, class_rows, class_texts FROM (SELECT DISTINCT table_name, skeleton, key FROM {_LOOKING}) l
         JOIN (SELECT table_name, skeleton, min(key) AS class_key, count(DISTINCT key) AS class_rows, count(DISTINCT text) AS class_texts FROM {_LOOKING} WHERE (table_name, skeleton) IN (SELECT (table_name, skeleton) FROM {_SEVERAL}) GROUP BY 1, 2) c USING (table_name, skeleton)""",
     "p7_forms": f"SELECT DISTINCT table_name, key, form, sha256(form) AS form_sha256, stored_sha256, sha256(skeleton) AS look_sha256, form != text AS changed FROM (SELECT DISTINCT table_name, key, text, stored_sha256, form, skeleton FROM {lookalikes.forms_of(_LOOKS)})",
-    "p9_leaked_items": f"SELECT i.item_id, i.split, i.task, count(*) AS documents, max(longest_run) AS longest_run FROM eval_items i JOIN {_RUNS} r ON r.item_id = i.item_id GROUP BY 1, 2, 3",
+    "p9_leaked_items": f"SELECT i.item_id, i.split, i.task, count(*) AS documents, max(longest_run)::INT AS longest_run FROM eval_items i JOIN {_RUNS} r ON r.item_id = i.item_id GROUP BY 1, 2, 3",
     "p3_found": _SIMILAR,
     "p2_found": f"{_CLASSES} SELECT table_name, k3 AS key_a, key AS key_b FROM z WHERE k3 != key",
     "p2_records": f"{_CLASSES} SELECT table_name, k3 AS key, count(*) AS records, sum(coalesce(o, 0))::BIGINT AS occurrence_count FROM z GROUP BY 1, 2",
@@ -106,5 +116,6 @@ SQL = {
     "p1_sample": f"""SELECT id AS source_record_id, part AS part_number, sample_key
         FROM (SELECT k.*, row_number() OVER (PARTITION BY part ORDER BY sample_key, id) AS place, q.quota FROM ({_KEYED}) k JOIN ({_QUOTAS}) q ON k.part = q.part_number) WHERE place <= quota""",
     "p9_found": _PAIRS,
+    "p9_overlaps": _OVERLAPS,
     "p8_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
