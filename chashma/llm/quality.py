@@ -7,8 +7,8 @@ partials, is associative and corrects what the cut hid (a line, a pair of tokens
 partials of one document merge in a tree: each level is an aggregation over at most `FAN` neighbours. The
 result is that of the uncut text at any size of chunks. A text within one chunk, as nearly all are, is a tree of one.
 
-How likely letters follow each other is learnt from a bounded sample of the corpus (`SAMPLE_TEXTS` rows of at most
-`SAMPLE_CHARS` characters each); it tells random letters from words.
+How likely letters follow each other is counted over the whole texts of all keys; it tells random letters from words. A word counts once for each
+text. What is kept is a number for each pair of letters.
 
 Defined cases: a null text gives null statistics and no kind; an empty or blank text counts nothing and is
 junk; rows delivered twice count once; other columns are not read.
@@ -17,7 +17,9 @@ junk; rows delivered twice count once; other columns are not read.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: `SAMPLE_CHARS` is for operators that learn from a sample (see `sample`); nothing here does.
 CHUNK, SAMPLE_TEXTS, SAMPLE_CHARS = 1 << 20, 4000, 20_000
 #: Partials merged in one step of the tree, and the most characters a value can have, which bounds the steps: two for chunks of `CHUNK`.
 FAN, MOST_CHARS = 64, 1 << 31
@@ -77,6 +80,24 @@ def text_print(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
+def word_counts(texts: Iterable[str], counts: Counter | None = None) -> Counter:
+    """In how many texts each word is: it counts once for each text, so that a text of one repeated word teaches little."""
+    counts = Counter() if counts is None else counts
+    for t in texts:
+        counts.update({m.group() for m in _WORD.finditer(t.lower())})
+    return counts
+
+
+def letter_pairs(words: Counter) -> Counter:
+    """How often each letter stands behind another, with the blanks around a word."""
+    pairs: Counter = Counter()
+    for w, n in words.items():
+        if w.isalpha():
+            for a, b in zip(" " + w, w + " "):
+                pairs[a + b] += n
+    return pairs
+
+
 class Letters:
     """Log probabilities of a letter after another, learnt from texts, for words of one script."""
 
@@ -89,19 +110,15 @@ class Letters:
 
     @classmethod
     def learn(cls, texts: list[str], common: list[str]) -> Letters:
-        from collections import Counter
-        from math import log
-
-        pairs: Counter = Counter()
-        for t in texts:
-            # a word counts once for each text, so that a text of one repeated word teaches little
-            for w in set(_WORD.findall(t.lower())):
-                if w.isalpha():
-                    pairs.update(a + b for a, b in zip(" " + w, w + " "))
+        return cls.of(letter_pairs(word_counts(texts)), common)
+
+    @classmethod
+    def of(cls, pairs: dict[str, int], common: list[str]) -> Letters:
+        """From how often each pair of letters was met. A rare pair is no less likely than one that was not met, however many texts there are."""
         first: Counter = Counter()
         for p, n in pairs.items():
             first[p[0]] += n
-        known = {p: log(n / first[p[0]]) for p, n in pairs.items() if n > 2} if sum(pairs.values()) >= LEAST_PAIRS else {}
+        known = {p: max(cls.FLOOR, log(n / first[p[0]])) for p, n in pairs.items() if n > 2} if sum(pairs.values()) >= LEAST_PAIRS else {}
         return cls(known, frozenset(w.lower() for w in common if w))
 
     def bits(self, word: str) -> tuple[int, float]:
@@ -362,10 +379,35 @@ def sample_text(column: str, chars: int = SAMPLE_CHARS) -> Column:
     return F.left(F.col(column), F.lit(chars)).alias(column)
 
 
-def learn(df: DataFrame, key_col: str, text_col: str, common: list[str], sample_texts: int = SAMPLE_TEXTS) -> Letters:
-    """Letters from a bounded sample of rows."""
-    rows = sample(df.where(F.length(text_col) > 0), [sample_text(text_col)], F.col(key_col), sample_texts)
-    return Letters.learn([r[0] for r in rows], common)
+def once(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """The text of each key, `text`, to learn from; of rows with one key the smallest text."""
+    rows = df.where(F.col(key_col).isNotNull() & (F.length(text_col) > 0))
+    return rows.groupBy(F.col(key_col).alias("key")).agg(F.min(text_col).alias("text")).select("text")
+
+
+#: Distinct words, groups and the like that a task counts before it passes its counts on.
+HELD = 500_000
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            word_counts([text.as_py()], words)
+            if len(words) > HELD:
+                yield counted(letter_pairs(words))
+                words.clear()
+    yield counted(letter_pairs(words))
+
+
+def counted(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["item", "n"])
+
+
+def learn(df: DataFrame, key_col: str, text_col: str, common: list[str]) -> Letters:
+    """Letters from the whole text of each key; the driver gets one row for each pair of letters."""
+    pairs = once(df, key_col, text_col).mapInArrow(_pairs, "item string, n bigint").groupBy("item").agg(F.sum("n").alias("n"))
+    return Letters.of({r["item"]: r["n"] for r in pairs.collect()}, common)
 
 
 KIND_NAMES = ("prose", "list", "table", "junk")

@@ -307,6 +307,26 @@ def test_sample_is_bounded(spark):
     assert len(quality.sample(df, [quality.sample_text("text")], F.col("key"), 1000)) == 101
 
 
+def test_letters_are_learnt_from_all_texts(spark):
+    """Every row and all of a long text teach, rows delivered twice once, whatever the number of words a task holds."""
+    rng = random.Random(7)
+    rows = [(i, " ".join("".join(rng.choices("abdeiklmnorstu", k=rng.randint(2, 9))) for _ in range(6))) for i in range(4500)]
+    rows += [(-1, "non " * 6000 + "zolzol"), (-2, "zul"), (-3, "zal zal"), (-4, "zel"), (-5, None), (-6, "")]
+    df = clashing(spark.createDataFrame(rows, "key long, text string"))
+    want = quality.Letters.learn([t for _, t in rows if t], [])
+    got = quality.learn(df, "key", "text", [])
+    assert got.table == want.table and got.table[" z"] < 0 and min(got.table.values()) >= quality.Letters.FLOOR
+    assert quality.learn(df.unionAll(df.where("key < 500")), "key", "text", []).table == want.table
+    batches = [b for part in (rows[:3000], rows[3000:]) for b in quality.pa.table({"text": [t for _, t in part if t]}).to_batches()]
+    held, quality.HELD = quality.HELD, 50
+    try:
+        sums = sum((quality.Counter(dict(zip(*b.to_pydict().values()))) for b in quality._pairs(iter(batches))), quality.Counter())
+    finally:
+        quality.HELD = held
+    assert quality.Letters.of(sums, []).table == want.table
+    assert quality.learn(df.limit(0), "key", "text", []).table == {}
+
+
 def test_statistics(spark):
     letters = quality.Letters.learn(["salom dunyo bugun yangi kun"], ["kun"])
     long = "Bugun yangi kun boshlandi. " * 3000
