@@ -9,8 +9,8 @@ A quotation with words of its sentence before or behind it has no end inside, ho
 alone an end costs `INSIDE`. The cheapest path gives the sentences.
 
 Spaceless scripts: a dictionary of the corpus' frequent character groups gives a word lattice, the best path
-through it gives words; how often a word opens and ends a sentence or follows closed speech is counted over a bounded sample
-(`SAMPLE_TEXTS` rows, at most `SAMPLE_CHARS` characters of each), and decides at blanks and behind closing quotes.
+through it gives words; how often a word opens and ends a sentence or follows closed speech decides at blanks and behind closing quotes.
+Groups and words are counted over the whole texts of all keys that have such a script; the driver gets the groups met `LEAST` times and more.
 
 Defined cases: null, empty and blank texts have no sentence; lists, tables and junk are split by the same rules, and marked as no prose; text without a letter or digit after the last end belongs to
 the sentence before; a text without ends is one sentence; offsets count code points; texts are read whole.
@@ -29,13 +29,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chashma.llm.quality import SAMPLE_TEXTS as LETTER_TEXTS
-from chashma.llm.quality import Letters, count_text, marks_as_letters, sample, sample_text, text_print
+from chashma.llm import quality
+from chashma.llm.quality import Letters, count_text, counted, learn, marks_as_letters, once, text_print
 from chashma.llm.quality import kind as kind_of
 from chashma.llm.scripts import settle
 
-SAMPLE_TEXTS = 12_000
+#: A group of characters met less often is no word of its own.
+LEAST = 5
 _HAN = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_RUN = regex.compile(rf"[{_HAN}]+")
+#: For Spark: has every text of `_HAN`, and some others.
+_MAYBE_SPACELESS = r"[\u0E00-\u1FFF\u2E80-\x{10FFFF}]"
 _END = regex.compile(rf"[.!?…।॥؟。！？．｡]+(?:[»”\"'’)\]）］」』›]|“(?![\p{{L}}\p{{N}}]))*|(?<=[{_HAN}])[ \t\n　]+(?=[{_HAN}])")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'`´‘’ʻʼ‐‑-]+")
 _INVISIBLE = regex.compile(r"\p{Cf}")
@@ -68,6 +72,17 @@ def _plain(word: str) -> str:
     return settle(word).lower().strip("'-‐‑")
 
 
+STARTS, OTHERS, FINALS, INNER = "s", "o", "f", "i"
+
+
+def count_groups(text: str, grams: Counter) -> None:
+    """Adds the groups of one to four characters in the runs of a text."""
+    for m in _RUN.finditer(text):
+        r = m.group()
+        for n in (1, 2, 3, 4):
+            grams.update(r[i : i + n] for i in range(len(r) - n + 1))
+
+
 class Gaps:
     """What words do at sentence ends in spaceless scripts, counted in texts."""
 
@@ -76,35 +91,41 @@ class Gaps:
 
     @classmethod
     def learn(cls, texts: list[str]) -> Gaps:
-        runs = [r for t in texts for r in regex.findall(rf"[{_HAN}]+", t)]
-        grams: Counter = Counter()
-        for r in runs:
-            for n in (1, 2, 3, 4):
-                grams.update(r[i : i + n] for i in range(len(r) - n + 1))
+        grams, places = Counter(), Counter()
+        for t in texts:
+            count_groups(t, grams)
+        self = cls.of_groups(grams)
+        for t in texts:
+            self.count_places(t, places)
+        return self.with_places(places)
+
+    @classmethod
+    def of_groups(cls, grams: dict[str, int]) -> Gaps:
+        """From how often each character was met, and each group of two to four that was met `LEAST` times or more."""
         total = sum(n for g, n in grams.items() if len(g) == 1) or 1
         # a group is a word if its characters meet far more often than by chance
         words = {}
         for g, n in grams.items():
-            if len(g) == 1 or n >= 5 and log(n / total) > 0.9 * sum(log(grams[c] / total) for c in g) + len(g) - 1:
+            if len(g) == 1 or n >= LEAST and log(n / total) > 0.9 * sum(log(grams[c] / total) for c in g) + len(g) - 1:
                 words[g] = log(n / total) - 0.5
-        self = cls(words, {}, {})
-        starts, others, finals, inner = Counter(), Counter(), Counter(), Counter()
-        for t in texts:
-            if not _SPACELESS.search(t):
-                continue
-            for m in regex.finditer(rf"[{_HAN}]+", t):
-                spelt = self.segment(m.group())
-                before, behind = t[: m.start()].rstrip()[-1:], t[m.end() : m.end() + 1]
-                if before and before in "。！？!?.．" or not before:
-                    starts[spelt[0]] += 1
-                else:
-                    others[spelt[0]] += 1
-                others.update(spelt[1:])
-                (finals if behind and behind in "。！？!?.．" else inner)[spelt[-1]] += 1
-                inner.update(spelt[:-1])
-        share = lambda a, b: {w: log((a[w] + 0.5) / (b[w] + 0.5)) for w in set(a) | set(b)}
-        self.opens, self.ends = share(starts, others), share(finals, inner)
-        return self
+        return cls(words, {}, {})
+
+    def count_places(self, text: str, places: Counter) -> None:
+        """Adds the words of a text, each behind a sign for its place: first of a sentence or not, last or not."""
+        for m in _RUN.finditer(text):
+            spelt = self.segment(m.group())
+            at = m.start()
+            while at and text[at - 1].isspace():
+                at -= 1
+            before, behind = text[at - 1 : at] if at else "", text[m.end() : m.end() + 1]
+            places[(STARTS if not before or before in "。！？!?.．" else OTHERS) + spelt[0]] += 1
+            places.update(OTHERS + w for w in spelt[1:])
+            places[(FINALS if behind and behind in "。！？!?.．" else INNER) + spelt[-1]] += 1
+            places.update(INNER + w for w in spelt[:-1])
+
+    def with_places(self, places: dict[str, int]) -> Gaps:
+        share = lambda a, b: {p[1:]: log((places.get(a + p[1:], 0) + 0.5) / (places.get(b + p[1:], 0) + 0.5)) for p in places if p[0] in a + b}
+        return Gaps(self.words, share(STARTS, OTHERS), share(FINALS, INNER))
 
     def segment(self, run: str) -> list[str]:
         """The best path through the lattice of known words."""
@@ -295,6 +316,34 @@ def _edge(head: str) -> float:
     return 6.0 if len(words) <= _SHORT and (end.endswith("...") or end.endswith("…")) and _plain(words[0]) in CONJUNCTIONS else 0.0
 
 
+def _counts(count):
+    """Sums over the texts of a task; `count` adds those of one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                count(text.as_py(), counts)
+                if len(counts) > quality.HELD:
+                    yield counted(counts)
+                    counts.clear()
+        yield counted(counts)
+
+    return run
+
+
+def learn_gaps(df: DataFrame, key_col: str, text_col: str) -> Gaps:
+    """Gaps from the whole text of each key; two passes over the texts that may be in a spaceless script."""
+    texts = once(df.where(F.col(text_col).rlike(_MAYBE_SPACELESS)), key_col, text_col)
+
+    def summed(count) -> DataFrame:
+        return texts.mapInArrow(_counts(count), "item string, n bigint").groupBy("item").agg(F.sum("n").alias("n"))
+
+    of_groups = Gaps.of_groups({r["item"]: r["n"] for r in summed(count_groups).where((F.length("item") == 1) | (F.col("n") >= LEAST)).collect()})
+    held = df.sparkSession.sparkContext.broadcast(of_groups.words)
+    return of_groups.with_places({r["item"]: r["n"] for r in summed(lambda text, places: Gaps(held.value, {}, {}).count_places(text, places)).collect()})
+
+
 def _split(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = held.value
@@ -315,13 +364,12 @@ def _split(held):
     return run
 
 
-def sentences(df: DataFrame, key_col: str, text_col: str, with_text: bool = True, prose_only: bool = False, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
+def sentences(df: DataFrame, key_col: str, text_col: str, with_text: bool = True, prose_only: bool = False) -> DataFrame:
     """One row for each sentence of each text (or of prose only): its number and offsets, whether its text is prose, and its own text unless that is not asked for.
 
     Rows delivered twice count once, with the smallest print of a text; without `with_text` only offsets are shuffled for it.
     """
-    texts = [r[0] for r in sample(df.where(F.length(text_col) > 0), [sample_text(text_col)], F.col(key_col), sample_texts)]
-    letters, gaps = Letters.learn(texts[: LETTER_TEXTS], []), Gaps.learn(texts)
+    letters, gaps = learn(df, key_col, text_col, []), learn_gaps(df, key_col, text_col)
     held = df.sparkSession.sparkContext.broadcast({"gaps": (gaps.words, gaps.opens, gaps.ends), "letters": (letters.table, letters.common), "prose_only": prose_only})
     rows = df.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"), *([F.col(text_col).alias("kept")] if with_text else []))

@@ -507,6 +507,27 @@ def test_lost_blank_and_limits():
     assert len(parts("Yangi kun keldi. " * 3000)) == 3000
 
 
+def test_gaps_are_learnt_from_all_texts(spark):
+    """Every row and all of a long text teach, rows delivered twice once, whatever the number of groups a task holds."""
+    rng = random.Random(8)
+    words = ["昨天", "老师", "在", "车站", "买到了", "两份", "报告", "今天", "他", "走了"]
+    rows = [(i, "".join(rng.choices(words, k=rng.randint(1, 7))) + rng.choice("。？， ") + "".join(rng.choices(words, k=3)) + "。") for i in range(300)]
+    rows += [(i, "Bugun yangi kun — ertaga ham.") for i in range(300, 12_600)]
+    rows += [(-1, "昨天他走了。" * 4000 + "橋梁在。"), (-2, "สวัสดี ครับ"), (-3, "ဗမာ កម្ពុជា ລາວ ひらがな。𠀋𠀌"), (-4, None), (-5, ""), (-6, "  橋 は。 た！")]
+    df = clashing(spark.createDataFrame(rows, "key long, text string"))
+    want = sentences.Gaps.learn([t for _, t in rows if t])
+    once = sentences.learn_gaps(df, "key", "text")
+    held, quality.HELD = quality.HELD, 10
+    try:
+        grams = sum((sentences.Counter(dict(zip(*b.to_pydict().values()))) for b in sentences._counts(sentences.count_groups)(iter(sentences.pa.table({"text": [t for _, t in rows if t]}).to_batches()))), sentences.Counter())
+    finally:
+        quality.HELD = held
+    assert sentences.Gaps.of_groups(grams).words == want.words
+    for got in (once, sentences.learn_gaps(df.unionAll(df.where("key < 200")), "key", "text")):
+        assert (got.words, got.opens, got.ends) == (want.words, want.opens, want.ends) and "橋" in got.words and "𠀋" in got.words
+    assert sentences.learn_gaps(df.limit(0), "key", "text").words == {}
+
+
 def test_sentence_table(spark):
     rows = [("a", "Yangi kun keldi. Hamma uyg'ondi.")] * 2 + [("b", None), ("c", ""), (None, "Bir. Ikki."), ("d", "- non\n- sut\n- choy"), ("e", "Yangi kun keldi. " * 4000)]
     df = clashing(spark.createDataFrame(rows, "key string, text string"))
