@@ -9,9 +9,9 @@ a segment counts if it is a clause: enough words and enough phrases saved. The p
 
 The automata are arrays, built once and sent to the workers; all texts of a batch are parsed side by side.
 
-Training: at most `SAMPLE_ROWS` labelled rows, those with the smallest hashes, of at most `SAMPLE_CHARS` characters, and at most
-`TRAIN_CHARS` characters for each language, of sentences that hold a word the ones before did not. Labels are often wrong, so a
-row teaches a language only if its common words agree, and after a first fit only if the fit agrees.
+Training: all labelled rows. Labels are often wrong, so a sentence may teach a language only if its common words agree with the label
+and, as the sentences are in two halves, the fit of the other half does. Of each word of a language that sentence is learnt which
+has the smallest print of those that may teach, so a model knows every word, grows with the vocabulary and not with the rows, and a text delivered twice changes nothing.
 
 Defined cases: null, empty and wordless texts are `und` with confidence 1; a label's script suffix and letter case do
 not matter, blank, `und` and `xx` are no label; rows delivered twice count once; texts are read whole.
@@ -28,18 +28,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chashma.llm.quality import SAMPLE_TEXTS as LETTER_TEXTS
-from chashma.llm.quality import Letters, count_text, marks_as_letters, sample, sample_text, text_print
+from chashma.llm import quality
+from chashma.llm.quality import Letters, count_text, learn, marks_as_letters, text_print
 from chashma.llm.quality import kind as kind_of
 from chashma.llm.scripts import settle
+from chashma.llm.sentences import TITLES
 
-SAMPLE_ROWS, TRAIN_CHARS, PIECE, LANES = 12_000, 60_000, 64, 4096
+PIECE, LANES = 64, 4096
 SWITCH, LEAST_WORDS, LEAST_GAIN, MOST_COST = 3.0, 3, 3.5, 4.0
+#: What costs 1: the bits of a place in 60,000 characters.
+UNIT = log2(60_002)
 UNKNOWN = "und"
 NO_LABEL = ("", "und", "xx")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}'`´‘’ʻʼʹ′]+")
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _LETTER = regex.compile(r"\p{L}")
+_BEFORE_DOT = regex.compile(r"(?<!\p{L})(\p{L}+)\.$")
 _OPENS = frozenset(".!?…।؟。！？．:\n\"«“")
 
 
@@ -130,6 +134,12 @@ def _settled(raw: str, kept: dict[str, tuple[str, bool, bool]]) -> tuple[str, bo
     return got
 
 
+def _shortened(before: str) -> bool:
+    """Whether a text ends with an initial or a title, behind which a name stands."""
+    m = _BEFORE_DOT.search(before)
+    return bool(m) and (len(m.group(1)) == 1 and m.group(1).isupper() or m.group(1).lower() in TITLES)
+
+
 def tokens(text: str, kept: dict | None = None) -> list[tuple[int, int, str, bool]]:
     """(start, end, word, counts): words of a text; spaceless scripts in pieces of four; names do not count."""
     out, kept = [], {} if kept is None else kept
@@ -145,7 +155,7 @@ def tokens(text: str, kept: dict | None = None) -> list[tuple[int, int, str, boo
             continue
         if capital and lower:
             before = text[max(0, at - 40) : at].rstrip(" \t ([{")
-            counts = counts and not (before and before[-1] not in _OPENS)
+            counts = counts and not (before and (before[-1] not in _OPENS or before[-1] == "." and _shortened(before)))
         out.append((at, m.end(), word, counts))
     return out
 
@@ -173,9 +183,8 @@ class Model:
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.automata = [Automaton(texts[l]) for l in self.languages]
-        # the bits of a place in the learnt text, as a share of those in the largest one
-        bits = [log2(len(texts[l]) + 2) for l in self.languages]
-        self.weights = np.array([b / max(bits) for b in bits]) if bits else np.zeros(0)
+        # the bits of a place in the learnt text, however long it is, in the unit that the prices are in
+        self.weights = np.array([log2(len(texts[l]) + 2) / UNIT for l in self.languages])
         self.settled: dict[str, tuple[str, bool, bool]] = {}
 
     def costs(self, words: list[list[str]]) -> list[np.ndarray]:
@@ -290,47 +299,150 @@ class Model:
 _INNER = regex.compile(r"[.!?…。！？।؟].*[\p{L}]|[«»\"“”]", regex.S)
 
 
-def train(rows: list[tuple[str, str | None]], common: dict[str, set[str]], train_chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Running text of each language from (text, label) rows: single sentences whose common words agree with the label, then those the fit agrees with.
+#: Prints have 63 bits; the first one tells the half of a sentence.
+_HALF = 62
 
-    Sentences without a word that is new are left out, up to `train_chars` characters; the frequent words, each once, are known of every language.
-    """
-    picked: list[tuple[str, list[str], str]] = []
-    settled: dict[str, tuple[str, bool, bool]] = {}
-    for text, label in rows:
+
+class Teachers:
+    """Which texts may teach a language: single sentences of prose whose common words agree with the label."""
+
+    def __init__(self, common: dict[str, set[str]], letters: Letters):
+        self.common, self.letters = common, letters
+        self.of: dict[str, list[str]] = {}
+        for lang, known in common.items():
+            for w in known:
+                self.of.setdefault(w, []).append(lang)
+        self.settled: dict[str, tuple[str, bool, bool]] = {}
+
+    def words(self, text: str) -> list[str]:
+        return [w for _, _, w, counts in tokens(text, self.settled) if counts]
+
+    def voted(self, text: str, label: str | None) -> tuple[str, list[str]] | None:
+        """(language, words) of a text whose common words agree with its label."""
         lang = label_of(label)
-        if lang not in common or _INNER.search(text):
-            continue
-        words = [w for _, _, w, counts in tokens(text, settled) if counts]
-        votes = {l: sum(any(c in w for c in known) if _SPACELESS.search(w) else w in known for w in words) for l, known in common.items()}
-        if votes[lang] and all(votes[lang] > v for l, v in votes.items() if l != lang):
-            picked.append((lang, words, text))
-
-    def build(chosen: list[tuple[str, list[str], str]], chars: int) -> dict[str, str]:
-        lines = {l: ["".join(f" {w}" for w in sorted(known)) + " "] for l, known in common.items()}
-        sizes, seen = {l: len(lines[l][0]) for l in lines}, {l: set(known) for l, known in common.items()}
-        for lang, words, _ in chosen:
-            if sizes[lang] < chars and not seen[lang].issuperset(words):
-                seen[lang].update(words)
-                lines[lang].append(running(words)[0])
-                sizes[lang] += len(lines[lang][-1])
-        return {l: "".join(x) for l, x in lines.items()}
-
-    # a sixth of the text tells wrong labels
-    first = Model(build(picked, train_chars // 6))
-    agreed = first.segments_of([x[2] for x in picked])
-    return build([x for x, found in zip(picked, agreed) if {s[2] for s in found} == {x[0]}], train_chars)
-
-
-def fit(df: DataFrame, words: DataFrame, key_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> dict:
+        if lang not in self.common or _INNER.search(text):
+            return None
+        words = self.words(text)
+        votes = dict.fromkeys(self.common, 0)
+        for w in words:
+            if not w.isascii() and _SPACELESS.search(w):
+                for l, known in self.common.items():
+                    votes[l] += any(c in w for c in known)
+            else:
+                for l in self.of.get(w, ()):
+                    votes[l] += 1
+        return (lang, words) if votes[lang] and all(votes[lang] > v for l, v in votes.items() if l != lang) else None
+
+    def prose(self, text: str) -> bool:
+        return kind_of(count_text(marks_as_letters(text), self.letters)) == "prose"
+
+
+_FIRST = "lang string, word string, half int, print bigint, text string"
+
+
+def _firsts(held, wanted=None):
+    """Of each language, word and half the first text that may teach it, by its print.
+
+    With `wanted`, (words of each language, the fit of each half): of these words only, texts that the fit of the other half agrees with, and both halves together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        teachers = Teachers(held.value["common"], Letters(*held.value["letters"]))
+        only, fits = wanted.value if wanted else (None, None)
+        first: dict[tuple[str, str, int], tuple[int, str]] = {}
+
+        def lacking(lang: str, words: list[str], half: int, mark: int) -> list[tuple[str, str, int]]:
+            some = {w for w in words if w in only[lang]} if only else set(words) - teachers.common[lang]
+            return [k for w in some if mark < first.get(k := (lang, w, half), (1 << 63,))[0]]
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"lang": l, "word": w, "half": h, "print": p, "text": t} for (l, w, h), (p, t) in first.items()], _FIRST_TYPE)
+
+        for batch in batches:
+            found = []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if only and not _may_hold(text, only.get(label_of(label)), teachers.settled):
+                    continue
+                got = teachers.voted(text, label)
+                if got:
+                    found.append((text_print(text), text, *got))
+            # small prints first, as what is behind them need not be judged
+            found.sort(key=lambda x: x[0])
+            if only:
+                found = [x for x in found if lacking(x[2], x[3], 0, x[0]) and teachers.prose(x[1])]
+                agreed = _agree(fits, found)
+            for i, (mark, text, lang, words) in enumerate(found):
+                half = 0 if only else mark >> _HALF
+                if (new := lacking(lang, words, half, mark)) and (agreed[i] if only else teachers.prose(text)):
+                    first.update(dict.fromkeys(new, (mark, text)))
+            if len(first) > quality.HELD:
+                yield told()
+                first.clear()
+        yield told()
+
+    return run
+
+
+_FIRST_TYPE = pa.schema([("lang", pa.string()), ("word", pa.string()), ("half", pa.int32()), ("print", pa.int64()), ("text", pa.string())])
+
+
+def _may_hold(text: str, words: set[str] | None, kept: dict) -> bool:
+    """Whether a text may hold one of the words; true of some that do not."""
+    return bool(words) and (not text.isascii() and bool(_SPACELESS.search(text)) or any(_settled(raw, kept)[0] in words for raw in _TOKEN.findall(text)))
+
+
+def _agree(fits: list[Model], found: list[tuple[int, str, str]]) -> list[bool]:
+    """Whether the fit of the other half finds the language of each (print, text, language, ...), and no other."""
+    out = [False] * len(found)
+    for half in (0, 1):
+        own = [i for i, x in enumerate(found) if x[0] >> _HALF == half]
+        for i, parts in zip(own, fits[1 - half].segments_of([found[i][1] for i in own])):
+            out[i] = {p[2] for p in parts} == {found[i][2]}
+    return out
+
+
+def _reduced(rows: DataFrame, run) -> list[tuple[int, str, str, int, list[str]]]:
+    """(print, text, language, half, words that it is the first of), by print; the driver gets at most one text for each word of a language and half."""
+    each = rows.mapInArrow(run, _FIRST).groupBy("lang", "word", "half").agg(F.min(F.struct("print", "text")).alias("r"))
+    return sorted(tuple(r) for r in each.groupBy("r.print", "r.text", "lang", "half").agg(F.collect_list("word")).select("print", "text", "lang", "half", "collect_list(word)").collect())
+
+
+def _lines(chosen: set[tuple[int, str, str]], teachers: Teachers) -> dict[str, str]:
+    """Running text of each language; the frequent words, each once, are known of every language."""
+    lines = {l: ["".join(f" {w}" for w in sorted(known)) + " "] for l, known in teachers.common.items()}
+    for _, text, lang in sorted(chosen):
+        lines[lang].append(running(teachers.words(text))[0])
+    return {l: "".join(x) for l, x in lines.items()}
+
+
+def train(rows: DataFrame, common: dict[str, set[str]], letters: Letters) -> dict[str, str]:
+    """Running text of each language from all rows of `text` and `label`: of each word the first sentence that may teach it, and that the fit of the other half agrees with."""
+    send = rows.sparkSession.sparkContext.broadcast
+    held, teachers = send({"common": common, "letters": (letters.table, letters.common)}), Teachers(common, letters)
+    firsts = _reduced(rows, _firsts(held))
+    fits = [Model(_lines({x[:3] for x in firsts if x[3] == half}, teachers)) for half in (0, 1)]
+    chosen, words, missed = set(), set(), {l: set() for l in common}
+    for x, agreed in zip(firsts, _agree(fits, firsts)):
+        # the first half comes first
+        new = [w for w in x[4] if (x[2], w) not in words]
+        words.update((x[2], w) for w in new)
+        if new and agreed:
+            chosen.add(x[:3])
+        elif new:
+            missed[x[2]].update(new)
+    if any(missed.values()):  # of these all sentences are asked
+        chosen |= {x[:3] for x in _reduced(rows, _firsts(held, send((missed, fits))))}
+    return _lines(chosen, teachers)
+
+
+def fit(df: DataFrame, words: DataFrame, key_col: str, text_col: str, label_col: str) -> dict:
     """What workers need: learnt text of each language, and of prose (see quality). `words` has (lang, word) of frequent words."""
     common: dict[str, set[str]] = {}
     for r in words.where("lang IS NOT NULL AND word IS NOT NULL").collect():
         common.setdefault(r["lang"], set()).add(settle(r["word"]).lower())
-    rows = [tuple(r) for r in sample(df.where(F.length(text_col) > 0), [sample_text(text_col), F.col(label_col)], F.col(key_col), sample_rows)]
-    letters = Letters.learn([t for t, _ in rows[: LETTER_TEXTS]], [w for ws in common.values() for w in ws])
-    prose = [(t, l) for t, l in rows if kind_of(count_text(marks_as_letters(t), letters)) == "prose"]
-    return {"model": Model(train(prose, common)), "letters": (letters.table, letters.common)}
+    letters = learn(df, key_col, text_col, [w for ws in common.values() for w in ws])
+    rows = df.where(F.col(key_col).isNotNull() & (F.length(text_col) > 0) & F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    return {"model": Model(train(rows, common, letters)), "letters": (letters.table, letters.common)}
 
 
 _PARTS = "array<struct<segment:int,start_char:int,end_char:int,lang:string,confidence:double,words:int>>"

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: `SAMPLE_CHARS` is for operators that learn from a sample (see `sample`); nothing here does.
-CHUNK, SAMPLE_TEXTS, SAMPLE_CHARS = 1 << 20, 4000, 20_000
+CHUNK, SAMPLE_CHARS = 1 << 20, 20_000
 #: Partials merged in one step of the tree, and the most characters a value can have, which bounds the steps: two for chunks of `CHUNK`.
 FAN, MOST_CHARS = 64, 1 << 31
 #: From fewer letter pairs nothing is learnt, and the rule on unlikely letters rests.
