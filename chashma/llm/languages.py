@@ -50,9 +50,12 @@ _OPENS = frozenset(".!?…।؟。！？．:\n\"«“")
 class Automaton:
     """Suffix automaton of a text: all of its substrings, in time and space linear in its length, as arrays.
 
-    A state with one way out has its character in `only` and the next state in `then`; one with several has a row of `table`.
+    A state with one way out has its character in `only` and the next state in `then`; one with several has a row of `table`, or,
+    in a text of more than `WIDE` characters, whose rows are long and nearly empty, its ways in `ways` at the sorted `keys`.
     """
 
+    WIDE = 256
+
     def __init__(self, text: str):
         nxt: list[dict[str, int]] = [{}]
         link, size, last = [-1], [0], 0
@@ -88,18 +91,34 @@ class Automaton:
         self.only, self.then, self.row = np.zeros(len(nxt), np.uint16), np.full(len(nxt), -1, np.int32), np.zeros(len(nxt), np.int32)
         many = [s for s, out in enumerate(nxt) if len(out) != 1 or s == 0]
         self.row[many] = np.arange(1, len(many) + 1)
-        self.table = np.full((len(many) + 1, len(letters) + 1), -1, np.int32)
-        for k, s in enumerate(many):
-            for c, to in nxt[s].items():
-                self.table[k + 1, code[c]] = to
+        self.width, self.root = len(letters) + 1, np.full(len(letters) + 1, -1, np.int32)
+        for c, to in nxt[0].items():
+            self.root[code[c]] = to
+        if len(letters) <= self.WIDE:
+            self.table = np.full((len(many) + 1, self.width), -1, np.int32)
+            for k, s in enumerate(many):
+                for c, to in nxt[s].items():
+                    self.table[k + 1, code[c]] = to
+        else:
+            self.table = None
+            keys = np.fromiter(((k + 1) * self.width + code[c] for k, s in enumerate(many) for c in nxt[s]), np.int64)
+            order = np.argsort(keys)
+            self.keys, self.ways = keys[order], np.fromiter((to for s in many for to in nxt[s].values()), np.int32)[order]
         for s, out in enumerate(nxt):
             if len(out) == 1 and s:
                 ((c, to),) = out.items()
                 self.only[s], self.then[s] = code[c], to
 
+    def _ways(self, row: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where the states of these rows lead to with these characters, -1 for nowhere."""
+        if self.table is not None:
+            return self.table.ravel()[row * self.width + c]
+        key = row.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ways[at], -1)
+
     def begins(self, codes: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Where phrases begin in stretches `codes[at : at + lens]`, the longest of which come first: positions in `codes`."""
-        width, flat, root = self.table.shape[1], self.table.ravel(), self.table[1]
         found = []
         state = np.zeros(len(at), np.int32)
         for t in range(int(lens[0]) if len(lens) else 0):
@@ -107,11 +126,11 @@ class Automaton:
             place, s = at[:live] + t, state[:live]
             c = codes[place]
             row = self.row[s]
-            to = np.where(row > 0, flat[row * width + c], np.where(self.only[s] == c, self.then[s], -1))
+            to = np.where(row > 0, self._ways(row, c), np.where(self.only[s] == c, self.then[s], -1))
             # a phrase also begins behind a character that the text does not have
             new = (to < 0) | (s == 0)
             found.append(place[new])
-            state[:live] = np.maximum(np.where(to < 0, root[c], to), 0)
+            state[:live] = np.maximum(np.where(to < 0, self.root[c], to), 0)
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def phrases(self, text: str) -> int:

@@ -393,6 +393,25 @@ def test_language_table(spark):
     assert languages.segments(df.limit(0), words, "key", "text", "lang").count() == 0
 
 
+def test_automaton_of_many_characters():
+    """A text of very many different characters takes room by its length, and is parsed as in a full table."""
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    text = "".join(rng.choices(letters, [1 / (i + 10) for i in range(3000)], k=30_000))
+    sparse, wide = languages.Automaton(text), languages.Automaton.WIDE
+    try:
+        languages.Automaton.WIDE = 10_000
+        full = languages.Automaton(text)
+    finally:
+        languages.Automaton.WIDE = wide
+    size = lambda a: sum(x.nbytes for x in vars(a).values() if hasattr(x, "nbytes"))
+    assert size(sparse) < 80 * len(text) < size(full)
+    for _ in range(300):
+        at = rng.randrange(29_000)
+        s = text[at : at + 5] + "".join(rng.choices(letters, k=4)) + "q" + text[at + 50 : at + 53]
+        assert sparse.phrases(s) == full.phrases(s)
+
+
 def brute_training(rows, common, letters):
     """All candidates are judged, and of each word the first that is agreed with is taken."""
     teachers = languages.Teachers(common, letters)
